@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from factlake.llm.bpe import op1_byte_bpe
 from factlake.llm.jaccard import op9_ngram_jaccard
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op9_ngram_jaccard": op9_ngram_jaccard,
 }
 
