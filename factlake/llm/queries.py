@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from factlake.llm.bpe import op1_byte_bpe
 from factlake.llm.jaccard import op9_ngram_jaccard
+from factlake.llm.license import op4_license
+from factlake.llm.pii import op3_pii
+from factlake.llm.quality import op10_quality
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_pii": op3_pii,
+    "op4_license": op4_license,
     "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {}
