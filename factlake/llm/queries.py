@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from factlake.llm.bpe import op1_byte_bpe
+from factlake.llm.decontaminate import op7_decontaminate
 from factlake.llm.jaccard import op9_ngram_jaccard
 from factlake.llm.license import op4_license
 from factlake.llm.pii import op3_pii
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_pii": op3_pii,
     "op4_license": op4_license,
+    "op7_decontaminate": op7_decontaminate,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_quality": op10_quality,
 }
