@@ -8,11 +8,13 @@ from factlake.llm.jaccard import op9_ngram_jaccard
 from factlake.llm.license import op4_license
 from factlake.llm.pii import op3_pii
 from factlake.llm.quality import op10_quality
+from factlake.llm.substring import op5_substring_dedup
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_pii": op3_pii,
     "op4_license": op4_license,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_quality": op10_quality,
