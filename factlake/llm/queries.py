@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from factlake.llm.bpe import op1_byte_bpe
 from factlake.llm.decontaminate import op7_decontaminate
+from factlake.llm.embedding import op6_embedding_dedup
+from factlake.llm.html_text import op2_html_text
 from factlake.llm.jaccard import op9_ngram_jaccard
 from factlake.llm.license import op4_license
 from factlake.llm.pii import op3_pii
@@ -12,9 +14,11 @@ from factlake.llm.substring import op5_substring_dedup
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_html_text": op2_html_text,
     "op3_pii": op3_pii,
     "op4_license": op4_license,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_quality": op10_quality,
