@@ -54,7 +54,7 @@ def _if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, percent: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, items, contaminated) for every row of ``docs``.
+    """(doc_id, n_words, n_hit, items, contaminated, row_key) for every row of ``docs``; row_key is xxhash64(id, text).
 
     A window is ``window`` consecutive words of an item, or all words of a shorter one. ``n_hit``
     counts the document's words inside any occurrence of a window, ``items`` are the ids of items
@@ -118,7 +118,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
 
     out = described.select("row_key", "doc_id", "n_words").join(per_doc, "row_key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (100 * n_hit >= percent * F.col("n_words"))).alias("contaminated"))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (100 * n_hit >= percent * F.col("n_words"))).alias("contaminated"), "row_key")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,6 +157,24 @@ def find_pii(docs: DataFrame, *, redact: bool = False, id_col: str = "doc_id", t
     return map_rows(source, run, "doc_id long, spans array<struct<kind:string,start:int,end:int,score:double>>" + ", text string" * redact)
 
 
+def redact_documents(docs: DataFrame, *, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs``, all columns, with found spans replaced in the text and its length, if there is such a column, set anew."""
+    at = docs.columns.index(text_col)
+    length = docs.columns.index(length_col) if length_col in docs.columns else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, texts = list(batch.columns), batch.column(at).to_pylist()
+            new = [t and redacted(t, all_spans(t)) for t in texts]
+            if length >= 0:
+                old = columns[length].to_pylist()
+                columns[length] = pa.array([n if a == b else len(b) for n, a, b in zip(old, texts, new, strict=True)], columns[length].type)
+            columns[at] = pa.array(new, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return map_rows(docs, run, docs.schema)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     line = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))

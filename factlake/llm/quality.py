@@ -137,5 +137,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, training_rows: int = TR
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("made").alias("score"), (F.col("made") >= CUT).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``score_quality`` predicts as good."""
+    text_col = options.get("text_col", "text")
+    weights, cut = learn(docs, labels, **options)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([features((t or "").encode()) for t in batch.column(at).to_pylist()], np.float64).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(place(x @ weights, cut) >= CUT))
+
+    return map_rows(docs, run, docs.schema)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from factlake.llm.bpe import op1_byte_bpe
 from factlake.llm.decontaminate import op7_decontaminate
 from factlake.llm.embedding import op6_embedding_dedup
 from factlake.llm.html_text import op2_html_text
 from factlake.llm.jaccard import op9_ngram_jaccard
 from factlake.llm.license import op4_license
+from factlake.llm.lm_score import op8_lm_score
 from factlake.llm.pii import op3_pii
 from factlake.llm.quality import op10_quality
 from factlake.llm.substring import op5_substring_dedup
@@ -20,8 +23,10 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_decontaminate": op7_decontaminate,
+    "op8_lm_score": op8_lm_score,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_quality": op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}
