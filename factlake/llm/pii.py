@@ -179,9 +179,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     line = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind))
     return found.select(
         "doc_id",
-        *(F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS),
+        *(count(k).cast("long").alias(f"n_{k}") for k in BASE_KINDS),
         F.sha2(F.concat_ws(",", F.transform(base, line)), 256).alias("base_sha256"),
         F.concat_ws(",", F.transform("spans", line)).alias("spans"),
     )
