@@ -5,7 +5,8 @@ ones first. A set of n shingles may differ from a partner in at most ``slack(n)`
 so it is enough to index a prefix of the order that keeps one signature after any ``slack(n)``
 losses: a rare shingle is a signature alone, of frequent shingles each pair within a hash group
 is one. Two sets that share no signature cannot reach the threshold. Candidates are verified
-first on truncated hashes, whose overlap is never too small, then on whole 64-bit hashes.
+first on counts of cells of the hash space, whose overlap is never
+too small, then on whole 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -17,17 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlake.llm.graph import components
+from factlake.llm.graph import components, rough_labels
 from factlake.llm.hashing import _U, SPACE_SEPARATORS, _mix, hash_words, ngram_hashes, small_chunks
 from factlake.llm.tables import Scratch, map_rows, text_bytes
 
 SHINGLE = 5
 PERCENT = 80
-#: At most this many shingles are told apart as frequent, whatever the size of the corpus: a
-#: shingle counts as frequent from this share of all words on. Which ones are frequent only
-#: decides how much work is done, never which pairs are found.
-FREQUENT_MAX = 2_000_000
-FREQUENT_LEAST = 16
+#: At most this many shingles are told apart as frequent (16 bytes each, broadcast): those from
+#: the least count on that leaves no more. Which ones are frequent only decides how much work is
+#: done, never which pairs are found.
+FREQUENT_MAX = 1_500_000
+FREQUENT_LEAST = 3
 #: Sub-buckets of a signature made of frequent shingles.
 SALTS = 64
 #: Ids of one side are broadcast up to this count (8 bytes each); beyond it the join shuffles.
@@ -119,29 +120,36 @@ class Signer:
         return np.concatenate((x[:singles], combined)), np.concatenate((np.zeros(singles, bool), np.ones(len(p), bool)))
 
 
-def _short(x: np.ndarray) -> bytes:
-    """Sorted low bits of a set: 2 bytes a shingle, 4 for large sets."""
-    return np.sort(x.astype(np.uint16 if len(x) <= 3000 else np.uint32)).tobytes()
+def _cells(x: np.ndarray) -> bytes:
+    """How many shingles fall in each cell of the hash space; as many cells as a quarter to half the shingles."""
+    n = 1 << max(6, (len(x) // 4).bit_length())
+    while True:
+        held = np.bincount((x & _U(n - 1)).astype(np.int64), minlength=n)
+        if held.max(initial=0) < 256:
+            return held.astype(np.uint8).tobytes()
+        n *= 2
 
 
-def _overlap(a: bytes, na: int, b: bytes, nb: int) -> int:
-    """Size of the multiset overlap of two sorted lists of hashes of any width."""
-    width = min(len(a) // na, len(b) // nb)
-    kind = {2: np.uint16, 4: np.uint32, 8: np.uint64}
-    x, y = np.frombuffer(a, kind[len(a) // na]), np.frombuffer(b, kind[len(b) // nb])
-    if len(a) // na != len(b) // nb:
-        x, y = np.sort(x.astype(kind[width])), np.sort(y.astype(kind[width]))
-    if width == 8:
-        return len(np.intersect1d(x, y, assume_unique=True))
-    times = lambda v: (v.astype(np.int64) << 24) | (np.arange(len(v)) - np.searchsorted(v, v))
-    return len(np.intersect1d(times(x), times(y), assume_unique=True))
+def _overlap_at_most(a: bytes, b: bytes) -> int:
+    """Upper bound of the overlap of two sets: the smaller count of each cell."""
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    while len(x) != len(y):
+        if len(x) > len(y):
+            x, y = y, x
+        y = y[: len(y) // 2] + y[len(y) // 2 :]
+    return int(np.minimum(x, y).sum())
+
+
+def _overlap(a: bytes, b: bytes) -> int:
+    """Overlap of two sets of whole hashes."""
+    return len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
 
 
 def _describe(percent: int, size: int, flush: int = 3_000_000):
-    """Task: a row per document, with the short set at its first place in the task, and local counts of repeated shingles."""
+    """Task: a row per document, with the sketch of its set at the first place in the task, and local counts of repeated shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["common", "doc_id", "node", "n", "short"]
+        names = ["common", "doc_id", "node", "n", "sketch"]
         seen: set[int] = set()
         held, kept = [], 0
 
@@ -161,7 +169,7 @@ def _describe(percent: int, size: int, flush: int = 3_000_000):
                         seen.add(key)
                         held.append(x)
                         kept += len(x)
-                    rows.append((key, len(x), _short(x) if new else None))
+                    rows.append((key, len(x), _cells(x) if new else None))
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), bool)), pa.array(ids, pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names)
                 if kept > flush:
                     yield counts()
@@ -179,7 +187,7 @@ def _sign(table, percent: int, size: int):
         signer, seen = Signer(*table.value, percent), set()
         for batch in batches:
             for ids, docs in small_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sigs, salts, nodes, sizes = [], [], [], []
+                sigs, salts, nodes, sizes, places, alone = [], [], [], [], [], []
                 for i, x in zip(ids, shingle_sets(docs, size), strict=True):
                     if not len(x) or i is None or (key := set_key(x)) in seen:
                         continue
@@ -189,8 +197,11 @@ def _sign(table, percent: int, size: int):
                     salts.append(np.where(frequent, 1 + key % SALTS, 0))
                     nodes.append(np.full(len(s), key, np.int64))
                     sizes.append(np.full(len(s), len(x), np.int32))
+                    # of shingles that stand alone the place in the order; 0 tells nothing
+                    places.append(np.where(frequent, 0, np.arange(len(s))).astype(np.int32))
+                    alone.append(np.full(len(s), len(s) - int(frequent.sum()), np.int32))
                 if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int8)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], ["sig", "salt", "node", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int8)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places)), pa.array(np.concatenate(alone))], ["sig", "salt", "node", "n", "place", "alone"])
 
     return run
 
@@ -202,12 +213,12 @@ def _whole(size: int):
         for batch in batches:
             for _, docs in small_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sets = [x for x in shingle_sets(docs, size) if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "n", "short"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "n", "sketch"])
 
     return run
 
 
-def _reaches(percent: int):
+def _reaches(percent: int, overlap):
     """Task: keeps the pairs whose overlap reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,18 +227,18 @@ def _reaches(percent: int):
             keep = []
             for m, x, k, y in zip(na, a, nb, b, strict=True):
                 possible = 100 * min(m, k) >= percent * max(m, k)
-                both = _overlap(x, m, y, k) if possible else 0
+                both = overlap(x, y) if possible else 0
                 keep.append(possible and 100 * both >= percent * (m + k - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("short").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("short").alias("sb"))
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, overlap) -> DataFrame:
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb")
-    return map_rows(both, _reaches(percent), "a long, b long").distinct()
+    return map_rows(both, _reaches(percent, overlap), "a long, b long").distinct()
 
 
 def narrowed(docs: DataFrame, ids: DataFrame, key: str = "doc_id", limit: int = BROADCAST_IDS) -> DataFrame:
@@ -248,46 +259,71 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, size: int = S
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    described = scratch.save(map_rows(source, _describe(percent, size), "common boolean, doc_id long, node long, n long, short binary"), "described")
+    described = scratch.save(map_rows(source, _describe(percent, size), "common boolean, doc_id long, node long, n long, sketch binary"), "described")
     rows = described.where("not common").select("doc_id", "node", "n")
-    least = max(FREQUENT_LEAST, -(-int(rows.agg(F.sum("n")).first()[0] or 0) // FREQUENT_MAX))
-    common = described.where("common").groupBy("node").agg(F.sum("n").alias("c")).where(F.col("c") >= least).toPandas()
+    counts = scratch.save(described.where("common").groupBy("node").agg(F.sum("n").alias("c")).where(F.col("c") >= FREQUENT_LEAST), "counts")
+    tiers = counts.groupBy(F.least("c", F.lit(10_000)).alias("c")).count().orderBy(F.desc("c")).toPandas()
+    fitting = tiers[tiers["count"].cumsum() <= FREQUENT_MAX]["c"]
+    common = counts.where(F.col("c") >= int(fitting.min())).toPandas() if len(fitting) else counts.limit(0).toPandas()
     h = common["node"].to_numpy(np.int64).view(_U)
     order = np.argsort(h)
     table = spark.sparkContext.broadcast((h[order], np.floor(np.log2(common["c"].to_numpy(np.float64)))[order].astype(np.int64)))
 
-    signatures = map_rows(source, _sign(table, percent, size), "sig long, salt tinyint, node long, n int")
+    signatures = map_rows(source, _sign(table, percent, size), "sig long, salt tinyint, node long, n int, place int, alone int")
     bucket = Window.partitionBy("sig", "salt")
-    shared = signatures.withColumn("hub", F.min("node").over(bucket)).withColumn("last", F.max("node").over(bucket))
+    # the hub of a bucket is the set with the fewest rare shingles: of edited copies the least edited
+    shared = signatures.withColumns({"hub": F.min(F.struct("alone", "node")).over(bucket), "low": F.min("node").over(bucket), "high": F.max("node").over(bucket)})
     # of a salted signature the sub-buckets with a single set matter too
-    buckets = scratch.save(shared.where("hub <> last or salt > 0").drop("last"), "buckets")
-    salted = buckets.where("salt > 0").groupBy("sig", "hub").agg(F.lit(1).alias("one"))
-    top = salted.join(salted.groupBy("sig").agg(F.min("hub").alias("top")), "sig")
-    pair = lambda df, x, y: df.where(f"{x} <> {y}").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = scratch.save(pair(buckets, "hub", "node").unionByName(pair(top, "hub", "top")).distinct(), "first")
-
-    shorts = described.where("short is not null").select("node", "n", "short").dropDuplicates(["node"])
+    buckets = scratch.save(shared.where("low <> high or salt > 0").drop("low", "high"), "buckets")
+    sketches = described.where("sketch is not null").select("node", "n", "sketch").dropDuplicates(["node"])
     reps = scratch.save(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
+    pair = lambda df, x, y: df.where(f"{x} <> {y}").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
-        likely = scratch.save(_verified(pairs, shorts, percent), f"{name}-likely")
+        likely = scratch.save(_verified(pairs, sketches, percent, _overlap_at_most), f"{name}-likely")
         nodes = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
         ids = reps.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-        sets = map_rows(narrowed(source, ids), _whole(size), "node long, n long, short binary")
-        out = scratch.save(_verified(likely, sets, percent), f"{name}-links")
+        sets = map_rows(narrowed(source, ids), _whole(size), "node long, n long, sketch binary")
+        out = scratch.save(_verified(likely, sets, percent, _overlap), f"{name}-links")
         scratch.drop(likely)
         return out
 
-    found = links(first, "first")
-    # what the hubs have not joined: pairs of one signature in different components
-    own = components(found, scratch)
-    placed = buckets.dropDuplicates(["sig", "node"]).join(own.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    per = placed.groupBy("sig", "component").agg(F.count("*").alias("c"))
-    mixed = per.groupBy("sig").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    placed = scratch.save(placed.join(mixed, "sig"), "placed")
-    odd = placed.where("component <> main").select("sig", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-    fits = f"component <> cx and 100 * least(n, nx) >= {percent} * greatest(n, nx)"
-    rest = pair(odd.join(placed.select("sig", "node", "component", "n"), "sig").where(fits), "x", "node").distinct().join(first, ["a", "b"], "left_anti")
+    # Of the rare shingles that a set is indexed by, those that no other set is indexed by are not in
+    # a partner either, if its index reaches as far in the order: of two partners one set's does, and
+    # both do where they share a signature of frequent shingles, which come behind all rare ones.
+    # So a partner has at most ``can`` shingles in common with the set.
+    nodes = buckets.dropDuplicates(["sig", "node"]).groupBy("node").agg((F.first("n") - F.first("alone") + F.count_if(F.col("salt") == 0)).cast("int").alias("can"))
+    nodes = scratch.save(nodes, "nodes")
+
+    def unjoined(found: DataFrame) -> DataFrame:
+        """Rows of signatures whose sets are in several components, with the largest one there and its least edited set."""
+        own = rough_labels(found).withColumnRenamed("id", "node")
+        rows = buckets.withColumn("frequent", F.col("salt") > 0).drop("hub", "salt").dropDuplicates(["sig", "node"])
+        placed = scratch.save(rows.join(nodes, "node").join(own, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+        per = placed.groupBy("sig", "component").agg(F.count("*").alias("c"), F.min(F.struct("alone", "node")).alias("first"))
+        main = F.max_by(F.struct("component", "first"), F.struct("c", "component"))
+        mixed = per.groupBy("sig").agg(main.alias("main"), F.count("*").alias("parts")).where("parts > 1").select("sig", F.col("main.component").alias("main"), F.col("main.first.node").alias("first"))
+        return placed.join(mixed, "sig")
+
+    # first each set with one hub, and the hubs of a salted signature with one of them
+    top = buckets.where("salt > 0").select("sig", "hub").distinct()
+    top = top.join(top.groupBy("sig").agg(F.min("hub").alias("top")), "sig").where("hub <> top").groupBy("hub").agg(F.min("top").alias("top"))
+    one = buckets.where("hub.node <> node").groupBy("node").agg(F.min("hub").alias("hub")).select("node", F.col("hub.node").alias("hub"))
+    tops = top.select(F.col("hub.node").alias("hub"), F.col("top.node").alias("top"))
+    tried = scratch.save(pair(one, "hub", "node").unionByName(pair(tops, "hub", "top")).distinct(), "one")
+    found = links(tried, "one")
+    # then each set outside a signature's largest component with the first of that component
+    odd = unjoined(found).where("component <> main")
+    more = scratch.save(pair(odd, "first", "node").distinct().join(tried, ["a", "b"], "left_anti"), "more")
+    tried, found = tried.unionByName(more), found.unionByName(links(more, "more"))
+    # last all pairs of a signature that are still in different components. A rare shingle at
+    # places i and j that is the first the sets share bounds what they share to 1 and the rest behind.
+    apart = scratch.save(unjoined(found), "apart")
+    odd = apart.where("component <> main").select("sig", *[F.col(c).alias(f"x_{c}") for c in ("node", "component", "n", "place", "can")])
+    enough = lambda most: f"{100 + percent} * {most} >= {percent} * (n + x_n)"
+    behind, limit = enough("least(n - place, x_n - x_place)"), f"case when frequent then {enough('least(can, x_can)')} else {enough('greatest(can, x_can)')} end"
+    fits = f"component <> x_component and 100 * least(n, x_n) >= {percent} * greatest(n, x_n) and {behind} and {limit}"
+    rest = pair(odd.join(apart.select("sig", "node", "component", "n", "place", "can", "frequent"), "sig").where(fits), "x_node", "node").distinct().join(tried, ["a", "b"], "left_anti")
     every = found.unionByName(links(rest, "rest"))
 
     joined = components(every, scratch).withColumnRenamed("id", "node").join(reps, "node")
