@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from factlake.llm import sql
 from factlake.llm.bpe import op1_byte_bpe
 from factlake.llm.decontaminate import op7_decontaminate
 from factlake.llm.embedding import op6_embedding_dedup
@@ -29,4 +30,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op5_substring_dedup": sql.SUBSTRING, "op7_decontaminate": sql.DECONTAMINATE}
