@@ -135,3 +135,13 @@ def one_category(c: Column, groups: dict[str, str], otherwise: str = "OTHER") ->
     for name, h in zip(groups, hits, strict=True):
         out = F.when((count == 1) & h, F.lit(name)).otherwise(out)
     return out
+
+
+def stitched_parts(c: Column, least: int = 3) -> Column:
+    """Verbatim parts of a quote stitched with ellipses."""
+    return F.filter(F.transform(F.split(c, r"\s*(?:…|\.\.\.)\s*"), F.trim), lambda x: F.char_length(x) >= least)
+
+
+def quote_holds(quote: Column, content: Column) -> Column:
+    """Whether each part of a stitched quote is in the content, whatever the case and spacing."""
+    return F.forall(stitched_parts(quote), lambda p: F.contains(collapsed(content), collapsed(p)))

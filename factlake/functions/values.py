@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -127,3 +129,44 @@ def allowed(c: Column, hosts: list[str]) -> Column:
 def document_name(text: Column, url: Column) -> Column:
     """Link text, else the last part of the URL's path."""
     return F.coalesce(F.nullif(F.trim(text), F.lit("")), F.nullif(F.element_at(F.split(path_key(url), "/"), -1), F.lit("")), host(url))
+
+
+def effective_range(c: Column) -> Column:
+    """Struct of starts and ends of 'from D to D' or 'until D' with ISO dates; null ends are open."""
+    day = r"(\d{4}-\d{2}-\d{2})"
+    starts = F.try_to_date(F.regexp_extract(F.lower(c), "from " + day, 1), "yyyy-MM-dd")
+    ends = F.try_to_date(F.regexp_extract(F.lower(c), "(?:to|until) " + day, 1), "yyyy-MM-dd")
+    return F.when(starts.isNotNull() | ends.isNotNull(), F.struct(starts.alias("starts"), ends.alias("ends")))
+
+
+def rate_and_term(c: Column) -> Column:
+    """Struct of percentage and months of a free line such as '12.5% for 3 years'."""
+    percent = F.regexp_extract(c, r"(\d+(?:\.\d+)?)\s*%", 1).try_cast("double")
+    n = F.regexp_extract(F.lower(c), r"(\d+)\s*(?:year|month)", 1).try_cast("long")
+    months = F.when(F.regexp_like(F.lower(c), F.lit(r"\d+\s*year")), n * 12).otherwise(n)
+    return F.struct(percent.alias("percent"), months.alias("months"))
+
+
+def renamed_keys(c: Column, aliases: dict[str, str]) -> Column:
+    """A map with alias keys under their canonical names; entries already canonical win."""
+    known = _lookup(aliases)
+    own = F.map_filter(c, lambda k, v: ~k.isin(*aliases))
+    moved = F.transform_keys(F.map_filter(c, lambda k, v: k.isin(*aliases)), lambda k, v: known[k])
+    return F.map_concat(own, F.map_filter(moved, lambda k, v: ~F.map_contains_key(own, k)))
+
+
+def extract_scalars(c: Column) -> Column:
+    """Array of (kind, raw, start) of dates, ranges, percentages and numbers, left to right without overlap: an Arrow function."""
+    pattern = re.compile(r"(?P<date>\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4})|(?P<range>\d+(?:\.\d+)?\s*[-–]\s*\d+(?:\.\d+)?)|(?P<percent>\d+(?:[.,]\d+)?\s*%)|(?P<number>\d+(?:[.,]\d+)*)")
+
+    @F.pandas_udf("array<struct<kind:string,raw:string,start:int>>", F.PandasUDFType.SCALAR)
+    def run(texts):
+        return texts.map(lambda t: [{"kind": m.lastgroup, "raw": m.group(), "start": m.start()} for m in pattern.finditer(t or "")])
+
+    return run(c)
+
+
+def register_functions(spark) -> None:
+    """SQL functions of this library for use in queries: collapsed, term_key and number_key; and extract_scalars."""
+    spark.sql("create or replace temporary function collapsed(s string) returns string return lower(trim(regexp_replace(s, '\\\\s+', ' ')))")
+    spark.sql("create or replace temporary function term_key(s string) returns string return trim(regexp_replace(lower(s), '[^\\\\p{L}\\\\p{N}]+', ' '))")

@@ -56,3 +56,36 @@ def merge_continuations(rows: DataFrame, key: str, ordinal: str, text: str, cont
     rows = rows.withColumn("_g", group)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(ordinal, text))), lambda s: s[text]), " ")
     return rows.groupBy(key, "_g").agg(F.min(ordinal).alias(ordinal), joined.alias(text)).drop("_g")
+
+
+def sections(grid: DataFrame) -> DataFrame:
+    """Adds section: the text of the last full-width row above, empty before the first."""
+    rows = grid.groupBy("table_id", "row").agg(F.count_distinct("text").alias("_k"), F.max("text").alias("_t"), F.count("*").alias("_n"))
+    w = Window.partitionBy("table_id").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    marked = rows.withColumn("_s", F.when((F.col("_k") == 1) & (F.col("_n") > 1), F.col("_t"))).withColumn("section", F.coalesce(F.last("_s", ignorenulls=True).over(w), F.lit("")))
+    return grid.join(marked.select("table_id", "row", "section"), ["table_id", "row"])
+
+
+def row_records(grid: DataFrame) -> DataFrame:
+    """(table_id, row, record): 'column path: value' of the body cells, in column order."""
+    heads = header_rows(grid)
+    body = grid.join(heads.where("not header").select("table_id", "row"), ["table_id", "row"])
+    named = body.join(column_headers(grid), ["table_id", "col"], "left").where(F.trim("text") != "")
+    cell = F.concat_ws(": ", "path", "text")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("col", cell.alias("cell")))), lambda s: s["cell"])
+    return named.groupBy("table_id", "row").agg(F.array_join(ordered, " | ").alias("record"))
+
+
+def continuation_links(grid: DataFrame) -> DataFrame:
+    """(table_id, row, completes): whether the row has the label of the row above it."""
+    labels = grid.where("col = 0").select("table_id", "row", "text")
+    w = Window.partitionBy("table_id").orderBy("row")
+    return labels.select("table_id", "row", (F.lag("text").over(w) == F.col("text")).alias("completes")).withColumn("completes", F.coalesce("completes", F.lit(False)))
+
+
+def ambiguities(grid: DataFrame) -> DataFrame:
+    """(table_id, issue, n): repeated rows, and columns without a header."""
+    rows = grid.groupBy("table_id", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda s: s["text"]), "\x1f").alias("r"))
+    repeated = rows.groupBy("table_id", "r").count().where("count > 1").groupBy("table_id").agg(F.sum(F.col("count") - 1).alias("n")).withColumn("issue", F.lit("repeated_row"))
+    bare = grid.select("table_id", "col").distinct().join(column_headers(grid), ["table_id", "col"], "left_anti").groupBy("table_id").agg(F.count("*").alias("n")).withColumn("issue", F.lit("no_header"))
+    return repeated.unionByName(bare).select("table_id", "issue", "n")

@@ -111,3 +111,24 @@ def mentions(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, mos
     found = grams.join(F.broadcast(keyed), "gram")
     longest = F.max("n").over(Window.partitionBy(id_col, "at"))
     return found.withColumn("_l", longest).where("n = _l").select(id_col, "name", "entity").distinct()
+
+
+def near_pairs(df: DataFrame, key: str, words: str, least: float = 0.8) -> DataFrame:
+    """(a, b, score) of sets whose Jaccard reaches ``least``.
+
+    Sets meet on prefixes in rare-first order, one less than they may differ in, and are counted
+    on the words themselves; texts with equal sets are paired through their smallest key only.
+    """
+    sets = df.select(key, F.array_sort(F.array_distinct(words)).alias("s")).where(F.size("s") > 0)
+    one = sets.groupBy("s").agg(F.min(key).alias("k"))
+    copies = sets.join(one, "s").where(F.col(key) > F.col("k")).select(F.col("k").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("score"))
+    exploded = one.select("k", F.size("s").alias("n"), F.explode("s").alias("w"))
+    df_ = exploded.groupBy("w").agg(F.count("*").alias("d"))
+    place = F.row_number().over(Window.partitionBy("k").orderBy("d", "w"))
+    prefix = exploded.join(df_, "w").withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * least) + 1).where("d > 1").select("k", "n", "w")
+    left, right = prefix.select(F.col("k").alias("a"), F.col("n").alias("na"), "w"), prefix.select(F.col("k").alias("b"), F.col("n").alias("nb"), "w")
+    pairs = left.join(right, "w").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b").distinct()
+    full = pairs.join(one.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(one.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    scored = full.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("score")).where(F.col("score") >= least)
+    return scored.unionByName(copies)

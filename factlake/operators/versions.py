@@ -97,3 +97,15 @@ def distinct_in_order(df: DataFrame, keys: list[str], order: str, normalized: Co
     """First row of each (normalised) value within its key."""
     w = Window.partitionBy(*keys, *([normalized] if normalized is not None else [])).orderBy(order)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def line_diff(before: DataFrame, after: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, added, removed, kept): lines of two versions, equal lines told apart by their number of occurrence."""
+
+    def numbered(df: DataFrame, mark: str) -> DataFrame:
+        lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("_at", "_line")).withColumn("_h", F.xxhash64("_line"))
+        n = F.row_number().over(Window.partitionBy(key, "_h").orderBy("_at"))
+        return lines.select(key, "_h", n.alias("_n"), F.lit(1).alias(mark))
+
+    both = numbered(before, "_a").join(numbered(after, "_b"), [key, "_h", "_n"], "full_outer")
+    return both.groupBy(key).agg(F.count_if(F.col("_a").isNull()).alias("added"), F.count_if(F.col("_b").isNull()).alias("removed"), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("kept"))

@@ -33,4 +33,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from factlake.queries import documents, facts, identity, joins, metrics, pages, questions, reads, scalars, streams, versions  # noqa: F401
+    from factlake.queries import documents, evidence, facts, identity, joins, metrics, pages, questions, reads, scalars, streams, versions  # noqa: F401
