@@ -89,3 +89,13 @@ def ambiguities(grid: DataFrame) -> DataFrame:
     repeated = rows.groupBy("table_id", "r").count().where("count > 1").groupBy("table_id").agg(F.sum(F.col("count") - 1).alias("n")).withColumn("issue", F.lit("repeated_row"))
     bare = grid.select("table_id", "col").distinct().join(column_headers(grid), ["table_id", "col"], "left_anti").groupBy("table_id").agg(F.count("*").alias("n")).withColumn("issue", F.lit("no_header"))
     return repeated.unionByName(bare).select("table_id", "issue", "n")
+
+
+def render_packets(rows: DataFrame, key: str, order: str, header: str, content: str) -> DataFrame:
+    """(key, packet): contents in order, each header once where it changes."""
+    w = Window.partitionBy(key).orderBy(order)
+    changed = ~F.col(header).eqNullSafe(F.lag(header).over(w)) | (F.row_number().over(w) == 1)
+    line = F.when(changed, F.concat(F.lit("## "), header, F.lit("\n"), content)).otherwise(F.col(content))
+    lines = rows.select(key, order, line.alias("line"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, "line"))), lambda s: s["line"])
+    return lines.groupBy(key).agg(F.array_join(ordered, "\n").alias("packet"))

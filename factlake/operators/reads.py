@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -136,3 +136,14 @@ def citation_list(facts: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
 def fact_line(*parts: Column) -> Column:
     """Deterministic display text of the parts that are present."""
     return F.concat_ws(" | ", *parts)
+
+
+def traced(df: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFrame:
+    """(stage, n): rows left after each filter, all observed in one pass over the data."""
+    seen = []
+    for name, condition in steps:
+        watch = Observation(name)
+        df = df.where(condition).observe(watch, F.count(F.lit(1)).alias("n"))
+        seen.append((name, watch))
+    df.write.format("noop").mode("overwrite").save()
+    return df.sparkSession.createDataFrame([(name, watch.get["n"]) for name, watch in seen], "stage string, n long")

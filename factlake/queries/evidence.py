@@ -158,3 +158,60 @@ def _(t):
 def _(t):
     V.register_functions(t.spark)
     return t.part.select("p_partkey", F.expr("collapsed(concat('  ', upper(p_name), '  '))").alias("key"))
+
+
+@query("C21_trace", "SELECT 'loaded' AS stage, count(*) AS n FROM lineitem UNION ALL SELECT 'returned', count(*) FILTER (l_returnflag = 'R') FROM lineitem UNION ALL SELECT 'priced', count(*) FILTER (l_returnflag = 'R' AND l_extendedprice > 50000) FROM lineitem")
+def _(t):
+    from factlake.operators.reads import traced
+
+    steps = [("loaded", F.lit(True)), ("returned", F.col("l_returnflag") == "R"), ("priced", F.col("l_extendedprice") > 50000)]
+    return traced(t.lineitem, steps)
+
+
+@query("J12_oversize_parts")
+def _(t):
+    from factlake.operators.packing import pack
+
+    lines = t.documents.where("n_chars > 2000").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
+    return pack(lines, "doc_id", "ord", "line", 2000)
+
+
+@query("J14_compact_tables")
+def _(t):
+    from factlake.operators.packing import within_budget
+
+    records = G.row_records(G.trimmed(G.fill_spans(cells(t)))).withColumn("size", F.char_length("record"))
+    return within_budget(records, ["table_id"], [F.asc("row")], "size", 60).drop("size")
+
+
+@query("J26_packets")
+def _(t):
+    from factlake.operators.grids import render_packets
+
+    rows = t.documents.select("source", "doc_id", F.col("lang").alias("header"), F.substring("text", 1, 80).alias("content"))
+    return render_packets(rows, "source", "doc_id", "header", "content")
+
+
+@query("L08_canonical_citation")
+def _(t):
+    from factlake.sources.pages import parse_blocks
+
+    heads = parse_blocks(t.pages).where("type = 'heading'").groupBy("page_id").agg(F.min("text").alias("name"))
+    return heads.join(t.pages.select("page_id", "url"), "page_id").where(~F.contains(F.lower("url"), F.lower("name"))).select("page_id", "name")
+
+
+@query("N09_freshness_alerts")
+def _(t):
+    from factlake.queries.streams import ended, events
+    from factlake.streaming.jobs import silent_keys
+
+    return ended(t, silent_keys(events(t), 2), "update")
+
+
+@query("O03_chunk_function")
+def _(t):
+    from factlake.functions.tables import Chunks
+
+    t.spark.udtf.register("chunks", Chunks)
+    t.documents.select("doc_id", "text").createOrReplaceTempView("factlake_documents")
+    return t.spark.sql("select doc_id, c.ordinal, c.content from factlake_documents, lateral chunks(text, 1500) c")
