@@ -24,7 +24,7 @@ from factlake.llm.tables import map_rows, text_bytes
 
 _NO_RANK = 1 << 60
 #: pieces of text kept encoded per task, and the longest of them in bytes
-CACHE_PIECES, CACHE_BYTES = 600_000, 64
+CACHE_PIECES, CACHE_BYTES = 250_000, 48
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -81,7 +81,7 @@ class PrefixEncoder:
         if known is None:
             a, b = self.token[s], self.token[t]
             known = a + b not in self.ranks and self.merged(a + b) == [a, b]
-            if len(self.stays) > 4_000_000:
+            if len(self.stays) > 500_000:
                 self.stays.clear()
             self.stays[s << 24 | t] = known
         return known
@@ -256,7 +256,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, columns:
             "decoded_sha256": lambda ids: pa.array([hashlib.sha256(encoder.decode(x)).hexdigest() for x in ids], pa.string()),
         }
         for batch in batches:
-            for keys, texts in small_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 8_000_000):
+            for keys, texts in small_chunks(batch.column(0), batch.column(1), 2_000_000):
                 ids = encoder.encode_batch([t.decode("utf-8", "replace") for t in texts])
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(make[c](ids) for c in columns)], ["doc_id", *columns])
 

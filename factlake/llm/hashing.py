@@ -90,16 +90,18 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
         return _mix(out + _U(n))
 
 
-def small_chunks(ids: list, docs: list[bytes | None], limit: int = 4_000_000) -> Iterator[tuple[list, list[bytes]]]:
-    """Rows in pieces of about ``limit`` bytes, so that the arrays stay small; null text is empty."""
+def small_chunks(ids, docs, limit: int = 1_000_000, rows: int = 512) -> Iterator[tuple[list, list[bytes]]]:
+    """Rows of two Arrow columns (or lists) in pieces of about ``limit`` bytes, so that what is made of them stays small; null text is empty."""
     a, b, size = [], [], 0
-    for i, d in zip(ids, docs, strict=True):
-        d = d or b""
-        if a and size + len(d) > limit:
-            yield a, b
-            a, b, size = [], [], 0
-        a.append(i)
-        b.append(d)
-        size += len(d)
+    plain = lambda x, k: x[k : k + rows] if isinstance(x, list) else x.slice(k, rows).to_pylist()
+    for k in range(0, len(ids), rows):
+        for i, d in zip(plain(ids, k), plain(docs, k), strict=True):
+            d = d or b""
+            if a and size + len(d) > limit:
+                yield a, b
+                a, b, size = [], [], 0
+            a.append(i)
+            b.append(d)
+            size += len(d)
     if a:
         yield a, b

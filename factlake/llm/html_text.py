@@ -354,7 +354,7 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            for own, raw in small_chunks(keys, batch.column(2).to_pylist()):
+            for own, raw in small_chunks(keys, batch.column(2)):
                 texts = main_texts([t.decode("utf-8", "replace") for t in raw], model.value)
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in own], pa.int64()), pa.array([k[1] for k in own], pa.string()), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 

@@ -145,7 +145,7 @@ def _overlap(a: bytes, b: bytes) -> int:
     return len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
 
 
-def _describe(percent: int, size: int, flush: int = 3_000_000):
+def _describe(percent: int, size: int, flush: int = 2_000_000):
     """Task: a row per document, with the sketch of its set at the first place in the task, and local counts of repeated shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +160,7 @@ def _describe(percent: int, size: int, flush: int = 3_000_000):
             return pa.RecordBatch.from_arrays([pa.array(np.ones(m, bool)), pa.nulls(m, pa.int64()), pa.array(h), pa.array(c.astype(np.int64)), pa.nulls(m, pa.binary())], names)
 
         for batch in batches:
-            for ids, docs in small_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, docs in small_chunks(batch.column(0), batch.column(1)):
                 rows = []
                 for i, x in zip(ids, shingle_sets(docs, size), strict=True):
                     key = set_key(x) if len(x) and i is not None else None
@@ -186,7 +186,7 @@ def _sign(table, percent: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer, seen = Signer(*table.value, percent), set()
         for batch in batches:
-            for ids, docs in small_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, docs in small_chunks(batch.column(0), batch.column(1)):
                 sigs, salts, nodes, sizes, places, alone = [], [], [], [], [], []
                 for i, x in zip(ids, shingle_sets(docs, size), strict=True):
                     if not len(x) or i is None or (key := set_key(x)) in seen:
@@ -211,7 +211,7 @@ def _whole(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, docs in small_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for _, docs in small_chunks(batch.column(0), batch.column(1)):
                 sets = [x for x in shingle_sets(docs, size) if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "n", "sketch"])
 
@@ -292,18 +292,21 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, size: int = S
     # a partner either, if its index reaches as far in the order: of two partners one set's does, and
     # both do where they share a signature of frequent shingles, which come behind all rare ones.
     # So a partner has at most ``can`` shingles in common with the set.
-    nodes = buckets.dropDuplicates(["sig", "node"]).groupBy("node").agg((F.first("n") - F.first("alone") + F.count_if(F.col("salt") == 0)).cast("int").alias("can"))
-    nodes = scratch.save(nodes, "nodes")
+    rows_of = buckets.withColumn("frequent", F.col("salt") > 0).drop("hub", "salt").dropDuplicates(["sig", "node"])
+    bound = rows_of.groupBy("node").agg((F.first("n") - F.first("alone") + F.count_if(~F.col("frequent"))).cast("int").alias("can"))
+    placed = scratch.save(rows_of.join(bound, "node"), "placed")
 
-    def unjoined(found: DataFrame) -> DataFrame:
+    def labelled(part: DataFrame, found: DataFrame) -> DataFrame:
+        own = scratch.save(rough_labels(found).withColumnRenamed("id", "node"), "labels")
+        own = F.broadcast(own) if own.count() <= BROADCAST_IDS else own
+        return part.join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def unjoined(part: DataFrame) -> DataFrame:
         """Rows of signatures whose sets are in several components, with the largest one there and its least edited set."""
-        own = rough_labels(found).withColumnRenamed("id", "node")
-        rows = buckets.withColumn("frequent", F.col("salt") > 0).drop("hub", "salt").dropDuplicates(["sig", "node"])
-        placed = scratch.save(rows.join(nodes, "node").join(own, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-        per = placed.groupBy("sig", "component").agg(F.count("*").alias("c"), F.min(F.struct("alone", "node")).alias("first"))
+        per = part.groupBy("sig", "component").agg(F.count("*").alias("c"), F.min(F.struct("alone", "node")).alias("first"))
         main = F.max_by(F.struct("component", "first"), F.struct("c", "component"))
         mixed = per.groupBy("sig").agg(main.alias("main"), F.count("*").alias("parts")).where("parts > 1").select("sig", F.col("main.component").alias("main"), F.col("main.first.node").alias("first"))
-        return placed.join(mixed, "sig")
+        return scratch.save(part.join(mixed, "sig"), "unjoined")
 
     # first each set with one hub, and the hubs of a salted signature with one of them
     top = buckets.where("salt > 0").select("sig", "hub").distinct()
@@ -312,18 +315,20 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, size: int = S
     tops = top.select(F.col("hub.node").alias("hub"), F.col("top.node").alias("top"))
     tried = scratch.save(pair(one, "hub", "node").unionByName(pair(tops, "hub", "top")).distinct(), "one")
     found = links(tried, "one")
-    # then each set outside a signature's largest component with the first of that component
-    odd = unjoined(found).where("component <> main")
+    # then each set outside the largest component of a signature of frequent shingles with the first of that component
+    odd = unjoined(labelled(placed.where("frequent"), found)).where("component <> main")
     more = scratch.save(pair(odd, "first", "node").distinct().join(tried, ["a", "b"], "left_anti"), "more")
     tried, found = tried.unionByName(more), found.unionByName(links(more, "more"))
     # last all pairs of a signature that are still in different components. A rare shingle at
     # places i and j that is the first the sets share bounds what they share to 1 and the rest behind.
-    apart = scratch.save(unjoined(found), "apart")
-    odd = apart.where("component <> main").select("sig", *[F.col(c).alias(f"x_{c}") for c in ("node", "component", "n", "place", "can")])
+    now = labelled(placed, found)
+    many, few = unjoined(now.where("frequent")), now.where("not frequent")
+    renamed = lambda df: df.select("sig", *[F.col(c).alias(f"x_{c}") for c in ("node", "component", "n", "place", "can")])
     enough = lambda most: f"{100 + percent} * {most} >= {percent} * (n + x_n)"
-    behind, limit = enough("least(n - place, x_n - x_place)"), f"case when frequent then {enough('least(can, x_can)')} else {enough('greatest(can, x_can)')} end"
-    fits = f"component <> x_component and 100 * least(n, x_n) >= {percent} * greatest(n, x_n) and {behind} and {limit}"
-    rest = pair(odd.join(apart.select("sig", "node", "component", "n", "place", "can", "frequent"), "sig").where(fits), "x_node", "node").distinct().join(tried, ["a", "b"], "left_anti")
+    apart = f"component <> x_component and 100 * least(n, x_n) >= {percent} * greatest(n, x_n)"
+    rest = pair(renamed(many.where("component <> main")).join(many, "sig").where(f"{apart} and {enough('least(can, x_can)')}"), "x_node", "node")
+    rare = renamed(few).join(few, "sig").where(f"node < x_node and {apart} and {enough('least(n - place, x_n - x_place)')} and {enough('greatest(can, x_can)')}")
+    rest = rest.unionByName(pair(rare, "x_node", "node")).distinct().join(tried, ["a", "b"], "left_anti")
     every = found.unionByName(links(rest, "rest"))
 
     joined = components(every, scratch).withColumnRenamed("id", "node").join(reps, "node")

@@ -101,7 +101,7 @@ def scan_licenses(docs: DataFrame, *, base=BASE, notices=NOTICES, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = NoticeSearch(base, notices)
         for batch in batches:
-            for keys, raw in small_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 8_000_000):
+            for keys, raw in small_chunks(batch.column(0), batch.column(1)):
                 counts, rows = [], []
                 for data in raw:
                     line, n = normalised(data)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.llm.hashing import small_chunks
-from factlake.llm.tables import map_rows, text_bytes
+from factlake.llm.tables import map_rows, pieces, text_bytes
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn", "account")
@@ -145,7 +145,7 @@ def find_pii(docs: DataFrame, *, redact: bool = False, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, raw in small_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 8_000_000):
+            for keys, raw in small_chunks(batch.column(0), batch.column(1)):
                 texts = [t.decode("utf-8", "replace") for t in raw]
                 spans = [all_spans(t) for t in texts]
                 rows = [[{"kind": k, "start": a, "end": b, "score": s} for k, a, b, s in x] for x in spans]
@@ -163,7 +163,7 @@ def redact_documents(docs: DataFrame, *, text_col: str = "text", length_col: str
     length = docs.columns.index(length_col) if length_col in docs.columns else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             columns, texts = list(batch.columns), batch.column(at).to_pylist()
             new = [t and redacted(t, all_spans(t)) for t in texts]
             if length >= 0:

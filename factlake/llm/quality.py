@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm.tables import map_rows, text_bytes
+from factlake.llm.tables import map_rows, pieces, text_bytes
 
 #: Labelled rows the ranking is learned from at most, the first by a hash of their id.
 TRAINING_ROWS = 20_000
@@ -97,7 +97,7 @@ def place(score: np.ndarray, cut: float) -> np.ndarray:
 
 def _measure(weights=None, cut: float = 0.0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             x = np.array([features(t) for t in batch.column(batch.num_columns - 1).to_pylist()], np.float64).reshape(-1, len(FEATURES))
             kept = [batch.column(k) for k in range(batch.num_columns - 1)]
             if weights is None:
@@ -144,7 +144,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             x = np.array([features((t or "").encode()) for t in batch.column(at).to_pylist()], np.float64).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(place(x @ weights, cut) >= CUT))
 

@@ -70,7 +70,7 @@ def _describe(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, best = ["anchor", "doc_id", "n_words", "sequence"], {}
         for batch in batches:
-            for ids, docs in small_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, docs in small_chunks(batch.column(0), batch.column(1)):
                 owner, _, anchor, words, counts = _windows(docs, window, gram)
                 keys = _sequence_keys(words, counts)
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(counts.astype(np.int64)), pa.array(keys, pa.int64())], names)
@@ -106,7 +106,7 @@ def _shared_windows(window: int, gram: int, table, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, best = table.value, {}
         for batch in batches:
-            for ids, docs in small_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, docs in small_chunks(batch.column(0), batch.column(1)):
                 owner, start, anchor, words, counts = _windows(docs, window, gram)
                 rows = _lowest(ids, _sequence_keys(words, counts), best)
                 use = np.isin(owner, rows)

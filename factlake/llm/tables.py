@@ -51,3 +51,10 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 def text_bytes(column: str = "text"):
     """A text column as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"").cast("binary"))
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of few rows, so that what is made of a piece stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
