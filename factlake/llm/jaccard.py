@@ -29,6 +29,10 @@ PERCENT = 80
 #: done, never which pairs are found.
 FREQUENT_MAX = 1_500_000
 FREQUENT_LEAST = 3
+#: Bits that tell which shingles of its indexed prefix a set with frequent ones has, and the mark of a set without such.
+BITS, UNUSUAL = 2048, 64_000
+#: One of so many signatures of frequent shingles is used to join sets early.
+TRIED_OF = 4
 #: Sub-buckets of a signature made of frequent shingles.
 SALTS = 64
 #: Ids of one side are broadcast up to this count (8 bytes each); beyond it the join shuffles.
@@ -82,21 +86,24 @@ class Signer:
         at = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
         return np.where(self.hashes[at] == x, self.levels[at], 0)
 
-    def sign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(signatures, whether each is made of frequent shingles)."""
+    def sign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int, np.ndarray | None]:
+        """(signatures, whether each is made of frequent shingles, how unusual the set is, shingles of the order looked at, their bits).
+
+        Bits are only made where frequent shingles were looked at.
+        """
         n = len(x)
         if n * 100 // self.percent == n and slack(n, self.percent) == 0:
-            return np.empty(0, _U), np.empty(0, bool)  # only an equal set can link
+            return np.empty(0, _U), np.empty(0, bool), UNUSUAL, 0, None  # only an equal set can link
         need = slack(n, self.percent) + 1
         head = x[: need + 8]
         rare = head[self.level(head) == 0]
         if len(rare) >= need:
-            return rare[:need], np.zeros(need, bool)
+            return rare[:need], np.zeros(need, bool), UNUSUAL, 0, None
         levels = self.level(x)
         order = np.lexsort((x, levels))
         x, levels = x[order], levels[order]
         band = int(np.searchsorted(self.bands, n, "right")) - 1
-        singles, pairs = 0, set()
+        singles, reach, pairs = 0, 0, set()
         for b in (band, band + 1):
             groups = max(1, self.bands[b] * (100 - self.percent) // 300)
             held: dict[int, list[int]] = {}
@@ -104,6 +111,7 @@ class Signer:
             for k, (h, level) in enumerate(zip(x.tolist(), levels.tolist(), strict=True)):
                 if kept >= need:
                     break
+                reach = max(reach, k + 1)
                 if level == 0:
                     kept += 1
                     singles = max(singles, k + 1)
@@ -112,12 +120,17 @@ class Signer:
                 kept += bool(own)
                 pairs.update((b, *sorted((g, h))) for g in own)
                 own.append(h)
+        unusual = UNUSUAL - int(1000 * levels.mean())
         if not pairs:
-            return x[:singles], np.zeros(singles, bool)
+            return x[:singles], np.zeros(singles, bool), unusual, 0, None
+        reach = n if n <= BITS // 8 else reach
+        places = (x[:reach] >> _U(20)) % _U(BITS)
+        bits = np.zeros(BITS // 64, _U)
+        np.bitwise_or.at(bits, (places >> _U(6)).astype(np.int64), _U(1) << (places & _U(63)))
         p = np.array(sorted(pairs), dtype=_U)
         with np.errstate(over="ignore"):
             combined = _mix(_mix(p[:, 1] + _U(0x632BE59BD9B4E019)) + p[:, 2] * _U(0xE220A8397B1DCDAF) + p[:, 0])
-        return np.concatenate((x[:singles], combined)), np.concatenate((np.zeros(singles, bool), np.ones(len(p), bool)))
+        return np.concatenate((x[:singles], combined)), np.concatenate((np.zeros(singles, bool), np.ones(len(p), bool))), unusual, reach, bits
 
 
 def _cells(x: np.ndarray) -> bytes:
@@ -187,12 +200,12 @@ def _sign(table, percent: int, size: int):
         signer, seen = Signer(*table.value, percent), set()
         for batch in batches:
             for ids, docs in small_chunks(batch.column(0), batch.column(1)):
-                sigs, salts, nodes, sizes, places, alone = [], [], [], [], [], []
+                sigs, salts, nodes, sizes, places, alone, unusual, reaches, bits = ([] for _ in range(9))
                 for i, x in zip(ids, shingle_sets(docs, size), strict=True):
                     if not len(x) or i is None or (key := set_key(x)) in seen:
                         continue
                     seen.add(key)
-                    s, frequent = signer.sign(x)
+                    s, frequent, odd, reach, own = signer.sign(x)
                     sigs.append(s)
                     salts.append(np.where(frequent, 1 + key % SALTS, 0))
                     nodes.append(np.full(len(s), key, np.int64))
@@ -200,8 +213,13 @@ def _sign(table, percent: int, size: int):
                     # of shingles that stand alone the place in the order; 0 tells nothing
                     places.append(np.where(frequent, 0, np.arange(len(s))).astype(np.int32))
                     alone.append(np.full(len(s), len(s) - int(frequent.sum()), np.int32))
+                    unusual.append(np.full(len(s), odd, np.int32))
+                    reaches.append(np.full(len(s), reach, np.int32))
+                    # once a set, with its first signature of frequent shingles
+                    at = int(frequent.argmax()) if own is not None else -1
+                    bits += [own.view(np.int64) if k == at else None for k in range(len(s))]
                 if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int8)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places)), pa.array(np.concatenate(alone))], ["sig", "salt", "node", "n", "place", "alone"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int8)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places)), pa.array(np.concatenate(alone)), pa.array(np.concatenate(unusual)), pa.array(np.concatenate(reaches)), pa.array(bits, pa.list_(pa.int64()))], ["sig", "salt", "node", "n", "place", "alone", "unusual", "reach", "bits"])
 
     return run
 
@@ -269,10 +287,10 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, size: int = S
     order = np.argsort(h)
     table = spark.sparkContext.broadcast((h[order], np.floor(np.log2(common["c"].to_numpy(np.float64)))[order].astype(np.int64)))
 
-    signatures = map_rows(source, _sign(table, percent, size), "sig long, salt tinyint, node long, n int, place int, alone int")
+    signatures = map_rows(source, _sign(table, percent, size), "sig long, salt tinyint, node long, n int, place int, alone int, unusual int, reach int, bits array<bigint>")
     bucket = Window.partitionBy("sig", "salt")
-    # the hub of a bucket is the set with the fewest rare shingles: of edited copies the least edited
-    shared = signatures.withColumns({"hub": F.min(F.struct("alone", "node")).over(bucket), "low": F.min("node").over(bucket), "high": F.max("node").over(bucket)})
+    # the hub of a bucket is the set with the most common shingles: of edited copies the least edited
+    shared = signatures.withColumns({"hub": F.min(F.struct("unusual", "node")).over(bucket), "low": F.min("node").over(bucket), "high": F.max("node").over(bucket)})
     # of a salted signature the sub-buckets with a single set matter too
     buckets = scratch.save(shared.where("low <> high or salt > 0").drop("low", "high"), "buckets")
     sketches = described.where("sketch is not null").select("node", "n", "sketch").dropDuplicates(["node"])
@@ -292,7 +310,8 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, size: int = S
     # a partner either, if its index reaches as far in the order: of two partners one set's does, and
     # both do where they share a signature of frequent shingles, which come behind all rare ones.
     # So a partner has at most ``can`` shingles in common with the set.
-    rows_of = buckets.withColumn("frequent", F.col("salt") > 0).drop("hub", "salt").dropDuplicates(["sig", "node"])
+    rows_of = buckets.withColumn("frequent", F.col("salt") > 0).drop("hub", "salt", "bits").dropDuplicates(["sig", "node"])
+    held = scratch.save(buckets.where("bits is not null").select("node", "bits").dropDuplicates(["node"]), "bits")
     bound = rows_of.groupBy("node").agg((F.first("n") - F.first("alone") + F.count_if(~F.col("frequent"))).cast("int").alias("can"))
     placed = scratch.save(rows_of.join(bound, "node"), "placed")
 
@@ -302,8 +321,8 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, size: int = S
         return part.join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
     def unjoined(part: DataFrame) -> DataFrame:
-        """Rows of signatures whose sets are in several components, with the largest one there and its least edited set."""
-        per = part.groupBy("sig", "component").agg(F.count("*").alias("c"), F.min(F.struct("alone", "node")).alias("first"))
+        """Rows of signatures whose sets are in several components, with the largest one there and one of its sets, another for each signature."""
+        per = part.groupBy("sig", "component").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("sig", "node"), "node")).alias("first"))
         main = F.max_by(F.struct("component", "first"), F.struct("c", "component"))
         mixed = per.groupBy("sig").agg(main.alias("main"), F.count("*").alias("parts")).where("parts > 1").select("sig", F.col("main.component").alias("main"), F.col("main.first.node").alias("first"))
         return scratch.save(part.join(mixed, "sig"), "unjoined")
@@ -315,18 +334,25 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, size: int = S
     tops = top.select(F.col("hub.node").alias("hub"), F.col("top.node").alias("top"))
     tried = scratch.save(pair(one, "hub", "node").unionByName(pair(tops, "hub", "top")).distinct(), "one")
     found = links(tried, "one")
-    # then each set outside the largest component of a signature of frequent shingles with the first of that component
-    odd = unjoined(labelled(placed.where("frequent"), found)).where("component <> main")
+    # then each set outside the largest component of a signature of frequent shingles with a set of
+    # that component, for a part of the signatures: this only spares work later
+    odd = unjoined(labelled(placed.where(f"frequent and pmod(sig, {TRIED_OF}) = 0"), found)).where("component <> main")
     more = scratch.save(pair(odd, "first", "node").distinct().join(tried, ["a", "b"], "left_anti"), "more")
     tried, found = tried.unionByName(more), found.unionByName(links(more, "more"))
     # last all pairs of a signature that are still in different components. A rare shingle at
     # places i and j that is the first the sets share bounds what they share to 1 and the rest behind.
     now = labelled(placed, found)
     many, few = unjoined(now.where("frequent")), now.where("not frequent")
-    renamed = lambda df: df.select("sig", *[F.col(c).alias(f"x_{c}") for c in ("node", "component", "n", "place", "can")])
+    # Of two sets one has all its indexed shingles that the other has in the other's index too, so
+    # they share at most what both indexes share, by their bits, and what one has behind its index.
+    many = many.join(held, "node").withColumn("lost", F.col("reach") - sum((F.bit_count(F.col("bits")[k]) for k in range(BITS // 64)), F.lit(0)))
+    columns = ("node", "component", "n", "place", "can", "reach", "bits", "lost")
+    renamed = lambda df: df.select("sig", *[F.col(c).alias(f"x_{c}") for c in columns if c in df.columns])
+    both_bits = " + ".join(f"bit_count(bits[{k}] & x_bits[{k}])" for k in range(BITS // 64))
+    in_common = f"({both_bits} + least(lost, x_lost) + greatest(n - reach, x_n - x_reach))"
     enough = lambda most: f"{100 + percent} * {most} >= {percent} * (n + x_n)"
     apart = f"component <> x_component and 100 * least(n, x_n) >= {percent} * greatest(n, x_n)"
-    rest = pair(renamed(many.where("component <> main")).join(many, "sig").where(f"{apart} and {enough('least(can, x_can)')}"), "x_node", "node")
+    rest = pair(renamed(many.where("component <> main")).join(many, "sig").where(f"{apart} and {enough('least(can, x_can)')} and {enough(in_common)}"), "x_node", "node")
     rare = renamed(few).join(few, "sig").where(f"node < x_node and {apart} and {enough('least(n - place, x_n - x_place)')} and {enough('greatest(can, x_can)')}")
     rest = rest.unionByName(pair(rare, "x_node", "node")).distinct().join(tried, ["a", "b"], "left_anti")
     every = found.unionByName(links(rest, "rest"))
