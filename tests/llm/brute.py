@@ -1,7 +1,9 @@
 """Plain versions of the operators' contracts, for small inputs."""
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -86,6 +88,30 @@ def contamination(docs, items, window=13):
     return out
 
 
+def language_losses(docs, good):
+    """(id, words, mean target loss, mean background loss) of each row, from bigram counts over every word."""
+    models = []
+    for part in ([t for i, t in docs if i in good], [t for _, t in docs]):
+        single, pair, before = Counter(), Counter(), Counter()
+        for t in part:
+            w = words(t)
+            single.update(w)
+            pair.update(zip(["", *w], w, strict=False))
+            before.update(["", *w][: len(w)])
+        models.append((single, pair, before, sum(single.values())))
+    kinds, out = len(models[1][0]) + 1, []
+    for i, t in docs:
+        w, losses = words(t), []
+        for single, pair, before, total in models:
+            loss = 0.0
+            for v, x in zip(["", *w], w, strict=False):
+                p = (single[x] + 0.5) / (total + 0.5 * kinds)
+                loss -= math.log(0.7 * pair[v, x] / before[v] + 0.3 * p if before[v] else p)
+            losses.append(loss / max(1, len(w)))
+        out.append((i, len(w), *losses))
+    return out
+
+
 def base_spans(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]

@@ -115,6 +115,22 @@ def test_language_score_prefers_target_and_matches_counts(spark):
     assert score_language(docs.limit(0), labels).count() == 0
 
 
+def test_language_score_keeps_every_word_and_bigram(spark):
+    rnd = random.Random(5)
+    texts = [" ".join(f"w{rnd.choice([int(rnd.paretovariate(0.7)) % 60_000, rnd.randrange(60_000)])}" for _ in range(rnd.randrange(700))) for _ in range(300)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(7, texts[7]), (None, texts[3])]
+    want = brute.language_losses(rows, set(range(0, 300, 3)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)], "doc_id long, quality int")
+    assert len({w for t in texts for w in t.split()}) > 16_384
+    # the broadcast tables hold all, some and none of the words
+    for given in ({}, {"common_share": 1e-4, "hot_share": 1e-2, "bucket_words": 9_000}, {"common_share": 2.0, "hot_share": 2.0, "bucket_words": 9_000}):
+        got = [(r["doc_id"], r["n_words"], r["target_loss"], r["background_loss"]) for r in score_language(docs, labels, **given).collect()]
+        order = lambda r: (r[0] is None, r[0] or 0)
+        for a, b in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
+            assert a[:2] == b[:2] and np.allclose(a[2:], b[2:], rtol=0, atol=1e-9), given
+
+
 # ---------------------------------------------------------------- html
 
 
