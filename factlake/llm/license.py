@@ -7,6 +7,7 @@ matching verifies the notice around each and reports its span.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import ahocorasick
@@ -62,7 +63,7 @@ class NoticeSearch:
 
     def search(self, line: str) -> list[tuple[str, int, int, int, bool]]:
         """(label, start, end, edits, base) of every place, in order of start."""
-        out, tried = set(), [-1] * len(self.rules)
+        out, tried, spans = set(), set(), {}
         for last, (size, uses) in self.seeds.iter(line):
             for k, offset in uses:
                 label, edits, length, base, pattern = self.rules[k]
@@ -70,12 +71,19 @@ class NoticeSearch:
                 if pattern is None:
                     out.add((label, start, start + length, 0, base))
                     continue
-                lo, hi = max(0, start - edits), start + length + edits
-                if lo + edits <= tried[k]:
-                    continue  # within what the last search of this notice has seen
-                for m in pattern.finditer(line, max(0, lo - length), hi + length + 2 * edits):
-                    out.add((label, *m.span(), sum(m.fuzzy_counts), False))
-                tried[k] = hi
+                if (k, start) in tried:
+                    continue  # another piece of the same place
+                tried.add((k, start))
+                # a notice with this piece in its place begins within the edits of start; best matches hide no others in so narrow a region
+                if m := pattern.search(line, max(0, start - edits), start + length + edits):
+                    spans.setdefault(k, set()).add((sum(m.fuzzy_counts), *m.span()))
+        for k, found in spans.items():
+            label, kept = self.rules[k][0], []
+            for edits, start, end in sorted(found):  # pieces out of place can give the same notice again, cut short
+                at = bisect(kept, (start, end))
+                if all(2 * (min(end, e) - max(start, b)) <= min(end - start, e - b) for b, e in kept[max(0, at - 1) : at + 1]):
+                    kept.insert(at, (start, end))
+                    out.add((label, start, end, edits, False))
         # of overlapping notices of different labels those with more edits than another go
         better = lambda a, b: b[0] != a[0] and b[3] < a[3] and a[1] < b[2] and b[1] < a[2]
         return sorted((a for a in out if a[4] or not any(better(a, b) for b in out)), key=lambda s: (s[1], s[2], s[0], s[4]))

@@ -63,6 +63,17 @@ def test_fuzzy_notices_within_their_edits_only():
     assert labels("licenced undr teh mitt licens") == set()
 
 
+def test_close_notices_are_all_found():
+    search = NoticeSearch()
+    spans = lambda t: search.search(normalised(t.encode())[0].decode("latin-1"))
+    gpl = "licensed under the gnu general public license version"
+    assert {s[0] for s in spans(f"licensed undr th gnu general public license version 3 {gpl} 2")} == {"gpl-3", "gpl-2"}
+    assert {s[0] for s in spans(f"{gpl} 2 licensed undr th gnu general public license version 3")} == {"gpl-3", "gpl-2"}
+    # a copy with edits on either side of a clean one
+    found = [s for s in spans("licensd under the bsd license licensed under the bsd license licensed undr the bsd license") if s[0] == "bsd"]
+    assert sum(s[3] == 0 for s in found) == 1 and sum(any(s[1] < e and b < s[2] for s in found) for b, e in ((1, 28), (31, 58), (62, 90))) == 3
+
+
 def test_license_frames(spark):
     df = spark.createDataFrame([(1, "x Licensed under CC BY-NC 4.0."), (2, None), (3, "")], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_words"], [(n["label"], n["first_word"]) for n in r["notices"] if n["base"]]) for r in scan_licenses(df).collect()}
