@@ -94,20 +94,21 @@ def cache_lookup(wanted: DataFrame, cache: DataFrame, keys: list[str], fingerpri
     return out.withColumn(payload, F.when(F.col("_n") == 1, F.col(f"_c.{payload}"))).drop("_c", "_n")
 
 
-def mentions(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, most_words: int = 3) -> DataFrame:
+def mentions(texts: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, name, entity) of catalog names in texts; of overlapping names the longest wins.
 
-    Texts become word n-grams, which meet names in an equi join on the broadcast name table.
+    Texts become word n-grams of every length that a name has, which meet names in an equi join on the broadcast name table.
     """
-    words = F.filter(F.split(F.lower(text_col), "[^\\p{L}0-9]+"), lambda x: x != "")
-    base = texts.select(id_col, words.alias("_w"))
+    words = lambda c: F.filter(F.split(F.lower(c), "[^\\p{L}0-9]+"), lambda x: x != "")
+    base = texts.select(id_col, words(text_col).alias("_w"))
+    sizes = [r["n"] for r in names.select(F.size(words("name")).alias("n")).where("n > 0").distinct().orderBy("n").collect()]
     joined = lambda n: lambda i: F.array_join(F.slice("_w", i, n), " ")
     grams = None
-    for n in range(1, most_words + 1):
+    for n in sizes or [1]:
         at = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - (n - 1))).otherwise(F.array().cast("array<int>"))
         g = base.select(id_col, F.posexplode(F.transform(at, joined(n))).alias("at", "gram"), F.lit(n).alias("n"))
         grams = g if grams is None else grams.unionByName(g)
-    keyed = names.select(F.lower("name").alias("gram"), "name", "entity")
+    keyed = names.select(F.array_join(words("name"), " ").alias("gram"), "name", "entity")
     found = grams.join(F.broadcast(keyed), "gram")
     longest = F.max("n").over(Window.partitionBy(id_col, "at"))
     return found.withColumn("_l", longest).where("n = _l").select(id_col, "name", "entity").distinct()

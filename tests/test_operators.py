@@ -105,3 +105,12 @@ def test_order_and_partitions_do_not_matter(spark):
     df = spark.createDataFrame([(k % 3, k, k * 7 % 5) for k in range(60)], "k int, o int, v int")
     a = rows(versions.change_set(df, "k", ["o"], ["v"]))
     assert a == rows(versions.change_set(df.orderBy(F.rand(1)).repartition(7), "k", ["o"], ["v"]))
+
+
+def test_mentions_of_long_names(spark):
+    from factlake.operators.joins import mentions
+
+    texts = spark.createDataFrame([(1, "The Bank of New York Mellon paid; New York did not"), (2, "bank of new york"), (3, None)], "id long, text string")
+    names = spark.createDataFrame([("Bank of New York Mellon", 1), ("bank of new york", 2), ("New York", 3)], "name string, entity int")
+    assert sorted((r["id"], r["entity"]) for r in mentions(texts, names, "id", "text").collect()) == [(1, 1), (1, 3), (2, 2), (2, 3)]
+    assert mentions(texts, names.limit(0), "id", "text").count() == 0
