@@ -6,6 +6,8 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +35,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stay = F.broadcast(stay) if counts["ids"] <= BROADCAST_IDS else stay
     kept = docs.join(stay, F.col("doc_id") == F.col(_KEY), "left_semi")
     if counts["rows"] > counts["ids"]:
-        kept = kept.dropDuplicates(["doc_id"])
+        # rows of one id are one document only where their words are equal
+        words = F.trim(F.regexp_replace(F.translate("text", ascii_uppercase, ascii_lowercase), "[ \\t-\\r]+", " "))
+        kept = kept.withColumn(_KEY, words).dropDuplicates(["doc_id", _KEY]).drop(_KEY)
     nulls = places.where("doc_id is null").limit(1).count()
     return kept.unionByName(docs.where("doc_id is null")) if nulls else kept
 

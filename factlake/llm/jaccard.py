@@ -1,17 +1,24 @@
 """Operator 9: n-gram Jaccard join with token-combination prefixes.
 
 Every document is the set of its distinct 5-word shingles. Shingles have one total order, rare
-ones first. A set of n shingles may differ from a partner in at most ``slack(n)`` of its own,
-so it is enough to index a prefix of the order that keeps one signature after any ``slack(n)``
-losses: a rare shingle is a signature alone, of frequent shingles each pair within a hash group
-is one. Two sets that share no signature cannot reach the threshold. Candidates are verified
-first on counts of cells of the hash space, whose overlap is never
-too small, then on whole 64-bit hashes.
+ones first. A set of n shingles and a partner of m share at least ``overlap(n, m)``, so the set
+may differ from partners of that size in at most n - overlap(n, m) of its own shingles, and it is
+enough to index a prefix of the order that keeps one signature after any so many losses. A rare
+shingle is a signature alone. Of frequent ones k together are one, the more frequent the larger
+k, within hash groups; each further shingle of a group beyond k - 1 lengthens the prefix by one.
+As the prefix depends on the partner's size, signatures of frequent shingles are made for one
+class of partners' sizes each: sets of about one size need the shortest prefixes, so that a set
+that is far from the text that a large group of edited copies goes back to has rare shingles
+enough, and meets none of that group by the frequent ones.
+
+Two sets that share no signature cannot reach the threshold. Candidates are verified first on
+counts of cells of the hash space, whose overlap is never too small, then on whole 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +36,10 @@ PERCENT = 80
 #: done, never which pairs are found.
 FREQUENT_MAX = 1_500_000
 FREQUENT_LEAST = 3
-#: Bits that tell which shingles of its indexed prefix a set with frequent ones has, and the mark of a set without such.
-BITS, UNUSUAL = 2048, 64_000
+#: The mark of a set without frequent shingles.
+UNUSUAL = 64_000
+#: Counts (as powers of two) from which combinations of one more shingle are indexed; two at least.
+LARGER_FROM = (6, 10)
 #: One of so many signatures of frequent shingles is used to join sets early.
 TRIED_OF = 4
 #: Sub-buckets of a signature made of frequent shingles.
@@ -66,11 +75,16 @@ def slack(n: int, percent: int) -> int:
     return n + -percent * n // 100
 
 
-def bands(percent: int, up_to: int) -> list[int]:
-    """First sizes of size bands; partners are in one band or in neighbouring ones."""
+def overlap(n: int, m: int, percent: int) -> int:
+    """Least number of shingles that sets of n and m have in common at the threshold."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def size_classes(up_to: int) -> list[int]:
+    """First sizes of the classes of sizes, each a twentieth wider than the one before."""
     out = [1]
     while out[-1] <= up_to:
-        out.append(out[-1] * 100 // percent + 1)
+        out.append(out[-1] * 21 // 20 + 1)
     return out
 
 
@@ -78,7 +92,7 @@ class Signer:
     """Signatures of sets under one table of frequent shingles (sorted hashes, levels)."""
 
     def __init__(self, hashes: np.ndarray, levels: np.ndarray, percent: int) -> None:
-        self.hashes, self.levels, self.percent, self.bands = hashes, levels, percent, bands(percent, 1 << 40)
+        self.hashes, self.levels, self.percent, self.classes = hashes, levels, percent, size_classes(1 << 40)
 
     def level(self, x: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -86,51 +100,73 @@ class Signer:
         at = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
         return np.where(self.hashes[at] == x, self.levels[at], 0)
 
-    def sign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int, np.ndarray | None]:
-        """(signatures, whether each is made of frequent shingles, how unusual the set is, shingles of the order looked at, their bits).
+    def size_class(self, n: int) -> int:
+        return int(np.searchsorted(self.classes, n, "right")) - 1
+
+    def groups(self, i: int, j: int) -> int:
+        """Hash groups for sets of two classes of sizes; 0 where sets are too small for combinations."""
+        a, b = self.classes[min(i, j)], self.classes[max(i, j)]
+        groups = max(1, (a + b - 2 * overlap(a, b, self.percent)) // 6)
+        lost = groups * sum(range(1, 2 + len(LARGER_FROM)))
+        return groups if lost + slack(a, self.percent) + 2 <= a else 0
+
+    def combined(self, tokens: list[int], sizes: list[int], need: int, groups: int) -> list[tuple[int, ...]]:
+        """Combinations, in the order, of the first frequent shingles such that one remains after any need - 1 losses."""
+        held: dict[tuple[int, int], list[int]] = {}
+        out, kept = [], 0
+        for h, k in zip(tokens, sizes, strict=True):
+            if kept >= need:
+                break
+            if not groups:
+                out.append((h,))
+                kept += 1
+                continue
+            own = held.setdefault((k, h // 65536 % groups), [])
+            out += [(*c, h) for c in combinations(own, k - 1)]
+            kept += len(own) >= k - 1
+            own.append(h)
+        return out
+
+    def sign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """(signatures, side of each, how unusual the set is).
 
-        Bits are only made where frequent shingles were looked at.
+        The side is -1 for a rare shingle alone, else 0 where partners are of the set's own class
+        of sizes, 1 where they are of a higher and 2 where of a lower one.
         """
         n = len(x)
-        if n * 100 // self.percent == n and slack(n, self.percent) == 0:
-            return np.empty(0, _U), np.empty(0, bool), UNUSUAL, 0, None  # only an equal set can link
-        need = slack(n, self.percent) + 1
-        head = x[: need + 8]
+        low, high = n - slack(n, self.percent), n * 100 // self.percent
+        if low == high:
+            return np.empty(0, _U), np.empty(0, np.int8), UNUSUAL  # only an equal set can link
+        most = n - low + 1
+        head = x[: most + 8]
         rare = head[self.level(head) == 0]
-        if len(rare) >= need:
-            return rare[:need], np.zeros(need, bool), UNUSUAL, 0, None
+        if len(rare) >= most:
+            return rare[:most], np.full(most, -1, np.int8), UNUSUAL
         levels = self.level(x)
         order = np.lexsort((x, levels))
         x, levels = x[order], levels[order]
-        band = int(np.searchsorted(self.bands, n, "right")) - 1
-        singles, reach, pairs = 0, 0, set()
-        for b in (band, band + 1):
-            groups = max(1, self.bands[b] * (100 - self.percent) // 300)
-            held: dict[int, list[int]] = {}
-            kept = 0
-            for k, (h, level) in enumerate(zip(x.tolist(), levels.tolist(), strict=True)):
-                if kept >= need:
-                    break
-                reach = max(reach, k + 1)
-                if level == 0:
-                    kept += 1
-                    singles = max(singles, k + 1)
+        rare = int(np.searchsorted(levels, 0, "right"))
+        singles = x[: min(rare, most)]
+        sigs, sides = [singles], [np.full(len(singles), -1, np.int8)]
+        if rare < most:
+            tokens, sizes = x[rare:].tolist(), (2 + np.searchsorted(LARGER_FROM, levels[rare:], "right")).tolist()
+            own = self.size_class(n)
+            for j in range(self.size_class(low), self.size_class(high) + 1):
+                need = n - overlap(n, max(low, self.classes[j]), self.percent) + 1 - rare
+                if need <= 0:
                     continue
-                own = held.setdefault(h // 65536 % groups, [])
-                kept += bool(own)
-                pairs.update((b, *sorted((g, h))) for g in own)
-                own.append(h)
-        unusual = UNUSUAL - int(1000 * levels.mean())
-        if not pairs:
-            return x[:singles], np.zeros(singles, bool), unusual, 0, None
-        reach = n if n <= BITS // 8 else reach
-        places = (x[:reach] >> _U(20)) % _U(BITS)
-        bits = np.zeros(BITS // 64, _U)
-        np.bitwise_or.at(bits, (places >> _U(6)).astype(np.int64), _U(1) << (places & _U(63)))
-        p = np.array(sorted(pairs), dtype=_U)
-        with np.errstate(over="ignore"):
-            combined = _mix(_mix(p[:, 1] + _U(0x632BE59BD9B4E019)) + p[:, 2] * _U(0xE220A8397B1DCDAF) + p[:, 0])
-        return np.concatenate((x[:singles], combined)), np.concatenate((np.zeros(singles, bool), np.ones(len(p), bool))), unusual, reach, bits
+                by_size: dict[int, list] = {}
+                for c in self.combined(tokens, sizes, need, self.groups(own, j)):
+                    by_size.setdefault(len(c), []).append(c)
+                for k, found in by_size.items():
+                    p = np.array(found, dtype=_U).reshape(-1, k)
+                    with np.errstate(over="ignore"):
+                        h = np.full(len(p), 1000 * min(own, j) + max(own, j) + 1, _U)
+                        for at in range(k):
+                            h = _mix(h * _U(0xE220A8397B1DCDAF) + p[:, at])
+                    sigs.append(h)
+                    sides.append(np.full(len(h), (j > own) + 2 * (j < own), np.int8))
+        return np.concatenate(sigs), np.concatenate(sides), UNUSUAL - int(1000 * levels.mean())
 
 
 def _cells(x: np.ndarray) -> bytes:
@@ -200,26 +236,21 @@ def _sign(table, percent: int, size: int):
         signer, seen = Signer(*table.value, percent), set()
         for batch in batches:
             for ids, docs in small_chunks(batch.column(0), batch.column(1)):
-                sigs, salts, nodes, sizes, places, alone, unusual, reaches, bits = ([] for _ in range(9))
+                columns = [[] for _ in range(8)]
                 for i, x in zip(ids, shingle_sets(docs, size), strict=True):
                     if not len(x) or i is None or (key := set_key(x)) in seen:
                         continue
                     seen.add(key)
-                    s, frequent, odd, reach, own = signer.sign(x)
-                    sigs.append(s)
-                    salts.append(np.where(frequent, 1 + key % SALTS, 0))
-                    nodes.append(np.full(len(s), key, np.int64))
-                    sizes.append(np.full(len(s), len(x), np.int32))
+                    sigs, sides, unusual = signer.sign(x)
+                    same = lambda v, kind: np.full(len(sigs), v, kind)  # noqa: E731, B023
+                    frequent = sides >= 0
                     # of shingles that stand alone the place in the order; 0 tells nothing
-                    places.append(np.where(frequent, 0, np.arange(len(s))).astype(np.int32))
-                    alone.append(np.full(len(s), len(s) - int(frequent.sum()), np.int32))
-                    unusual.append(np.full(len(s), odd, np.int32))
-                    reaches.append(np.full(len(s), reach, np.int32))
-                    # once a set, with its first signature of frequent shingles
-                    at = int(frequent.argmax()) if own is not None else -1
-                    bits += [own.view(np.int64) if k == at else None for k in range(len(s))]
-                if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int8)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places)), pa.array(np.concatenate(alone)), pa.array(np.concatenate(unusual)), pa.array(np.concatenate(reaches)), pa.array(bits, pa.list_(pa.int64()))], ["sig", "salt", "node", "n", "place", "alone", "unusual", "reach", "bits"])
+                    place = np.where(frequent, 0, np.arange(len(sigs))).astype(np.int32)
+                    row = (sigs.view(np.int64), np.where(frequent, 1 + key % SALTS, 0).astype(np.int8), sides, same(key, np.int64), same(len(x), np.int32), place, same(int((~frequent).sum()), np.int32), same(unusual, np.int32))
+                    for column, values in zip(columns, row, strict=True):
+                        column.append(values)
+                if columns[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["sig", "salt", "side", "node", "n", "place", "alone", "unusual"])
 
     return run
 
@@ -287,12 +318,17 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, size: int = S
     order = np.argsort(h)
     table = spark.sparkContext.broadcast((h[order], np.floor(np.log2(common["c"].to_numpy(np.float64)))[order].astype(np.int64)))
 
-    signatures = map_rows(source, _sign(table, percent, size), "sig long, salt tinyint, node long, n int, place int, alone int, unusual int, reach int, bits array<bigint>")
+    signatures = map_rows(source, _sign(table, percent, size), "sig long, salt tinyint, side tinyint, node long, n int, place int, alone int, unusual int")
     bucket = Window.partitionBy("sig", "salt")
     # the hub of a bucket is the set with the most common shingles: of edited copies the least edited
     shared = signatures.withColumns({"hub": F.min(F.struct("unusual", "node")).over(bucket), "low": F.min("node").over(bucket), "high": F.max("node").over(bucket)})
     # of a salted signature the sub-buckets with a single set matter too
-    buckets = scratch.save(shared.where("low <> high or salt > 0").drop("low", "high"), "buckets")
+    dealt = scratch.save(shared.where("low <> high or salt > 0").drop("low", "high", "unusual"), "dealt")
+    # a signature for two classes of sizes needs sets of both
+    salted = dealt.where("salt > 0").groupBy("sig").agg(*[f(c).alias(f"{n}_{c}") for c in ("node", "side") for f, n in ((F.min, "low"), (F.max, "high"))])
+    live = salted.where("low_node <> high_node and (low_side = 0 or low_side <> high_side)").select("sig")
+    buckets = scratch.save(dealt.where("salt = 0").unionByName(dealt.where("salt > 0").join(live, "sig")), "buckets")
+    scratch.drop(dealt)
     sketches = described.where("sketch is not null").select("node", "n", "sketch").dropDuplicates(["node"])
     reps = scratch.save(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
     pair = lambda df, x, y: df.where(f"{x} <> {y}").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
@@ -310,8 +346,7 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, size: int = S
     # a partner either, if its index reaches as far in the order: of two partners one set's does, and
     # both do where they share a signature of frequent shingles, which come behind all rare ones.
     # So a partner has at most ``can`` shingles in common with the set.
-    rows_of = buckets.withColumn("frequent", F.col("salt") > 0).drop("hub", "salt", "bits").dropDuplicates(["sig", "node"])
-    held = scratch.save(buckets.where("bits is not null").select("node", "bits").dropDuplicates(["node"]), "bits")
+    rows_of = buckets.withColumn("frequent", F.col("salt") > 0).drop("hub", "salt").dropDuplicates(["sig", "node"])
     bound = rows_of.groupBy("node").agg((F.first("n") - F.first("alone") + F.count_if(~F.col("frequent"))).cast("int").alias("can"))
     placed = scratch.save(rows_of.join(bound, "node"), "placed")
 
@@ -343,16 +378,11 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, size: int = S
     # places i and j that is the first the sets share bounds what they share to 1 and the rest behind.
     now = labelled(placed, found)
     many, few = unjoined(now.where("frequent")), now.where("not frequent")
-    # Of two sets one has all its indexed shingles that the other has in the other's index too, so
-    # they share at most what both indexes share, by their bits, and what one has behind its index.
-    many = many.join(held, "node").withColumn("lost", F.col("reach") - sum((F.bit_count(F.col("bits")[k]) for k in range(BITS // 64)), F.lit(0)))
-    columns = ("node", "component", "n", "place", "can", "reach", "bits", "lost")
-    renamed = lambda df: df.select("sig", *[F.col(c).alias(f"x_{c}") for c in columns if c in df.columns])
-    both_bits = " + ".join(f"bit_count(bits[{k}] & x_bits[{k}])" for k in range(BITS // 64))
-    in_common = f"({both_bits} + least(lost, x_lost) + greatest(n - reach, x_n - x_reach))"
+    columns = ("node", "component", "n", "place", "can", "side")
+    renamed = lambda df: df.select("sig", *[F.col(c).alias(f"x_{c}") for c in columns])
     enough = lambda most: f"{100 + percent} * {most} >= {percent} * (n + x_n)"
     apart = f"component <> x_component and 100 * least(n, x_n) >= {percent} * greatest(n, x_n)"
-    rest = pair(renamed(many.where("component <> main")).join(many, "sig").where(f"{apart} and {enough('least(can, x_can)')} and {enough(in_common)}"), "x_node", "node")
+    rest = pair(renamed(many.where("component <> main")).join(many, "sig").where(f"{apart} and (side = 0 or side <> x_side) and {enough('least(can, x_can)')}"), "x_node", "node")
     rare = renamed(few).join(few, "sig").where(f"node < x_node and {apart} and {enough('least(n - place, x_n - x_place)')} and {enough('greatest(can, x_can)')}")
     rest = rest.unionByName(pair(rare, "x_node", "node")).distinct().join(tried, ["a", "b"], "left_anti")
     every = found.unionByName(links(rest, "rest"))

@@ -8,7 +8,7 @@ from factlake.llm.embedding import near_duplicate_vectors
 from factlake.llm.graph import components
 from factlake.llm.hashing import SPACE_SEPARATORS, hash_words, ngram_hashes
 from factlake.llm.hnsw import Graph
-from factlake.llm.jaccard import Signer, bands, jaccard_components, shingle_sets, slack
+from factlake.llm.jaccard import Signer, jaccard_components, overlap, shingle_sets, slack
 from factlake.llm.substring import remove_repeats
 from factlake.llm.tables import Scratch
 from tests.llm import brute
@@ -56,21 +56,32 @@ def test_components(spark):
 def test_signatures_of_any_two_partners_meet():
     """Whatever shingles count as frequent, sets at the threshold share a signature."""
     rnd = random.Random(9)
-    for _ in range(150):
-        universe = np.array(sorted(rnd.sample(range(1 << 50), 80)), np.uint64)
-        n = rnd.randrange(4, 60)
-        a = set(rnd.sample(range(80), n))
-        b = set(rnd.sample(sorted(a), max(1, n - rnd.randrange(0, max(1, n // 5))))) | set(rnd.sample(range(80), rnd.randrange(0, 3)))
+    for trial in range(300):
+        size = 80 if trial % 2 else 420
+        universe = np.array(sorted(rnd.sample(range(1 << 50), size)), np.uint64)
+        n = rnd.randrange(4, size * 3 // 4)
+        a = set(rnd.sample(range(size), n))
+        b = set(rnd.sample(sorted(a), max(1, n - rnd.randrange(0, max(1, n // 5))))) | set(rnd.sample(range(size), rnd.randrange(0, 3 + n // 10)))
         if 100 * len(a & b) < 80 * len(a | b) or a == b:
             continue
-        hot = sorted(rnd.sample(range(80), rnd.randrange(0, 81)))
-        signer = Signer(universe[hot], np.array([rnd.randrange(1, 6) for _ in hot]), 80)
-        sigs = [set(signer.sign(universe[sorted(s)])[0].tolist()) for s in (a, b)]
-        assert sigs[0] & sigs[1], (len(a), len(b), len(hot))
-    starts = bands(80, 1000)
-    for n in range(1, 700):
-        band = lambda m: int(np.searchsorted(starts, m, "right"))
-        assert band(n * 100 // 80) - band(n) <= 1 and slack(n, 80) == n - -(-80 * n // 100)
+        assert len(a & b) >= overlap(len(a), len(b), 80)
+        hot = sorted(rnd.sample(range(size), rnd.randrange(0, size + 1)))
+        signer = Signer(universe[hot], np.array([rnd.randrange(1, 13) for _ in hot]), 80)
+        one, two = ({(s, side) for s, side in zip(*(x.tolist() for x in signer.sign(universe[sorted(x)])[:2]), strict=True)} for x in (a, b))
+        assert {(s, {1: 2, 2: 1}.get(side, side)) for s, side in one} & two, (len(a), len(b), len(hot))
+    assert all(slack(n, 80) == n - -(-80 * n // 100) for n in range(1, 700))
+
+
+def test_one_large_group_of_edited_copies(spark):
+    """Copies of which many are below the threshold to the original and to each other."""
+    rnd = random.Random(3)
+    base = [f"w{rnd.randrange(400)}" for _ in range(150)]
+    rows = [(i, " ".join(edited(rnd, base, rnd.choice((0, 1, 2, 3, 4, 5, 7, 9))))) for i in range(150)]
+    rows += [(1000 + i, rows[i][1] + f" tail{i} tail") for i in range(0, 150, 7)]
+    sizes, place = brute.shingle_components(rows)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (sizes[i], place[i]) for i in sizes}
+    assert len(set(place.values())) > 20
 
 
 def test_jaccard_components(spark, corpus):
