@@ -21,17 +21,6 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def rough_labels(edges: DataFrame) -> DataFrame:
-    """(id, component) by two hops to smaller neighbours: ids with one label are connected, though not all connected ones have one.
-
-    Enough where only work is saved by it; ``components`` is exact.
-    """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("component"))
-    up = near.select(F.col("id").alias("component"), F.col("component").alias("above"))
-    return near.join(up, "component").select("id", F.col("above").alias("component"))
-
-
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component): for every id of ``edges`` (a, b) the smallest id it reaches.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlake.llm.graph import components, rough_labels
+from factlake.llm.graph import components
 from factlake.llm.hashing import _U, SPACE_SEPARATORS, _mix, hash_words, ngram_hashes, small_chunks
 from factlake.llm.tables import Scratch, map_rows, text_bytes
 
@@ -40,8 +40,6 @@ FREQUENT_LEAST = 3
 UNUSUAL = 64_000
 #: Counts (as powers of two) from which combinations of one more shingle are indexed; two at least.
 LARGER_FROM = (6, 10)
-#: One of so many signatures of frequent shingles is used to join sets early.
-TRIED_OF = 4
 #: Sub-buckets of a signature made of frequent shingles.
 SALTS = 64
 #: Ids of one side are broadcast up to this count (8 bytes each); beyond it the join shuffles.
@@ -324,10 +322,10 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, size: int = S
     shared = signatures.withColumns({"hub": F.min(F.struct("unusual", "node")).over(bucket), "low": F.min("node").over(bucket), "high": F.max("node").over(bucket)})
     # of a salted signature the sub-buckets with a single set matter too
     dealt = scratch.save(shared.where("low <> high or salt > 0").drop("low", "high", "unusual"), "dealt")
-    # a signature for two classes of sizes needs sets of both
-    salted = dealt.where("salt > 0").groupBy("sig").agg(*[f(c).alias(f"{n}_{c}") for c in ("node", "side") for f, n in ((F.min, "low"), (F.max, "high"))])
-    live = salted.where("low_node <> high_node and (low_side = 0 or low_side <> high_side)").select("sig")
-    buckets = scratch.save(dealt.where("salt = 0").unionByName(dealt.where("salt > 0").join(live, "sig")), "buckets")
+    # a signature for two classes of sizes needs sets of both; its sub-buckets have one hub
+    salted = dealt.where("salt > 0").groupBy("sig").agg(F.min("hub").alias("hub"), *[f(c).alias(f"{n}_{c}") for c in ("node", "side") for f, n in ((F.min, "low"), (F.max, "high"))])
+    live = salted.where("low_node <> high_node and (low_side = 0 or low_side <> high_side)").select("sig", "hub")
+    buckets = scratch.save(dealt.where("salt = 0").unionByName(dealt.where("salt > 0").drop("hub").join(live, "sig")), "buckets")
     scratch.drop(dealt)
     sketches = described.where("sketch is not null").select("node", "n", "sketch").dropDuplicates(["node"])
     reps = scratch.save(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
@@ -350,33 +348,21 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, size: int = S
     bound = rows_of.groupBy("node").agg((F.first("n") - F.first("alone") + F.count_if(~F.col("frequent"))).cast("int").alias("can"))
     placed = scratch.save(rows_of.join(bound, "node"), "placed")
 
-    def labelled(part: DataFrame, found: DataFrame) -> DataFrame:
-        own = scratch.save(rough_labels(found).withColumnRenamed("id", "node"), "labels")
-        own = F.broadcast(own) if own.count() <= BROADCAST_IDS else own
-        return part.join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
     def unjoined(part: DataFrame) -> DataFrame:
-        """Rows of signatures whose sets are in several components, with the largest one there and one of its sets, another for each signature."""
-        per = part.groupBy("sig", "component").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("sig", "node"), "node")).alias("first"))
-        main = F.max_by(F.struct("component", "first"), F.struct("c", "component"))
-        mixed = per.groupBy("sig").agg(main.alias("main"), F.count("*").alias("parts")).where("parts > 1").select("sig", F.col("main.component").alias("main"), F.col("main.first.node").alias("first"))
-        return scratch.save(part.join(mixed, "sig"), "unjoined")
-
-    # first each set with one hub, and the hubs of a salted signature with one of them
-    top = buckets.where("salt > 0").select("sig", "hub").distinct()
-    top = top.join(top.groupBy("sig").agg(F.min("hub").alias("top")), "sig").where("hub <> top").groupBy("hub").agg(F.min("top").alias("top"))
+        """Rows of signatures whose sets are in several components, with the largest one there."""
+        per = part.groupBy("sig", "component").agg(F.count("*").alias("c"))
+        mixed = per.groupBy("sig").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        return scratch.save(part.join(mixed.select("sig", "main"), "sig"), "unjoined")
+
+    # first each set with one hub, of its signatures' hubs that with the most common shingles
     one = buckets.where("hub.node <> node").groupBy("node").agg(F.min("hub").alias("hub")).select("node", F.col("hub.node").alias("hub"))
-    tops = top.select(F.col("hub.node").alias("hub"), F.col("top.node").alias("top"))
-    tried = scratch.save(pair(one, "hub", "node").unionByName(pair(tops, "hub", "top")).distinct(), "one")
+    tried = scratch.save(pair(one, "hub", "node").distinct(), "one")
     found = links(tried, "one")
-    # then each set outside the largest component of a signature of frequent shingles with a set of
-    # that component, for a part of the signatures: this only spares work later
-    odd = unjoined(labelled(placed.where(f"frequent and pmod(sig, {TRIED_OF}) = 0"), found)).where("component <> main")
-    more = scratch.save(pair(odd, "first", "node").distinct().join(tried, ["a", "b"], "left_anti"), "more")
-    tried, found = tried.unionByName(more), found.unionByName(links(more, "more"))
-    # last all pairs of a signature that are still in different components. A rare shingle at
+    # then all pairs of a signature that are still in different components. A rare shingle at
     # places i and j that is the first the sets share bounds what they share to 1 and the rest behind.
-    now = labelled(placed, found)
+    own = components(found, scratch).withColumnRenamed("id", "node")
+    own = F.broadcast(own) if own.count() <= BROADCAST_IDS else own
+    now = placed.join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))
     many, few = unjoined(now.where("frequent")), now.where("not frequent")
     columns = ("node", "component", "n", "place", "can", "side")
     renamed = lambda df: df.select("sig", *[F.col(c).alias(f"x_{c}") for c in columns])
