@@ -8,7 +8,8 @@ in nats: the lower, the more it is like the target.
 The counts stay distributed. Each (document, bigram) goes to one of as many buckets as the corpus
 has words for: that of its rare word if it has one, else that of the bigram. All occurrences of
 the bigram and of that rare word meet there, so the bucket counts them and sums the losses per
-document. Counts of common words, and of bigrams of very common words, are broadcast; a first
+document. Documents that were dealt out together are a lot; a bucket answers a lot with one packed
+row, and the answers to a lot meet again in one task. Counts of common words, and of bigrams of very common words, are broadcast; a first
 word of a bigram of two rare words gets its count by a join.
 """
 
@@ -33,6 +34,7 @@ TARGET_IDS = 1_000_000
 #: words of the corpus a bucket, and of the documents that a task deals out at once
 BUCKET_WORDS, DEALT_WORDS = 1_500_000, 2_000_000
 _ENTRY = (("before", np.int64), ("word", np.int64), ("row", np.int64), ("n", np.int32), ("marks", np.uint8))
+_ANSWER = (("row", np.int64), ("target_loss", np.float64), ("background_loss", np.float64))
 _RARE = _U(1 << 63)
 
 
@@ -114,11 +116,11 @@ def _pack(columns) -> bytes:
     return len(columns[0]).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _unpack(blob: bytes) -> list[np.ndarray]:
+def _unpack(blob: bytes, columns=_ENTRY) -> list[np.ndarray]:
     n, at, out = int.from_bytes(blob[:8], "little"), 0, []
-    width = sum(np.dtype(t).itemsize for _, t in _ENTRY)
+    width = sum(np.dtype(t).itemsize for _, t in columns)
     raw = np.frombuffer(pa.decompress(blob[8:], n * width, codec="zstd", asbytes=True), np.uint8)
-    for _, kind in _ENTRY:
+    for _, kind in columns:
         k = np.dtype(kind).itemsize
         out.append(np.ascontiguousarray(raw[at : at + n * k].reshape(k, n).T).reshape(-1).view(kind))
         at += n * k
@@ -144,16 +146,16 @@ def _deal(common, pairs, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (keys, *losses) = common.value, pairs.value
-        held, size = [], 0
-        names = ["bucket", "block", "row", "doc_id", "n_words", "target_loss", "background_loss"]
-        kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        held, size, lot = [], 0, None
+        names = ["bucket", "lot", "block", "row", "doc_id", "n_words", "target_loss", "background_loss"]
+        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
         def blocks() -> Iterator[pa.RecordBatch]:
             if size:
                 ks, bs = zip(*dealt(held), strict=True) if any(len(h[0]) for h in held) else ((), ())
                 for a in range(0, len(ks), 16):
                     m = len(ks[a : a + 16])
-                    yield pa.RecordBatch.from_arrays([pa.array(ks[a : a + 16], kinds[0]), pa.array(bs[a : a + 16], kinds[1]), *(pa.nulls(m, t) for t in kinds[2:])], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(ks[a : a + 16], kinds[0]), pa.array([lot] * m, kinds[1]), pa.array(bs[a : a + 16], kinds[2]), *(pa.nulls(m, t) for t in kinds[3:])], names)
 
         for batch in batches:
             head = list(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True))
@@ -166,39 +168,44 @@ def _deal(common, pairs, buckets: int):
                 at = np.searchsorted(keys, before[hot] * (known.size + 1) + word[hot])
                 sums = [np.bincount(owner[hot], x[at], len(counts)).astype(np.float64) for x in losses]
                 rows = np.array(rows, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array((rows % buckets).astype(np.int32)), pa.nulls(len(rows), kinds[1]), pa.array(rows), pa.array(ids, kinds[3]), pa.array(counts.astype(np.int64)), *map(pa.array, sums)], names)
+                lot = int(rows[0]) if lot is None else lot  # the number of its first row
+                yield pa.RecordBatch.from_arrays([pa.array((rows % buckets).astype(np.int32)), pa.array([lot] * len(rows), kinds[1]), pa.nulls(len(rows), kinds[2]), pa.array(rows), pa.array(ids, kinds[4]), pa.array(counts.astype(np.int64)), *map(pa.array, sums)], names)
                 rest = ~hot
                 marks = np.array(target, bool)[owner].astype(np.uint8) + 2 * last.astype(np.uint8)
                 held.append((before[rest], word[rest], rows[owner[rest]], marks[rest]))
                 size += len(words)
                 if size > DEALT_WORDS:
                     yield from blocks()
-                    held, size = [], 0
+                    held, size, lot = [], 0, None
         yield from blocks()
 
     return run
 
 
-_SUMS = "row long, doc_id long, n_words long, target_loss double, background_loss double, before long, n long, pair_target long, pair long, word_target long, word long"
+_SUMS = "lot long, sums binary, row long, doc_id long, n_words long, target_loss double, background_loss double, before long, n long, pair_target long, pair long, word_target long, word long"
+_PLAIN = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
 
 
 def _meet(common):
-    """Task, of whole buckets: rows with the losses of their bigrams summed, and one row for each bigram whose first word's count is elsewhere."""
-    schema = pa.schema([(c.split()[0], pa.float64() if c.endswith("double") else pa.int64()) for c in _SUMS.split(", ")])
+    """Task, of whole buckets: for each lot its rows with the losses of their bigrams summed, packed, and one row for each bigram whose first word's count is elsewhere."""
+    schema = pa.schema([(c.split()[0], _PLAIN[c.split()[1]]) for c in _SUMS.split(", ")])
 
     def filled(**have) -> pa.RecordBatch:
         n = len(next(iter(have.values())))
         return pa.RecordBatch.from_arrays([pa.array(have[f.name]).cast(f.type) if f.name in have else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held = common.value, []
+        known, held, lots = common.value, [], []
         for batch in batches:
             own = batch.filter(batch.column("block").is_null())
             if own.num_rows:
-                yield filled(**{c: own.column(c) for c in ("row", "doc_id", "n_words", "target_loss", "background_loss")})
-            held += [_unpack(b) for b in batch.column("block").drop_null().to_pylist()]
+                yield filled(**{c: own.column(c) for c in ("lot", "row", "doc_id", "n_words", "target_loss", "background_loss")})
+            sent = batch.filter(batch.column("block").is_valid())
+            held += [_unpack(b) for b in sent.column("block").to_pylist()]
+            lots += sent.column("lot").to_pylist()
         if not held:
             return
+        owner = np.repeat(np.array(lots, np.int64), [len(h[0]) for h in held])
         before, word, row, n, marks = (np.concatenate(c) for c in zip(*held, strict=True))
         held.clear()
         both = [n * (marks & 1), n]
@@ -213,10 +220,13 @@ def _meet(common):
         look = lambda coded, at, here, there: np.where(coded < 0, here[at] if len(here) else 0.0, there[np.maximum(coded, 0)])
         counts = [look(word, own_word, words[k], known.words[k]) for k in (0, 1)]
         leads = [look(before, own_before, befores[k], known.befores[k]) for k in (0, 1)]
-        u, at = np.unique(row[~away], return_inverse=True)
+        # rows are numbered upwards from that of their lot, so a lot's rows stand together
+        u, first, at = np.unique(row[~away], return_index=True, return_inverse=True)
         sums = [np.bincount(at, (n * known.loss(k, pair[k], leads[k], counts[k]))[~away], len(u)) for k in (0, 1)]
-        for a in range(0, len(u), 50_000):
-            yield filled(row=u[a : a + 50_000], target_loss=sums[0][a : a + 50_000], background_loss=sums[1][a : a + 50_000])
+        of = owner[~away][first]
+        starts = np.flatnonzero(np.diff(of, prepend=of[0] - 1)) if len(of) else np.empty(0, np.int64)
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(of)], strict=True):
+            yield filled(lot=[int(of[a])], sums=[_pack((u[a:b], sums[0][a:b], sums[1][a:b]))])
         rest = np.flatnonzero(away)
         for a in range(0, len(rest), 50_000):
             r = rest[a : a + 50_000]
@@ -225,6 +235,30 @@ def _meet(common):
     return run
 
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task, of whole lots: one row per document with its losses summed over the buckets' answers."""
+    heads, answers, size = [], [], 0
+
+    def summed() -> list[np.ndarray]:
+        row, *losses = (np.concatenate(c) for c in zip(*answers, strict=True))
+        u, at = np.unique(row, return_inverse=True)
+        return [u, *(np.bincount(at, x, len(u)) for x in losses)]
+
+    for batch in batches:
+        head = batch.filter(batch.column("row").is_valid())
+        heads.append(head)
+        new = [[head.column(c).to_numpy() for c in ("row", "target_loss", "background_loss")], *(_unpack(b, _ANSWER) for b in batch.column("sums").drop_null().to_pylist())]
+        answers += new
+        size += sum(len(a[0]) for a in new)
+        if size > DEALT_WORDS:
+            answers, size = [summed()], 0
+    if heads:
+        row, target, background = summed()
+        for head in heads:
+            at = np.searchsorted(row, head.column("row").to_numpy())
+            yield pa.RecordBatch.from_arrays([head.column("row"), head.column("doc_id"), head.column("n_words"), pa.array(target[at]), pa.array(background[at])], ["row", "doc_id", "n_words", "target_loss", "background_loss"])
+
+
 def score_language(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", common_share: float = COMMON_SHARE, hot_share: float = HOT_SHARE, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """(doc_id, n_words, target_loss, background_loss, score) for every row of ``docs``.
 
@@ -267,7 +301,7 @@ def score_language(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 
     buckets = int(every[1] // bucket_words) + 1
     rows = joined.select(F.monotonically_increasing_id().alias("row"), "doc_id", "target", "text")
-    dealt = map_rows(rows, _deal(shipped, spark.sparkContext.broadcast((keys, *losses)), buckets), "bucket int, block binary, row long, doc_id long, n_words long, target_loss double, background_loss double")
+    dealt = map_rows(rows, _deal(shipped, spark.sparkContext.broadcast((keys, *losses)), buckets), "bucket int, lot long, block binary, row long, doc_id long, n_words long, target_loss double, background_loss double")
     met = scratch.save(map_rows(dealt.repartitionById(buckets, "bucket"), _meet(shipped), _SUMS), "sums")
 
     # bigrams of two rare words: the count of the first by a join
@@ -281,7 +315,8 @@ def score_language(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 
     none = F.lit(None).cast("long")
     apart = apart.select("row", none.alias("doc_id"), none.alias("n_words"), loss(0, "pair_target", "lead_target", "word_target").alias("target_loss"), loss(1, "pair", "lead", "word").alias("background_loss"))
-    out = met.where("before is null").select("row", "doc_id", "n_words", "target_loss", "background_loss").unionByName(apart)
+    answered = met.where("lot is not null").select("lot", "sums", "row", "doc_id", "n_words", "target_loss", "background_loss").repartition(buckets, "lot")
+    out = map_rows(answered, _gather, "row long, doc_id long, n_words long, target_loss double, background_loss double").unionByName(apart)
     out = out.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *[(F.sum(c) / F.greatest(F.max("n_words"), F.lit(1))).alias(c) for c in ("target_loss", "background_loss")])
     return out.select("doc_id", "n_words", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
 
