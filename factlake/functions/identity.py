@@ -36,10 +36,16 @@ def set_hash(df: DataFrame, key: str, member: Column, name: str) -> DataFrame:
     return df.groupBy(key).agg(F.sha2(F.array_join(F.array_sort(F.collect_set(member.cast("string"))), ","), 256).alias(name))
 
 
-def ordered_hash(df: DataFrame, key: str, order: str, member: str, name: str) -> DataFrame:
-    """Per key a hash of the members in order."""
-    members = F.transform(F.array_sort(F.collect_list(F.struct(order, member))), lambda s: s[member].cast("string"))
-    return df.groupBy(key).agg(F.sha2(F.array_join(members, SEPARATOR), 256).alias(name))
+def ordered_hash(df: DataFrame, key: str, order: str, member: str, name: str, width: int = 1000) -> DataFrame:
+    """Per key a hash of the members in order: of the hashes of blocks of blocks, each of ``width`` places of the order, so no task gathers a whole key."""
+
+    def hashed(rows: DataFrame, keys: list[str]) -> DataFrame:
+        members = F.transform(F.array_sort(F.collect_list(F.struct("_o", "_m"))), lambda s: s["_m"].cast("string"))
+        return rows.groupBy(*keys).agg(F.sha2(F.array_join(members, SEPARATOR), 256).alias("_m"))
+
+    rows = df.select(key, F.col(order).alias("_o"), F.col(member).alias("_m"), F.floor(F.col(order) / width).alias("_b"))
+    rows = hashed(rows, [key, "_b"]).select(key, F.col("_b").alias("_o"), "_m", F.floor(F.col("_b") / width).alias("_c"))
+    return hashed(hashed(rows, [key, "_c"]).withColumnRenamed("_c", "_o"), [key]).withColumnRenamed("_m", name)
 
 
 def canonical_map(c: Column, dropped: list[str]) -> Column:

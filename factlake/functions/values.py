@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: comparison words, unit names, error classes, condition synonyms, multipliers
-COMPARISONS = {"up to": "<=", "at most": "<=", "at least": ">=", "from": ">=", "over": ">", "more than": ">", "under": "<", "less than": "<"}
+COMPARISONS = {"up to": "<=", "at most": "<=", "not more than": "<=", "no more than": "<=", "not less than": ">=", "no less than": ">=", "at least": ">=", "from": ">=", "over": ">", "more than": ">", "under": "<", "less than": "<"}
 UNITS = {"%": "percent", "percent": "percent", "$": "USD", "usd": "USD", "€": "EUR", "eur": "EUR", "֏": "AMD", "amd": "AMD", "months": "month", "month": "month", "years": "year", "year": "year", "days": "day", "day": "day"}
 ERROR_CODES = {"timeout": "source_timeout", "connect": "source_unreachable", "parse": "source_invalid", "quota": "rate_limited"}
 CONDITIONS = {"currency": "currency", "ccy": "currency", "term": "term", "maturity": "term", "amount": "amount", "sum": "amount", "channel": "channel"}
@@ -21,8 +21,8 @@ def _lookup(table: dict) -> Column:
 
 
 def comparison(c: Column) -> Column:
-    """The operator of the first comparison words in the text."""
-    words = F.regexp_extract(F.lower(c), "(" + "|".join(sorted(COMPARISONS, key=len, reverse=True)) + ")", 1)
+    """The operator of the first comparison words in the text, whole words only."""
+    words = F.regexp_extract(F.lower(c), r"(?:^|[^\p{L}])(" + "|".join(sorted(COMPARISONS, key=len, reverse=True)) + r")(?:[^\p{L}]|$)", 1)
     return F.try_element_at(_lookup(COMPARISONS), words)
 
 

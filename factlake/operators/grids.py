@@ -91,11 +91,12 @@ def ambiguities(grid: DataFrame) -> DataFrame:
     return repeated.unionByName(bare).select("table_id", "issue", "n")
 
 
-def render_packets(rows: DataFrame, key: str, order: str, header: str, content: str) -> DataFrame:
-    """(key, packet): contents in order, each header once where it changes."""
-    w = Window.partitionBy(key).orderBy(order)
+def render_packets(rows: DataFrame, key: str, order: str, header: str, content: str, width: int) -> DataFrame:
+    """(key, packet_no, packet): contents in order, each header once where it changes; a packet holds the rows of ``width`` places of the order."""
+    rows = rows.withColumn("packet_no", F.floor(F.col(order) / width))
+    w = Window.partitionBy(key, "packet_no").orderBy(order)
     changed = ~F.col(header).eqNullSafe(F.lag(header).over(w)) | (F.row_number().over(w) == 1)
     line = F.when(changed, F.concat(F.lit("## "), header, F.lit("\n"), content)).otherwise(F.col(content))
-    lines = rows.select(key, order, line.alias("line"))
+    lines = rows.select(key, "packet_no", order, line.alias("line"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, "line"))), lambda s: s["line"])
-    return lines.groupBy(key).agg(F.array_join(ordered, "\n").alias("packet"))
+    return lines.groupBy(key, "packet_no").agg(F.array_join(ordered, "\n").alias("packet"))

@@ -82,7 +82,7 @@ def term_matches(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str)
     tokens = texts.select(id_col, F.explode(F.split(F.lower(text_col), "[^a-z0-9]+")).alias("token")).where("token <> ''")
     tokens = tokens.withColumn("term", F.regexp_replace("token", "s$", ""))
     keyed = terms.select(F.regexp_replace(F.lower("term"), "s$", "").alias("term"), "label").distinct()
-    return tokens.join(F.broadcast(keyed), "term").groupBy(id_col, "label").agg(F.count("*").alias("hits"))
+    return tokens.join(keyed, "term").groupBy(id_col, "label").agg(F.count("*").alias("hits"))
 
 
 def cache_lookup(wanted: DataFrame, cache: DataFrame, keys: list[str], fingerprint: str, order: list[str], payload: str) -> DataFrame:
@@ -97,7 +97,7 @@ def cache_lookup(wanted: DataFrame, cache: DataFrame, keys: list[str], fingerpri
 def mentions(texts: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, name, entity) of catalog names in texts; of overlapping names the longest wins.
 
-    Texts become word n-grams of every length that a name has, which meet names in an equi join on the broadcast name table.
+    Texts become word n-grams of every length that a name has, which meet names in an equi join.
     """
     words = lambda c: F.filter(F.split(F.lower(c), "[^\\p{L}0-9]+"), lambda x: x != "")
     base = texts.select(id_col, words(text_col).alias("_w"))
@@ -109,7 +109,7 @@ def mentions(texts: DataFrame, names: DataFrame, id_col: str, text_col: str) ->
         g = base.select(id_col, F.posexplode(F.transform(at, joined(n))).alias("at", "gram"), F.lit(n).alias("n"))
         grams = g if grams is None else grams.unionByName(g)
     keyed = names.select(F.array_join(words("name"), " ").alias("gram"), "name", "entity")
-    found = grams.join(F.broadcast(keyed), "gram")
+    found = grams.join(keyed, "gram")
     longest = F.max("n").over(Window.partitionBy(id_col, "at"))
     return found.withColumn("_l", longest).where("n = _l").select(id_col, "name", "entity").distinct()
 

@@ -64,8 +64,12 @@ def inverse_frequency(units: DataFrame, unit: str, terms: str) -> DataFrame:
 
 def unit_scores(units: DataFrame, unit: str, terms: str, labels: DataFrame) -> DataFrame:
     """(unit, label, score): sum of positive weights of the label's terms in the unit."""
-    weights = inverse_frequency(units, unit, terms)
-    rows = units.select(unit, F.explode(F.array_distinct(terms)).alias("term")).join(F.broadcast(labels), "term").join(weights, "term")
+    # only the labels' terms are counted and shuffled
+    n = units.agg(F.count("*").alias("_n"))
+    rows = units.select(unit, F.explode(F.array_distinct(terms)).alias("term")).join(labels.select("term").distinct(), "term", "left_semi")
+    df = rows.groupBy("term").agg(F.count("*").alias("df"))
+    weights = labels.join(df, "term").crossJoin(F.broadcast(n)).select("term", "label", F.log((F.col("_n") + 1) / (F.col("df") + 0.5)).alias("weight"))
+    rows = rows.join(weights, "term")
     return rows.groupBy(unit, "label").agg(F.sum(F.greatest("weight", F.lit(0.0))).alias("score"))
 
 

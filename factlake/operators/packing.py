@@ -1,59 +1,88 @@
-"""Order-dependent packing: greedy folds per key in grouped kernels, budgets in windows."""
+"""Order-dependent packing: greedy folds over sorted keys, budgets in windows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def within_budget(df: DataFrame, keys: list[str], order: list[Column], cost: str, budget: int) -> DataFrame:
-    """Rows of a key in order while their costs fit the budget."""
+def within_budget(df: DataFrame, keys: list[str], order: list[Column], cost: str, budget: int, parts: int = 0) -> DataFrame:
+    """Rows of a key in order while their costs fit the budget; a cost counts as 1 at least.
+
+    So no more than ``budget`` rows of a key can fit. For keys with very many rows, ``parts``
+    of each are cut to their first so many rows beforehand, which tasks do before the shuffle.
+    """
+    if parts:
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(parts))
+        first = Window.partitionBy(*keys, "_part").orderBy(*order)
+        df = df.withColumn("_part", part).withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= budget).drop("_rn", "_part")
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_used", F.sum(cost).over(w)).where(F.col("_used") <= budget).drop("_used")
+    return df.withColumn("_used", F.sum(F.greatest(F.col(cost), F.lit(1))).over(w)).where(F.col("_used") <= budget).drop("_used")
 
 
-def pack(df: DataFrame, key: str, order: str, text: str, most_chars: int, most_items: int = 1 << 30) -> DataFrame:
-    """(key, ordinal, first, items, chars): rows in order put together until the next would not fit.
+def fold_in_order(df: DataFrame, keys: list[str], order: list[Column], step: Callable, end: Callable | None, schema: str) -> DataFrame:
+    """Rows of a key are handed in order to ``step(state, row)``, which gives (state, rows out); ``end(state)`` gives a key's last rows.
 
-    Needs a running sum that starts anew, which no window expresses; the rows carry lengths only,
-    so a key's group is small next to its text.
+    For folds that no window expresses. Keys are sorted outside Python and streamed through it,
+    so a key may have any number of rows: only its state is held.
     """
+    places = [df.columns.index(k) for k in keys]
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                now = tuple(row[k] for k in places)
+                if now != key:
+                    out += end(state) if end and key is not None else []
+                    key, state = now, None
+                state, made = step(state, row)
+                out += made
+            yield pd.DataFrame(out, columns=names)
+        if end and key is not None:
+            yield pd.DataFrame(end(state), columns=names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def pack(df: DataFrame, keys: list[str], order: str, text: str, most_chars: int, most_items: int = 1 << 30) -> DataFrame:
+    """(keys, ordinal, first, items, chars): rows in order put together until the next would not fit."""
     kind = dict(df.dtypes)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        out, held = [], None
-        for o, n in group.sort_values("o")[["o", "n"]].itertuples(index=False):
-            if held is None or held[2] + n > most_chars or held[1] >= most_items:
-                held = [o, 0, 0]
-                out.append(held)
-            held[1] += 1
-            held[2] += n
-        return pd.DataFrame({key: group[key].iloc[0], "ordinal": range(len(out)), "first": [h[0] for h in out], "items": [h[1] for h in out], "chars": [h[2] for h in out]})
+    def step(held, row):
+        done = []
+        if held is None:
+            held = (tuple(row[: len(keys)]), 0, row.o, 0, 0)
+        elif held[4] + row.n > most_chars or held[3] >= most_items:
+            done, held = flush(held), (held[0], held[1] + 1, row.o, 0, 0)
+        return (*held[:3], held[3] + 1, held[4] + row.n), done
+
+    def flush(held):
+        return [(*held[0], *held[1:])]
 
-    sizes = df.select(key, F.col(order).cast("long").alias("o"), F.char_length(text).cast("long").alias("n"))
-    return sizes.groupBy(key).applyInPandas(fold, f"{key} {kind[key]}, ordinal long, first long, items long, chars long")
+    sizes = df.select(*keys, F.col(order).cast("long").alias("o"), F.char_length(text).cast("long").alias("n"))
+    schema = ", ".join([*(f"{k} {kind[k]}" for k in keys), "ordinal long, first long, items long, chars long"])
+    return fold_in_order(sizes, keys, [F.asc("o")], step, flush, schema)
 
 
 def fair_share(df: DataFrame, key: str, field: str, unit: str, score: str, cost: str, budget: int) -> DataFrame:
     """(key, field, unit): whole units by turns of the fields, best scores first, while they fit the key's budget."""
     kind = dict(df.dtypes)
+    turn = F.row_number().over(Window.partitionBy(key, field).orderBy(F.desc(score), F.asc(unit)))
+    # units above the budget never fit
+    rows = df.select(key, field, unit, score, F.col(cost).alias("_cost"), turn.alias("_turn")).where(F.col("_cost") <= budget).drop(score)
 
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        queues = {f: list(g.sort_values([score, unit], ascending=[False, True]).itertuples(index=False)) for f, g in sorted(group.groupby(field))}
-        used, rows = 0, []
-        while any(queues.values()):
-            for f in queues:
-                if queues[f]:
-                    row = queues[f].pop(0)
-                    if used + getattr(row, cost) <= budget:
-                        used += getattr(row, cost)
-                        rows.append((getattr(row, key), f, getattr(row, unit)))
-        return pd.DataFrame(rows, columns=[key, field, unit])
+    def step(used, row):
+        used = used or 0
+        fits = used + row[3] <= budget
+        return (used + row[3] if fits else used), ([tuple(row[:3])] if fits else [])
 
-    return df.select(key, field, unit, score, cost).groupBy(key).applyInPandas(choose, f"{key} {kind[key]}, {field} {kind[field]}, {unit} {kind[unit]}")
+    return fold_in_order(rows, [key], [F.asc("_turn"), F.asc(field)], step, None, f"{key} {kind[key]}, {field} {kind[field]}, {unit} {kind[unit]}")
 
 
 def split_text(text: str, most: int) -> list[str]:
@@ -93,14 +122,8 @@ def baseline_gate(df: DataFrame, key: str, order: str, value: str, drop: float)
     """(key, order, passed, baseline): a row passes if it is not below the drop from the last row that passed."""
     kind = dict(df.dtypes)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        base, passed, bases = None, [], []
-        for v in group[value]:
-            ok = base is None or not base > 0 or v > base * (1 - drop)
-            bases.append(base)
-            passed.append(ok)
-            base = v if ok else base
-        return pd.DataFrame({key: group[key], order: group[order], "passed": passed, "baseline": pd.Series(bases, index=group.index, dtype="float64")})
-
-    return df.select(key, order, value).groupBy(key).applyInPandas(fold, f"{key} {kind[key]}, {order} {kind[order]}, passed boolean, baseline double")
+    def step(base, row):
+        ok = base is None or not base > 0 or row[2] > base * (1 - drop)
+        return (row[2] if ok else base), [(row[0], row[1], ok, base)]
+
+    return fold_in_order(df.select(key, order, value), [key], [F.asc(order)], step, None, f"{key} {kind[key]}, {order} {kind[order]}, passed boolean, baseline double")

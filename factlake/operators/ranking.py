@@ -42,11 +42,15 @@ def capped(df: DataFrame, keys: list[str], order: list[str], each: int, total: i
     return ranked.where(F.col("_rn") <= each).orderBy(*keys, *order).limit(total).drop("_rn")
 
 
-def reciprocal_ranks(lists: list[tuple[DataFrame, str, str, float]], k: int = 60) -> DataFrame:
-    """(id, score): weighted sum of 1 / (k + rank) over ranked lists (table, id, score column, weight); ties by id."""
+def reciprocal_ranks(lists: list[tuple[DataFrame, str, str, float]], k: int = 60, most: int = 1000) -> DataFrame:
+    """(id, score): weighted sum of 1 / (k + rank) over the first ``most`` of ranked lists (table, id, score column, weight); ties by id.
+
+    Each task keeps its best ``most`` rows, so only so many meet in the window that numbers them.
+    """
     parts = []
     for df, key, score, weight in lists:
         w = Window.orderBy(F.desc(score), F.asc(key))
+        df = df.orderBy(F.desc(score), F.asc(key)).limit(most)
         parts.append(df.select(F.col(key).alias("id"), (F.lit(weight) / (F.lit(k) + F.row_number().over(w))).alias("part")))
     out = parts[0]
     for p in parts[1:]:

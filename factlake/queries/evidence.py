@@ -10,7 +10,7 @@ from factlake.operators import grids as G
 from factlake.operators import joins as J
 from factlake.operators import versions as W
 from factlake.queries import query
-from factlake.queries.documents import cells
+from factlake.queries.documents import COS, GRID, INDEX, LINES, RECORDS, cells, index
 
 
 @query("I05_scalars")
@@ -47,11 +47,11 @@ def _(t):
 @query(
     "I47_line_diff",
     """WITH a AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
-    b AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS n FROM (SELECT doc_id, unnest(string_split(text || chr(10) || 'new', chr(10))) AS line, generate_subscripts(string_split(text || chr(10) || 'new', chr(10)), 1) AS pos FROM documents WHERE doc_id % 2 = 0))
+    b AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS n FROM (SELECT doc_id, unnest(string_split(t2, chr(10))) AS line, generate_subscripts(string_split(t2, chr(10)), 1) AS pos FROM (SELECT doc_id, text || CASE WHEN lang = 'en' THEN chr(10) || 'new' ELSE '' END AS t2 FROM documents)))
     SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, count(*) FILTER (a.n IS NULL) AS added, count(*) FILTER (b.n IS NULL) AS removed, count(*) FILTER (a.n IS NOT NULL AND b.n IS NOT NULL) AS kept FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.line = b.line AND a.n = b.n GROUP BY 1""",
 )
 def _(t):
-    after = t.documents.where("doc_id % 2 = 0").withColumn("text", F.concat("text", F.lit("\nnew")))
+    after = t.documents.withColumn("text", F.concat("text", F.when(F.col("lang") == "en", "\nnew").otherwise("")))
     return W.line_diff(t.documents, after, "doc_id", "text")
 
 
@@ -69,22 +69,23 @@ def _(t):
     return J.near_pairs(rows.select("item_id", words.alias("w")), "item_id", "w")
 
 
-@query("J03_sections")
+@query("J03_sections", f"SELECT table_id, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, text, CASE WHEN row < 2 THEN '' ELSE max(CASE WHEN row = 2 THEN text END) OVER (PARTITION BY table_id) END AS section FROM {GRID}")
 def _(t):
-    return G.sections(G.fill_spans(cells(t))).select("table_id", "row", "col", "text", "section")
+    out = G.sections(G.trimmed(G.fill_spans(cells(t))))
+    return out.select("table_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "text", "section")
 
 
-@query("J22_row_records", "SELECT p_partkey AS table_id, row, record FROM part, (VALUES (2, 'Term: 12 months | Rate / USD: 5 | Rate / EUR: 4'), (3, 'Term: 12 months | Rate / USD: 6 | Rate / EUR: 3')) v(row, record) WHERE p_size = 1")
+@query("J22_row_records", f"SELECT table_id, CAST(row AS BIGINT) AS row, record FROM {RECORDS}")
 def _(t):
-    return G.row_records(G.trimmed(G.fill_spans(cells(t))))
+    return G.row_records(G.trimmed(G.fill_spans(cells(t)))).withColumn("row", F.col("row").cast("long"))
 
 
-@query("F14_continuations", "SELECT p_partkey AS table_id, row, row = 3 AS completes FROM part, (VALUES (0), (2), (3)) v(row) WHERE p_size = 1")
+@query("F14_continuations", f"SELECT table_id, CAST(row AS BIGINT) AS row, coalesce(lag(text) OVER (PARTITION BY table_id ORDER BY row) = text, false) AS completes FROM {GRID} WHERE col = 0")
 def _(t):
-    return G.continuation_links(G.fill_spans(cells(t)))
+    return G.continuation_links(G.fill_spans(cells(t))).withColumn("row", F.col("row").cast("long"))
 
 
-@query("J08_ambiguities")
+@query("J08_ambiguities", f"SELECT table_id, 'repeated_row' AS issue, CAST(sum(n - 1) AS BIGINT) AS n FROM (SELECT table_id, count(*) AS n FROM {LINES} GROUP BY table_id, label, q, d, row = 3 HAVING count(*) > 1) GROUP BY 1 UNION ALL SELECT DISTINCT l_orderkey, 'no_header', CAST(1 AS BIGINT) FROM lineitem")
 def _(t):
     return G.ambiguities(G.fill_spans(cells(t)))
 
@@ -101,12 +102,20 @@ def _(t):
     return t.part.where(F.contains("p_name", F.lit("red"))).groupBy(F.col("p_brand").alias("field")).agg(F.min("p_partkey").alias("best")).orderBy("best").limit(3).select("field")
 
 
-@query("K04_hybrid", "SELECT id, round(sum(p), 12) AS score FROM (SELECT vec_id AS id, 1.0 / (60 + row_number() OVER (ORDER BY embedding[1] DESC, vec_id)) AS p FROM embeddings UNION ALL SELECT vec_id, 0.7 / (60 + row_number() OVER (ORDER BY embedding[2] DESC, vec_id)) FROM embeddings) GROUP BY 1 ORDER BY score DESC, id LIMIT 10")
+@query(
+    "K04_hybrid",
+    f"""WITH i AS ({INDEX}), q(p) AS (VALUES ('license'), ('apache'), ('version')), h AS (SELECT doc_id AS id, round(count(*) / 3, 9) AS s FROM (SELECT DISTINCT doc_id, p FROM i JOIN q ON term = p) GROUP BY 1),
+    v AS (SELECT vec_id AS id, {COS} AS s FROM embeddings WHERE vec_id <> 0), r AS (SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY s DESC, id)) AS p FROM h UNION ALL SELECT id, 0.7 / (60 + row_number() OVER (ORDER BY s DESC, id)) FROM v)
+    SELECT id, round(sum(p), 12) AS score FROM r GROUP BY 1 ORDER BY score DESC, id LIMIT 10""",
+)
 def _(t):
     from factlake.operators.ranking import reciprocal_ranks
+    from factlake.operators.retrieval import lexical_search, vector_search
 
-    a, b = (t.embeddings.select("vec_id", F.col("embedding")[k].alias("s")) for k in (0, 1))
-    fused = reciprocal_ranks([(a, "vec_id", "s", 1.0), (b, "vec_id", "s", 0.7)]).withColumn("score", F.round("score", 12))
+    words = lexical_search(index(t), "doc_id", [("license", False), ("apache", False), ("version", False)], 1000)
+    q = t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    near = vector_search(t.embeddings.where("vec_id <> 0"), q, "vec_id", "embedding", 1000)
+    fused = reciprocal_ranks([(words, "doc_id", "score", 1.0), (near, "vec_id", "score", 0.7)]).withColumn("score", F.round("score", 12))
     return fused.orderBy(F.desc("score"), "id").limit(10)
 
 
@@ -168,28 +177,32 @@ def _(t):
     return traced(t.lineitem, steps)
 
 
-@query("J12_oversize_parts")
+@query("J12_oversize_parts")  # texts above 2,000 characters are the feature
 def _(t):
     from factlake.operators.packing import pack
 
     lines = t.documents.where("n_chars > 2000").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
-    return pack(lines, "doc_id", "ord", "line", 2000)
+    return pack(lines, ["doc_id"], "ord", "line", 2000)
 
 
-@query("J14_compact_tables")
+@query("J14_compact_tables", f"SELECT table_id, CAST(row AS BIGINT) AS row, record FROM (SELECT *, sum(length(record)) OVER (PARTITION BY table_id ORDER BY row) AS used FROM {RECORDS}) WHERE used <= 160")
 def _(t):
     from factlake.operators.packing import within_budget
 
     records = G.row_records(G.trimmed(G.fill_spans(cells(t)))).withColumn("size", F.char_length("record"))
-    return within_budget(records, ["table_id"], [F.asc("row")], "size", 60).drop("size")
+    return within_budget(records, ["table_id"], [F.asc("row")], "size", 160).select("table_id", F.col("row").cast("long").alias("row"), "record")
 
 
-@query("J26_packets")
+@query(
+    "J26_packets",
+    """WITH r AS (SELECT source, doc_id // 50 AS packet_no, doc_id, lang, text, row_number() OVER w AS n, lag(lang) OVER w AS p FROM documents WINDOW w AS (PARTITION BY source, doc_id // 50 ORDER BY doc_id))
+    SELECT source, packet_no, string_agg(CASE WHEN n = 1 OR lang IS DISTINCT FROM p THEN '## ' || lang || chr(10) || text ELSE text END, chr(10) ORDER BY doc_id) AS packet FROM r GROUP BY ALL""",
+)
 def _(t):
     from factlake.operators.grids import render_packets
 
-    rows = t.documents.select("source", "doc_id", F.col("lang").alias("header"), F.substring("text", 1, 80).alias("content"))
-    return render_packets(rows, "source", "doc_id", "header", "content")
+    rows = t.documents.select("source", "doc_id", F.col("lang").alias("header"), F.col("text").alias("content"))
+    return render_packets(rows, "source", "doc_id", "header", "content", 50)
 
 
 @query("L08_canonical_citation")

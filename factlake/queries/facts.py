@@ -43,7 +43,7 @@ def _(t):
 
 @query("A07_catalog", "SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey")
 def _(t):
-    return t.supplier.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", "s_name", "n_name")
+    return t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", "s_name", "n_name")
 
 
 @query("A08_decode_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")

@@ -87,11 +87,12 @@ def _(t):
     return J.field_difference(_half(t, "2024-01-01", "2024-01-10"), _half(t, "2024-01-10", "2024-01-20"), ["user_id", "event_type"], "v")
 
 
-@query("D12_audit", "SELECT count(*) FILTER (b.k IS NULL) AS missing, count(*) FILTER (a.k IS NULL) AS extra, count(*) FILTER (a.s <> b.s) AS altered FROM (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 10 <> 0) a FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 11 <> 0) b ON a.k = b.k")
+@query("D12_audit", "SELECT count(*) FILTER (b.k IS NULL) AS missing, count(*) FILTER (a.k IS NULL) AS extra, count(*) FILTER (a.s <> b.s) AS altered FROM (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderstatus <> 'P') a FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderpriority LIKE '1%' THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_totalprice >= 50000) b ON a.k = b.k")
 def _(t):
     o = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("digest"))
-    stored = o.where("o_orderkey % 11 <> 0").withColumn("digest", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("digest")))
-    return J.audit(o.where("o_orderkey % 10 <> 0"), stored, "o_orderkey", "digest")
+    changed = F.when(F.col("o_orderpriority").startswith("1"), "X").otherwise(F.col("o_orderstatus"))
+    stored = t.orders.where("o_totalprice >= 50000").select("o_orderkey", changed.alias("digest"))
+    return J.audit(o.where("digest <> 'P'"), stored, "o_orderkey", "digest")
 
 
 WORDS_SQL = "list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^a-z]+'), lambda x: x <> ''))"
@@ -99,7 +100,7 @@ WORDS_SQL = "list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^a
 
 @query(
     "D13_mutual_best",
-    f"""WITH l AS (SELECT p_brand AS g, p_partkey AS id, {WORDS_SQL} AS w FROM part WHERE p_size <= 10), r AS (SELECT p_brand AS g, p_partkey AS id, {WORDS_SQL} AS w FROM part WHERE p_size > 40),
+    f"""WITH l AS (SELECT p_brand AS g, p_partkey AS id, {WORDS_SQL} AS w FROM part WHERE p_size <= 25), r AS (SELECT p_brand AS g, p_partkey AS id, {WORDS_SQL} AS w FROM part WHERE p_size > 25),
     s AS (SELECT l.g, l.id AS left_id, r.id AS right_id, len(list_intersect(l.w, r.w)) AS b, len(l.w) AS ln, len(r.w) AS rn FROM l JOIN r ON l.g = r.g WHERE len(list_intersect(l.w, r.w)) > 0),
     q AS (SELECT *, b / (ln + rn - b) AS score FROM s),
     z AS (SELECT *, row_number() OVER (PARTITION BY g, left_id ORDER BY score DESC, right_id) AS x, row_number() OVER (PARTITION BY g, right_id ORDER BY score DESC, left_id) AS y FROM q)
@@ -108,12 +109,12 @@ WORDS_SQL = "list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^a
 def _(t):
     words = F.filter(F.split(F.lower("p_name"), "[^a-z]+"), lambda x: x != "")
     rows = t.part.select(F.col("p_brand").alias("g"), F.col("p_partkey").alias("id"), words.alias("words"), "p_size")
-    return J.mutual_best(rows.where("p_size <= 10"), rows.where("p_size > 40"), "g", "words")
+    return J.mutual_best(rows.where("p_size <= 25"), rows.where("p_size > 25"), "g", "words")
 
 
-@query("D15_contained_quotes", "SELECT item_id, doc_id, contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(substr(b.text, 1, 40), '\\s+', ' ', 'g')))) AS contained FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id")
+@query("D15_contained_quotes", "SELECT item_id, doc_id, contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g')))) AS contained FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id")
 def _(t):
-    quotes = t.benchmark.select("item_id", F.substring("text", 1, 40).alias("quote"))
+    quotes = t.benchmark.select("item_id", F.col("text").alias("quote"))
     evidence = t.documents.select((F.col("doc_id") % 40).alias("item_id"), "doc_id", F.col("text").alias("content"))
     return J.contained_quotes(quotes, evidence, "item_id").select("item_id", "doc_id", "contained")
 
@@ -130,13 +131,13 @@ def _(t):
 
 @query(
     "D18_cache_lookup",
-    """WITH w AS (SELECT doc_id, lang, md5(substr(text, 1, 30)) AS fp FROM documents WHERE doc_id % 2 = 0), c AS (SELECT doc_id AS v, lang, md5(substr(text, 1, 30)) AS fp FROM documents WHERE doc_id % 2 = 1)
+    """WITH w AS (SELECT doc_id, lang, md5(text) AS fp FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), c AS (SELECT doc_id AS v, lang, md5(text) AS fp FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))
     SELECT w.doc_id, CASE WHEN count(*) OVER (PARTITION BY w.lang, w.fp) = 1 THEN m END AS cached FROM w LEFT JOIN (SELECT lang, fp, max(v) AS m FROM c GROUP BY ALL) b ON b.lang = w.lang AND b.fp = w.fp""",
 )
 def _(t):
-    rows = t.documents.select("doc_id", "lang", F.md5(F.substring("text", 1, 30)).alias("fp"))
-    cache = rows.where("doc_id % 2 = 1").select("lang", "fp", F.col("doc_id").alias("v"), F.col("doc_id").alias("cached"))
-    return J.cache_lookup(rows.where("doc_id % 2 = 0"), cache, ["lang"], "fp", ["v"], "cached").select("doc_id", "cached")
+    rows = t.documents.select("doc_id", "lang", F.md5("text").alias("fp"))
+    cache = rows.join(t.labels, "doc_id", "left_anti").select("lang", "fp", F.col("doc_id").alias("v"), F.col("doc_id").alias("cached"))
+    return J.cache_lookup(rows.join(t.labels, "doc_id", "left_semi"), cache, ["lang"], "fp", ["v"], "cached").select("doc_id", "cached")
 
 
 @query("D19_evidence_link", "SELECT o_orderkey, l_partkey FROM (SELECT o_orderkey, l_partkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC) AS rn FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate) WHERE rn = 1")

@@ -29,8 +29,8 @@ RANK = f"""WITH b AS (SELECT l_linestatus AS basis, n_name AS nation, l_suppkey
 
 @query("M05_rank", RANK)
 def rank(t):
-    named = t.supplier.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("entity"), F.col("n_name").alias("nation"))
-    rows = facts(t).where("field = 'R'").join(F.broadcast(named), "entity")
+    named = t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("entity"), F.col("n_name").alias("nation"))
+    rows = facts(t).where("field = 'R'").join(named, "entity")
     return Q.rank(rows, scope(t), "highest", ["basis", "nation"]).withColumn("best", F.col("best").cast("double"))
 
 

@@ -28,7 +28,7 @@ scalar("I02_normalize_lines", "documents", "doc_id", lambda: T.normalize_lines(F
 scalar("I03_normalize_money", "orders", "o_orderkey", lambda: T.normalize_money(F.concat(F.format_number("o_totalprice", 0), F.lit(" usd"))), "SELECT o_orderkey, CAST(CAST(round_even(o_totalprice, 0) AS BIGINT) AS VARCHAR) || ' USD' AS value FROM orders")
 scalar("I04_normalize_percentage", "lineitem", "l_orderkey", lambda: T.normalize_percentage(F.concat(F.format_string("%.2f", "l_discount"), F.lit(" %"))), "SELECT l_orderkey, CASE WHEN l_discount = 0 THEN '0' ELSE regexp_replace(printf('%.2f', l_discount), '0+$', '') END || '%' AS value FROM lineitem")
 scalar("I06_number_range", "part", "p_partkey", lambda: V.number_range(F.concat(F.col("p_size").cast("string"), F.lit("-25 months")))["low"].cast("double"), "SELECT p_partkey, CASE WHEN p_size <= 25 THEN CAST(p_size AS DOUBLE) END AS value FROM part")
-scalar("I07_comparison", "documents", "doc_id", lambda: V.comparison(F.col("text")), "SELECT doc_id, CASE regexp_extract(lower(text), '(more than|less than|at least|at most|up to|under|from|over)', 1) WHEN 'up to' THEN '<=' WHEN 'at most' THEN '<=' WHEN 'at least' THEN '>=' WHEN 'from' THEN '>=' WHEN 'over' THEN '>' WHEN 'more than' THEN '>' WHEN 'under' THEN '<' WHEN 'less than' THEN '<' END AS value FROM documents")
+scalar("I07_comparison", "documents", "doc_id", lambda: V.comparison(F.col("text")), "SELECT doc_id, CASE regexp_extract(lower(text), '(?:^|[^\\p{L}])(not more than|not less than|no more than|no less than|more than|less than|at least|at most|up to|under|from|over)(?:[^\\p{L}]|$)', 1) WHEN 'not more than' THEN '<=' WHEN 'no more than' THEN '<=' WHEN 'not less than' THEN '>=' WHEN 'no less than' THEN '>=' WHEN 'up to' THEN '<=' WHEN 'at most' THEN '<=' WHEN 'at least' THEN '>=' WHEN 'from' THEN '>=' WHEN 'over' THEN '>' WHEN 'more than' THEN '>' WHEN 'under' THEN '<' WHEN 'less than' THEN '<' END AS value FROM documents")
 scalar("I08_locale_decimal", "part", "p_partkey", lambda: T.locale_decimal(F.concat_ws(",", (F.col("p_size") % 4).cast("string"), F.format_string("%03d", "p_size"))).cast("double"), "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN p_size / 1000.0 ELSE (p_size % 4) * 1000.0 + p_size END AS value FROM part")
 scalar("I09_unit", "events", "event_id", lambda: V.unit(F.element_at(F.array(*[F.lit(x) for x in ("%", "usd", "Years", "EUR", "px")]), (F.col("event_id") % 5 + 1).cast("int"))), "SELECT event_id, ['percent', 'USD', 'year', 'EUR', 'PX'][event_id % 5 + 1] AS value FROM events")
 scalar(

@@ -59,10 +59,10 @@ def _(t):
     return ended(t, J.progress_sessions(events(t)), "complete")
 
 
-@query("N07_backlog_sweep", "SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+@query("N07_backlog_sweep", "SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
 def _(t):
     at = folder(t)
-    done = t.documents.where("doc_id % 2 = 0").select(F.col("doc_id").alias("vec_id"))
+    done = t.labels.select(F.col("doc_id").alias("vec_id"))
     return J.backlog_sweep(J.stream(t.spark, f"{t.sf_dir}/embeddings.parquet"), done, f"{at}/out", f"{at}/checkpoint")
 
 

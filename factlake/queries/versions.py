@@ -69,13 +69,13 @@ def _(t):
     return neighbours(t.lineitem.select("l_orderkey", "l_linenumber"), t.lineitem.where("l_quantity = 50"), "l_orderkey", "l_linenumber", 1).distinct()
 
 
-FUSE = """SELECT id, round(sum(p), 12) AS score FROM (SELECT doc_id AS id, 1.0 / (60 + row_number() OVER (ORDER BY n_chars DESC, doc_id)) AS p FROM documents WHERE doc_id < 500
-    UNION ALL SELECT vec_id, 0.7 / (60 + row_number() OVER (ORDER BY embedding[1] DESC, vec_id)) FROM embeddings) GROUP BY 1"""
+FUSE = """SELECT id, round(sum(w / (60 + n)), 12) AS score FROM (SELECT doc_id AS id, 1.0 AS w, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS n FROM documents
+    UNION ALL SELECT vec_id, 0.7, row_number() OVER (ORDER BY embedding[1] DESC, vec_id) FROM embeddings) WHERE n <= 1000 GROUP BY 1"""
 
 
 @query("F12_rank_fusion", FUSE)
 def _(t):
-    a = t.documents.where("doc_id < 500").select("doc_id", "n_chars")
+    a = t.documents.select("doc_id", "n_chars")
     b = t.embeddings.select("vec_id", F.col("embedding")[0].alias("s"))
     return R.reciprocal_ranks([(a, "doc_id", "n_chars", 1.0), (b, "vec_id", "s", 0.7)]).withColumn("score", F.round("score", 12))
 
@@ -193,10 +193,11 @@ def _(t):
     return V.upsert(old, new, ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
 
 
-@query("A11_insert_if_absent", "SELECT DISTINCT md5(text) AS digest FROM documents WHERE doc_id % 3 = 0 AND md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 3 = 1)")
+@query("A11_insert_if_absent", "SELECT DISTINCT md5(text) AS digest FROM documents WHERE NOT coalesce(lang = 'en', false) AND md5(text) NOT IN (SELECT md5(text) FROM documents WHERE lang = 'en')")
 def _(t):
-    rows = t.documents.select("doc_id", F.md5("text").alias("digest"))
-    return V.insert_if_absent(rows.where("doc_id % 3 = 1"), rows.where("doc_id % 3 = 0"), ["digest"]).select("digest")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    rows = t.documents.select("doc_id", F.md5("text").alias("digest"), english.alias("english"))
+    return V.insert_if_absent(rows.where("english").drop("english"), rows.where("not english").drop("english"), ["digest"]).select("digest")
 
 
 @query("A12_audit_rows", "SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, '{\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || '}' AS payload FROM events")

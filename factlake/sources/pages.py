@@ -37,6 +37,7 @@ class _Scan(HTMLParser):
         self.n_tables = 0
         self.link: list | None = None
         self.cell: list | None = None
+        self.open_cells: list[list] = []  # of the table and of those around it
 
     def _flush(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -73,7 +74,10 @@ class _Scan(HTMLParser):
             span = lambda k: int(values[k]) if (values.get(k) or "").isdigit() and 0 < int(values[k]) <= 1000 else 1
             self.cell = [t[0], max(0, t[1]), t[2], span("rowspan"), span("colspan"), tag == "th", []]
             t[2] += span("colspan")
+            if self.open_cells and self.open_cells[-1][0] == self.cell[0]:
+                self.open_cells.pop()  # a cell without an end tag
             self.cells.append(self.cell)
+            self.open_cells.append(self.cell)
 
     def handle_endtag(self, tag):
         if tag in _SILENT:
@@ -87,10 +91,14 @@ class _Scan(HTMLParser):
         if tag == "a" and self.link:
             self.links.append((len(self.links), self.link[0], " ".join("".join(self.link[1]).split())))
             self.link = None
-        if tag in ("td", "th"):
-            self.cell = None
+        if tag in ("td", "th") and self.open_cells and self.tables and self.open_cells[-1][0] == self.tables[-1][0]:
+            self.open_cells.pop()
         if tag == "table" and self.tables:
-            self.tables.pop()
+            closed = self.tables.pop()[0]
+            while self.open_cells and self.open_cells[-1][0] == closed:
+                self.open_cells.pop()
+        # the text after a nested table belongs to the cell that holds it
+        self.cell = self.open_cells[-1] if self.open_cells else None
 
     def handle_data(self, data):
         if self.silent:

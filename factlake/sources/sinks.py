@@ -24,13 +24,16 @@ def published(versions: DataFrame, entity: str, version: str) -> DataFrame:
 
 
 def publish(spark: SparkSession, rows: DataFrame, path: str, version: str) -> None:
-    """Writes a version beside the others, then flips the pointer file; readers see the old version or the new one."""
+    """Writes a version beside the others, then a pointer of its own; nothing that readers use is replaced.
+
+    The greatest pointer holds, so versions are named in rising order, such as by zero-padded numbers.
+    """
     rows.write.mode("overwrite").parquet(f"{path}/versions/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").parquet(f"{path}/pointers")
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:
-    version = spark.read.parquet(f"{path}/current").first()["version"]
+    version = spark.read.parquet(f"{path}/pointers").agg(F.max("version").alias("version")).first()["version"]
     return spark.read.parquet(f"{path}/versions/{version}")
 
 

@@ -104,7 +104,7 @@ def priced(df: DataFrame, prices: DataFrame) -> DataFrame:
     """Each event with the dated price in force: a stream joined with a static table."""
     p = prices.withColumnRenamed("event_type", "_pk")
     within = (F.col("event_type") == F.col("_pk")) & F.col("ts").cast("date").between(F.col("starts_on"), F.coalesce("ends_on", F.lit("9999-12-31").cast("date")))
-    return df.join(F.broadcast(p), within, "left").select("event_id", "event_type", "rate")
+    return df.join(p, within, "left").select("event_id", "event_type", "rate")
 
 
 def latest_state(df: DataFrame, path: str, keys: list[str], order: list[str], checkpoint: str) -> DataFrame:
@@ -115,7 +115,7 @@ def latest_state(df: DataFrame, path: str, keys: list[str], order: list[str], ch
     spark = df.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        old = read_published(spark, path) if _exists(spark, f"{path}/current") else batch.limit(0)
+        old = read_published(spark, path) if _exists(spark, f"{path}/pointers") else batch.limit(0)
         publish(spark, upsert(old, batch, keys, order), path, f"{number:08d}")
 
     df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
