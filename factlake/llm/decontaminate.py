@@ -16,6 +16,8 @@ WINDOW = 13
 GRAM = 5
 #: rows of fingerprints or ids that are broadcast at most (under 32 MB); beyond it the joins shuffle
 BROADCAST_ROWS = 1_000_000
+#: bytes of item words and hashes that are broadcast at most
+BROADCAST_BYTES = 32_000_000
 
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,6 +55,12 @@ def _if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def _items_if_small(items: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Item texts are broadcast by the bytes of their words and hashes."""
+    held = F.aggregate("item", F.lit(0), lambda n, w: n + F.octet_length(w)) + 24 * F.size("item") + 8 * F.size("kept") + 64
+    return F.broadcast(items) if (items.agg(F.sum(held)).first()[0] or 0) <= limit else items
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, percent: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_hit, items, contaminated, row_key) for every row of ``docs``; row_key is xxhash64(id, text).
 
@@ -81,7 +89,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     pairs = scratch.save(pairs.distinct(), "pairs")
 
     touched = source.join(_if_small(pairs.select("row_key").distinct()), "row_key", "left_semi").distinct()
-    near = touched.select("row_key", words_of(F.col("text")).alias("words")).join(pairs, "row_key").join(_if_small(items), "item_id")
+    near = touched.select("row_key", words_of(F.col("text")).alias("words")).join(pairs, "row_key").join(_items_if_small(items), "item_id")
     near = near.select("row_key", "item_id", "words", "item", "anchor", "kept", F.least(F.size("item"), F.lit(window)).alias("span"))
 
     def starts(words: Column, item: Column, span: Column, at: Column, q: Column, reach: Column) -> Column:

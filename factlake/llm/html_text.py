@@ -25,7 +25,7 @@ from factlake.llm.tables import map_rows, text_bytes
 
 # fixed values: elements of HTML by role
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SILENT = frozenset("script style noscript template head title svg iframe object canvas select textarea button audio video math".split())
+_SILENT = frozenset("script style noscript template head title svg iframe object canvas select textarea button audio video".split())
 _BLOCK = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr caption blockquote pre figure figcaption "
     "nav header footer aside form fieldset address details summary dialog center menu hgroup search".split()
@@ -66,6 +66,7 @@ def parse(page: str) -> list[Node]:
     """Block elements in page order, the root first; items of a node are its texts (text, in a link) and child nodes."""
     root = Node("html", None, "")
     nodes, stack, at, linked, size = [root], [("html", root)], 0, 0, len(page)
+    endless: set[str] = set()  # silent elements without an end tag from here on
     node = root
     while at < size:
         found = _TOKEN.search(page, at)
@@ -92,7 +93,11 @@ def parse(page: str) -> list[Node]:
             node, linked = stack[-1][1], 0
             continue
         if tag in _SILENT:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if tag == "svg" and found[3].endswith("/"):
+                continue
+            end = None if tag in endless else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if end is None:
+                endless.add(tag)
             if end is None and tag in ("head", "title", "button", "select", "object", "svg"):
                 continue
             at = end.end() if end else size

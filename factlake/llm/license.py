@@ -7,7 +7,7 @@ matching verifies the notice around each and reports its span.
 
 from __future__ import annotations
 
-from bisect import bisect
+from bisect import bisect, bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -60,6 +60,7 @@ class NoticeSearch:
         for piece, uses in seeds.items():
             self.seeds.add_word(piece, (len(piece), uses))
         self.seeds.make_automaton()
+        self.longest = max(length + edits for _, edits, length, _, _ in self.rules)
 
     def search(self, line: str) -> list[tuple[str, int, int, int, bool]]:
         """(label, start, end, edits, base) of every place, in order of start."""
@@ -85,8 +86,11 @@ class NoticeSearch:
                     kept.insert(at, (start, end))
                     out.add((label, start, end, edits, False))
         # of overlapping notices of different labels those with more edits than another go
-        better = lambda a, b: b[0] != a[0] and b[3] < a[3] and a[1] < b[2] and b[1] < a[2]
-        return sorted((a for a in out if a[4] or not any(better(a, b) for b in out)), key=lambda s: (s[1], s[2], s[0], s[4]))
+        better = lambda a, b: b[0] != a[0] and b[3] < a[3] and a[1] < b[2]
+        ordered = sorted(out, key=lambda s: (s[1], s[2], s[0], s[4]))
+        starts = [s[1] for s in ordered]
+        around = lambda a: ordered[bisect_left(starts, a[1] - self.longest) : bisect_left(starts, a[2])]
+        return [a for a in ordered if a[4] or not any(better(a, b) for b in around(a))]
 
 
 def normalised(data: bytes) -> tuple[bytes, int]:
@@ -95,6 +99,15 @@ def normalised(data: bytes) -> tuple[bytes, int]:
     return b" " + b" ".join(words) + b" " if words else b"", len(words)
 
 
+def _words_before(text: str, places: list[int]) -> dict[int, int]:
+    """How many spaces stand before each place, counted in one pass."""
+    out, n, last = {}, 0, 0
+    for p in sorted(set(places)):
+        n += text.count(" ", last, p)
+        out[p], last = n, p
+    return out
+
+
 def scan_licenses(docs: DataFrame, *, base=BASE, notices=NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, notices array of label, first_word, last_word, edits and base) for every row.
 
@@ -115,7 +128,9 @@ def scan_licenses(docs: DataFrame, *, base=BASE, notices=NOTICES, id_col: str =
                     line, n = normalised(data)
                     counts.append(n)
                     text = line.decode("latin-1")  # notices are ASCII; one character a byte is enough
-                    rows.append([{"label": label, "first_word": text.count(" ", 0, max(1, a + 1)) - 1, "last_word": text.count(" ", 0, max(1, b - 1)) - 1, "edits": edits, "base": own} for label, a, b, edits, own in search.search(text)])
+                    found = [(label, max(1, a + 1), max(1, b - 1), edits, own) for label, a, b, edits, own in search.search(text)]
+                    at = _words_before(text, [p for f in found for p in f[1:3]])
+                    rows.append([{"label": label, "first_word": at[a] - 1, "last_word": at[b] - 1, "edits": edits, "base": own} for label, a, b, edits, own in found])
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(rows, kind)], ["doc_id", "n_words", "notices"])
 
     return map_rows(source, run, "doc_id long, n_words long, notices array<struct<label:string,first_word:long,last_word:long,edits:int,base:boolean>>")

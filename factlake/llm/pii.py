@@ -7,6 +7,7 @@ ssn, and numbers named in the text as phone or account numbers) are kept from a
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -107,13 +108,21 @@ def all_spans(text: str) -> list[tuple[str, int, int, float]]:
     out = [(kind, a, b, context_score(text, kind, a)) for kind, a, b in base]
     if not _DIGIT.search(text):
         return out
-    taken = [(a, b) for _, a, b in base]
+    starts, ends = [], []  # of what is taken, in order, without overlaps
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for kind, pattern, valid in (("iban", _IBAN, lambda s: mod97(s.replace(" ", ""))), ("ssn", _SSN, lambda s: s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000"), ("account", _ACCOUNT, lambda s: True)):
         for m in pattern.finditer(text):
             a, b = m.span()
-            if valid(m.group()) and (score := context_score(text, kind, a)) >= LEAST_SCORE and not any(a < y and x < b for x, y in taken):
+            at = bisect_right(ends, a)
+            if valid(m.group()) and (score := context_score(text, kind, a)) >= LEAST_SCORE and (at == len(starts) or starts[at] >= b):
                 out.append((kind, a, b, score))
-                taken.append((a, b))
+                starts.insert(at, a)
+                ends.insert(at, b)
     return out
 
 

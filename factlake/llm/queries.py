@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from factlake.llm import sql
+from factlake.llm import pipeline, sql
 from factlake.llm.bpe import op1_byte_bpe
 from factlake.llm.decontaminate import op7_decontaminate
 from factlake.llm.embedding import op6_embedding_dedup
@@ -27,7 +25,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_quality": op10_quality,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 ORACLES = {"op5_substring_dedup": sql.SUBSTRING, "op7_decontaminate": sql.DECONTAMINATE}

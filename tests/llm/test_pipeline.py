@@ -46,4 +46,4 @@ def test_stages_keep_columns_and_take_nulls(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, FOLDER)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert corpus_pipeline.tokens(spark, docs, FOLDER).count() >= 2
+    assert dict(corpus_pipeline.STAGES)["tokens"](spark, docs, FOLDER).count() >= 2

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 
@@ -171,3 +172,24 @@ def test_html_frames(spark):
     got = {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}
     assert got[1] == got[2] == "" and got[None].startswith("Some real words")
     assert html_text.extract_text(df.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- large and hostile inputs
+
+
+def test_hostile_texts_take_time_in_proportion():
+    def seconds(work):
+        at = time.perf_counter()
+        work()
+        return time.perf_counter() - at
+
+    assert seconds(lambda: html_text.parse("<p>text</p><svg>" * 60_000)) < 20
+    assert seconds(lambda: pii.all_spans("ssn 123-45-6789 and 10.1.2.3 " * 20_000)) < 20
+    search = NoticeSearch()
+    assert seconds(lambda: search.search(" " + "all rights reserved licensed undr the mit license " * 3_000)) < 30
+
+
+def test_self_closed_pictures_and_formulas_keep_the_text():
+    nodes = html_text.parse("<article><p>one <svg viewBox='0'/> two <math><mi>x</mi></math> three</p><svg><text>no</text></svg></article>")
+    text = "".join(i[0] for n in nodes for i in n.items if isinstance(i, tuple))
+    assert "two" in text and "x" in text and "three" in text and "no" not in text
