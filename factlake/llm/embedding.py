@@ -2,8 +2,8 @@
 
 Equal vectors are one representative. Representatives are dealt to shards, each shard builds its
 graph in one task, and blocks of queries go to every shard. Beams widen for queries whose beam is
-full of links, and for the whole block until an audit against the shard's vectors passes, on each query's links and on its
-nearest vectors, itself left out. Found
+full of links, and for the whole block until an audit against the shard's vectors passes, on queries' links, themselves
+left out, and on planted vectors just above the threshold. Found
 pairs are verified by cosine in double precision; components are the union of links.
 """
 
@@ -23,9 +23,10 @@ from factlake.llm.tables import Scratch
 THRESHOLD = 0.9
 #: vectors of a shard (one graph in one task) and queries of a block
 SHARD, LEAST_SHARDS, BLOCK = 25_000, 4, 8_192
-BEAM, AUDIT, RECALL = 24, 48, 0.99
-#: an audit also asks for this mean share of each query's so many nearest vectors
-NEAREST, NEAREST_RECALL = 4, 0.9
+BEAM = 24
+#: queries of a block that are audited, and the mean recall asked of those with links; the same for planted ones
+AUDIT, RECALL = 256, 0.99
+PLANTED, PLANTED_RECALL = 64, 0.95
 _MARGIN = 1e-4  # single precision of the search
 
 
@@ -65,6 +66,34 @@ def found_links(graph: Graph, q: np.ndarray, threshold: float, beam: int) -> lis
     return out
 
 
+def _audited_beam(graph: Graph, unit: np.ndarray, own: np.ndarray, ids: np.ndarray, threshold: float) -> int:
+    """Doubles the beam until audits pass: mean recall over queries of the block that have links in the shard, themselves left out, and over planted ones.
+
+    A planted query is a vector of the shard turned to just above the threshold from it, the
+    hardest link there is, so a block without links is audited too.
+    """
+    pool = np.unique(np.linspace(0, len(own) - 1, AUDIT).astype(int))
+    sims = unit[pool] @ graph.x.T
+    sims[ids[None, :] == own[pool][:, None]] = -2
+    linked = (sims >= threshold).any(1)
+    rng = np.random.default_rng(len(ids))
+    x = graph.x[rng.permutation(len(ids))[:PLANTED]]
+    away = rng.standard_normal(x.shape).astype(np.float32)
+    away -= (away * x).sum(1, keepdims=True) * x
+    away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
+    near = min(1.0, threshold + 2 * _MARGIN)
+    planted = (near * x + np.sqrt(1 - near * near) * away).astype(np.float32)
+    queries = (unit[pool[linked]], planted)
+    truths = ([np.flatnonzero(r >= threshold) for r in sims[linked]], [np.flatnonzero(r >= threshold) for r in planted @ graph.x.T])
+    beam = BEAM
+    while beam < len(ids):
+        recalls = [np.mean([len(np.intersect1d(f, t)) / len(t) for f, t in zip(found_links(graph, q, threshold, beam), truth, strict=True) if len(t)] or [1.0]) for q, truth in zip(queries, truths, strict=True) if len(q)]
+        if all(r >= least for r, least in zip(recalls[::-1], (PLANTED_RECALL, RECALL), strict=False)):
+            break
+        beam *= 2
+    return beam
+
+
 def _search(threshold: float):
     def run(key, shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"vec_id": np.empty(0, np.int64), "other": np.empty(0, np.int64), "links": np.empty(0, np.int64)})
@@ -76,18 +105,7 @@ def _search(threshold: float):
         y = _stack(queries["embedding"])
         length = np.linalg.norm(y, axis=1)
         unit = (y / length[:, None]).astype(np.float32)
-        audit = np.unique(np.linspace(0, len(own) - 1, AUDIT).astype(int))
-        sims = unit[audit] @ graph.x.T
-        sims[ids[None, :] == own[audit][:, None]] = -2  # itself proves nothing
-        truth = [np.flatnonzero(row >= threshold) for row in sims]
-        # there are always nearest vectors, also where no query of the block has a link
-        near = np.argsort(-sims, axis=1)[:, : min(NEAREST, len(ids))]
-        mean = lambda found, of: np.mean([len(np.intersect1d(a, b)) / len(b) for a, b in zip(found, of, strict=True) if len(b)] or [1.0])
-        beam = BEAM
-        while beam < len(ids):
-            if mean(found_links(graph, unit[audit], threshold, beam), truth) >= RECALL and mean(graph.search(unit[audit], beam)[0], near) >= NEAREST_RECALL:
-                break
-            beam *= 2
+        beam = _audited_beam(graph, unit, own, ids, threshold)
         norms = np.linalg.norm(x, axis=1)
         counts = np.zeros(len(own), np.int64)
         # of the links found only a forest is passed on to the components
