@@ -114,3 +114,18 @@ def test_mentions_of_long_names(spark):
     names = spark.createDataFrame([("Bank of New York Mellon", 1), ("bank of new york", 2), ("New York", 3)], "name string, entity int")
     assert sorted((r["id"], r["entity"]) for r in mentions(texts, names, "id", "text").collect()) == [(1, 1), (1, 3), (2, 2), (2, 3)]
     assert mentions(texts, names.limit(0), "id", "text").count() == 0
+
+
+def test_text_after_a_nested_table_stays_in_its_cell():
+    from factlake.sources.pages import _scan
+
+    cells = _scan("<table><tr><td>before<table><tr><td>in<td>ner</table>after</td><td>next</td></tr></table>").cells
+    assert ["".join(c[6]) for c in cells] == ["beforeafter", "in", "ner", "next"]
+
+
+def test_comparison_phrases(spark):
+    from factlake.functions.values import comparison
+
+    given = [("not more than 5", "<="), ("not less than 5", ">="), ("more than 5", ">"), ("overdraft of 5", None), ("up to 5", "<=")]
+    got = spark.createDataFrame(given, "t string, want string").select("want", comparison(F.col("t")).alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in got)
