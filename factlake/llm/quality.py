@@ -1,16 +1,17 @@
 """Operator 10: quality classifier by Bradley-Terry pairwise ranking.
 
-Labelled documents give preference pairs (a good one over a bad one). A linear score of text
-features is learned by logistic loss on the pairs' feature differences. The cut between good and
-bad is the quantile of the labelled scores that classifies them best; scores are then put on
-0..1 so that this cut is 0.7.
+Labelled documents give preference pairs (a good one over a bad one). A linear score is learned
+by logistic loss on the pairs' feature differences. Features are hashed words and pairs of words,
+hashed runs of three bytes, both as square roots of shares, so that the length of a text does not
+matter, and a few measures of form. The cut between good and bad is the quantile of the labelled
+scores that classifies them best; scores are then put on 0..1 so that this cut is 0.7.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import numpy as np
@@ -18,12 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm.tables import map_rows, pieces, text_bytes
+from factlake.llm.hashing import _U, SPACE_SEPARATORS, _mix, hash_words, small_chunks
+from factlake.llm.tables import map_rows, text_bytes
 
 #: Labelled rows the ranking is learned from at most, the first by a hash of their id.
 TRAINING_ROWS = 20_000
-#: Preferred documents each bad document is paired with at most.
+#: Preferred documents each bad document of these rows is paired with at most, drawn with a fixed seed.
 PARTNERS = 40
+#: Buckets of words and pairs of words, and of runs of three bytes.
+WORD_BUCKETS, BYTE_BUCKETS = 512, 256
 CUT = 0.7
 HELD_OUT_OF, HELD_OUT = 4, 2
 
@@ -32,6 +36,7 @@ _LETTERS = bytes((*range(65, 91), *range(97, 123)))
 _DIGITS = bytes(range(48, 58))
 _PLAIN = bytes(b for b in range(256) if b >= 128 or chr(b).isalnum() or chr(b) in " \t\n\r.,;:'\"-()?")
 FEATURES = ("symbols", "symbols_any", "upper", "shouting", "bars", "repeats", "vocabulary", "distinct", "top_word", "digits", "word_length", "same_lines")
+SIZE = len(FEATURES) + WORD_BUCKETS + BYTE_BUCKETS
 
 
 def features(data: bytes) -> list[float]:
@@ -61,23 +66,66 @@ def features(data: bytes) -> list[float]:
     ]
 
 
-def fit_ranking(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, seed: int = 7) -> tuple[np.ndarray, float]:
+def _shares(owner: np.ndarray, hashes: np.ndarray, rows: int, buckets: int) -> np.ndarray:
+    n = np.bincount(owner * buckets + (hashes % _U(buckets)).astype(np.int64), minlength=rows * buckets).reshape(rows, buckets)
+    return np.sqrt(n / np.maximum(1, n.sum(1, keepdims=True)))
+
+
+def grams(docs: list[bytes]) -> np.ndarray:
+    """A row for each text: roots of the shares of its hashed words and word pairs, then of its runs of three bytes."""
+    words, counts = hash_words(docs, SPACE_SEPARATORS, lower=True)
+    owner = np.repeat(np.arange(len(docs)), counts)
+    data = np.frombuffer(b"".join(docs), np.uint8).astype(_U)
+    of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    with np.errstate(over="ignore"):
+        pairs = _mix(words[:-1] * _U(3) + words[1:])
+        runs = _mix((data[:-2] << _U(16)) + (data[1:-1] << _U(8)) + data[2:] + _U(1))
+    inside, whole = owner[:-1] == owner[1:], of[:-2] == of[2:]
+    by_word = _shares(np.concatenate((owner, owner[:-1][inside])), np.concatenate((words, pairs[inside])), len(docs), WORD_BUCKETS)
+    return np.concatenate((by_word, _shares(of[:-2][whole], runs[whole], len(docs), BYTE_BUCKETS)), 1)
+
+
+def measures(docs: list[bytes]) -> np.ndarray:
+    """All features of texts, a row each; all 0 for an empty text."""
+    return np.concatenate((np.array([features(d) for d in docs], np.float64).reshape(-1, len(FEATURES)), grams(docs)), 1)
+
+
+def _solve(product: Callable[[np.ndarray], np.ndarray], target: np.ndarray, steps: int = 50) -> np.ndarray:
+    """Conjugate gradients."""
+    out, rest = np.zeros_like(target), target.copy()
+    direction, size = rest.copy(), rest @ rest
+    least = 1e-8 * size
+    for _ in range(steps):
+        if size <= least:
+            break
+        image = product(direction)
+        step = size / (direction @ image)
+        out += step * direction
+        rest -= step * image
+        size, before = rest @ rest, size
+        direction = rest + size / before * direction
+    return out
+
+
+def fit_ranking(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, seed: int = 7, partners: int = PARTNERS) -> tuple[np.ndarray, float]:
     """(weights, cut): Newton steps on the logistic loss of feature differences; then the best score quantile."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         return np.zeros(x.shape[1]), 0.0
     rng = np.random.default_rng(seed)
-    per = min(PARTNERS, len(good))
-    preferred = rng.choice(good, (len(bad), per))
+    per = min(partners, len(good))
     # every good document is in a pair as well
-    also = rng.choice(bad, len(good))
-    d = np.concatenate((x[preferred.ravel()] - x[np.repeat(bad, per)], x[good] - x[also]))
+    better = np.concatenate((rng.choice(good, (len(bad), per)).ravel(), good))
+    worse = np.concatenate((np.repeat(bad, per), rng.choice(bad, len(good))))
+    ahead = lambda v: (s := x @ v)[better] - s[worse]
+    back = lambda c: (np.bincount(better, c, len(x)) - np.bincount(worse, c, len(x))).astype(x.dtype) @ x / len(better)
     w = np.zeros(x.shape[1])
     for _ in range(30):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w)), d.T @ p / len(d) - ridge * w)
+        p = 1 / (1 + np.exp(np.clip(ahead(w.astype(x.dtype)), -40, 40)))
+        slope = p * (1 - p)
+        step = _solve(lambda v, c=slope: back(c * ahead(v.astype(x.dtype))) + ridge * v, back(p) - ridge * w)
         w += step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-3:
             break
     score = x @ w
     order = np.argsort(score, kind="stable")
@@ -97,14 +145,15 @@ def place(score: np.ndarray, cut: float) -> np.ndarray:
 
 def _measure(weights=None, cut: float = 0.0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            x = np.array([features(t) for t in batch.column(batch.num_columns - 1).to_pylist()], np.float64).reshape(-1, len(FEATURES))
-            kept = [batch.column(k) for k in range(batch.num_columns - 1)]
-            if weights is None:
-                made = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
-            else:
-                made = pa.array(place(x @ weights, cut))
-            yield pa.RecordBatch.from_arrays([*kept, made], [*batch.schema.names[:-1], "made"])
+        for batch in batches:
+            for at, docs in small_chunks(list(range(batch.num_rows)), batch.column(batch.num_columns - 1)):
+                x = measures(docs)
+                if weights is None:
+                    made = pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())
+                else:
+                    made = pa.array(place(x @ weights, cut))
+                kept = batch.slice(at[0], len(at)).columns[:-1]
+                yield pa.RecordBatch.from_arrays([*kept, made], [*batch.schema.names[:-1], "made"])
 
     return run
 
@@ -113,17 +162,18 @@ def held_out(key):
     return F.crc32(key.cast("string")) % HELD_OUT_OF == HELD_OUT
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, training_rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, float]:
-    """(weights, cut) from labelled documents that are not held out, at most ``training_rows`` labels."""
+def learn(docs: DataFrame, labels: DataFrame, *, training_rows: int = TRAINING_ROWS, partners: int = PARTNERS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, float]:
+    """(weights, cut) from labelled documents that are not held out: at most ``training_rows`` labels and ``partners`` pairs of a bad one."""
     chosen = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(~held_out(F.col("doc_id")))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(training_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    p = map_rows(rows, _measure(), "doc_id long, label int, made array<double>").drop("doc_id").toPandas()
-    x = np.array(p["made"].tolist(), np.float64).reshape(-1, len(FEATURES))
-    return fit_ranking(x, p["label"].to_numpy())
+    p = map_rows(rows, _measure(), "doc_id long, label int, made binary").drop("doc_id").toPandas()
+    y = p["label"].to_numpy()
+    x = np.frombuffer(b"".join(p.pop("made")), np.float16).reshape(-1, SIZE).astype(np.float32)
+    return fit_ranking(x, y, partners=partners)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, *, training_rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, *, training_rows: int = TRAINING_ROWS, partners: int = PARTNERS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``.
 
     Only the text enters a score. Empty and null texts have all measures 0. Without labels of
@@ -131,7 +181,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, training_rows: int = TR
     through, with held_out false; ids and labels outside 0 and 1 or null are not learned from.
     Repeated rows each give a row, other columns are ignored, an empty table gives an empty result.
     """
-    weights, cut = learn(docs, labels, training_rows=training_rows, id_col=id_col, text_col=text_col, label_col=label_col)
+    weights, cut = learn(docs, labels, training_rows=training_rows, partners=partners, id_col=id_col, text_col=text_col, label_col=label_col)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
     scored = map_rows(source, _measure(weights, cut), "doc_id long, made double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("made").alias("score"), (F.col("made") >= CUT).cast("int").alias("predicted"))
@@ -144,9 +194,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            x = np.array([features((t or "").encode()) for t in batch.column(at).to_pylist()], np.float64).reshape(-1, len(FEATURES))
-            yield batch.filter(pa.array(place(x @ weights, cut) >= CUT))
+        for batch in batches:
+            for rows, docs in small_chunks(list(range(batch.num_rows)), batch.column(at).cast(pa.binary())):
+                yield batch.slice(rows[0], len(rows)).filter(pa.array(place(measures(docs) @ weights, cut) >= CUT))
 
     return map_rows(docs, run, docs.schema)
 

@@ -1,13 +1,14 @@
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 
 from factlake.llm import html_text, pii
 from factlake.llm.license import NoticeSearch, normalised, scan_licenses
 from factlake.llm.lm_score import score_language
-from factlake.llm.quality import FEATURES, features, fit_ranking, held_out, score_quality
+from factlake.llm.quality import CUT, FEATURES, SIZE, features, fit_ranking, grams, held_out, learn, measures, place, score_quality
 from tests.llm import brute
 
 # ---------------------------------------------------------------- personal data
@@ -93,6 +94,47 @@ def test_ranking_separates_and_orders():
     assert fit_ranking(x, np.ones(400, int))[1] == 0.0
 
 
+def test_ranking_weights_are_the_loss_minimum():
+    rng = np.random.default_rng(2)
+    x, y = rng.random((60, 9)), np.r_[np.ones(35, int), np.zeros(25, int)]
+    w, _ = fit_ranking(x, y, ridge=1e-2, partners=10_000)
+    draws = np.random.default_rng(7)
+    pairs = [(i, b) for b, row in zip(range(35, 60), draws.choice(np.arange(35), (25, 35)), strict=True) for i in row]
+    pairs += list(zip(range(35), draws.choice(np.arange(35, 60), 35), strict=True))
+    loss = lambda v: np.mean([np.log1p(np.exp(-(x[i] - x[b]) @ v)) for i, b in pairs]) + 0.005 * v @ v
+    for k in range(9):
+        for d in (-0.05, 0.05):
+            assert loss(w) < loss(w + d * np.eye(9)[k])
+
+
+def test_quality_features_against_plain_counts():
+    texts = [b"", b"a", b"One two  two\nONE", "é b! ".encode() * 40, b" \n ", b"ab"]
+    got = measures(texts)
+    assert got.shape == (len(texts), SIZE)
+    for k, t in enumerate(texts):
+        words = t.lower().split()
+        assert np.allclose(got[k, : len(FEATURES)], features(t)) and np.array_equal(got[k], measures([t])[0])
+        runs = {bytes(t[i : i + 3]) for i in range(len(t) - 2)}
+        by_word, by_byte = grams([t])[0][:512] ** 2, grams([t])[0][512:] ** 2
+        assert np.isclose(by_word.sum(), bool(words)) and np.isclose(by_byte.sum(), bool(runs))
+        n = 2 * len(words) - 1
+        assert (by_word > 0).sum() <= len(set(words)) + len(set(zip(words, words[1:], strict=False))) and np.allclose(by_word * n, np.round(by_word * n))
+        assert (by_byte > 0).sum() <= len(runs)
+
+
+def test_quality_query_against_plain_scores(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    long = "plain words that go on " * 40_000
+    extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, long), (-3, long), (None, "! | !")], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(extra).selectExpr("*", "'x' as made", "1 as held_out", "2 as label", "3 as score")
+    w, cut = learn(docs, labels)
+    want = sorted((r["doc_id"] or 0, round(float(place(measures([(r["text"] or "").encode()]) @ w, cut)[0]), 9)) for r in docs.collect())
+    got = score_quality(docs, labels).collect()
+    assert sorted((r["doc_id"] or 0, round(r["score"], 9)) for r in got) == want
+    assert all(r["predicted"] == int(r["score"] >= CUT) and r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+
+
 def test_quality_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
