@@ -28,6 +28,8 @@ TRAINING_ROWS = 20_000
 PARTNERS = 40
 #: Buckets of words and pairs of words, and of runs of three bytes.
 WORD_BUCKETS, BYTE_BUCKETS = 512, 256
+#: Bytes of text measured at once.
+MEASURED_BYTES = 200_000
 CUT = 0.7
 HELD_OUT_OF, HELD_OUT = 4, 2
 
@@ -66,23 +68,33 @@ def features(data: bytes) -> list[float]:
     ]
 
 
-def _shares(owner: np.ndarray, hashes: np.ndarray, rows: int, buckets: int) -> np.ndarray:
-    n = np.bincount(owner * buckets + (hashes % _U(buckets)).astype(np.int64), minlength=rows * buckets).reshape(rows, buckets)
+def _rooted(n: np.ndarray) -> np.ndarray:
     return np.sqrt(n / np.maximum(1, n.sum(1, keepdims=True)))
 
 
+def _byte_runs(text: bytes, block: int = 1 << 16) -> np.ndarray:
+    """How many runs of three bytes fall in each bucket; a long text is counted in blocks."""
+    out = np.zeros(BYTE_BUCKETS, np.int64)
+    data = np.frombuffer(text, np.uint8)
+    for k in range(0, len(data) - 2, block):
+        d = data[k : k + block + 2].astype(np.uint32)
+        mixed = d[:-2] * np.uint32(0x9E3779B1) + d[1:-1] * np.uint32(0x85EBCA77) + d[2:] * np.uint32(0xC2B2AE3D)
+        out += np.bincount((mixed >> np.uint32(16)) % np.uint32(BYTE_BUCKETS), minlength=BYTE_BUCKETS)
+    return out
+
+
 def grams(docs: list[bytes]) -> np.ndarray:
     """A row for each text: roots of the shares of its hashed words and word pairs, then of its runs of three bytes."""
     words, counts = hash_words(docs, SPACE_SEPARATORS, lower=True)
     owner = np.repeat(np.arange(len(docs)), counts)
-    data = np.frombuffer(b"".join(docs), np.uint8).astype(_U)
-    of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     with np.errstate(over="ignore"):
         pairs = _mix(words[:-1] * _U(3) + words[1:])
-        runs = _mix((data[:-2] << _U(16)) + (data[1:-1] << _U(8)) + data[2:] + _U(1))
-    inside, whole = owner[:-1] == owner[1:], of[:-2] == of[2:]
-    by_word = _shares(np.concatenate((owner, owner[:-1][inside])), np.concatenate((words, pairs[inside])), len(docs), WORD_BUCKETS)
-    return np.concatenate((by_word, _shares(of[:-2][whole], runs[whole], len(docs), BYTE_BUCKETS)), 1)
+    inside = owner[:-1] == owner[1:]
+    n = np.zeros(len(docs) * WORD_BUCKETS, np.int64)
+    for of, hashes in ((owner, words), (owner[:-1][inside], pairs[inside])):
+        n += np.bincount(of * WORD_BUCKETS + (hashes % _U(WORD_BUCKETS)).astype(np.int64), minlength=len(n))
+    by_byte = np.array([_byte_runs(d) for d in docs]).reshape(-1, BYTE_BUCKETS)
+    return np.concatenate((_rooted(n.reshape(-1, WORD_BUCKETS)), _rooted(by_byte)), 1)
 
 
 def measures(docs: list[bytes]) -> np.ndarray:
@@ -146,7 +158,7 @@ def place(score: np.ndarray, cut: float) -> np.ndarray:
 def _measure(weights=None, cut: float = 0.0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, docs in small_chunks(list(range(batch.num_rows)), batch.column(batch.num_columns - 1)):
+            for at, docs in small_chunks(list(range(batch.num_rows)), batch.column(batch.num_columns - 1), MEASURED_BYTES, 64):
                 x = measures(docs)
                 if weights is None:
                     made = pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())
@@ -195,7 +207,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, docs in small_chunks(list(range(batch.num_rows)), batch.column(at).cast(pa.binary())):
+            for rows, docs in small_chunks(list(range(batch.num_rows)), batch.column(at).cast(pa.binary()), MEASURED_BYTES, 64):
                 yield batch.slice(rows[0], len(rows)).filter(pa.array(place(measures(docs) @ weights, cut) >= CUT))
 
     return map_rows(docs, run, docs.schema)
