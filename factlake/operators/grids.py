@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,11 +28,37 @@ def header_rows(cells: DataFrame) -> DataFrame:
     return rows.withColumn("header", before == 1).drop("_h")
 
 
-def column_headers(cells: DataFrame) -> DataFrame:
-    """(table_id, col, path): stacked headers of a column joined by ' / ', repeats once."""
+def _header_lists(cells: DataFrame) -> DataFrame:
+    """(table_id, col, heads): stacked headers of a column, repeats once."""
     heads = cells.join(header_rows(cells).where("header").select("table_id", "row"), ["table_id", "row"])
     ordered = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda s: s["text"]))
-    return heads.groupBy("table_id", "col").agg(F.array_join(ordered, " / ").alias("path"))
+    return heads.groupBy("table_id", "col").agg(ordered.alias("heads"))
+
+
+def column_headers(cells: DataFrame) -> DataFrame:
+    """(table_id, col, path): stacked headers of a column joined by ' / ', repeats once."""
+    return _header_lists(cells).select("table_id", "col", F.array_join("heads", " / ").alias("path"))
+
+
+def _common_start(a: Column, b: Column) -> Column:
+    shorter = F.least(F.size(a), F.size(b))
+    places = F.when(shorter > 0, F.sequence(F.lit(1), shorter)).otherwise(F.array().cast("array<int>"))
+    return F.slice(a, 1, F.size(F.filter(places, lambda i: F.slice(a, 1, i) == F.slice(b, 1, i))))
+
+
+def cell_paths(cells: DataFrame) -> DataFrame:
+    """(table_id, row, col, path) of body cells with text: the headers that all columns it covers begin with, joined by ' / '.
+
+    Label columns have no headers of their own; cells with nothing in common to their columns go.
+    """
+    grid = fill_spans(cells)
+    body = cells.where(F.trim("text") != "").join(header_rows(cells).where("not header").select("table_id", "row"), ["table_id", "row"])
+    covered = body.select("table_id", "row", "col", F.explode(F.sequence(F.col("col"), F.col("col") + F.col("colspan") - 1)).alias("_c"))
+    named = covered.join(_header_lists(grid).withColumnRenamed("col", "_c"), ["table_id", "_c"], "left").join(stub_width(grid), "table_id", "left")
+    heads = F.when(F.col("_c") >= F.coalesce("width", F.lit(0)), F.col("heads"))
+    lists = named.groupBy("table_id", "row", "col").agg(F.collect_list(F.coalesce(heads, F.array().cast("array<string>"))).alias("_l"))
+    path = F.array_join(F.aggregate("_l", F.col("_l")[0], _common_start), " / ")
+    return lists.select("table_id", "row", "col", path.alias("path")).where("path <> ''")
 
 
 def stub_width(cells: DataFrame) -> DataFrame:
@@ -66,6 +92,18 @@ def sections(grid: DataFrame) -> DataFrame:
     return grid.join(marked.select("table_id", "row", "section"), ["table_id", "row"])
 
 
+def carried_sections(rows: DataFrame, table: str, order: list[str], section: str, sub: str, anchor: str) -> DataFrame:
+    """Adds path: the last section above, and the last sub-section since then while the row stands beside the same anchor cell.
+
+    ``section`` and ``sub`` hold a text in the rows that open one, else null; null where neither is open.
+    """
+    w = Window.partitionBy(table).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    opened = rows.withColumn("_n", F.count(section).over(w)).withColumn("_s", F.last(section, ignorenulls=True).over(w))
+    below = F.last(F.when(F.col(sub).isNotNull(), F.struct(F.col(sub).alias("t"), F.col(anchor).alias("a"), F.col("_n").alias("n"))), ignorenulls=True).over(w)
+    part = F.when((F.col("_u.n") == F.col("_n")) & F.col("_u.a").eqNullSafe(F.col(anchor)), F.col("_u.t"))
+    return opened.withColumn("_u", below).withColumn("path", F.nullif(F.concat_ws(" > ", "_s", part), F.lit(""))).drop("_n", "_s", "_u")
+
+
 def row_records(grid: DataFrame) -> DataFrame:
     """(table_id, row, record): 'column path: value' of the body cells, in column order."""
     heads = header_rows(grid)

@@ -48,6 +48,23 @@ def _(t):
     return G.column_headers(G.fill_spans(cells(t))).select("table_id", F.col("col").cast("long").alias("col"), "path")
 
 
+@query("J04_cell_paths", f"""WITH l AS (SELECT *, label IS DISTINCT FROM lag(label) OVER (PARTITION BY table_id ORDER BY row) AS opens, bool_or(regexp_matches(label, '[0-9]')) OVER (PARTITION BY table_id) AS headed FROM {LINES})
+    SELECT table_id, row, col, CASE col WHEN 0 THEN 'Flag' WHEN 1 THEN 'Amount ' || s || ' / Quantity' ELSE 'Amount ' || s || ' / Discount' END AS path FROM l JOIN {ORDERS} USING (table_id), (VALUES (0::BIGINT), (1), (2)) v(col) WHERE col > 0 OR (opens AND headed)""")
+def _(t):
+    return G.cell_paths(cells(t)).select("table_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "path")
+
+
+@query("F04_carried_sections", """WITH e AS (SELECT user_id, event_id, ts, CAST(ts AS DATE) AS d, CASE WHEN event_type = 'purchase' THEN props END AS section, CASE WHEN event_type = 'error' THEN 'error ' || event_id END AS sub FROM events),
+    n AS (SELECT *, count(section) OVER w AS k, last_value(section IGNORE NULLS) OVER w AS s, last_value(CASE WHEN sub IS NOT NULL THEN event_id END IGNORE NULLS) OVER w AS u FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT n.user_id, n.event_id, nullif(concat_ws(' > ', n.s, CASE WHEN o.k = n.k AND o.d = n.d THEN o.sub END), '') AS path FROM n LEFT JOIN n o ON o.event_id = n.u AND o.user_id = n.user_id WHERE n.section IS NULL AND n.sub IS NULL""")
+def _(t):
+    kind = F.col("event_type")
+    ts = F.col("ts").cast("timestamp")
+    rows = t.events.select("user_id", "event_id", ts.alias("ts"), ts.cast("date").alias("day"), F.when(kind == "purchase", F.col("props")).alias("section"), F.when(kind == "error", F.concat(F.lit("error "), F.col("event_id").cast("string"))).alias("sub"))
+    out = G.carried_sections(rows, "user_id", ["ts", "event_id"], "section", "sub", "day")
+    return out.where("section is null and sub is null").select("user_id", "event_id", "path")
+
+
 @query("J05_stub_width", "SELECT l_orderkey AS table_id, CAST(CASE WHEN bool_and(l_linestatus = 'O') THEN 1 ELSE 0 END AS BIGINT) AS width FROM lineitem GROUP BY 1")
 def _(t):
     return G.stub_width(G.trimmed(G.fill_spans(cells(t))))
@@ -279,7 +296,9 @@ def _(t):
     return rows.where((F.col("prev_value") > 0) & (F.col("value") <= F.col("prev_value") * 0.5)).select("event_id")
 
 
-@query("L17_cascading_baseline")
+@query("L17_cascading_baseline", """WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    f AS (SELECT user_id, event_id, n, value AS base, TRUE AS passed, NULL::DOUBLE AS baseline FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN NOT f.base > 0 OR e.value > f.base * 0.5 THEN e.value ELSE f.base END, NOT f.base > 0 OR e.value > f.base * 0.5, f.base FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+    SELECT user_id, event_id, passed, baseline FROM f""")
 def _(t):
     return P.baseline_gate(t.events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value"), "user_id", "event_id", "value", 0.5)
 

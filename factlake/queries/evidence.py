@@ -11,6 +11,7 @@ from factlake.operators import joins as J
 from factlake.operators import versions as W
 from factlake.queries import query
 from factlake.queries.documents import COS, GRID, INDEX, LINES, RECORDS, cells, index
+from factlake.queries.streams import SILENT, folder
 
 
 @query("I05_scalars")
@@ -147,12 +148,9 @@ def _(t):
 
 @query("A14_report", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
 def _(t):
-    import tempfile
-    import uuid
-
     from factlake.sources.sinks import write_report
 
-    at = (t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="factlake-")) + "/report-" + uuid.uuid4().hex
+    at = folder(t, "report")
     write_report({"runs": t.orders.groupBy("o_orderstatus").agg(F.count("*").alias("n")), "other": t.orders.limit(1)}, at, "runs")
     return t.spark.read.schema("o_orderstatus string, n long").json(f"{at}/runs")
 
@@ -213,7 +211,7 @@ def _(t):
     return heads.join(t.pages.select("page_id", "url"), "page_id").where(~F.contains(F.lower("url"), F.lower("name"))).select("page_id", "name")
 
 
-@query("N09_freshness_alerts")
+@query("N09_freshness_alerts", SILENT.format(days=2))
 def _(t):
     from factlake.queries.streams import ended, events
     from factlake.streaming.jobs import silent_keys

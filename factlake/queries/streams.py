@@ -13,9 +13,12 @@ from factlake.streaming import jobs as J
 K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
 
-def folder(t) -> str:
-    """The cluster's shared folder; a temporary one only where it is unset."""
-    return (t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="factlake-")) + "/streams-" + uuid.uuid4().hex
+def folder(t, kind: str = "streams") -> str:
+    """A folder of its own in the cluster's shared one; a temporary one only on a single machine that names none."""
+    shared = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not t.spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (shared or "file://" + tempfile.mkdtemp(prefix="factlake-")) + f"/{kind}-" + uuid.uuid4().hex
 
 
 def events(t):
@@ -37,18 +40,30 @@ def _(t):
     return ended(t, J.first_of_key(rows, ["user_id", "k"]).select("user_id", "k"), "append")
 
 
+#: keys silent for some days at the watermark, a day behind the newest event
+SILENT = "SELECT user_id, epoch_us(max(ts)) AS last FROM events GROUP BY user_id HAVING max(ts) + INTERVAL {days} DAY < (SELECT max(ts) FROM events) - INTERVAL 1 DAY"
+
+
 @query("N03_daily_totals", f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS stage, count(*) AS n, CAST(sum({K}) AS BIGINT) AS tokens FROM events GROUP BY ALL")
 def _(t):
     out = ended(t, J.daily_totals(events(t)), "complete")
     return out
 
 
-@query("N04_silent_keys")
+@query("N03_closed_days", f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS stage, count(*) AS n, CAST(sum({K}) AS BIGINT) AS tokens FROM events WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY GROUP BY ALL")
+def _(t):
+    # append mode: a day comes out, and its state goes, once the watermark has passed it
+    return ended(t, J.daily_totals(events(t)), "append")
+
+
+@query("N04_silent_keys", SILENT.format(days=1))
 def _(t):
     return ended(t, J.silent_keys(events(t), 1), "update")
 
 
-@query("N05_gated_baseline")
+@query("N05_gated_baseline", """WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    f AS (SELECT user_id, event_id, n, value AS base, TRUE AS passed FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN NOT f.base > 0 OR e.value > f.base * 0.5 THEN e.value ELSE f.base END, NOT f.base > 0 OR e.value > f.base * 0.5 FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+    SELECT user_id, event_id, passed FROM f""")
 def _(t):
     return ended(t, J.gated_baseline(events(t)), "update")
 
@@ -59,6 +74,12 @@ def _(t):
     return ended(t, J.progress_sessions(events(t)), "complete")
 
 
+@query("N06_closed_sessions", """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM e)
+    SELECT user_id, epoch_us(min(ts)) AS begun, count(*) AS events FROM s GROUP BY user_id, s HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
+def _(t):
+    return ended(t, J.progress_sessions(events(t)), "append")
+
+
 @query("N07_backlog_sweep", "SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
 def _(t):
     at = folder(t)

@@ -129,3 +129,26 @@ def test_comparison_phrases(spark):
     given = [("not more than 5", "<="), ("not less than 5", ">="), ("more than 5", ">"), ("overdraft of 5", None), ("up to 5", "<=")]
     got = spark.createDataFrame(given, "t string, want string").select("want", comparison(F.col("t")).alias("got")).collect()
     assert all(r["want"] == r["got"] for r in got)
+
+
+def test_cell_paths_take_what_all_covered_columns_share(spark):
+    from factlake.operators import grids as G
+
+    rows = [
+        ("t", 0, 0, 2, 1, "Name", True), ("t", 0, 1, 1, 2, "Rate", True), ("t", 0, 3, 2, 1, "Fee", True), ("t", 1, 1, 1, 1, "From", True), ("t", 1, 2, 1, 1, "To", True),
+        ("t", 2, 0, 1, 1, "Basic", False), ("t", 2, 1, 1, 2, "5%", False), ("t", 2, 3, 1, 1, "10", False),
+        ("t", 3, 0, 1, 1, "Plus", False), ("t", 3, 1, 1, 1, "4%", False), ("t", 3, 2, 1, 2, "free 1", False), ("u", 0, 0, 1, 1, "no header 1", False),
+    ]
+    cells = spark.createDataFrame([(*r, False) for r in rows], "table_id string, row int, col int, rowspan int, colspan int, text string, is_header boolean, bold boolean")
+    got = {(r["table_id"], r["row"], r["col"]): r["path"] for r in G.cell_paths(cells).collect()}
+    assert got == {("t", 2, 1): "Rate", ("t", 2, 3): "Fee", ("t", 3, 1): "Rate / From"}
+    assert G.cell_paths(cells.limit(0)).count() == 0
+
+
+def test_sections_are_carried_until_the_anchor_changes(spark):
+    from factlake.operators import grids as G
+
+    rows = [(0, None, None, "a"), (1, "S", None, "a"), (2, None, None, "a"), (3, None, "sub", "b"), (4, None, None, "b"), (5, None, None, "c"), (6, None, "x", "c"), (7, "T", None, "c"), (8, None, None, "c")]
+    df = spark.createDataFrame([("t", *r) for r in rows], "t string, n int, section string, sub string, anchor string")
+    got = {r["n"]: r["path"] for r in G.carried_sections(df, "t", ["n"], "section", "sub", "anchor").collect()}
+    assert [got[n] for n in (0, 2, 4, 5, 8)] == [None, "S", "S > sub", "S", "T"]
