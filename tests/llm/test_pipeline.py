@@ -47,3 +47,16 @@ def test_stages_keep_columns_and_take_nulls(spark):
         docs = stage(spark, docs, FOLDER)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert dict(corpus_pipeline.STAGES)["tokens"](spark, docs, FOLDER).count() >= 2
+
+
+def test_stages_take_clashing_columns_and_empty_tables(spark):
+    names = ("component_id", "n_shingles", "row_key", "made", "label", "score", "key", "sig", "node", "hash")
+    docs = spark.createDataFrame([(k, f"Plain words stand here in row {k // 2}. " + "They go on as texts do, one after another, until the end. " * 4, "en", "s", 9, *["x"] * len(names)) for k in range(6)] + [(None, None, None, None, None, *[None] * len(names))], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names))
+    empty, columns = docs.limit(0), docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        ids = sorted(r["doc_id"] for r in docs.where("doc_id is not null").collect())
+        docs, empty = stage(spark, docs, FOLDER), stage(spark, empty, FOLDER)
+        assert docs.columns == empty.columns == columns and empty.count() == 0, name
+        if name == "near_duplicates":
+            assert sorted(r["doc_id"] for r in docs.where("doc_id is not null").collect()) == sorted({k // 2: k for k in reversed(ids)}.values())
+    dict(corpus_pipeline.STAGES)["tokens"](spark, empty, FOLDER).collect()
