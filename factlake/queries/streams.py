@@ -16,7 +16,7 @@ K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 def folder(t, kind: str = "streams") -> str:
     """A folder of its own in the cluster's shared one; a temporary one only on a single machine that names none."""
     shared = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not t.spark.sparkContext.master.startswith("local["):
+    if not shared and t.spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (shared or "file://" + tempfile.mkdtemp(prefix="factlake-")) + f"/{kind}-" + uuid.uuid4().hex
 
