@@ -23,8 +23,11 @@ from factlake.llm.hashing import small_chunks
 from factlake.llm.tables import map_rows, text_bytes
 
 _NO_RANK = 1 << 60
-#: pieces of text kept encoded per task, and the longest of them in bytes
-CACHE_PIECES, CACHE_BYTES = 250_000, 48
+#: pieces of text kept encoded per task, the longest of them in bytes, and answers on pairs of tokens kept
+CACHE_PIECES, CACHE_BYTES, CACHE_PAIRS = 250_000, 48, 250_000
+#: bytes of text encoded at once, and rows of an Arrow batch where the session leaves that open
+CHUNK_BYTES, BATCH_ROWS = 500_000, 2_000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -81,7 +84,7 @@ class PrefixEncoder:
         if known is None:
             a, b = self.token[s], self.token[t]
             known = a + b not in self.ranks and self.merged(a + b) == [a, b]
-            if len(self.stays) > 500_000:
+            if len(self.stays) > CACHE_PAIRS:
                 self.stays.clear()
             self.stays[s << 24 | t] = known
         return known
@@ -240,8 +243,12 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, columns:
     that the ids stand for) and decoded_sha256. Null text is empty and has no ids. Repeated rows
     each give a row, null ids pass through, other columns are ignored, an empty table gives an
     empty result. Characters that the pattern does not match are skipped, as tokenizers do.
-    The vocabulary, of a fixed size, is the only thing that is broadcast.
+    The vocabulary, of a fixed size, is the only thing that is broadcast. A session that does not
+    set its Arrow batch size gets BATCH_ROWS, as rows hold whole texts. Very long texts are encoded
+    whole, one at a time.
     """
+    if docs.sparkSession.conf.get(_BATCH_CONF, None) is None:
+        docs.sparkSession.conf.set(_BATCH_CONF, BATCH_ROWS)
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(docs.sparkSession, vocabulary))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
 
@@ -256,7 +263,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, columns:
             "decoded_sha256": lambda ids: pa.array([hashlib.sha256(encoder.decode(x)).hexdigest() for x in ids], pa.string()),
         }
         for batch in batches:
-            for keys, texts in small_chunks(batch.column(0), batch.column(1), 2_000_000):
+            for keys, texts in small_chunks(batch.column(0), batch.column(1), CHUNK_BYTES, 64):
                 ids = encoder.encode_batch([t.decode("utf-8", "replace") for t in texts])
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(make[c](ids) for c in columns)], ["doc_id", *columns])
 
