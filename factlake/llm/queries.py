@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from factlake.llm import pipeline, sql
 from factlake.llm.bpe import op1_byte_bpe
+from factlake.llm.conversations import op11_conversation_repair
 from factlake.llm.decontaminate import op7_decontaminate
 from factlake.llm.embedding import op6_embedding_dedup
 from factlake.llm.html_text import op2_html_text
@@ -25,7 +26,8 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_quality": op10_quality,
+    "op11_conversation_repair": op11_conversation_repair,
     "pipeline": pipeline.run,
 }
 
-ORACLES = {"op5_substring_dedup": sql.SUBSTRING, "op7_decontaminate": sql.DECONTAMINATE}
+ORACLES = {"op5_substring_dedup": sql.SUBSTRING, "op7_decontaminate": sql.DECONTAMINATE, "op11_conversation_repair": sql.CONVERSATIONS}
