@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from factlake.llm import pipeline, sql
+from factlake.llm.alignment import op13_token_alignment
 from factlake.llm.bpe import op1_byte_bpe
 from factlake.llm.conversations import op11_conversation_repair
 from factlake.llm.decontaminate import op7_decontaminate
@@ -14,6 +15,7 @@ from factlake.llm.lm_score import op8_lm_score
 from factlake.llm.pii import op3_pii
 from factlake.llm.quality import op10_quality
 from factlake.llm.substring import op5_substring_dedup
+from factlake.llm.url_filter import op12_url_filter
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
@@ -27,6 +29,8 @@ QUERIES = {
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_quality": op10_quality,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_url_filter": op12_url_filter,
+    "op13_token_alignment": op13_token_alignment,
     "pipeline": pipeline.run,
 }
 
