@@ -12,6 +12,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factlake.llm.bpe import Splitter
 from factlake.llm.hashing import small_chunks
 from factlake.llm.tables import Scratch, map_rows, text_bytes
 
 #: bytes of text encoded at once; links of a document written as one row; pairs of at most 1 / 2^18 of all links each are joined by shuffle
 CHUNK_BYTES, CHUNK_PAIRS, FREQUENT_SHARE = 300_000, 1_000_000, 1 << 18
+#: pieces of text kept encoded per task, and the longest of them
+CACHE_PIECES, CACHE_CHARS = 100_000, 32
 #: elements of the shorter list between two that are searched first
 STRIDE = 32
 #: a pair of ids in one integer: ids of the second tokenizer have 15 bits, those of the first 16
@@ -31,9 +35,12 @@ _SHIFT = 15
 
 
 class ByteTokens:
-    """A tokenizer of the tokenizers library with byte-level entries; texts get a space in front."""
+    """A tokenizer of the tokenizers library with byte-level entries; texts get a space in front.
 
-    def __init__(self, content: str) -> None:
+    It encodes each match of its splitting pattern separately, so a piece is encoded once and then known.
+    """
+
+    def __init__(self, content: str, pattern: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -47,8 +54,18 @@ class ByteTokens:
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.bytes = [bytes(byte[c] for c in name) if all(c in byte for c in name) else name.encode() for name in names]
 
+        self.split, self.known = Splitter(pattern), {}
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        split = [self.split(" " + t) for t in texts]
+        known = self.known
+        missing = list(set(chain.from_iterable(split)).difference(known))
+        for piece, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+            known[piece] = tuple(found.ids)
+        out = [list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in split]
+        for piece in missing if len(known) > CACHE_PIECES else [p for p in missing if len(p) > CACHE_CHARS]:
+            del known[piece]
+        return out
 
 
 class PieceTokens:
@@ -114,7 +131,7 @@ class Aligner:
         self.sides = (a, b)
         self.lengths = tuple(np.array([len(x) for x in side.bytes], np.int64) for side in self.sides)
         # a token's text in a group: followed by the mark that stands behind it
-        self.written = tuple([f"{i}{mark}" for i in range(len(side.bytes)) for mark in marks] for side, marks in zip(self.sides, (",|", ",;"), strict=True))
+        self.written = [f"{i}{mark}" for side, marks in zip(self.sides, (",|", ",;"), strict=True) for i in range(len(side.bytes)) for mark in marks]
 
     def align(self, texts: list[str]) -> list[tuple]:
         """For each text (n_a, n_b, n_groups, n_links, groups, [(pairs, times)]); chunks of pairs of one text share none."""
@@ -150,15 +167,14 @@ class Aligner:
         """The groups as text: tokens of both sides take their places in order, each with the mark behind it."""
         n = [c[g] for c in counts]
         total = int(n[0].sum() + n[1].sum())
-        words = np.empty(total, object)
+        words = np.empty(total, np.int64)
         ends = [np.cumsum(x) for x in n]
         shift = [np.repeat(ends[1] - n[1], n[0]), np.repeat(ends[0], n[1])]
         for side in (0, 1):
             mark = np.zeros(len(shift[side]), np.int64)
             mark[ends[side] - 1] = 1
-            codes = flat[side][at[side]] * 2 + mark
-            words[np.arange(len(codes)) + shift[side]] = list(map(self.written[side].__getitem__, codes.tolist()))
-        return "".join(words.tolist())[:-1]
+            words[np.arange(len(mark)) + shift[side]] = (flat[side][at[side]] + side * len(self.lengths[0])) * 2 + mark
+        return "".join(map(self.written.__getitem__, words.tolist()))[:-1]
 
     def _pairs(self, flat, firsts, counts, links, g: slice, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Distinct id pairs linked in one text, and how often; in chunks by ranges of first ids where they are many."""
@@ -203,8 +219,8 @@ def _distinct(keys: np.ndarray, times: np.ndarray | None = None) -> tuple[np.nda
 
 
 @lru_cache(maxsize=1)
-def _aligner(a: str, b: bytes) -> Aligner:
-    return Aligner(ByteTokens(a), PieceTokens(b))
+def _aligner(a: str, pattern: str, b: bytes) -> Aligner:
+    return Aligner(ByteTokens(a, pattern), PieceTokens(b))
 
 
 def read_bytes(spark: SparkSession, path: str) -> bytes:
@@ -218,11 +234,11 @@ def read_bytes(spark: SparkSession, path: str) -> bytes:
 _HEAD = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
 
-def align_documents(docs: DataFrame, byte_tokens: str, piece_tokens: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def align_documents(docs: DataFrame, byte_tokens: str, pattern: str, piece_tokens: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) for every row of ``docs``, of its whole text.
 
-    ``byte_tokens`` and ``piece_tokens`` are the paths of the two vocabularies; the second has at most
-    2^15 ids. Texts that are null or empty, or that a tokenizer does not give back byte by byte, have
+    ``byte_tokens`` and ``piece_tokens`` are the paths of the two vocabularies, ``pattern`` is what the
+    first splits texts by; the second has at most 2^15 ids. Texts that are null or empty, or that a tokenizer does not give back byte by byte, have
     no tokens. Every row is a document, also one whose id is null or stands more than once; ties of
     counts are all best. An empty table gives an empty result, other columns are ignored. Very long
     texts are encoded whole; the links of one are written in chunks.
@@ -231,7 +247,7 @@ def align_documents(docs: DataFrame, byte_tokens: str, piece_tokens: str, *, id_
     more, so at most 2^18, are broadcast to the links; the others, none of which is hot, are joined.
     """
     spark = docs.sparkSession
-    broadcast = spark.sparkContext.broadcast((read_bytes(spark, byte_tokens).decode(), read_bytes(spark, piece_tokens)))
+    broadcast = spark.sparkContext.broadcast((read_bytes(spark, byte_tokens).decode(), pattern, read_bytes(spark, piece_tokens)))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
     names = ["key", "head", "doc_id", *(x.split()[0] for x in _HEAD.split(", ")), "pairs", "times"]
     kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 5, pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64())]
@@ -271,4 +287,4 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return align_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return align_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))

@@ -164,17 +164,24 @@ def common_pattern(pattern: str) -> re.Pattern | None:
         return None
 
 
-class TextEncoder:
-    """Encodes texts: pieces by the pattern, each piece by a PrefixEncoder."""
+class Splitter:
+    """All matches of a pattern in a text; common texts take the faster engine."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.prefix, self.pattern, self.known = PrefixEncoder(ranks), regex.compile(pattern), {}
-        self.common = common_pattern(pattern)
+    def __init__(self, pattern: str) -> None:
+        self.pattern, self.common = regex.compile(pattern), common_pattern(pattern)
 
-    def split(self, text: str) -> list[str]:
+    def __call__(self, text: str) -> list[str]:
         common = self.common is not None and _COMMON_TEXT.fullmatch(text)
         return (self.common if common else self.pattern).findall(text)
 
+
+class TextEncoder:
+    """Encodes texts: pieces by the pattern, each piece by a PrefixEncoder."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+        self.prefix, self.split, self.known = PrefixEncoder(ranks), Splitter(pattern), {}
+        self.pattern = self.split.pattern
+
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         split = [self.split(text) for text in texts]
         missing = set(chain.from_iterable(split)).difference(self.known)

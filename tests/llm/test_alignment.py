@@ -70,7 +70,7 @@ def test_intersection_gallops_like_sets():
 
 
 def test_chunks_of_links_are_the_links(monkeypatch):
-    aligner = Aligner(ByteTokens(read_bytes(None, A).decode()), PieceTokens(read_bytes(None, B)))
+    aligner = Aligner(ByteTokens(read_bytes(None, A).decode(), public_tokenizers.PATTERN), PieceTokens(read_bytes(None, B)))
     whole = aligner.align([t for t in texts() if t])
     monkeypatch.setattr(alignment, "CHUNK_PAIRS", 5)
     for a, b in zip(whole, aligner.align([t for t in texts() if t]), strict=True):
@@ -86,7 +86,7 @@ def test_documents_equal_plain_alignment(spark, monkeypatch):
     expected = sorted(zip([str(r[0]) for r in rows], plain([r[1] for r in rows]), strict=True))
     for share in (1 << 18, 4):
         monkeypatch.setattr(alignment, "FREQUENT_SHARE", share)
-        assert sorted((str(r[0]), tuple(r[1:])) for r in align_documents(df, A, B).collect()) == expected
-    assert align_documents(df.limit(0), A, B).count() == 0
-    (row,) = align_documents(spark.createDataFrame([(1, "word and " * 60_000)], "doc_id long, text string"), A, B).collect()
+        assert sorted((str(r[0]), tuple(r[1:])) for r in align_documents(df, A, public_tokenizers.PATTERN, B).collect()) == expected
+    assert align_documents(df.limit(0), A, public_tokenizers.PATTERN, B).count() == 0
+    (row,) = align_documents(spark.createDataFrame([(1, "word and " * 60_000)], "doc_id long, text string"), A, public_tokenizers.PATTERN, B).collect()
     assert row["n_a"] == 120_001 and row["n_groups"] == row["n_b"]
