@@ -205,9 +205,10 @@ def _(t):
 
 @query("L08_canonical_citation")
 def _(t):
+    from factlake.queries.derived import parsed_pages
     from factlake.sources.pages import parse_blocks
 
-    heads = parse_blocks(t.pages).where("type = 'heading'").groupBy("page_id").agg(F.min("text").alias("name"))
+    heads = parse_blocks(parsed_pages(t)).where("type = 'heading'").groupBy("page_id").agg(F.min("text").alias("name"))
     return heads.join(t.pages.select("page_id", "url"), "page_id").where(~F.contains(F.lower("url"), F.lower("name"))).select("page_id", "name")
 
 

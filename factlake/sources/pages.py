@@ -1,154 +1,116 @@
-"""Page scans: blocks, cells, links, media and text from raw HTML, one pass per page in mapInPandas."""
+"""Page scans: one pass turns raw HTML into blocks, cells, links and media; everything else reads that table."""
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# fixed values: elements by role
-_CHROME = frozenset("nav header footer aside".split())
-_SILENT = frozenset("script style noscript template".split())
-_HEADINGS = {f"h{k}": k for k in range(1, 7)}
-_BREAKS = frozenset("p div section article main li ul ol table tr blockquote pre dl dt dd details summary figure form body br nav header footer aside".split()) | frozenset(_HEADINGS)
-_KINDS = {"p": "paragraph", "li": "list", "td": "table", "th": "table", "dt": "key_value", "dd": "key_value", "summary": "accordion", "details": "accordion"}
+from factlake.sources.tree import scan
+
+_BLOCK = "block_id:string,ord:int,type:string,text:string,markdown:string,heading_path:array<string>,parent_id:string,link_ids:array<string>,table_id:string,level:int,key:string,value:string,chrome:boolean"
+_CELL = "table_id:string,row:int,col:int,rowspan:int,colspan:int,is_header:boolean,row_header:boolean,thead:boolean,bold:boolean,text:string"
+_LINK = "link_id:string,ord:int,url:string,href:string,fragment:string,text:string,title:string,rel:array<string>,kind:string,downloadable:boolean,same_source:boolean,chrome:boolean,context:string,block_id:string"
+_MEDIUM = "ord:int,tag:string,source:string,label:string,decorative:boolean,chrome:boolean"
+#: pages of one Arrow batch
+_BATCH = 64
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-class _Scan(HTMLParser):
-    """Collects blocks with their heading path, cells, links and media of one page."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.blocks, self.cells, self.links, self.media = [], [], [], []
-        self.path: list[tuple[int, str]] = []
-        self.text: list[str] = []
-        self.kind, self.level = "paragraph", 0
-        self.chrome = self.silent = 0
-        self.tables: list[list[int]] = []  # number, row, column
-        self.n_tables = 0
-        self.link: list | None = None
-        self.cell: list | None = None
-        self.open_cells: list[list] = []  # of the table and of those around it
-
-    def _flush(self) -> None:
-        text = " ".join("".join(self.text).split())
-        self.text = []
-        if not text:
-            return
-        if self.level:
-            self.path = [p for p in self.path if p[0] < self.level]
-        self.blocks.append((len(self.blocks), "heading" if self.level else self.kind, text, " > ".join(p[1] for p in self.path), self.chrome > 0))
-        if self.level:
-            self.path.append((self.level, text))
-
-    def handle_starttag(self, tag, attrs):
-        values = dict(attrs)
-        if tag in _SILENT:
-            self.silent += 1
-            return
-        if tag in _BREAKS or tag in ("td", "th"):
-            self._flush()
-            self.kind, self.level = _KINDS.get(tag, "paragraph"), _HEADINGS.get(tag, 0)
-        if tag in _CHROME:
-            self.chrome += 1
-        if tag == "a" and values.get("href") is not None:
-            self.link = [values["href"], []]
-        if tag in ("img", "button", "input", "select"):
-            self.media.append((len(self.media), tag, values.get("data-src") or values.get("src") or "", not (values.get("alt") or "")))
-        if tag == "table":
-            self.n_tables += 1
-            self.tables.append([self.n_tables, -1, 0])
-        if self.tables and tag == "tr":
-            self.tables[-1][1:] = [self.tables[-1][1] + 1, 0]
-        if self.tables and tag in ("td", "th"):
-            t = self.tables[-1]
-            span = lambda k: int(values[k]) if (values.get(k) or "").isdigit() and 0 < int(values[k]) <= 1000 else 1
-            self.cell = [t[0], max(0, t[1]), t[2], span("rowspan"), span("colspan"), tag == "th", []]
-            t[2] += span("colspan")
-            if self.open_cells and self.open_cells[-1][0] == self.cell[0]:
-                self.open_cells.pop()  # a cell without an end tag
-            self.cells.append(self.cell)
-            self.open_cells.append(self.cell)
-
-    def handle_endtag(self, tag):
-        if tag in _SILENT:
-            self.silent = max(0, self.silent - 1)
-            return
-        if tag in _BREAKS or tag in ("td", "th"):
-            self._flush()
-            self.kind, self.level = "paragraph", 0
-        if tag in _CHROME:
-            self.chrome = max(0, self.chrome - 1)
-        if tag == "a" and self.link:
-            self.links.append((len(self.links), self.link[0], " ".join("".join(self.link[1]).split())))
-            self.link = None
-        if tag in ("td", "th") and self.open_cells and self.tables and self.open_cells[-1][0] == self.tables[-1][0]:
-            self.open_cells.pop()
-        if tag == "table" and self.tables:
-            closed = self.tables.pop()[0]
-            while self.open_cells and self.open_cells[-1][0] == closed:
-                self.open_cells.pop()
-        # the text after a nested table belongs to the cell that holds it
-        self.cell = self.open_cells[-1] if self.open_cells else None
-
-    def handle_data(self, data):
-        if self.silent:
-            return
-        self.text.append(data)
-        if self.link:
-            self.link[1].append(data)
-        if self.cell:
-            self.cell[6].append(data)
-
-
-def _scan(page: str | None) -> _Scan:
-    scan = _Scan()
-    scan.feed(page or "")
-    scan.close()
-    scan._flush()
-    return scan
-
-
-def _per_page(pages: DataFrame, rows: Callable[[_Scan], list[tuple]], columns: list[str], schema: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [(i, *r) for i, page in zip(batch["page_id"], batch["html"], strict=True) for r in rows(_scan(page))]
-            yield pd.DataFrame(out, columns=["page_id", *columns])
-
-    return pages.select("page_id", "html").mapInPandas(run, f"page_id long, {schema}")
+def _arrow(fields: str) -> pa.DataType:
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    return pa.list_(pa.struct([(name, kinds[kind]) for name, kind in (f.split(":") for f in fields.split(","))]))
+
+
+def parse_pages(pages: DataFrame, allowed_hosts: tuple[str, ...] = ()) -> DataFrame:
+    """(page_id, url, title, lang, blocks, cells, links, media), one row for each page and one parse.
+
+    Null pages have no parts. Links are absolute, resolved against the page's URL, and marked as of the
+    same source where their host is allowed (left out: the page's own host). Hidden elements, scripts
+    and controls give no text.
+    """
+    allowed = frozenset(allowed_hosts)
+    names = ("blocks", "cells", "links", "media")
+    kinds = [_arrow(x) for x in (_BLOCK, _CELL, _LINK, _MEDIUM)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, _BATCH):
+                batch = whole.slice(k, _BATCH)
+                found = [scan(page, url, allowed) for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+                parts = [pa.array([f[n] for f in found], kind) for n, kind in zip(names, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[n] for f in found], pa.string()) for n in ("title", "lang")), *parts], ["page_id", "url", "title", "lang", *names])
+
+    schema = f"page_id long, url string, title string, lang string, blocks array<struct<{_BLOCK}>>, cells array<struct<{_CELL}>>, links array<struct<{_LINK}>>, media array<struct<{_MEDIUM}>>"
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, schema)
+
+
+def _parts(pages: DataFrame, name: str) -> DataFrame:
+    """The parts of parsed pages, or of raw ones, one row each."""
+    parsed = pages if name in pages.columns else parse_pages(pages)
+    return parsed.select("page_id", F.explode(name).alias("p")).select("page_id", "p.*")
 
 
 def parse_blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, ord, type, text, heading_path, chrome) in reading order."""
-    return _per_page(pages, lambda s: s.blocks, ["ord", "type", "text", "heading_path", "chrome"], "ord int, type string, text string, heading_path string, chrome boolean")
+    """Blocks in reading order with type, text, heading path, parent, links, table, key and value; ``pages`` raw or parsed."""
+    return _parts(pages, "blocks").withColumn("heading_path", F.array_join("heading_path", " > "))
 
 
 def parse_cells(pages: DataFrame) -> DataFrame:
-    rows = lambda s: [(f"t{c[0]}", *c[1:6], " ".join("".join(c[6]).split())) for c in s.cells]
-    return _per_page(pages, rows, ["table_id", "row", "col", "rowspan", "colspan", "is_header", "text"], "table_id string, row int, col int, rowspan int, colspan int, is_header boolean, text string")
+    """Table cells with their places on the grid, spans and header flags."""
+    return _parts(pages, "cells")
 
 
 def parse_links(pages: DataFrame) -> DataFrame:
-    return _per_page(pages, lambda s: s.links, ["ord", "href", "text"], "ord int, href string, text string")
+    """Links with absolute URL, fragment, type, source, context and the block that holds them."""
+    return _parts(pages, "links")
 
 
 def parse_media(pages: DataFrame) -> DataFrame:
-    return _per_page(pages, lambda s: s.media, ["ord", "tag", "source", "decorative"], "ord int, tag string, source string, decorative boolean")
+    """Images and controls."""
+    return _parts(pages, "media")
+
+
+def definition_pairs(pages: DataFrame) -> DataFrame:
+    """(page_id, block_id, key, value) of definition lists and headline cards."""
+    return _parts(pages, "blocks").where("key is not null").select("page_id", "block_id", "key", "value")
+
+
+def inventory(pages: DataFrame) -> DataFrame:
+    """(page_id, main_chars, blocks, tables, links, pdf_links) of parsed pages; no shuffle, as a page is one row."""
+    main = F.filter("blocks", lambda b: ~b["chrome"])
+    chars = F.aggregate(main, F.lit(0).cast("long"), lambda n, b: n + F.char_length(b["text"]))
+    count = lambda c: F.size(c).cast("long")
+    tables = F.size(F.filter("blocks", lambda b: b["table_id"].isNotNull()))
+    return pages.select("page_id", chars.alias("main_chars"), count(main).alias("blocks"), tables.cast("long").alias("tables"), count("links").alias("links"), count(F.filter("links", lambda x: x["downloadable"])).alias("pdf_links"))
+
+
+def cross_links(parsed: DataFrame, seeds: DataFrame, most_chars: int = 300) -> DataFrame:
+    """(page_id, target): pages that link, in a small block, to another entity's seed path and not to their own.
+
+    ``seeds`` are (path, target), paths as ``path_key`` gives them. Links to nowhere known go in the join.
+    """
+    from factlake.functions.values import path_key
+
+    blocks = _parts(parsed, "blocks").where(F.char_length("text") <= most_chars).select("page_id", "block_id")
+    links = _parts(parsed, "links").where("same_source and not chrome").join(blocks, ["page_id", "block_id"], "left_semi")
+    met = links.select("page_id", "block_id", path_key(F.col("url")).alias("path")).join(seeds, "path")
+    own = met.where(F.col("page_id") == F.col("target")).select("page_id", "block_id")
+    return met.where(F.col("page_id") != F.col("target")).join(own, ["page_id", "block_id"], "left_anti").select("page_id", "target").distinct()
 
 
 def page_text(pages: DataFrame) -> DataFrame:
-    """(page_id, title, lang, main_text): title and language by pattern, main text outside site chrome."""
-    main = parse_blocks(pages).where("not chrome").groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda s: s["text"]), "\n").alias("main_text"))
-    return titles(pages).join(main, "page_id", "left")
+    """(page_id, title, lang, main_text): the text of the blocks outside site chrome, a line each."""
+    parsed = pages if "blocks" in pages.columns else parse_pages(pages)
+    main = F.array_join(F.transform(F.filter("blocks", lambda b: ~b["chrome"]), lambda b: b["text"]), "\n")
+    return parsed.select("page_id", "title", "lang", F.nullif(main, F.lit("")).alias("main_text"))
 
 
 def titles(pages: DataFrame) -> DataFrame:
@@ -161,17 +123,16 @@ def anchors(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(F.arrays_zip(hrefs.alias("href"), texts.alias("text"))).alias("ord", "a")).select("page_id", "ord", "a.href", "a.text")
 
 
-def render_markdown(blocks: DataFrame) -> DataFrame:
-    """(page_id, markdown): headings with marks, list items with dashes, blocks apart."""
-    line = F.when(F.col("type") == "heading", F.concat(F.lit("## "), "text")).when(F.col("type") == "list", F.concat(F.lit("- "), "text")).otherwise(F.col("text"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda s: s["line"])
-    return blocks.groupBy("page_id").agg(F.array_join(ordered, "\n\n").alias("markdown"))
+def render_markdown(parsed: DataFrame) -> DataFrame:
+    """(page_id, markdown) of parsed pages: headings with marks, list items with dashes, tables as grids, blocks apart."""
+    return parsed.where(F.size("blocks") > 0).select("page_id", F.array_join(F.transform("blocks", lambda b: b["markdown"]), "\n\n").alias("markdown"))
 
 
-def content_hash(blocks: DataFrame) -> DataFrame:
-    """(page_id, sha): identity of a page without its chrome."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "type", "text"))), lambda s: F.concat_ws("\x1f", s["type"], s["text"]))
-    return blocks.where("not chrome").groupBy("page_id").agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("sha"))
+def content_hash(parsed: DataFrame) -> DataFrame:
+    """(page_id, sha): identity of a parsed page without its chrome."""
+    main = F.filter("blocks", lambda b: ~b["chrome"])
+    lines = F.transform(main, lambda b: F.concat_ws("\x1f", b["type"], b["text"]))
+    return parsed.where(F.size(main) > 0).select("page_id", F.sha2(F.array_join(lines, "\n"), 256).alias("sha"))
 
 
 def decode_references(text: str) -> str:
