@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm.bpe import Splitter
+from factlake.llm.bpe import TextEncoder
 from factlake.llm.hashing import small_chunks
 from factlake.llm.tables import Scratch, map_rows, text_bytes
 
@@ -54,7 +54,7 @@ class ByteTokens:
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.bytes = [bytes(byte[c] for c in name) if all(c in byte for c in name) else name.encode() for name in names]
 
-        self.split, self.known = Splitter(pattern), {}
+        self.split, self.known = TextEncoder({}, pattern).split, {}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         split = [self.split(" " + t) for t in texts]
