@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -155,18 +153,7 @@ def renamed_keys(c: Column, aliases: dict[str, str]) -> Column:
     return F.map_concat(own, F.map_filter(moved, lambda k, v: ~F.map_contains_key(own, k)))
 
 
-def extract_scalars(c: Column) -> Column:
-    """Array of (kind, raw, start) of dates, ranges, percentages and numbers, left to right without overlap: an Arrow function."""
-    pattern = re.compile(r"(?P<date>\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4})|(?P<range>\d+(?:\.\d+)?\s*[-–]\s*\d+(?:\.\d+)?)|(?P<percent>\d+(?:[.,]\d+)?\s*%)|(?P<number>\d+(?:[.,]\d+)*)")
-
-    @F.pandas_udf("array<struct<kind:string,raw:string,start:int>>", F.PandasUDFType.SCALAR)
-    def run(texts):
-        return texts.map(lambda t: [{"kind": m.lastgroup, "raw": m.group(), "start": m.start()} for m in pattern.finditer(t or "")])
-
-    return run(c)
-
-
 def register_functions(spark) -> None:
-    """SQL functions of this library for use in queries: collapsed, term_key and number_key; and extract_scalars."""
+    """SQL functions of this library for use in queries: collapsed and term_key."""
     spark.sql("create or replace temporary function collapsed(s string) returns string return lower(trim(regexp_replace(s, '\\\\s+', ' ')))")
     spark.sql("create or replace temporary function term_key(s string) returns string return trim(regexp_replace(lower(s), '[^\\\\p{L}\\\\p{N}]+', ' '))")

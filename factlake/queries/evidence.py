@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factlake.functions import readings as R
 from factlake.functions import text as T
 from factlake.functions import values as V
 from factlake.operators import grids as G
@@ -16,7 +17,70 @@ from factlake.queries.streams import SILENT, folder
 
 @query("I05_scalars")
 def _(t):
-    return t.documents.select("doc_id", F.explode(V.extract_scalars(F.col("text"))).alias("s")).select("doc_id", "s.*")
+    return t.documents.select("doc_id", F.explode(R.extract_scalars(F.col("text"))).alias("s")).select("doc_id", "s.*")
+
+
+#: a line for each order that states a date, a range, a comparison and an amount
+TERMS = "o_orderkey, CAST(o_orderdate AS DATE) AS day, 1 + o_orderkey % 9 AS a, 10 + o_orderkey % 50 AS b, CAST(floor(o_totalprice) AS BIGINT) AS p"
+
+
+def stated_terms(t):
+    number = lambda c: F.col(c).cast("string")
+    rows = t.orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), (1 + F.col("o_orderkey") % 9).alias("a"), (10 + F.col("o_orderkey") % 50).alias("b"), F.floor("o_totalprice").cast("long").alias("p"))
+    return rows.withColumn("line", F.concat(F.lit("Since "), F.date_format("day", "dd.MM.yyyy"), F.lit(": "), number("a"), F.lit(" - "), number("b"), F.lit(" months at no more than "), number("b"), F.lit(",5%, paid "), F.format_number("p", 0), F.lit(" euros, note "), number("a")))
+
+
+@query("I05_typed_scalars", f"""SELECT o_orderkey, v.* FROM (SELECT {TERMS} FROM orders), LATERAL (VALUES ('date', NULL, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL, CAST(day AS VARCHAR)), ('range', NULL, NULL, a, b, 'month', NULL), ('number', '<=', b + 0.5, NULL, NULL, 'percent', NULL), ('number', NULL, p, NULL, NULL, 'EUR', NULL)) v(kind, operator, value, low, high, unit, day)""")
+def _(t):
+    return stated_terms(t).select("o_orderkey", F.explode(R.extract_scalars(F.col("line"))).alias("s")).select("o_orderkey", "s.kind", "s.operator", *(F.col(f"s.{c}").cast("double").alias(c) for c in ("value", "low", "high")), "s.unit", F.col("s.day").cast("string").alias("day"))
+
+
+#: every reading of every number in DuckDB
+READ = r"""list_distinct(list_filter(flatten(list_transform(regexp_extract_all({c}, '\d+(?:[.,\x{{00a0}} ]\d{{3}})+(?:[.,]\d+)?|\d+(?:[.,]\d+)?'), lambda r: list_transform([replace(r, ',', ''), replace(r, ',', '.'), replace(replace(r, '.', ''), ',', '.'), translate(r, '.,', '')], lambda x: TRY_CAST(regexp_replace(x, '[\x{{00a0}} ]', '', 'g') AS DECIMAL(38, 6))))), lambda x: x IS NOT NULL))"""
+
+
+#: multiplier words of each factor, as a pattern and a number
+_TIMES = {1_000: "thousand|thsd", 1_000_000: "million|mln|mn|mio", 1_000_000_000: "billion|bln|bn"}
+_SCALED = ", ".join(rf"CASE WHEN regexp_matches(lower(text), '\b({words})\b') THEN list_transform(r, lambda x: TRY_CAST(x * {factor} AS DECIMAL(38, 6))) ELSE [] END" for factor, words in _TIMES.items())
+
+
+@query("I13_readings", f"SELECT doc_id, array_to_string(list_transform(list_sort(list_distinct(list_concat(r, {_SCALED}))), lambda x: CAST(x AS VARCHAR)), ' ') AS readings FROM (SELECT doc_id, text, {READ.format(c='text')} AS r FROM documents)")
+def _(t):
+    return t.documents.select("doc_id", F.array_join(F.transform(F.array_sort(R.number_readings(F.col("text"))), lambda x: x.cast("string")), " ").alias("readings"))
+
+
+@query("I13_scaled_readings", "SELECT p_partkey, array_to_string(list_transform(list_sort(list_distinct([v, v * 12, v + 1, v * 1000000, f, f * 12, f + 1, f * 1000000])), lambda x: CAST(CAST(x AS DECIMAL(38, 6)) AS VARCHAR)), ' ') AS readings FROM (SELECT p_partkey, (p_size * 1000 + 234)::DECIMAL(38, 6) AS v, (p_size + 0.234)::DECIMAL(38, 6) AS f FROM part)")
+def _(t):
+    # 7.234 million is 7234 or a decimal, each also in millions, in months, and a month later
+    line = F.concat(F.col("p_size").cast("string"), F.lit(".234 million years"))
+    return t.part.select("p_partkey", F.array_join(F.transform(F.array_sort(R.number_readings(line, months=True)), lambda x: x.cast("string")), " ").alias("readings"))
+
+
+@query("L05_reading_grounding", f"""SELECT doc_id, array_to_string(list_transform(list_sort(missing), lambda x: CAST(x AS VARCHAR)), ' ') AS missing FROM (SELECT doc_id, list_filter(claimed, lambda x: x <> 0 AND NOT list_contains(readings, x)) AS missing FROM (SELECT doc_id, {READ.format(c="split_part(text, chr(10), 1)")} AS claimed, {READ.format(c="substr(text, length(split_part(text, chr(10), 1)) + 1)")} AS readings FROM documents)) WHERE len(missing) > 0""")
+def _(t):
+    claim = F.split("text", "\n")[0]
+    evidence = F.substring(F.col("text"), F.char_length(claim) + 1, F.char_length("text"))
+    missing = R.ungrounded_numbers(R.number_readings(claim), evidence)
+    return t.documents.select("doc_id", F.array_join(F.transform(F.array_sort(missing), lambda x: x.cast("string")), " ").alias("missing")).where("missing <> ''")
+
+
+@query("I15_money_ranges", """SELECT p_partkey, CAST(CASE k WHEN 0 THEN a * 1000000 WHEN 1 THEN NULL WHEN 2 THEN a * 1000 ELSE a END AS DOUBLE) AS low, CAST(CASE k WHEN 0 THEN (a + 5) * 1000000 WHEN 1 THEN a * 1000 WHEN 2 THEN NULL ELSE a END AS DOUBLE) AS high, ['USD', 'EUR', 'AMD', NULL][k + 1] AS currency FROM (SELECT p_partkey, p_size AS a, p_partkey % 4 AS k FROM part)""")
+def _(t):
+    a, k = F.col("p_size").cast("string"), F.col("p_partkey") % 4
+    line = F.when(k == 0, F.concat(F.lit("USD "), a, F.lit("-"), (F.col("p_size") + 5).cast("string"), F.lit(" million"))).when(k == 1, F.concat(F.lit("Up to "), a, F.lit(",000 euros"))).when(k == 2, F.concat(F.lit("from "), a, F.lit(" thousand ֏"))).otherwise(a)
+    return t.part.select("p_partkey", R.money_range(line).alias("m")).select("p_partkey", F.col("m.low").cast("double").alias("low"), F.col("m.high").cast("double").alias("high"), "m.currency")
+
+
+@query("I15_lines", """SELECT p_partkey, CAST(a + 0.5 AS DOUBLE) AS rate_low, CASE WHEN p_partkey % 2 = 0 THEN 'fixed' ELSE 'unknown' END AS rate_type, CASE WHEN p_partkey % 3 > 0 THEN a * CASE WHEN p_partkey % 3 = 1 THEN 12 ELSE 1 END END AS high_months, p_partkey % 3 = 0 AS indefinite, CAST(a / 10 AS DOUBLE) AS fee_percent, CAST(a * 1000 AS DOUBLE) AS fee_low, a + 18 AS age_high, p_partkey % 2 = 1 AS allowed
+    FROM (SELECT p_partkey, CAST(p_size AS BIGINT) AS a FROM part)""")
+def _(t):
+    k, a = F.col("p_partkey"), F.col("p_size").cast("string")
+    rate = R.rate(F.concat(F.lit("from "), a, F.lit(".5%"), F.when(k % 2 == 0, ", fixed").otherwise("")))
+    term = R.term(F.when(k % 3 == 0, F.lit("Indefinite term (until requested back)")).otherwise(F.concat(F.lit("at most "), a, F.when(k % 3 == 1, " years").otherwise(" months"))))
+    fee = R.fee_line(F.concat((F.col("p_size") / 10).cast("decimal(10,1)").cast("string"), F.lit("% of the sum, minimum "), F.format_number(F.col("p_size") * 1000, 0), F.lit(" AMD")))
+    age = R.age_range(F.concat(F.lit("aged 18 - "), (F.col("p_size") + 18).cast("string")))
+    allowed = R.yes_no(F.when(k % 2 == 1, "It is available").otherwise("Not for all"))
+    return t.part.select("p_partkey", rate["low"].cast("double").alias("rate_low"), rate["rate_type"].alias("rate_type"), term["high_months"].alias("high_months"), term["indefinite"].alias("indefinite"), fee["percent"].cast("double").alias("fee_percent"), fee["low"].cast("double").alias("fee_low"), age["high"].alias("age_high"), allowed.alias("allowed"))
 
 
 @query("I12_effective_range", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS starts, CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderdate AS DATE) + 90 AS VARCHAR) END AS ends FROM orders")
