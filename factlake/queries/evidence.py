@@ -276,12 +276,12 @@ def _(t):
     return heads.join(t.pages.select("page_id", "url"), "page_id").where(~F.contains(F.lower("url"), F.lower("name"))).select("page_id", "name")
 
 
-@query("N09_freshness_alerts", SILENT.format(days=2))
+@query("N09_freshness_alerts", SILENT.format(hours=6))
 def _(t):
     from factlake.queries.streams import ended, events
     from factlake.streaming.jobs import silent_keys
 
-    return ended(t, silent_keys(events(t), 2), "update")
+    return ended(t, silent_keys(events(t), 0.25), "update")
 
 
 @query("O03_chunk_function")

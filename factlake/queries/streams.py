@@ -40,8 +40,8 @@ def _(t):
     return ended(t, J.first_of_key(rows, ["user_id", "k"]).select("user_id", "k"), "append")
 
 
-#: keys silent for some days at the watermark, a day behind the newest event
-SILENT = "SELECT user_id, epoch_us(max(ts)) AS last FROM events GROUP BY user_id HAVING max(ts) + INTERVAL {days} DAY < (SELECT max(ts) FROM events) - INTERVAL 1 DAY"
+#: keys silent for some hours at the watermark, a day behind the newest event
+SILENT = "SELECT user_id, epoch_us(max(ts)) AS last FROM events GROUP BY user_id HAVING max(ts) + INTERVAL {hours} HOUR < (SELECT max(ts) FROM events) - INTERVAL 1 DAY"
 
 
 @query("N03_daily_totals", f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS stage, count(*) AS n, CAST(sum({K}) AS BIGINT) AS tokens FROM events GROUP BY ALL")
@@ -56,7 +56,7 @@ def _(t):
     return ended(t, J.daily_totals(events(t)), "append")
 
 
-@query("N04_silent_keys", SILENT.format(days=1))
+@query("N04_silent_keys", SILENT.format(hours=24))
 def _(t):
     return ended(t, J.silent_keys(events(t), 1), "update")
 

@@ -42,6 +42,76 @@ def upsert_table(spark: SparkSession, arriving: DataFrame, path: str, keys: list
     publish(spark, V.upsert(read_published(spark, path), arriving, keys, order), path, version)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+class BucketedTable:
+    """A table of the newest row per key in hash buckets, changed by numbered batches.
+
+    A batch writes only the buckets that its keys fall into, then a manifest that names, for every
+    bucket, the batch that wrote it last. The newest whole manifest is the table, so readers never see
+    half a batch; a batch whose manifest stands is done and is skipped when it comes again. A manifest
+    has one row for each bucket. Files of batches that no kept manifest names go with ``vacuum``.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str], buckets: int = 64) -> None:
+        self.spark, self.path, self.keys, self.order, self.buckets = spark, path, keys, order, buckets
+
+    def _manifest_path(self, number: int) -> str:
+        return f"{self.path}/manifests/{number:012d}"
+
+    def _folders(self, kind: str) -> list[int]:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(int(f.getPath().getName()) for f in fs.listStatus(at)) if fs.exists(at) else []
+
+    def batches(self) -> list[int]:
+        """Numbers of the batches whose manifest is whole."""
+        return [n for n in self._folders("manifests") if exists(self.spark, f"{self._manifest_path(n)}/_SUCCESS")]
+
+    def manifest(self, number: int | None) -> dict[int, int]:
+        """Bucket to the batch that wrote it."""
+        if number is None:
+            return {}
+        return {r["bucket"]: r["batch"] for r in self.spark.read.parquet(self._manifest_path(number)).collect()}  # one row for each bucket
+
+    def _rows(self, manifest: dict[int, int], schema) -> DataFrame:
+        places = [f"{self.path}/data/{batch:012d}/bucket={bucket}" for bucket, batch in sorted(manifest.items())]
+        return self.spark.read.schema(schema).parquet(*places) if places else self.spark.createDataFrame([], schema)
+
+    def read(self, schema) -> DataFrame:
+        """The rows of the newest whole manifest."""
+        done = self.batches()
+        return self._rows(self.manifest(done[-1] if done else None), schema)
+
+    def upsert(self, arriving: DataFrame, number: int) -> list[int]:
+        """Takes a batch in, and returns the buckets it wrote; of rows of a key the one last in order stays, late rows change nothing."""
+        done = self.batches()
+        if number in done:
+            return []
+        before = self.manifest(max((n for n in done if n < number), default=None))
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        touched = [r["bucket"] for r in arriving.select(bucket.alias("bucket")).distinct().collect()]  # no more than there are buckets
+        old = self._rows({b: before[b] for b in touched if b in before}, arriving.schema)
+        new = V.upsert(old, arriving, self.keys, self.order).withColumn("bucket", bucket)
+        new.repartition(max(1, len(touched)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/{number:012d}")
+        named = before | dict.fromkeys(touched, number)
+        self.spark.createDataFrame(list(named.items()), "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(self._manifest_path(number))
+        return sorted(touched)
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Drops all but the newest manifests, and the data that none of those names."""
+        done = self.batches()
+        used = {batch for n in done[-keep:] for batch in self.manifest(n).values()}
+        for kind, gone in (("manifests", done[:-keep]), ("data", [n for n in self._folders("data") if n not in used and n <= max(done, default=-1)])):
+            for n in gone:
+                at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/{n:012d}")
+                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def write_report(metrics: dict[str, DataFrame], path: str, section: str | None = None) -> None:
     """Each metric section as JSON lines; one section only if named."""
     for name, df in metrics.items():

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from factlake.sources.sinks import BucketedTable, exists
+
 
 def stream(spark: SparkSession, path: str) -> DataFrame:
     """A table folder or file as a stream with its batch schema; ts becomes a timestamp."""
@@ -19,10 +21,23 @@ def stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_to_end(df: DataFrame, mode: str, folder: str, name: str) -> DataFrame:
-    """Runs all that is there (availableNow) into a memory table and returns it; state and offsets go to ``folder``."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+    """Runs all that is there (availableNow) and returns its rows; batches, state and offsets go to ``folder``.
+
+    Each micro-batch is one Parquet folder named by its number, so a replayed batch replaces itself and
+    nothing passes through the driver. In complete mode the last batch holds the whole result.
+    """
+    spark, out = df.sparkSession, f"{folder}/{name}/out"
+    batches: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{number:08d}")
+        batches.append(number)
+
+    df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/{name}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    reader = spark.read.schema(df.schema).option("recursiveFileLookup", "true")
+    if mode == "complete" and batches:
+        return reader.parquet(f"{out}/{max(batches):08d}")
+    return reader.parquet(out) if exists(spark, out) else spark.createDataFrame([], df.schema)
 
 
 def first_of_key(df: DataFrame, keys: list[str], delay: str = "40 days") -> DataFrame:
@@ -84,7 +99,7 @@ def gated_baseline(df: DataFrame, drop: float = 0.5) -> DataFrame:
     return _keyed(df.select("user_id", "event_id", "value"), run, "user_id long, event_id long, passed boolean", "base double")
 
 
-def silent_keys(df: DataFrame, days: int, delay: str = "1 day") -> DataFrame:
+def silent_keys(df: DataFrame, days: float, delay: str = "1 day") -> DataFrame:
     """(user_id, last): keys whose newest event is older than ``days`` at the watermark; an event-time timer fires them."""
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -94,7 +109,7 @@ def silent_keys(df: DataFrame, days: int, delay: str = "1 day") -> DataFrame:
             return
         newest = max([state.get[0] if state.exists else 0, *(int(b["ts"].max().value // 1000) for b in batches)])
         state.update((newest,))
-        state.setTimeoutTimestamp(max(newest // 1000 + days * 86_400_000, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(newest // 1000 + int(days * 86_400_000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": pd.Series(dtype="int64"), "last": pd.Series(dtype="int64")})
 
     return _keyed(df.withWatermark("ts", delay).select("user_id", "ts"), run, "user_id long, last long", "last long", GroupStateTimeout.EventTimeTimeout)
@@ -107,24 +122,11 @@ def priced(df: DataFrame, prices: DataFrame) -> DataFrame:
     return df.join(p, within, "left").select("event_id", "event_type", "rate")
 
 
-def latest_state(df: DataFrame, path: str, keys: list[str], order: list[str], checkpoint: str) -> DataFrame:
-    """Upserts each micro-batch into a published table of the newest row per key."""
-    from factlake.operators.versions import upsert
-    from factlake.sources.sinks import publish, read_published
-
-    spark = df.sparkSession
-
-    def write(batch: DataFrame, number: int) -> None:
-        old = read_published(spark, path) if _exists(spark, f"{path}/pointers") else batch.limit(0)
-        publish(spark, upsert(old, batch, keys, order), path, f"{number:08d}")
-
-    df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return read_published(spark, path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def latest_state(df: DataFrame, path: str, keys: list[str], order: list[str], checkpoint: str, buckets: int = 64) -> DataFrame:
+    """Upserts each micro-batch into a table of the newest row per key; only buckets with arriving keys are written anew, a replayed batch changes nothing."""
+    table = BucketedTable(df.sparkSession, path, keys, order, buckets)
+    df.writeStream.foreachBatch(lambda batch, number: table.upsert(batch, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return table.read(df.schema)
 
 
 def backlog_sweep(df: DataFrame, done: DataFrame, path: str, checkpoint: str, key: str = "vec_id") -> DataFrame:
