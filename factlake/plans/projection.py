@@ -51,7 +51,9 @@ def registry(spark: SparkSession) -> DataFrame:
 
 
 def _read(v: Column | str, at: Column | str, kind: str) -> Column:
-    return F.try_variant_get(v, at if isinstance(at, Column) else at, kind)
+    """What stands at a place of a variant; null where there is nothing, a JSON null, or another kind."""
+    found = F.try_variant_get(v, at, kind)
+    return F.when(~F.is_variant_null(found), found) if kind == "variant" else found
 
 
 def fee_kind(description: Column) -> Column:
@@ -76,6 +78,7 @@ def project_facts(payloads: DataFrame, rules: DataFrame, key: list[str], payload
     policy = F.array_compact(F.array(_read(value, "$.default_required", "variant")))
     exceptions = F.coalesce(_read(value, "$.exceptions", "array<variant>"), F.array().cast("array<variant>"))
     listed = F.coalesce(_read(value, "$", "array<variant>"), F.when(F.size(policy) + F.size(exceptions) > 0, F.concat(policy, exceptions)), F.array(value))
+    listed = F.filter(listed, lambda x: x.isNotNull() & ~F.is_variant_null(x))
     items = F.when(status == "found", listed).otherwise(F.array(F.lit(None).cast("variant")))
     rows = fields.select(*key, "field", status.alias("status"), F.posexplode(items).alias("_no", "_item"))
     inner = F.coalesce(_read("_item", "$.value", "variant"), F.col("_item"))
