@@ -94,24 +94,49 @@ def cache_lookup(wanted: DataFrame, cache: DataFrame, keys: list[str], fingerpri
     return out.withColumn(payload, F.when(F.col("_n") == 1, F.col(f"_c.{payload}"))).drop("_c", "_n")
 
 
+def name_words(c: Column) -> Column:
+    """Lower-case words of a text in any script; a possessive 's goes, and so does the plural s of a longer last word when names are keyed."""
+    return F.filter(F.split(F.regexp_replace(F.lower(c), "['’]s\\b", ""), "[^\\p{L}\\p{N}]+"), lambda x: x != "")
+
+
+def _name_key(words: Column) -> Column:
+    """Words joined, the plural s of the last one tolerated."""
+    return F.regexp_replace(F.array_join(words, " "), "(?<=\\p{L}{3})s$", "")
+
+
 def mentions(texts: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, name, entity) of catalog names in texts; of overlapping names the longest wins.
+    """(id, name, entity) of catalog names in texts, leftmost first, of those the longest; a name inside or across another one that counts is none.
 
-    Texts become word n-grams of every length that a name has, which meet names in an equi join.
+    Texts become word n-grams of the lengths that names have, which meet names in one equi join. What
+    is found is read in order of place, a text as a stream that holds the end of the last name only.
+    Names of the same words all count. Null texts and names without words have none.
     """
-    words = lambda c: F.filter(F.split(F.lower(c), "[^\\p{L}0-9]+"), lambda x: x != "")
-    base = texts.select(id_col, words(text_col).alias("_w"))
-    sizes = [r["n"] for r in names.select(F.size(words("name")).alias("n")).where("n > 0").distinct().orderBy("n").collect()]
-    joined = lambda n: lambda i: F.array_join(F.slice("_w", i, n), " ")
-    grams = None
-    for n in sizes or [1]:
-        at = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        g = base.select(id_col, F.posexplode(F.transform(at, joined(n))).alias("at", "gram"), F.lit(n).alias("n"))
-        grams = g if grams is None else grams.unionByName(g)
-    keyed = names.select(F.array_join(words("name"), " ").alias("gram"), "name", "entity")
-    found = grams.join(keyed, "gram")
-    longest = F.max("n").over(Window.partitionBy(id_col, "at"))
-    return found.withColumn("_l", longest).where("n = _l").select(id_col, "name", "entity").distinct()
+    from factlake.operators.packing import fold_in_order
+
+    base = texts.select(F.col(id_col).alias("_id"), name_words(F.col(text_col)).alias("_w")).where("size(_w) > 0")
+    keyed = names.select(name_words(F.col("name")).alias("_n"), "name", "entity").where("size(_n) > 0").select(_name_key(F.col("_n")).alias("gram"), F.size("_n").alias("n"), "name", "entity")
+    sizes = [r["n"] for r in keyed.select("n").distinct().orderBy("n").collect()]  # lengths of names
+    places = base.select("_id", "_w", F.explode(F.sequence(F.lit(1), F.size("_w"))).alias("at"))
+    grams = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), _name_key(F.slice("_w", F.col("at"), n)).alias("gram")) for n in sizes or [1]]))
+    spread = places.select("_id", "at", F.size("_w").alias("_size"), grams.alias("g")).select("_id", "at", "g.*", "_size").where("at + n - 1 <= _size").drop("_size")
+    found = spread.join(keyed.drop("n"), "gram").select("_id", F.col("at").cast("long").alias("at"), F.col("n").cast("long").alias("n"), "name", "entity")
+    kinds = dict(found.dtypes)
+
+    def step(last, row):
+        key, at, n, name, entity = row
+        if last is not None and at < last[1] and (at, n) != (last[0], last[1] - last[0]):
+            return last, []
+        return (at, at + n), [(key, name, entity)]
+
+    kept = fold_in_order(found, ["_id"], [F.asc("at"), F.desc("n")], step, None, f"_id {kinds['_id']}, name string, entity {kinds['entity']}")
+    return kept.withColumnRenamed("_id", id_col).distinct()
+
+
+def without_families(found: DataFrame, members: DataFrame, id_col: str) -> DataFrame:
+    """Mentions without those of a family of which the same text also names a member; ``members`` are (member, family), families may lie in families."""
+    named = found.select(F.col(id_col).alias("_id"), F.col("entity").alias("member")).distinct()
+    covered = named.join(members, "member").select("_id", F.col("family").alias("_family")).distinct()
+    return found.join(covered, (F.col(id_col) == F.col("_id")) & (F.col("entity") == F.col("_family")), "left_anti")
 
 
 def near_pairs(df: DataFrame, key: str, words: str, least: float = 0.8) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,48 @@ def lexical_search(index: DataFrame, key: str, terms: list[tuple[str, bool]], li
     return found.groupBy(key).agg(F.round(F.count("*") / len(terms), 9).alias("score")).orderBy(F.desc("score"), key).limit(limit)
 
 
+#: buckets of an index on disk, and the leading characters of a term that decide its bucket
+INDEX_BUCKETS, INDEX_LEAD = 32, 2
+
+
+def index_words(c: Column) -> Column:
+    """Lower-case words of two and more characters, in any script."""
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: F.char_length(x) > 1)
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.crc32(F.substring(term, 1, INDEX_LEAD).cast("binary")), F.lit(INDEX_BUCKETS)).cast("int")
+
+
+def postings(df: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
+    """(key, term, count, weight, bucket) for an index on disk: how often a unit has a term, and that times the weights of the fields it stands in.
+
+    Weights are whole numbers, so sums do not depend on their order. Rows lie sorted by term in their
+    bucket: a term or a prefix of two characters and more reads one bucket, and in it the row groups
+    whose terms can fit.
+    """
+    counted = F.array(*[F.struct(index_words(F.col(c)).alias("words"), F.lit(w).alias("w")) for c, w in fields.items()])
+    each = df.select(key, F.explode(counted).alias("f")).select(key, F.explode("f.words").alias("term"), F.col("f.w").alias("w"))
+    out = each.groupBy(key, "term").agg(F.count("*").alias("count"), F.sum("w").alias("weight")).withColumn("bucket", _bucket(F.col("term")))
+    return out.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term", key)
+
+
+def search_postings(index: DataFrame, key: str, terms: list[tuple[str, bool]], limit: int) -> DataFrame:
+    """(key, score, terms) of the units with the greatest weighted number of places that hold a wanted term, whole or as a prefix; ties by key.
+
+    A place counts once, however many wanted terms it fits. The buckets of the terms are constants of the
+    plan, so other folders of the index are not read; the limit is the report's length.
+    """
+    fits = F.lit(False)
+    for term, prefix in terms:
+        one = F.startswith("term", F.lit(term)) if prefix else F.col("term") == term
+        fits = fits | one
+    index = index.where(fits)
+    if all(len(term) >= INDEX_LEAD for term, _ in terms):
+        index = index.where(F.col("bucket").isin(*sorted({crc32(term[:INDEX_LEAD].encode()) % INDEX_BUCKETS for term, _ in terms})))
+    return index.groupBy(key).agg(F.sum("weight").alias("score"), F.count("*").alias("terms")).orderBy(F.desc("score"), key).limit(limit)
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: i.cast("double") * j.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))

@@ -172,6 +172,30 @@ def _(t):
     return R.lexical_search(index(t), "doc_id", [("license", False), ("ver", True), ("apache", False)], 20)
 
 
+#: postings in DuckDB: the first line weighs 10, language and source 4, the text 2
+_FIELDS = {"split_part(text, chr(10), 1)": 10, "lang": 4, "source": 4, "text": 2}
+_TERMS = " UNION ALL ".join(f"SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 1)) AS term, {w} AS w FROM documents" for c, w in _FIELDS.items())
+POSTINGS = f"(SELECT doc_id, term, count(*) AS count, CAST(sum(w) AS BIGINT) AS weight FROM ({_TERMS}) GROUP BY ALL)"
+WANTED = [("license", False), ("ver", True), ("über", False), ("éc", True), ("apache", False)]
+
+
+def stored_index(t):
+    from factlake.sources.shared import written_once
+
+    docs = t.documents.select("doc_id", F.split("text", "\n")[0].alias("head"), "lang", "source", "text")
+    return written_once(t.spark, "lexical-index", t.sf_dir, lambda: R.postings(docs, "doc_id", {"head": 10, "lang": 4, "source": 4, "text": 2}), "bucket")
+
+
+@query("K01_stored_index", f"SELECT doc_id, term, count, weight FROM {POSTINGS}")
+def _(t):
+    return stored_index(t).select("doc_id", "term", "count", "weight")
+
+
+@query("K02_weighted_search", f"SELECT doc_id, CAST(sum(weight) AS BIGINT) AS score, count(*) AS terms FROM {POSTINGS} WHERE {' OR '.join(f"starts_with(term, '{w}')" if prefix else f"term = '{w}'" for w, prefix in WANTED)} GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 50")
+def _(t):
+    return R.search_postings(stored_index(t), "doc_id", WANTED, 50)
+
+
 COS = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))"
 
 

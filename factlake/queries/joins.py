@@ -146,7 +146,25 @@ def _(t):
     return J.top_child(t.orders.select("o_orderkey"), rows.drop("l_orderkey"), "o_orderkey", ["l_shipdate", "l_linenumber", "l_partkey"], []).select("o_orderkey", "l_partkey")
 
 
-@query("D20_mentions", "SELECT DISTINCT p_partkey, name, entity FROM part JOIN (VALUES ('red', 1), ('blue anvil', 2), ('blue', 3), ('green', 4)) v(name, entity) ON regexp_matches(lower(p_name), '(^|[^a-z])' || name || '([^a-z]|$)') WHERE NOT (name = 'blue' AND regexp_matches(lower(p_name), '(^|[^a-z])blue anvil([^a-z]|$)'))")
+#: names made from the parts: whole names of small ones, first words of others; texts hold a name twice, so names also stand across
+_WORDS_OF = "string_split(lower(p_name), ' ')"
+NAMES = f"(SELECT name, CAST(min(p_partkey) AS BIGINT) AS entity FROM (SELECT p_partkey, lower(p_name) AS name FROM part WHERE p_size < 20 UNION ALL SELECT p_partkey, {_WORDS_OF}[-1] || ' ' || {_WORDS_OF}[1] FROM part WHERE p_size = 30 UNION ALL SELECT p_partkey, {_WORDS_OF}[1] FROM part) GROUP BY 1)"
+MENTIONS = f"""words AS (SELECT p_partkey, string_split(lower(p_name || ' ' || p_name), ' ') AS w FROM part), names AS (SELECT *, string_split(name, ' ') AS nw FROM {NAMES}), best AS (SELECT p_partkey, pos, max(len(nw)) AS n FROM (SELECT *, unnest(generate_series(1, len(w))) AS pos FROM words) JOIN names ON nw = w[pos:pos + len(nw) - 1] GROUP BY ALL),
+    walk AS (SELECT p_partkey, CAST(1 AS BIGINT) AS pos FROM words UNION ALL SELECT k.p_partkey, k.pos + coalesce(b.n, 1) FROM walk k LEFT JOIN best b ON b.p_partkey = k.p_partkey AND b.pos = k.pos JOIN words w ON w.p_partkey = k.p_partkey WHERE k.pos <= len(w.w)),
+    found AS (SELECT DISTINCT b.p_partkey, names.name, names.entity FROM walk k JOIN best b ON b.p_partkey = k.p_partkey AND b.pos = k.pos JOIN words w ON w.p_partkey = k.p_partkey JOIN names ON len(nw) = b.n AND nw = w.w[b.pos:b.pos + b.n - 1])"""
+
+
+def catalog_names(t):
+    words = F.split(F.lower("p_name"), " ")
+    name = lambda df, c: df.select("p_partkey", c.alias("name"))
+    all_names = name(t.part.where("p_size < 20"), F.lower("p_name")).unionByName(name(t.part.where("p_size = 30"), F.concat_ws(" ", F.element_at(words, -1), F.get(words, 0)))).unionByName(name(t.part, F.get(words, 0)))
+    return all_names.groupBy("name").agg(F.min("p_partkey").alias("entity"))
+
+
+def twice(t):
+    return t.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_name").alias("line"))
+
+
+@query("D20_mentions", f"WITH RECURSIVE {MENTIONS} SELECT * FROM found")
 def _(t):
-    names = t.spark.createDataFrame([("red", 1), ("blue anvil", 2), ("blue", 3), ("green", 4)], "name string, entity int")
-    return J.mentions(t.part, names, "p_partkey", "p_name")
+    return J.mentions(twice(t), catalog_names(t), "p_partkey", "line")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factlake.plans import questions as Q
 from factlake.queries import query
+from factlake.queries.joins import MENTIONS, catalog_names, twice
 
 CENTS = "CAST(l_extendedprice AS DECIMAL(18, 2))"
 
@@ -122,9 +123,13 @@ def _(t):
     return Q.plan_requests(requests, ["rate"], "2024-01-05")
 
 
-@query("M12_resolved_mentions", "SELECT p_partkey, count(DISTINCT entity) > 1 AS clarify FROM (SELECT p_partkey, entity FROM part JOIN (VALUES ('red', 1), ('blue', 3), ('anvil', 4)) v(name, entity) ON regexp_matches(lower(p_name), '(^|[^a-z])' || name || '([^a-z]|$)')) GROUP BY 1")
+#: a name of several words is a member of the family that its first word names
+@query("M12_resolved_mentions", f"WITH RECURSIVE {MENTIONS}, m AS (SELECT a.entity AS member, b.entity AS family FROM names a JOIN names b ON len(a.nw) > 1 AND len(b.nw) = 1 AND b.nw[1] = a.nw[1] AND a.entity <> b.entity), kept AS (SELECT f.* FROM found f WHERE NOT EXISTS (SELECT 1 FROM found g JOIN m ON m.member = g.entity WHERE g.p_partkey = f.p_partkey AND m.family = f.entity)) SELECT p_partkey, count(DISTINCT entity) AS entities, count(DISTINCT entity) > 1 AS clarify FROM kept GROUP BY 1")
 def _(t):
-    from factlake.operators.joins import mentions
+    from factlake.operators.joins import mentions, without_families
 
-    names = t.spark.createDataFrame([("red", 1), ("blue", 3), ("anvil", 4)], "name string, entity int")
-    return mentions(t.part, names, "p_partkey", "p_name").groupBy("p_partkey").agg((F.count_distinct("entity") > 1).alias("clarify"))
+    names = catalog_names(t)
+    first = F.split("name", " ")[0]
+    members = names.where(F.contains("name", F.lit(" "))).select(F.col("entity").alias("member"), first.alias("w")).join(names.where(~F.contains("name", F.lit(" "))).select(F.col("entity").alias("family"), F.col("name").alias("w")), "w").where("member <> family").select("member", "family")
+    found = without_families(mentions(twice(t), names, "p_partkey", "line"), members, "p_partkey")
+    return found.groupBy("p_partkey").agg(F.count_distinct("entity").alias("entities"), (F.count_distinct("entity") > 1).alias("clarify"))

@@ -17,13 +17,13 @@ def shared_folder(spark: SparkSession) -> str:
     return shared or "file://" + tempfile.mkdtemp(prefix="factlake-")
 
 
-def written_once(spark: SparkSession, name: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``build`` gives, written on first use in an application and read from there; a lost executor costs no second build."""
+def written_once(spark: SparkSession, name: str, key: str, build: Callable[[], DataFrame], *folders: str) -> DataFrame:
+    """The table ``build`` gives, written on first use in an application and read from there; a lost executor costs no second build. ``folders`` are columns it is partitioned by."""
     context = spark.sparkContext
     known = context.__dict__.setdefault("_factlake_written", {})
     at = known.get((name, key))
     if at is None:
         at = f"{shared_folder(spark)}/{name}-{context.applicationId}-{hashlib.md5(key.encode()).hexdigest()}"
-        build().write.mode("overwrite").parquet(at)
+        build().write.mode("overwrite").partitionBy(*folders).parquet(at)
         known[name, key] = at
     return spark.read.parquet(at)

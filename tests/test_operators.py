@@ -113,7 +113,7 @@ def test_mentions_of_long_names(spark):
 
     texts = spark.createDataFrame([(1, "The Bank of New York Mellon paid; New York did not"), (2, "bank of new york"), (3, None)], "id long, text string")
     names = spark.createDataFrame([("Bank of New York Mellon", 1), ("bank of new york", 2), ("New York", 3)], "name string, entity int")
-    assert sorted((r["id"], r["entity"]) for r in mentions(texts, names, "id", "text").collect()) == [(1, 1), (1, 3), (2, 2), (2, 3)]
+    assert sorted((r["id"], r["entity"]) for r in mentions(texts, names, "id", "text").collect()) == [(1, 1), (1, 3), (2, 2)]
     assert mentions(texts, names.limit(0), "id", "text").count() == 0
 
 
@@ -146,3 +146,14 @@ def test_sections_are_carried_until_the_anchor_changes(spark):
     df = spark.createDataFrame([("t", *r) for r in rows], "t string, n int, section string, sub string, anchor string")
     got = {r["n"]: r["path"] for r in G.carried_sections(df, "t", ["n"], "section", "sub", "anchor").collect()}
     assert [got[n] for n in (0, 2, 4, 5, 8)] == [None, "S", "S > sub", "S", "T"]
+
+
+def test_leftmost_longest_mentions(spark):
+    from factlake.operators.joins import mentions, without_families
+
+    texts = spark.createDataFrame([(1, "The blue anvil's price"), (2, "old blue anvil blue"), (3, "Blues, ANVILS; синяя наковальня"), (4, None), (5, "anvil blue anvil")], "id long, text string")
+    names = spark.createDataFrame([("blue anvil", 1), ("anvil", 2), ("Blue", 3), ("old blue", 4), ("синяя наковальня", 5), ("anvil", 6), ("", 7)], "name string, entity long")
+    found = mentions(texts, names, "id", "text")
+    assert sorted((r["id"], r["entity"]) for r in found.collect()) == [(1, 1), (2, 2), (2, 3), (2, 4), (2, 6), (3, 2), (3, 3), (3, 5), (3, 6), (5, 1), (5, 2), (5, 6)]
+    members = spark.createDataFrame([(1, 2), (1, 6)], "member long, family long")
+    assert sorted((r["id"], r["entity"]) for r in without_families(found, members, "id").collect() if r["id"] == 5) == [(5, 1)]
