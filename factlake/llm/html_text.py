@@ -66,10 +66,18 @@ def parse(page: str) -> list[Node]:
     """Block elements in page order, the root first; items of a node are its texts (text, in a link) and child nodes."""
     root = Node("html", None, "")
     nodes, stack, at, linked, size = [root], [("html", root)], 0, 0, len(page)
+    whole = page.rfind(">") + 1  # no tag ends behind it
+    opened: dict[str, list[int]] = {}  # places in the stack of open blocks, by name
+
+    def cut(place: int) -> None:
+        for t, _ in stack[place:]:
+            opened[t].pop()
+        del stack[place:]
+
     endless: set[str] = set()  # silent elements without an end tag from here on
     node = root
     while at < size:
-        found = _TOKEN.search(page, at)
+        found = _TOKEN.search(page, at, whole) if at < whole else None
         if found is None:
             node.items.append((page[at:], linked > 0))
             break
@@ -85,11 +93,9 @@ def parse(page: str) -> list[Node]:
                 linked = 0
             if tag in _SPACED:
                 node.items.append((" ", False))
-            if tag not in _BLOCK or not any(t == tag for t, _ in stack[1:]):
+            if tag not in _BLOCK or not opened.get(tag):
                 continue
-            while stack[-1][0] != tag:
-                stack.pop()
-            stack.pop()
+            cut(opened[tag][-1])
             node, linked = stack[-1][1], 0
             continue
         if tag in _SILENT:
@@ -114,16 +120,15 @@ def parse(page: str) -> list[Node]:
         drop = set(_CLOSES.get(tag, ()))
         if tag in _CLOSES_P:
             drop.add("p")
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in drop:
-                del stack[k:]
-                break
-            if stack[k][0] in _HOLDERS.get(tag, ()) or tag not in _HOLDERS and stack[k][0] not in ("p",):
-                break
+        last = lambda tags: max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+        place = last(drop) if tag in _HOLDERS else len(stack) - 1 if stack[-1][0] in drop else 0
+        if place > last(_HOLDERS.get(tag, ())):
+            cut(place)
         linked = 0
         node = Node(tag, stack[-1][1], found[3])
         stack[-1][1].items.append(node)
         nodes.append(node)
+        opened.setdefault(tag, []).append(len(stack))
         stack.append((tag, node))
     return nodes
 

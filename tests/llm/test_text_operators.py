@@ -235,3 +235,27 @@ def test_self_closed_pictures_and_formulas_keep_the_text():
     nodes = html_text.parse("<article><p>one <svg viewBox='0'/> two <math><mi>x</mi></math> three</p><svg><text>no</text></svg></article>")
     text = "".join(i[0] for n in nodes for i in n.items if isinstance(i, tuple))
     assert "two" in text and "x" in text and "three" in text and "no" not in text
+
+
+def test_ibans_before_other_words():
+    from factlake.llm.pii import ibans
+
+    for text, want in [
+        ("from IBAN DE89370400440532013000 EUR 500", ["DE89370400440532013000"]),
+        ("iban DE89 3704 0044 0532 0130 00 IS OK", ["DE89 3704 0044 0532 0130 00"]),
+        ("DE89370400440532013000 GB82 WEST 1234 5698 7654 32", ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"]),
+        ("DE89370400440532013001 xDE89370400440532013000 DE893704004405320130001", []),
+        ("", []),
+    ]:
+        assert [text[a:b] for a, b in ibans(text)] == want
+
+
+def test_hostile_pages_take_time_by_their_length():
+    import time
+
+    from factlake.llm.html_text import parse
+
+    for page in ("<a " * 1_000_000, "<div>" * 100_000 + "</p>" * 100_000, "<div>" * 100_000 + "<li>" * 100_000, '<a "' * 500_000, "<p " * 300_000 + ">"):
+        began = time.process_time()
+        parse(page)
+        assert time.process_time() - began < 20
