@@ -118,6 +118,63 @@ def chunks(df: DataFrame, key: str, text: str, most: int) -> DataFrame:
     return out.withColumn("content_sha256", F.sha2("content", 256))
 
 
+def chunk_units(units: DataFrame, key: str, order: str, most: int) -> DataFrame:
+    """(key, ordinal, content): lines of units in order, put together up to ``most`` characters.
+
+    ``units`` are (key, order, breadcrumb, head, line): each chunk begins with its breadcrumb, and with the
+    head of the table it continues; a new breadcrumb starts a chunk, a new head is written before its
+    lines. A line that does not fit behind its beginning is cut at spaces. Null texts are empty; keys of
+    any number of lines are streams that hold one chunk.
+    """
+    kind = dict(units.dtypes)
+
+    def prefix(crumb: str, head: str) -> list[str]:
+        return [x for x in (crumb, head) if x]
+
+    def step(held, row):
+        k, _, crumb, head, line = row
+        done = []
+        first = prefix(crumb, head)
+        room = max(1, most - sum(len(x) + 1 for x in first))
+        for piece in split_text(line, room) if len(line) > room else [line]:
+            if held is not None and held[2] == crumb:
+                more = ([head] if head and head != held[3] else []) + [piece]
+                if held[5] + sum(len(x) + 1 for x in more) <= most:
+                    held = (k, held[1], crumb, head, held[4] + more, held[5] + sum(len(x) + 1 for x in more))
+                    continue
+            number = 0
+            if held is not None:
+                done += close(held)
+                number = held[1] + 1
+            lines = [*first, piece]
+            held = (k, number, crumb, head, lines, sum(map(len, lines)) + len(lines) - 1)
+        return held, done
+
+    def close(held):
+        return [(held[0], held[1], "\n".join(held[4]))]
+
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    rows = units.select(key, order, text("breadcrumb"), text("head"), text("line")).where("line <> ''")
+    return fold_in_order(rows, [key], [F.asc(order)], step, close, f"{key} {kind[key]}, ordinal long, content string")
+
+
+def page_units(parsed: DataFrame, cells: DataFrame) -> DataFrame:
+    """(page_id, ord, breadcrumb, head, line) of parsed pages: the blocks outside chrome in reading order, tables row by row.
+
+    ``cells`` are the pages' cells; a table's head is its header rows, each row's cells are joined by bars.
+    """
+    from factlake.sources.pages import parse_blocks
+
+    blocks = parse_blocks(parsed).where("not chrome").select("page_id", "ord", "type", "table_id", F.col("heading_path").alias("breadcrumb"), "text")
+    texts = blocks.where("table_id is null").select("page_id", F.struct("ord", F.lit(0).alias("row")).alias("ord"), "breadcrumb", F.lit("").alias("head"), F.regexp_replace("text", "\n", " ").alias("line"))
+    row = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda c: c["text"]), " | ")
+    rows = cells.groupBy("page_id", "table_id", "row").agg(row.alias("line"), F.bool_and("is_header").alias("is_head"))
+    w = Window.partitionBy("page_id", "table_id").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    heads = F.array_join(F.collect_list(F.when(F.col("is_head"), F.col("line"))).over(w), " / ")
+    tables = rows.withColumn("head", heads).where("not is_head").join(blocks.select("page_id", "table_id", F.col("ord").alias("_o"), "breadcrumb"), ["page_id", "table_id"])
+    return texts.unionByName(tables.select("page_id", F.struct(F.col("_o").alias("ord"), (F.col("row") + 1).alias("row")).alias("ord"), "breadcrumb", "head", F.regexp_replace("line", "\n", " ").alias("line")))
+
+
 def baseline_gate(df: DataFrame, key: str, order: str, value: str, drop: float) -> DataFrame:
     """(key, order, passed, baseline): a row passes if it is not below the drop from the last row that passed."""
     kind = dict(df.dtypes)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from factlake.operators import packing as P
 from factlake.operators import tables as T
 from factlake.queries import query
 
@@ -123,3 +124,31 @@ def _(t):
     out = T.structure_tables(T.text_cells(rows)).where("kind in ('data', 'qualifier')")
     value = lambda k: F.element_at("cells", k)
     return out.select("table_id", "row", "kind", F.array_join("labels", " > ").alias("labels"), F.array_join(value(3)["path"], " / ").alias("first_path"), value(3)["text"].alias("first"), F.array_join(value(4)["path"], " / ").alias("second_path"), value(4)["text"].alias("second"))
+
+
+#: lines of an order by status and flag; each chunk of at most so many characters repeats where it stands and the head of its columns
+_CHUNK = 70
+_UNITS = "(SELECT l_orderkey AS t, 'Order ' || l_orderkey || ' > ' || l_returnflag AS crumb, 'Line | Quantity | Price' AS head, l_linenumber || ' | ' || CAST(floor(l_quantity) AS BIGINT) || ' | ' || CAST(floor(l_extendedprice) AS BIGINT) AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i FROM lineitem)"
+
+
+@query(
+    "J27_table_chunks",
+    f"""WITH RECURSIVE u AS MATERIALIZED {_UNITS}, walk AS (SELECT t, i, crumb, line, CAST(0 AS BIGINT) AS ordinal, length(crumb) + length(head) + length(line) + 2 AS size FROM u WHERE i = 1
+    UNION ALL SELECT u.t, u.i, u.crumb, u.line, w.ordinal + CASE WHEN u.crumb = w.crumb AND w.size + 1 + length(u.line) <= {_CHUNK} THEN 0 ELSE 1 END, CASE WHEN u.crumb = w.crumb AND w.size + 1 + length(u.line) <= {_CHUNK} THEN w.size + 1 + length(u.line) ELSE length(u.crumb) + length(u.head) + length(u.line) + 2 END FROM walk w JOIN u ON u.t = w.t AND u.i = w.i + 1)
+    SELECT t AS table_id, ordinal, any_value(crumb) || chr(10) || 'Line | Quantity | Price' || chr(10) || string_agg(line, chr(10) ORDER BY i) AS content FROM walk GROUP BY t, ordinal""",
+)
+def _(t):
+    number = lambda c: F.floor(c).cast("long").cast("string")
+    w = Window.partitionBy("l_orderkey").orderBy("l_returnflag", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    line = F.concat_ws(" | ", F.col("l_linenumber").cast("string"), number("l_quantity"), number("l_extendedprice"))
+    units = t.lineitem.select(F.col("l_orderkey").alias("table_id"), F.row_number().over(w).alias("i"), F.concat(F.lit("Order "), F.col("l_orderkey").cast("string"), F.lit(" > "), "l_returnflag").alias("breadcrumb"), F.lit("Line | Quantity | Price").alias("head"), line.alias("line"))
+    return P.chunk_units(units, "table_id", "i", _CHUNK)
+
+
+@query("J27_page_chunks")
+def _(t):
+    from factlake.queries.derived import parsed_all
+    from factlake.sources.pages import parse_cells
+
+    parsed = parsed_all(t)
+    return P.chunk_units(P.page_units(parsed, parse_cells(parsed)), "page_id", "ord", 600)
