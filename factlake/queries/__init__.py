@@ -33,4 +33,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from factlake.queries import documents, evidence, facts, identity, joins, metrics, pages, projection, questions, reads, scalars, streams, tables, versions  # noqa: F401
+    from factlake.queries import documents, evidence, facts, identity, joins, labels, metrics, pages, projection, questions, reads, scalars, streams, tables, versions  # noqa: F401
