@@ -37,15 +37,23 @@ def set_hash(df: DataFrame, key: str, member: Column, name: str) -> DataFrame:
 
 
 def ordered_hash(df: DataFrame, key: str, order: str, member: str, name: str, width: int = 1000) -> DataFrame:
-    """Per key a hash of the members in order: of the hashes of blocks of blocks, each of ``width`` places of the order, so no task gathers a whole key."""
+    """Per key a hash of the members in order, ties by member: of the hashes of blocks of blocks, each of ``width`` members.
+
+    Blocks are cut by place within the key, so the hash depends on the members and their order alone; no
+    task gathers a whole key.
+    """
+    from factlake.operators.ranking import numbered
 
     def hashed(rows: DataFrame, keys: list[str]) -> DataFrame:
         members = F.transform(F.array_sort(F.collect_list(F.struct("_o", "_m"))), lambda s: s["_m"].cast("string"))
         return rows.groupBy(*keys).agg(F.sha2(F.array_join(members, SEPARATOR), 256).alias("_m"))
 
-    rows = df.select(key, F.col(order).alias("_o"), F.col(member).alias("_m"), F.floor(F.col(order) / width).alias("_b"))
-    rows = hashed(rows, [key, "_b"]).select(key, F.col("_b").alias("_o"), "_m", F.floor(F.col("_b") / width).alias("_c"))
-    return hashed(hashed(rows, [key, "_c"]).withColumnRenamed("_c", "_o"), [key]).withColumnRenamed("_m", name)
+    placed = numbered(df.select(F.col(key).alias("_k"), F.col(order).alias("_by"), F.col(member).alias("_m")), [F.asc("_k"), F.asc("_by"), F.asc("_m")], "_rank")
+    first = placed.groupBy(F.col("_k").alias("_of")).agg(F.min("_rank").alias("_first"))
+    rows = placed.join(first, F.col("_k").eqNullSafe(F.col("_of"))).select("_k", (F.col("_rank") - F.col("_first")).alias("_o"), "_m")
+    rows = hashed(rows.withColumn("_b", F.floor(F.col("_o") / width)), ["_k", "_b"]).select("_k", F.col("_b").alias("_o"), "_m", F.floor(F.col("_b") / width).alias("_c"))
+    out = hashed(hashed(rows, ["_k", "_c"]).withColumnRenamed("_c", "_o"), ["_k"])
+    return out.select(F.col("_k").alias(key), F.col("_m").alias(name))
 
 
 def canonical_map(c: Column, dropped: list[str]) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # fixed values: comparison words, unit names, error classes, condition synonyms, multipliers
 COMPARISONS = {"up to": "<=", "at most": "<=", "not more than": "<=", "no more than": "<=", "not less than": ">=", "no less than": ">=", "at least": ">=", "from": ">=", "over": ">", "more than": ">", "under": "<", "less than": "<"}
-UNITS = {"%": "percent", "percent": "percent", "$": "USD", "usd": "USD", "€": "EUR", "eur": "EUR", "֏": "AMD", "amd": "AMD", "months": "month", "month": "month", "years": "year", "year": "year", "days": "day", "day": "day"}
+UNITS = {"%": "percent", "percent": "percent", "$": "USD", "usd": "USD", "€": "EUR", "eur": "EUR", "֏": "AMD", "amd": "AMD", "months": "month", "month": "month", "years": "year", "year": "year", "days": "day", "day": "day", "dollar": "USD", "dollars": "USD", "euro": "EUR", "euros": "EUR", "dram": "AMD", "drams": "AMD"}
 ERROR_CODES = {"timeout": "source_timeout", "connect": "source_unreachable", "parse": "source_invalid", "quota": "rate_limited"}
 CONDITIONS = {"currency": "currency", "ccy": "currency", "term": "term", "maturity": "term", "amount": "amount", "sum": "amount", "channel": "channel"}
 MULTIPLIERS = {"thousand": 1_000, "million": 1_000_000}
@@ -40,9 +40,9 @@ def numbers(c: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """ISO, day.month.year (two-digit years are 20xx), 'Month day, year' and 'day Month year'; null for none or an impossible date."""
-    iso = F.try_to_date(F.regexp_extract(c, r"(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd")
-    d, m, y = (F.regexp_extract(c, r"(\d{1,2})\.(\d{1,2})\.(\d{4}|\d{2})", i) for i in (1, 2, 3))
+    """Year first or day first with -, / or . between (two-digit years are 20xx), 'Month day, year' and 'day Month year'; null for none or an impossible date."""
+    iso = F.try_to_date(F.regexp_replace(F.regexp_extract(c, r"(?<!\d)(\d{4}([-/.])\d{2}\2\d{2})(?!\d)", 1), "[/.]", "-"), "yyyy-MM-dd")
+    d, m, y = (F.regexp_extract(c, r"(?<!\d)(\d{1,2})[./](\d{1,2})[./](\d{4}|\d{2})(?!\d)", i) for i in (1, 2, 3))
     full = F.when(F.char_length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
     dotted = F.try_to_date(F.concat_ws("-", full, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
     names = F.create_map(*[F.lit(x) for k, n in enumerate(MONTHS) for x in (n, f"{k + 1:02d}")])

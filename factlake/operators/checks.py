@@ -26,8 +26,8 @@ def cardinality(expected: DataFrame, received: DataFrame, key: str) -> DataFrame
 
 
 def ungrounded(numbers: Column, quote: Column) -> Column:
-    """Whether some number is not in the quote."""
-    return F.exists(numbers, lambda x: ~F.contains(quote, x))
+    """Whether some number text is none of the quote's own: 5 is not in 15. Readings of numbers are in ``functions.readings``."""
+    return F.size(F.array_except(numbers, F.regexp_extract_all(quote, F.lit(r"(\d+)"), 1))) > 0
 
 
 def alternatives(df: DataFrame, conditions: list[str], value: str) -> DataFrame:

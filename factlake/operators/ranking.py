@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factlake.sources.shared import shared_folder
+
 
 def directed(df: DataFrame, column: str, direction: str, tie: str) -> DataFrame:
     """Lowest or highest first, ties by id; nulls last."""
@@ -42,16 +46,34 @@ def capped(df: DataFrame, keys: list[str], order: list[str], each: int, total: i
     return ranked.where(F.col("_rn") <= each).orderBy(*keys, *order).limit(total).drop("_rn")
 
 
-def reciprocal_ranks(lists: list[tuple[DataFrame, str, str, float]], k: int = 60, most: int = 1000) -> DataFrame:
-    """(id, score): weighted sum of 1 / (k + rank) over the first ``most`` of ranked lists (table, id, score column, weight); ties by id.
+def numbered(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Adds the place of each row in the order of the whole table, from 1.
+
+    Rows are sorted into ranges and written to the shared folder with the number of their range, so
+    that later steps see the same ranges; ranges are numbered apart, behind the counts of those before.
+    """
+    spark, at = df.sparkSession, f"{shared_folder(df.sparkSession)}/ranges-{uuid.uuid4().hex}"
+    df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(at)
+    rows = spark.read.parquet(at)
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    # one row for each range
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
+    return rows.join(F.broadcast(before), "_range").withColumn(name, place.cast("long")).drop("_range", "_before")
+
+
+def reciprocal_ranks(lists: list[tuple[DataFrame, str, str, float]], k: int = 60, most: int | None = None) -> DataFrame:
+    """(id, score): weighted sum of 1 / (k + rank) over ranked lists (table, id, score column, weight); ties by id.
 
-    Each task keeps its best ``most`` rows, so only so many meet in the window that numbers them.
+    ``most`` is for reports of the top of short lists: each task keeps its best so many rows, and only they
+    are numbered. Left out, every rank of every list counts.
     """
     parts = []
     for df, key, score, weight in lists:
-        w = Window.orderBy(F.desc(score), F.asc(key))
-        df = df.orderBy(F.desc(score), F.asc(key)).limit(most)
-        parts.append(df.select(F.col(key).alias("id"), (F.lit(weight) / (F.lit(k) + F.row_number().over(w))).alias("part")))
+        rows = df.select(F.col(key).alias("id"), F.col(score).alias("_s"))
+        order = [F.desc("_s"), F.asc("id")]
+        ranked = numbered(rows, order, "_rank") if most is None else rows.orderBy(*order).limit(most).withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
+        parts.append(ranked.select("id", (F.lit(weight) / (F.lit(k) + F.col("_rank"))).alias("part")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

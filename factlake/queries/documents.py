@@ -254,7 +254,7 @@ def _(t):
     return C.cardinality(t.orders.select("o_orderkey"), got, "o_orderkey")
 
 
-@query("L05_grounding", "SELECT doc_id FROM (SELECT doc_id, text, split_part(text, chr(10), 1) AS claim FROM documents) WHERE len(list_filter(regexp_extract_all(claim, '\\d+'), lambda x: NOT contains(substr(text, length(claim) + 1), x))) > 0")
+@query("L05_grounding", "SELECT doc_id FROM (SELECT doc_id, text, split_part(text, chr(10), 1) AS claim FROM documents) WHERE len(list_filter(regexp_extract_all(claim, '\\d+'), lambda x: NOT list_contains(regexp_extract_all(substr(text, length(claim) + 1), '\\d+'), x))) > 0")
 def _(t):
     # the first line is the claim, the rest of the text its evidence
     claim = F.split("text", "\n")[0]

@@ -67,7 +67,7 @@ def _(t):
     return t.documents.select("doc_id", I.hash_parts(F.col("text"), F.col("lang")).alias("content_fp"), I.hash_parts(F.col("lang"), F.col("source")).alias("structural_fp"))
 
 
-@query("B12_packet_fingerprint", f"SELECT source, sha256(string_agg(h, {SEP} ORDER BY c)) AS fp FROM (SELECT source, b // 1000 AS c, sha256(string_agg(h, {SEP} ORDER BY b)) AS h FROM (SELECT source, doc_id // 1000 AS b, sha256(string_agg(sha256(text), {SEP} ORDER BY doc_id, sha256(text))) AS h FROM documents GROUP BY ALL) GROUP BY ALL) GROUP BY 1")
+@query("B12_packet_fingerprint", f"SELECT source, sha256(string_agg(h, {SEP} ORDER BY c)) AS fp FROM (SELECT source, b // 1000 AS c, sha256(string_agg(h, {SEP} ORDER BY b)) AS h FROM (SELECT source, place // 1000 AS b, sha256(string_agg(sha, {SEP} ORDER BY place)) AS h FROM (SELECT source, sha256(text) AS sha, row_number() OVER (PARTITION BY source ORDER BY doc_id, sha256(text)) - 1 AS place FROM documents) GROUP BY ALL) GROUP BY ALL) GROUP BY 1")
 def _(t):
     rows = t.documents.select("source", "doc_id", F.sha2("text", 256).alias("sha"))
     return I.ordered_hash(rows, "source", "doc_id", "sha", "fp")

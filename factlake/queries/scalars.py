@@ -30,12 +30,12 @@ scalar("I04_normalize_percentage", "lineitem", "l_orderkey", lambda: T.normalize
 scalar("I06_number_range", "part", "p_partkey", lambda: V.number_range(F.concat(F.col("p_size").cast("string"), F.lit("-25 months")))["low"].cast("double"), "SELECT p_partkey, CASE WHEN p_size <= 25 THEN CAST(p_size AS DOUBLE) END AS value FROM part")
 scalar("I07_comparison", "documents", "doc_id", lambda: V.comparison(F.col("text")), "SELECT doc_id, CASE regexp_extract(lower(text), '(?:^|[^\\p{L}])(not more than|not less than|no more than|no less than|more than|less than|at least|at most|up to|under|from|over)(?:[^\\p{L}]|$)', 1) WHEN 'not more than' THEN '<=' WHEN 'no more than' THEN '<=' WHEN 'not less than' THEN '>=' WHEN 'no less than' THEN '>=' WHEN 'up to' THEN '<=' WHEN 'at most' THEN '<=' WHEN 'at least' THEN '>=' WHEN 'from' THEN '>=' WHEN 'over' THEN '>' WHEN 'more than' THEN '>' WHEN 'under' THEN '<' WHEN 'less than' THEN '<' END AS value FROM documents")
 scalar("I08_locale_decimal", "part", "p_partkey", lambda: T.locale_decimal(F.concat_ws(",", (F.col("p_size") % 4).cast("string"), F.format_string("%03d", "p_size"))).cast("double"), "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN p_size / 1000.0 ELSE (p_size % 4) * 1000.0 + p_size END AS value FROM part")
-scalar("I09_unit", "events", "event_id", lambda: V.unit(F.element_at(F.array(*[F.lit(x) for x in ("%", "usd", "Years", "EUR", "px")]), (F.col("event_id") % 5 + 1).cast("int"))), "SELECT event_id, ['percent', 'USD', 'year', 'EUR', 'PX'][event_id % 5 + 1] AS value FROM events")
+scalar("I09_unit", "events", "event_id", lambda: V.unit(F.element_at(F.array(*[F.lit(x) for x in ("%", "usd", "Years", "EUR", "px", "Drams", "dollar", " euros")]), (F.col("event_id") % 8 + 1).cast("int"))), "SELECT event_id, ['percent', 'USD', 'year', 'EUR', 'PX', 'AMD', 'USD', 'EUR'][event_id % 8 + 1] AS value FROM events")
 scalar(
     "I10_parse_date",
     "orders",
     "o_orderkey",
-    lambda: V.parse_date(F.concat(F.lit("from "), F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "dd.MM.yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "MMMM d, yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")), F.lit(" on"))).cast("string"),
+    lambda: V.parse_date(F.concat(F.lit("from "), F.element_at(F.array(*[F.date_format("o_orderdate", f) for f in ("dd.MM.yyyy", "MMMM d, yyyy", "yyyy-MM-dd", "d/M/yyyy", "yyyy/MM/dd", "yyyy.MM.dd", "d MMMM yyyy")]), (F.col("o_orderkey") % 7 + 1).cast("int")), F.lit(" on"))).cast("string"),
     "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS value FROM orders",
 )
 scalar(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factlake.operators import ranking as R
 from factlake.operators import versions as V
 from factlake.queries import query
+from factlake.queries.tables import RULES, shaped_cells
 
 K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
@@ -36,13 +37,11 @@ def _(t):
     return V.occurrence(lines(t), ["doc_id", "line"], ["pos"]).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("occurrence").cast("long").alias("occurrence"))
 
 
-@query("F05_rowspan_carry", """WITH c(r, c, span, v) AS (VALUES (0, 0, 3, 'a'), (0, 1, 1, 'b'), (1, 1, 2, 'c'), (3, 0, 1, 'd'), (3, 1, 1, 'e')) SELECT CAST(p_partkey AS BIGINT) AS table_id, r + i AS row, c AS col, v FROM part, c, range(3) t(i) WHERE i < span AND p_partkey < 50""")
+@query("F05_rowspan_carry", f"WITH {RULES} SELECT t AS table_id, row, CAST(col AS BIGINT) AS col, text AS v FROM grid")
 def _(t):
     from factlake.operators.grids import fill_spans
 
-    cells = t.spark.createDataFrame([(0, 0, 3, "a"), (0, 1, 1, "b"), (1, 1, 2, "c"), (3, 0, 1, "d"), (3, 1, 1, "e")], "row int, col int, rowspan int, text string")
-    tables = t.part.where("p_partkey < 50").select(F.col("p_partkey").alias("table_id")).crossJoin(F.broadcast(cells)).withColumn("colspan", F.lit(1))
-    return fill_spans(tables).select("table_id", F.col("row").cast("long").alias("row"), "col", F.col("text").alias("v"))
+    return fill_spans(shaped_cells(t)).select("table_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("text").alias("v"))
 
 
 @query("F06_in_force", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS in_force FROM events")
@@ -70,7 +69,7 @@ def _(t):
 
 
 FUSE = """SELECT id, round(sum(w / (60 + n)), 12) AS score FROM (SELECT doc_id AS id, 1.0 AS w, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS n FROM documents
-    UNION ALL SELECT vec_id, 0.7, row_number() OVER (ORDER BY embedding[1] DESC, vec_id) FROM embeddings) WHERE n <= 1000 GROUP BY 1"""
+    UNION ALL SELECT vec_id, 0.7, row_number() OVER (ORDER BY embedding[1] DESC, vec_id) FROM embeddings) GROUP BY 1"""
 
 
 @query("F12_rank_fusion", FUSE)

@@ -157,3 +157,33 @@ def test_leftmost_longest_mentions(spark):
     assert sorted((r["id"], r["entity"]) for r in found.collect()) == [(1, 1), (2, 2), (2, 3), (2, 4), (2, 6), (3, 2), (3, 3), (3, 5), (3, 6), (5, 1), (5, 2), (5, 6)]
     members = spark.createDataFrame([(1, 2), (1, 6)], "member long, family long")
     assert sorted((r["id"], r["entity"]) for r in without_families(found, members, "id").collect() if r["id"] == 5) == [(5, 1)]
+
+
+def test_ordered_hash_depends_on_members_and_order_alone(spark):
+    from factlake.functions.identity import ordered_hash
+
+    def hashes(rows, width=3):
+        return {r["k"]: r["fp"] for r in ordered_hash(spark.createDataFrame(rows, "k string, o long, m string"), "k", "o", "m", "fp", width).collect()}
+
+    rows = [(k, o, f"m{o}") for k in ("a", None) for o in range(40)]
+    shifted = [(k, o * 7 + 5000, m) for k, o, m in rows]
+    assert hashes(rows) == hashes(shifted[::-1]) and hashes(rows)["a"] == hashes(rows)[None]
+    assert hashes(rows)["a"] != hashes([(k, -o, m) for k, o, m in rows])["a"]
+
+
+def test_numbered_over_ranges(spark):
+    from factlake.operators.ranking import numbered
+
+    rows = [(k, k % 3) for k in range(500)] + [(k, 7) for k in range(500, 900)]
+    df = spark.createDataFrame(rows, "id long, s long").repartition(7)
+    got = [(r["s"], r["id"]) for r in numbered(df, [F.desc("s"), F.asc("id")]).orderBy("rank").collect()]
+    assert got == sorted(((s, k) for k, s in rows), key=lambda x: (-x[0], x[1]))
+    assert sorted(r["rank"] for r in numbered(df, [F.desc("s"), F.asc("id")]).collect()) == list(range(1, 901))
+
+
+def test_dates_in_every_form(spark):
+    from factlake.functions.values import parse_date
+
+    given = ["2024-03-01", "on 2024/03/01.", "2024.03.01", "1.3.2024", "1/3/24", "March 1, 2024", "1 March 2024", "2024-13-01", "31.02.2024", "12345-01-01", None]
+    got = [r["d"] for r in spark.createDataFrame([(k, t) for k, t in enumerate(given)], "k int, t string").select("k", parse_date(F.col("t")).alias("d")).orderBy("k").collect()]
+    assert [str(d) for d in got] == ["2024-03-01"] * 7 + ["None"] * 4
