@@ -202,12 +202,16 @@ SCALAR = "array<struct<kind:string,operator:string,value:decimal(38,6),low:decim
 _FIELDS = [("kind", pa.string()), ("operator", pa.string()), ("value", pa.decimal128(38, 6)), ("low", pa.decimal128(38, 6)), ("high", pa.decimal128(38, 6)), ("unit", pa.string()), ("day", pa.date32()), ("raw", pa.string()), ("start", pa.int32()), ("end", pa.int32())]
 
 
-def extract_scalars(c: Column) -> Column:
-    """Array of typed spans of a text: kind (date, range, number), operator, value, low and high, unit, day, raw text and place. Null text has none."""
+def _spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        yield pa.array([scan_scalars(t or "") for t in texts.to_pylist()], pa.list_(pa.struct(_FIELDS)))
+
 
-    @F.arrow_udf(SCALAR)
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array([scan_scalars(t or "") for t in texts.to_pylist()], pa.list_(pa.struct(_FIELDS)))
+def extract_scalars_udf():
+    """The Arrow function, for registration in a session."""
+    return F.arrow_udf(_spans, SCALAR)
 
-    return run(c)
+
+def extract_scalars(c: Column) -> Column:
+    """Array of typed spans of a text: kind (date, range, number), operator, value, low and high, unit, day, raw text and place. Null text has none."""
+    return extract_scalars_udf()(c)

@@ -151,9 +151,3 @@ def renamed_keys(c: Column, aliases: dict[str, str]) -> Column:
     own = F.map_filter(c, lambda k, v: ~k.isin(*aliases))
     moved = F.transform_keys(F.map_filter(c, lambda k, v: k.isin(*aliases)), lambda k, v: known[k])
     return F.map_concat(own, F.map_filter(moved, lambda k, v: ~F.map_contains_key(own, k)))
-
-
-def register_functions(spark) -> None:
-    """SQL functions of this library for use in queries: collapsed and term_key."""
-    spark.sql("create or replace temporary function collapsed(s string) returns string return lower(trim(regexp_replace(s, '\\\\s+', ' ')))")
-    spark.sql("create or replace temporary function term_key(s string) returns string return trim(regexp_replace(lower(s), '[^\\\\p{L}\\\\p{N}]+', ' '))")

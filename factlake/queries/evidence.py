@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factlake.functions import readings as R
+from factlake.functions import tables as SQL
 from factlake.functions import text as T
 from factlake.functions import values as V
 from factlake.operators import grids as G
 from factlake.operators import joins as J
 from factlake.operators import versions as W
 from factlake.queries import query
+from factlake.queries.derived import supplier_pages
 from factlake.queries.documents import COS, GRID, INDEX, LINES, RECORDS, cells, index
+from factlake.queries.pages import BLOCKS
 from factlake.queries.streams import SILENT, folder
 
 
@@ -30,7 +33,10 @@ def stated_terms(t):
     return rows.withColumn("line", F.concat(F.lit("Since "), F.date_format("day", "dd.MM.yyyy"), F.lit(": "), number("a"), F.lit(" - "), number("b"), F.lit(" months at no more than "), number("b"), F.lit(",5%, paid "), F.format_number("p", 0), F.lit(" euros, note "), number("a")))
 
 
-@query("I05_typed_scalars", f"""SELECT o_orderkey, v.* FROM (SELECT {TERMS} FROM orders), LATERAL (VALUES ('date', NULL, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL, CAST(day AS VARCHAR)), ('range', NULL, NULL, a, b, 'month', NULL), ('number', '<=', b + 0.5, NULL, NULL, 'percent', NULL), ('number', NULL, p, NULL, NULL, 'EUR', NULL)) v(kind, operator, value, low, high, unit, day)""")
+TYPED = f"""SELECT o_orderkey, v.* FROM (SELECT {TERMS} FROM orders), LATERAL (VALUES ('date', NULL, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL, CAST(day AS VARCHAR)), ('range', NULL, NULL, a, b, 'month', NULL), ('number', '<=', b + 0.5, NULL, NULL, 'percent', NULL), ('number', NULL, p, NULL, NULL, 'EUR', NULL)) v(kind, operator, value, low, high, unit, day)"""
+
+
+@query("I05_typed_scalars", TYPED)
 def _(t):
     return stated_terms(t).select("o_orderkey", F.explode(R.extract_scalars(F.col("line"))).alias("s")).select("o_orderkey", "s.kind", "s.operator", *(F.col(f"s.{c}").cast("double").alias(c) for c in ("value", "low", "high")), "s.unit", F.col("s.day").cast("string").alias("day"))
 
@@ -227,7 +233,7 @@ def _(t):
 
 @query("O02_sql_functions", "SELECT p_partkey, lower(p_name) AS key FROM part")
 def _(t):
-    V.register_functions(t.spark)
+    SQL.register_functions(t.spark)
     return t.part.select("p_partkey", F.expr("collapsed(concat('  ', upper(p_name), '  '))").alias("key"))
 
 
@@ -286,8 +292,28 @@ def _(t):
 
 @query("O03_chunk_function")
 def _(t):
-    from factlake.functions.tables import Chunks
-
-    t.spark.udtf.register("chunks", Chunks)
+    SQL.register_functions(t.spark)
     t.documents.select("doc_id", "text").createOrReplaceTempView("factlake_documents")
     return t.spark.sql("select doc_id, c.ordinal, c.content from factlake_documents, lateral chunks(text, 1500) c")
+
+
+@query("O03_scalar_function", TYPED)
+def _(t):
+    SQL.register_functions(t.spark)
+    stated_terms(t).createOrReplaceTempView("factlake_terms")
+    return t.spark.sql("select o_orderkey, s.kind, s.operator, cast(s.value as double) as value, cast(s.low as double) as low, cast(s.high as double) as high, s.unit, cast(s.day as string) as day from factlake_terms, lateral scalar_spans(line) s")
+
+
+@query("O03_block_function", f"SELECT page_id, ord, type, text, heading_path, chrome FROM {BLOCKS}")
+def _(t):
+    SQL.register_functions(t.spark)
+    supplier_pages(t).createOrReplaceTempView("factlake_supplier_pages")
+    return t.spark.sql("select page_id, ord, type, text, heading_path, chrome from factlake_supplier_pages, lateral html_blocks(html)")
+
+
+@query("O02_text_functions", f"SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[''’`]', '', 'g'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 1 AND x NOT IN ({', '.join(repr(w) for w in T.STOPWORDS)}))) AS tokens, instr(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'the') AS place, array_to_string(list_transform(list_sort({READ.format(c='text')}), lambda x: CAST(x AS VARCHAR)), ' ') AS readings FROM documents")
+def _(t):
+    SQL.register_functions(t.spark)
+    t.documents.select("doc_id", "text").createOrReplaceTempView("factlake_documents")
+    # one registered function calls another: a quote is found whatever its case and spacing
+    return t.spark.sql("select doc_id, cast(size(search_tokens(text)) as bigint) as tokens, cast(quote_position(text, 'THE ') as bigint) as place, array_join(transform(array_sort(number_readings(text)), x -> cast(x as string)), ' ') as readings from factlake_documents")

@@ -11,7 +11,7 @@ from factlake.sources import pages as P
 #: a supplier's page in SQL: its keys, and the rows of its table
 _S = f"(SELECT s_suppkey + {PAGE_IDS} AS page_id, s_suppkey AS k, s_name, n_name, n_regionkey, CAST(floor(s_acctbal) AS BIGINT) AS bal, coalesce(lines, 0) AS lines FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN (SELECT l_suppkey, count(*) AS lines FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey)"
 _R = f"(SELECT l_suppkey + {PAGE_IDS} AS page_id, l_returnflag || ' ' || l_linestatus AS flag, CAST(sum(CAST(l_quantity AS BIGINT)) AS VARCHAR) AS q, CAST(count(*) AS VARCHAR) AS n, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_returnflag, l_linestatus) AS i FROM lineitem GROUP BY l_suppkey, l_returnflag, l_linestatus)"
-_BLOCKS = f"""(SELECT page_id, v.* FROM {_S}, LATERAL (VALUES (0, 'list', 'Home', '', NULL, 'l1', NULL, NULL, TRUE), (1, 'heading', s_name, '', NULL, '', NULL, NULL, FALSE), (2, 'key_value', 'Nation: ' || n_name, s_name, NULL, '', 'Nation', n_name, FALSE),
+BLOCKS = f"""(SELECT page_id, v.* FROM {_S}, LATERAL (VALUES (0, 'list', 'Home', '', NULL, 'l1', NULL, NULL, TRUE), (1, 'heading', s_name, '', NULL, '', NULL, NULL, FALSE), (2, 'key_value', 'Nation: ' || n_name, s_name, NULL, '', 'Nation', n_name, FALSE),
     (3, 'key_value', 'Region key: ' || n_regionkey, s_name, NULL, '', 'Region key', n_regionkey::VARCHAR, FALSE), (4, 'key_value', 'Account balance: ' || bal || ' USD', s_name, NULL, '', 'Account balance', bal || ' USD', FALSE), (5, 'card', 'Offer ' || k || chr(10) || 'See the next supplier', s_name, NULL, 'l2', NULL, NULL, FALSE),
     (6, 'accordion', 'What is sold?', s_name, NULL, '', NULL, NULL, FALSE), (7, 'paragraph', lines || ' lines', s_name || ' > What is sold?', 'b7', '', NULL, NULL, FALSE), (8, 'paragraph', 'Details in the file', s_name || ' > What is sold?', 'b7', 'l3', NULL, NULL, FALSE),
     (9, 'heading', 'Lines', s_name, NULL, '', NULL, NULL, FALSE), (11, 'paragraph', 'Shop', s_name, NULL, '', NULL, NULL, TRUE)) v(ord, type, text, heading_path, parent_id, link_ids, key, value, chrome)
@@ -28,7 +28,7 @@ def _(t):
     return P.parse_blocks(parsed_pages(t)).drop("link_ids")
 
 
-@query("A02_typed_blocks", f"SELECT page_id, ord, type, text, heading_path, parent_id, link_ids, key, value, chrome FROM {_BLOCKS}")
+@query("A02_typed_blocks", f"SELECT page_id, ord, type, text, heading_path, parent_id, link_ids, key, value, chrome FROM {BLOCKS}")
 def _(t):
     out = P.parse_blocks(parsed_suppliers(t)).withColumn("link_ids", F.array_join("link_ids", ","))
     return out.select("page_id", "ord", "type", "text", "heading_path", "parent_id", "link_ids", "key", "value", "chrome")
@@ -65,7 +65,7 @@ def _(t):
     return P.parse_media(parsed_all(t))
 
 
-@query("J10_pairs", f"SELECT page_id, 'b' || (ord + 1) AS block_id, key, value FROM {_BLOCKS} WHERE key IS NOT NULL")
+@query("J10_pairs", f"SELECT page_id, 'b' || (ord + 1) AS block_id, key, value FROM {BLOCKS} WHERE key IS NOT NULL")
 def _(t):
     return P.definition_pairs(parsed_suppliers(t))
 
@@ -107,7 +107,7 @@ def _(t):
     return P.inventory(parsed_pages(t))
 
 
-@query("E16_shop_inventory", f"SELECT page_id, CAST(sum(length(text)) FILTER (NOT chrome) AS BIGINT) AS main_chars, count(*) FILTER (NOT chrome) AS blocks, CAST(1 AS BIGINT) AS tables, CAST(3 AS BIGINT) AS links, CAST(1 AS BIGINT) AS pdf_links FROM {_BLOCKS} GROUP BY 1")
+@query("E16_shop_inventory", f"SELECT page_id, CAST(sum(length(text)) FILTER (NOT chrome) AS BIGINT) AS main_chars, count(*) FILTER (NOT chrome) AS blocks, CAST(1 AS BIGINT) AS tables, CAST(3 AS BIGINT) AS links, CAST(1 AS BIGINT) AS pdf_links FROM {BLOCKS} GROUP BY 1")
 def _(t):
     return P.inventory(parsed_suppliers(t))
 
@@ -117,7 +117,7 @@ def _(t):
     return P.parse_blocks(parsed_pages(t)).where("heading_path <> ''").select("page_id", "ord", "heading_path")
 
 
-@query("F03_scoped_headings", f"SELECT page_id, ord, heading_path FROM {_BLOCKS} WHERE heading_path <> ''")
+@query("F03_scoped_headings", f"SELECT page_id, ord, heading_path FROM {BLOCKS} WHERE heading_path <> ''")
 def _(t):
     return P.parse_blocks(parsed_suppliers(t)).where("heading_path <> ''").select("page_id", "ord", "heading_path")
 
@@ -146,7 +146,7 @@ def _(t):
     return first_rule(b, rules, "page").groupBy("page_id", "label").agg(F.count("*").alias("n"))
 
 
-@query("J09_block_fields", f"SELECT page_id, ord, key, value FROM {_BLOCKS} WHERE key IS NOT NULL")
+@query("J09_block_fields", f"SELECT page_id, ord, key, value FROM {BLOCKS} WHERE key IS NOT NULL")
 def _(t):
     from factlake.functions.text import key_value
 

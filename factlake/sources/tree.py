@@ -160,7 +160,7 @@ def _mark(root: Node) -> None:
                 term.pairs.append(c)
                 c.paired = True
         full = [c for c in children if texted[id(c)]]
-        if len(full) == 2 and full[0].tag in HEADINGS and full[1].tag in ("p", "span", "div") and not any(blocky[id(c)] for c in full[1].elements()):
+        if len(full) == 2 and node.tag not in ("", "html", "body", "main") and full[0].tag in HEADINGS and full[1].tag in ("p", "span", "div") and not any(blocky[id(c)] for c in full[1].elements()):
             value, label = text_of(full[0], SHORT + 1), text_of(full[1], SHORT + 1).split("\n")[0]
             if "\n" not in value and max(len(value), len(label)) <= SHORT and not re.search(r"\d", label):
                 full[0].label, full[1].consumed = full[1], True
