@@ -54,19 +54,65 @@ def audit(expected: DataFrame, stored: DataFrame, key: str, digest: str) -> Data
     return out.agg(F.count_if(F.col("_s").isNull()).alias("missing"), F.count_if(F.col("_e").isNull()).alias("extra"), F.count_if(F.col("_e") != F.col("_s")).alias("altered"))
 
 
+#: Sets of at most this many words are compared through their subsets.
+SUBSET_WORDS = 6
+
+
+def _sets(df: DataFrame, group: str, words: str) -> DataFrame:
+    """(g, s, id, n): each distinct word set of a group with its lowest id; the others of the set can be no one's best."""
+    sets = df.select(F.col(group).alias("g"), "id", F.array_sort(F.array_distinct(F.array_compact(words))).alias("s")).where("g is not null and id is not null and size(s) > 0")
+    return sets.groupBy("g", "s").agg(F.min("id").alias("id")).withColumn("n", F.size("s"))
+
+
+def _parts(sets: DataFrame) -> DataFrame:
+    """(g, id, n, part): every subset of each small set."""
+    masks = F.explode(F.expr("sequence(1, int(power(2, n)) - 1)"))
+    return sets.where(F.col("n") <= SUBSET_WORDS).select("g", "id", "n", "s", masks.alias("m")).select("g", "id", "n", F.expr("filter(s, (x, i) -> getbit(m, i) = 1)").alias("part"))
+
+
+def _best_parts(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(g, id, other, score): the best partner of each small set among small ones.
+
+    A subset stands for the words in common. Of the sets of one size that hold it the lowest id is
+    enough: they all score at least what the subset gives, and the highest score is the one that
+    the words really in common give. So a part meets one row for each size, however hot its words are.
+    """
+    offers = _parts(theirs).groupBy("g", "part", F.col("n").alias("m")).agg(F.min("id").alias("other"))
+    met = _parts(mine).join(offers, ["g", "part"])
+    return met.select("g", "id", "other", (F.size("part") / (F.col("n") + F.col("m") - F.size("part"))).alias("score"))
+
+
 def mutual_best(left: DataFrame, right: DataFrame, group: str, words: str, least: float = 0.3) -> DataFrame:
-    """(group, left_id, right_id, score) of pairs that are each other's best by Jaccard of word sets.
+    """(group, left_id, right_id, score) of pairs of at least ``least`` that are each other's best by Jaccard of word sets.
 
-    Only rows of a group that share a word are compared; ties go to the lowest id on either side.
+    Ties go to the lowest id on either side. Sets of at most SUBSET_WORDS words find their best among
+    each other through subsets. Where either set is larger, the two meet on prefixes in rare-first
+    order, which hold one word more than a partner at ``least`` can lack, and are compared whole; a
+    pair below ``least`` is no answer and spoils none, so it need not be found. Null groups, ids and
+    words and sets without words are left out.
     """
-    lw = left.select(group, F.col("id").alias("left_id"), F.size(F.array_distinct(words)).alias("ln"), F.explode(F.array_distinct(words)).alias("w"))
-    rw = right.select(group, F.col("id").alias("right_id"), F.size(F.array_distinct(words)).alias("rn"), F.explode(F.array_distinct(words)).alias("w"))
-    both = lw.join(rw, [group, "w"]).groupBy(group, "left_id", "right_id", "ln", "rn").agg(F.count("*").alias("both"))
-    scored = both.withColumn("score", F.col("both") / (F.col("ln") + F.col("rn") - F.col("both")))
-    a = F.row_number().over(Window.partitionBy(group, "left_id").orderBy(F.desc("score"), "right_id"))
-    b = F.row_number().over(Window.partitionBy(group, "right_id").orderBy(F.desc("score"), "left_id"))
-    out = scored.withColumn("_a", a).withColumn("_b", b).where("_a = 1 and _b = 1").where(F.col("score") >= least)
-    return out.select(group, "left_id", "right_id", "score")
+    sides = {"left": _sets(left, group, words), "right": _sets(right, group, words)}
+    held = [s.select("g", F.explode("s").alias("w")) for s in sides.values()]
+    often = held[0].unionByName(held[1]).groupBy("g", "w").agg(F.count("*").alias("d"))
+    # a word of one side only starts no pair, but has its place in the order of both
+    place = F.row_number().over(Window.partitionBy("g", "id").orderBy("d", "w"))
+    prefix = {k: s.select("g", "id", "n", F.explode("s").alias("w")).join(often, ["g", "w"]).withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).drop("p", "d") for k, s in sides.items()}
+    a, b = prefix["left"].select("g", "w", F.col("id").alias("left_id"), F.col("n").alias("ln")), prefix["right"].select("g", "w", F.col("id").alias("right_id"), F.col("n").alias("rn"))
+    large_a, small_a, large_b = a.where(F.col("ln") > SUBSET_WORDS), a.where(F.col("ln") <= SUBSET_WORDS), b.where(F.col("rn") > SUBSET_WORDS)
+    near = F.least("ln", "rn") >= least * F.greatest("ln", "rn") - 1e-9
+    met = large_a.join(b, ["g", "w"]).where(near).unionByName(small_a.join(large_b, ["g", "w"]).where(near))
+    pairs = met.select("g", "left_id", "right_id").distinct()
+    whole = pairs.join(sides["left"].select("g", F.col("id").alias("left_id"), F.col("s").alias("ls")), ["g", "left_id"]).join(sides["right"].select("g", F.col("id").alias("right_id"), F.col("s").alias("rs")), ["g", "right_id"])
+    both = F.size(F.array_intersect("ls", "rs"))
+    scored = whole.select("g", "left_id", "right_id", (both / (F.size("ls") + F.size("rs") - both)).alias("score"))
+
+    def best(mine: str, other: str) -> DataFrame:
+        large = scored.select("g", F.col(f"{mine}_id").alias("id"), F.col(f"{other}_id").alias("other"), "score")
+        every = large.unionByName(_best_parts(sides[mine], sides[other])).where(F.col("score") >= least)
+        top = every.groupBy("g", "id").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("other").alias("o"))).alias("t"))
+        return top.select("g", F.col("id").alias(f"{mine}_id"), F.col("t.o").alias(f"{other}_id"), (-F.col("t.s")).alias("score"))
+
+    return best("left", "right").join(best("right", "left").drop("score"), ["g", "left_id", "right_id"]).select(F.col("g").alias(group), "left_id", "right_id", "score")
 
 
 def contained_quotes(quotes: DataFrame, evidence: DataFrame, key: str) -> DataFrame:

@@ -91,13 +91,64 @@ def embedding_backlog(units: DataFrame, vectors: DataFrame, key: str, text: str)
     return missing.groupBy(F.sha2(text, 256).alias("content_sha256")).agg(F.min(key).alias(key))
 
 
-def locate_labels(labels: DataFrame, lines: DataFrame, key: str, label: str, line: str, least: float) -> DataFrame:
-    """(key, columns of lines, similarity): the best line of each label at the least similarity; lines and labels meet on shared words."""
-    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda x: F.char_length(x) > 4)))
-    a = labels.select(key, label, words(label).alias("w"))
-    b = lines.select("*", words(line).alias("w"))
-    pairs = a.join(b, "w").drop("w").distinct()
-    longest = F.greatest(F.char_length(label), F.char_length(line))
-    scored = pairs.where(F.char_length(line) <= 2 * F.char_length(label)).withColumn("similarity", 1 - F.levenshtein(label, line) / longest).where(F.col("similarity") >= least)
-    best = F.max_by(F.struct(*lines.columns, "similarity"), F.struct("similarity", *[-F.col(c) for c, kind in lines.dtypes if kind in ("bigint", "int")])).alias("b")
-    return scored.groupBy(key).agg(best).select(key, "b.*")
+_BLOCK = 256
+
+
+def _allowed(size: Column, least: float) -> Column:
+    """Edits that a label of this size may have at the least similarity."""
+    return F.floor((1 - least) * size + 1e-9).cast("int")
+
+
+def label_pieces(labels: DataFrame, label: str, least: float) -> DataFrame:
+    """(label, size, edits, at, gram): each label cut into one piece more than the edits it may have, so that one piece is always untouched.
+
+    The pieces of a label have one length, the largest that fits; ``at`` counts characters from 0.
+    """
+    sized = labels.select(F.col(label).alias("label")).where("label <> ''").distinct().withColumn("size", F.char_length("label"))
+    cut = sized.withColumn("edits", F.least(_allowed(F.col("size"), least), F.col("size") - 1)).withColumn("width", F.floor(F.col("size") / (F.col("edits") + 1)).cast("int"))
+    placed = cut.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("edits") * F.col("width"), F.col("width"))))
+    return placed.select("label", "size", "edits", "width", "at", F.substring("label", F.col("at") + 1, F.col("width")).alias("gram"))
+
+
+def label_places(labels: DataFrame, lines: DataFrame, ids: list[str], label: str, line: str, least: float) -> DataFrame:
+    """(ids, label, start): the only windows of lines, as long as the label, that can reach the least similarity to it.
+
+    A window within the allowed edits holds one of the label's pieces untouched, moved by at most half
+    of the edits, as it is as long as the label; a line shorter than the label is one window. Runs of
+    characters of lines meet the pieces in an equi join, whatever the script; no line carries its text there.
+    """
+    pieces = label_pieces(labels, label, least)
+    widths = [r["width"] for r in pieces.select("width").distinct().orderBy("width").collect()]  # lengths of pieces, below 1 / (1 - least)
+    chars = lines.where(F.col(line) != "").select(*ids, F.split(line, "").alias("_chars")).withColumn("_n", F.size("_chars"))
+    # blocks of a line, so that no row but the line's own is long
+    block = lambda at: F.struct(at.alias("at"), F.array_join(F.slice("_chars", at + 1, _BLOCK + max(widths, default=1) - 1), "").alias("text"))
+    blocks = chars.select(*ids, "_n", F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(_BLOCK)), block)).alias("_b")).select(*ids, "_n", "_b.*")
+    spots = blocks.withColumn("_i", F.explode(F.sequence(F.lit(0), F.least(F.lit(_BLOCK), F.col("_n") - F.col("at")) - 1)))
+    runs = F.array(*[F.struct(F.lit(n).alias("width"), F.substring("text", F.col("_i") + 1, n).alias("gram")) for n in widths or [1]])
+    grams = spots.select(*ids, "_n", (F.col("at") + F.col("_i")).alias("found"), F.explode(runs).alias("_g")).select(*ids, "_n", "found", "_g.*")
+    hits = grams.join(pieces, ["width", "gram"]).where("_n >= size - edits")
+    moved = F.when(F.col("_n") > F.col("size"), F.floor(F.col("edits") / 2)).otherwise(F.col("edits")).cast("int")
+    hits = hits.withColumn("_by", F.col("found") - F.col("at"))
+    starts = F.sequence(F.greatest(F.lit(0), F.col("_by") - moved), F.least(F.col("_n") - F.col("size"), F.col("_by") + moved))
+    near = F.greatest(F.lit(0), F.col("_by") - moved) <= F.least(F.col("_n") - F.col("size"), F.col("_by") + moved)
+    windows = F.when(F.col("_n") <= F.col("size"), F.when(F.abs("_by") <= moved, F.array(F.lit(0)))).when(near, starts)
+    return hits.select(*ids, "label", F.explode(windows).alias("start")).distinct()
+
+
+def locate_labels(labels: DataFrame, lines: DataFrame, ids: list[str], label: str, line: str, least: float, per: list[str]) -> DataFrame:
+    """(per, label, other ids, start, similarity, rest): the best place of each label within each group ``per`` of lines, and the text behind it.
+
+    A place is a window of a line as long as the label (the whole line, where that is shorter), its
+    similarity one less the edit distance by the label's length; the highest wins, then the lowest
+    other ids, then the first start, from 0. No place at ``least`` or above is missed. ``ids`` name a
+    line. Null and empty labels or lines have no place; repeated labels count once.
+    """
+    places = label_places(labels, lines, ids, label, line, least)
+    size = F.char_length("label")
+    at = places.join(lines.select(*ids, F.col(line).alias("_line")), ids)
+    edits = F.levenshtein(F.col("label"), F.substring("_line", F.col("start") + 1, size))
+    scored = at.withColumn("_edits", edits).where(F.col("_edits") <= _allowed(size, least))
+    others = [c for c in ids if c not in per]
+    rest = F.substring("_line", F.col("start") + size + 1, F.char_length("_line"))
+    best = scored.groupBy(*per, "label").agg(F.min_by(F.struct(*others, "start", "_edits", rest.alias("rest")), F.struct("_edits", *others, "start")).alias("_b"))
+    return best.select(*per, "label", *[f"_b.{c}" for c in others], "_b.start", (1 - F.col("_b._edits") / size).alias("similarity"), "_b.rest")

@@ -220,11 +220,26 @@ def _(t):
     return t.embeddings.select("vec_id", R.valid_vector(F.col("embedding"), 64).alias("valid"))
 
 
-@query("K09_label_location")
-def _(t):
-    labels = t.benchmark.select("item_id", F.split("text", "\n")[0].alias("label"))
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
-    return R.locate_labels(labels, lines, "item_id", "label", "line", 0.8)
+#: labels as they might be read off a scan, each with a wrong, a missing or an added letter
+LABELS = ["licensed under the apach licence", "the and atttion to thanedbel", "nicht aulich fur schh eruver", "en lalenelle la des ct"]
+_ACCENTS = ("äçèéêëíñóöúüß", "aceeeeinoouus")
+_FOLDED = "translate(lower({}), '" + "', '".join(_ACCENTS) + "')"
+
+
+@query(
+    "K09_label_location",
+    f"""WITH n AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS ord, unnest(p) AS line FROM (SELECT doc_id, string_split({_FOLDED.format("text")}, chr(10)) AS p FROM documents)),
+    q AS (SELECT {_FOLDED.format("l")} AS label FROM (VALUES {", ".join(f"('{x}')" for x in LABELS)}) v(l)),
+    p AS (SELECT doc_id, ord, line, label, unnest(range(greatest(1, length(line) - length(label) + 1))) AS start FROM n, q WHERE line <> ''),
+    s AS (SELECT *, levenshtein(label, substr(line, start + 1, length(label))) AS e FROM p),
+    b AS (SELECT * FROM s WHERE 10 * e <= 2 * length(label) QUALIFY row_number() OVER (PARTITION BY doc_id, label ORDER BY e, ord, start) = 1)
+    SELECT doc_id, label, CAST(ord AS INT) AS ord, CAST(start AS INT) AS start, round(1 - e / length(label), 9) AS similarity, substr(line, start + length(label) + 1) AS rest FROM b""",
+)
+def _(t):
+    folded = lambda c: F.translate(F.lower(c), *_ACCENTS)
+    labels = t.spark.createDataFrame([(x,) for x in LABELS], "label string").select(folded("label").alias("label"))
+    lines = t.documents.select("doc_id", F.posexplode(F.split(folded("text"), "\n")).alias("ord", "line"))
+    return R.locate_labels(labels, lines, ["doc_id", "ord"], "label", "line", 0.8, ["doc_id"]).withColumn("similarity", F.round("similarity", 9))
 
 
 # ---------------------------------------------------------------- checks

@@ -112,6 +112,25 @@ def _(t):
     return J.mutual_best(rows.where("p_size <= 25"), rows.where("p_size > 25"), "g", "words")
 
 
+TEXT_WORDS_SQL = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))"
+
+
+@query(
+    "D13_mutual_texts",
+    f"""WITH d AS (SELECT doc_id AS id, lang AS g, {TEXT_WORDS_SQL} AS w, source IN (SELECT min(source) FROM documents GROUP BY lang) OR doc_id IN (SELECT doc_id FROM labels) AS known FROM documents),
+    s AS (SELECT l.g, l.id AS left_id, r.id AS right_id, len(list_intersect(l.w, r.w)) AS b, len(l.w) AS ln, len(r.w) AS rn FROM d l JOIN d r ON l.g = r.g AND l.known AND NOT r.known AND least(len(l.w), len(r.w)) >= 0.6 * greatest(len(l.w), len(r.w)) - 1e-9),
+    q AS (SELECT *, b / (ln + rn - b) AS score FROM s WHERE b > 0 AND b / (ln + rn - b) >= 0.6),
+    z AS (SELECT *, row_number() OVER (PARTITION BY g, left_id ORDER BY score DESC, right_id) AS x, row_number() OVER (PARTITION BY g, right_id ORDER BY score DESC, left_id) AS y FROM q)
+    SELECT g, left_id, right_id, score FROM z WHERE x = 1 AND y = 1""",
+)
+def _(t):
+    known = t.documents.join(t.labels.select("doc_id").distinct().withColumn("known", F.lit(True)), "doc_id", "left")
+    lowest = t.documents.groupBy("lang").agg(F.min("source").alias("source")).select("source").distinct().withColumn("first", F.lit(True))
+    words = F.filter(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"), lambda x: x != "")
+    rows = known.join(F.broadcast(lowest), "source", "left").select(F.col("doc_id").alias("id"), F.col("lang").alias("g"), words.alias("words"), F.coalesce("known", "first", F.lit(False)).alias("known"))
+    return J.mutual_best(rows.where("known"), rows.where("not known"), "g", "words", 0.6)
+
+
 @query("D15_contained_quotes", "SELECT item_id, doc_id, contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g')))) AS contained FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id")
 def _(t):
     quotes = t.benchmark.select("item_id", F.col("text").alias("quote"))

@@ -187,3 +187,82 @@ def test_dates_in_every_form(spark):
     given = ["2024-03-01", "on 2024/03/01.", "2024.03.01", "1.3.2024", "1/3/24", "March 1, 2024", "1 March 2024", "2024-13-01", "31.02.2024", "12345-01-01", None]
     got = [r["d"] for r in spark.createDataFrame([(k, t) for k, t in enumerate(given)], "k int, t string").select("k", parse_date(F.col("t")).alias("d")).orderBy("k").collect()]
     assert [str(d) for d in got] == ["2024-03-01"] * 7 + ["None"] * 4
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_no_place_of_a_label_is_missed(spark):
+    import random
+
+    from factlake.operators.retrieval import label_places, locate_labels
+
+    rng = random.Random(5)
+    scripts = ["ab cé", "данет ", "利率表年", "a😀b 1"]
+    word = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    labels, lines = set(), [(0, 0, ""), (0, 1, None), (1, 0, "a")]
+    for k in range(40):
+        letters = scripts[k % 4]
+        label = word(rng.randint(1, 23), letters)
+        labels.add(label)
+        damaged = list(label)
+        for _ in range(rng.randint(0, len(label) // 4)):
+            at = rng.randrange(len(damaged) + 1)
+            damaged[at : at + rng.randint(0, 1)] = word(rng.randint(0, 1), letters)
+        lines.append((2 + k % 5, k, word(rng.randint(0, 9), letters) + "".join(damaged) + word(rng.randint(0, 9), letters)))
+    table = spark.createDataFrame(lines, "doc int, ord int, line string")
+    wanted = spark.createDataFrame([(x,) for x in [*labels, "", None]], "label string")
+    every = {}
+    for doc, ord_, line in lines:
+        for label in labels:
+            for start in range(max(1, len(line) - len(label) + 1)) if line else ():
+                e = _edits(label, line[start : start + len(label)])
+                if 10 * e <= 2 * len(label):
+                    every[doc, ord_, label, start] = e
+    tried = {tuple(r) for r in label_places(wanted, table, ["doc", "ord"], "label", "line", 0.8).select("doc", "ord", "label", "start").collect()}
+    assert every.keys() <= tried
+    assert len(tried) < sum(len(x[2] or "") for x in lines) * len(labels) / 4
+    best = {}
+    for (doc, ord_, label, start), e in every.items():
+        best[doc, label] = min(best.get((doc, label), (99, 0, 0)), (e, ord_, start))
+    text = {(d, o): x for d, o, x in lines}
+    expected = {(d, x, o, s, round(1 - e / len(x), 9), text[d, o][s + len(x) :]) for (d, x), (e, o, s) in best.items()}
+    found = locate_labels(wanted, table, ["doc", "ord"], "label", "line", 0.8, ["doc"]).collect()
+    assert {(r["doc"], r["label"], r["ord"], r["start"], round(r["similarity"], 9), r["rest"]) for r in found} == expected
+    assert len(found) == len(expected)
+
+
+def test_mutual_best_equals_all_pairs_without_making_them(spark):
+    import random
+
+    rng = random.Random(11)
+    side = lambda first: [(rng.choice("xy"), first + k, ["hot", *{f"w{rng.randint(0, 12)}" for _ in range(rng.randint(0, 9))}]) for k in range(60)] + [(None, first + 900, ["hot"]), ("x", first + 901, []), ("x", first + 902, None)]
+    left, right = side(0), side(1000)
+    table = lambda data: spark.createDataFrame(data, "g string, id long, w array<string>")
+    for least in (0.3, 0.5):
+        score = {}
+        for g, a, x in left:
+            for h, b, y in right:
+                if g == h and g and x and y:
+                    s = len(set(x) & set(y)) / len(set(x) | set(y))
+                    if s >= least:
+                        score[g, a, b] = s
+        best_a, best_b = {}, {}
+        for (g, a, b), s in score.items():
+            best_a[a] = min(best_a.get(a, (1, 0)), (-s, b))
+            best_b[b] = min(best_b.get(b, (1, 0)), (-s, a))
+        expected = sorted((g, a, b, s) for (g, a, b), s in score.items() if best_a[a][1] == b and best_b[b][1] == a)
+        assert rows(joins.mutual_best(table(left), table(right), "g", "w", least)) == expected
+
+
+def test_a_hot_word_of_small_sets_makes_no_square(spark):
+    hot = lambda first: spark.range(3000).select(F.lit("g").alias("g"), (F.col("id") + first).alias("id"), F.array(F.lit("hot"), F.concat(F.lit(f"w{first}-"), "id")).alias("w"))
+    met = joins._best_parts(joins._sets(hot(0), "g", "w"), joins._sets(hot(5000), "g", "w"))
+    assert met.count() == 3000
+    assert rows(joins.mutual_best(hot(0), hot(5000), "g", "w")) == [("g", 0, 5000, 1 / 3)]

@@ -12,7 +12,7 @@ library.load()
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: queries whose small tables or order-dependent limits leave nothing to compare on this scale
-EMPTY = {"K09_label_location", "L14_large_change", "L17_regression"}
+EMPTY = {"L14_large_change", "L17_regression"}
 
 
 @pytest.fixture(scope="module")
