@@ -31,8 +31,8 @@ from factlake.llm.tables import Scratch, map_rows, text_bytes
 
 SHINGLE = 5
 PERCENT = 80
-#: At most this many shingles are told apart as frequent (16 bytes each, broadcast): those from
-#: the least count on that leaves no more. Which ones are frequent only decides how much work is
+#: About this many shingles at most are told apart as frequent (16 bytes each, broadcast): those of
+#: the highest counts. Which ones are frequent only decides how much work is
 #: done, never which pairs are found.
 FREQUENT_MAX = 1_500_000
 FREQUENT_LEAST = 3
@@ -294,6 +294,26 @@ def narrowed(docs: DataFrame, ids: DataFrame, key: str = "doc_id", limit: int =
     return docs.join(F.broadcast(ids) if ids.count() <= limit else ids, key, "left_semi")
 
 
+def most_frequent(counts: DataFrame, most: int, exact_below: int = 10_000) -> DataFrame:
+    """About the ``most`` (node, c) of the highest counts, however many there are; all of them where they fit.
+
+    Counts fall into tiers: each count up to ``exact_below``, then eighths of a power of two. Whole
+    tiers are taken from the top; the one that does not fit gives a share of its nodes by their hash.
+    """
+    above = exact_below + 1 + F.floor(8 * F.log2(F.col("c") / exact_below)).cast("long")
+    tiered = counts.withColumn("tier", F.when(F.col("c") <= exact_below, F.col("c")).otherwise(above))
+    room, cut, share = most, None, 0.0
+    for tier, n in tiered.groupBy("tier").count().orderBy(F.desc("tier")).toPandas().itertuples(index=False):
+        if n > room:
+            cut, share = int(tier), room / n
+            break
+        room -= n
+    if cut is None:
+        return counts
+    drawn = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20))
+    return tiered.where((F.col("tier") > cut) | ((F.col("tier") == cut) & drawn)).select("node", "c")
+
+
 def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
@@ -309,9 +329,7 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, size: int = S
     described = scratch.save(map_rows(source, _describe(percent, size), "common boolean, doc_id long, node long, n long, sketch binary"), "described")
     rows = described.where("not common").select("doc_id", "node", "n")
     counts = scratch.save(described.where("common").groupBy("node").agg(F.sum("n").alias("c")).where(F.col("c") >= FREQUENT_LEAST), "counts")
-    tiers = counts.groupBy(F.least("c", F.lit(10_000)).alias("c")).count().orderBy(F.desc("c")).toPandas()
-    fitting = tiers[tiers["count"].cumsum() <= FREQUENT_MAX]["c"]
-    common = counts.where(F.col("c") >= int(fitting.min())).toPandas() if len(fitting) else counts.limit(0).toPandas()
+    common = most_frequent(counts, FREQUENT_MAX).toPandas()
     h = common["node"].to_numpy(np.int64).view(_U)
     order = np.argsort(h)
     table = spark.sparkContext.broadcast((h[order], np.floor(np.log2(common["c"].to_numpy(np.float64)))[order].astype(np.int64)))

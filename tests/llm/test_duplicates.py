@@ -8,7 +8,7 @@ from factlake.llm.embedding import near_duplicate_vectors
 from factlake.llm.graph import components
 from factlake.llm.hashing import SPACE_SEPARATORS, hash_words, ngram_hashes
 from factlake.llm.hnsw import Graph
-from factlake.llm.jaccard import Signer, jaccard_components, overlap, shingle_sets, slack
+from factlake.llm.jaccard import Signer, jaccard_components, most_frequent, overlap, shingle_sets, slack
 from factlake.llm.substring import remove_repeats
 from factlake.llm.tables import Scratch
 from tests.llm import brute
@@ -157,3 +157,14 @@ def test_near_duplicate_vectors(spark):
         assert (r["n_links"], r["component_id"]) == ((links[i], place[i]) if i in links else (0, i)), i
         assert r["kept"] == (i is not None and r["component_id"] == i)
     assert near_duplicate_vectors(df.limit(0)).count() == 0
+
+
+def test_the_most_frequent_shingles_are_told_apart_at_every_size(spark):
+    many = spark.range(40_000).selectExpr("id AS node", "if(id < 20000, 50000L + id % 7, 2 + id % 100) AS c")
+    assert most_frequent(many, 50_000).count() == 40_000
+    top = most_frequent(many, 5_000)
+    assert 4_500 < top.count() < 5_500 and top.where("c < 50000").isEmpty()
+    some = most_frequent(many, 25_000)
+    assert some.where("c >= 50000").count() == 20_000 and 24_500 < some.count() <= 25_500
+    assert sorted(r["node"] for r in some.collect()) == sorted(r["node"] for r in most_frequent(many.repartition(7), 25_000).collect())
+    assert most_frequent(many.limit(0), 10).count() == 0
