@@ -216,6 +216,31 @@ def _(t):
     return top_per_group(t.documents.withColumn("seeds", seeds), ["source"], [F.desc("seeds"), F.asc("doc_id")], 2).select("source", "doc_id")
 
 
+@query(
+    "L24_evidence_set",
+    """WITH c AS (SELECT p_partkey AS e, p_partkey // 2 AS unit, p_size % 3 AS p, p_name FROM part WHERE p_size <= 45),
+    u AS (SELECT unit, min(p) AS p, list_distinct(list_filter(flatten(list(regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+'))), lambda x: x <> '')) AS w FROM c GROUP BY 1),
+    d AS (SELECT DISTINCT l_orderkey AS review, l_partkey AS e FROM lineitem),
+    n AS (SELECT review, unit, count(*) AS n, string_agg(CAST(e AS VARCHAR), ',' ORDER BY e) AS seeds FROM d JOIN c USING (e) GROUP BY ALL),
+    r AS (SELECT review, unit, seeds, w, row_number() OVER (PARTITION BY review ORDER BY n DESC, p, unit) AS k FROM n JOIN u USING (unit)),
+    a AS (SELECT review, unit, seeds, w FROM r WHERE k = 1),
+    b AS (SELECT r.review, arg_min(r.unit, k) AS unit, arg_min(r.seeds, k) AS seeds FROM r JOIN a ON a.review = r.review AND k > 1
+        WHERE 10 * len(list_intersect(r.w, a.w)) < 8 * (len(r.w) + len(a.w) - len(list_intersect(r.w, a.w))) GROUP BY 1),
+    x AS (SELECT review, string_agg(CAST(e AS VARCHAR), ',' ORDER BY e) AS unknown_ids FROM d ANTI JOIN c USING (e) GROUP BY 1)
+    SELECT review, concat_ws(';', a.unit || ':' || a.seeds, b.unit || ':' || b.seeds) AS units, coalesce(unknown_ids, '') AS unknown_ids
+    FROM (SELECT DISTINCT review FROM d) LEFT JOIN a USING (review) LEFT JOIN b USING (review) LEFT JOIN x USING (review)""",
+)
+def _(t):
+    from factlake.operators.review import review_evidence
+
+    key = F.col("p_partkey")
+    unit = F.floor(key / 2).cast("long")
+    catalog = t.part.where("p_size <= 45").select(key.alias("evidence_id"), unit.alias("unit"), (F.col("p_size") % 3).alias("precedence"), unit.alias("at"), F.col("p_name").alias("content"))
+    found = review_evidence(t.lineitem.select(F.col("l_orderkey").alias("review"), F.col("l_partkey").alias("evidence_id")), catalog)
+    shown = F.transform("units", lambda u: F.concat_ws(":", u["unit"].cast("string"), F.array_join(u["seeds"].cast("array<string>"), ",")))
+    return found.select("review", F.coalesce(F.array_join(shown, ";"), F.lit("")).alias("units"), F.coalesce(F.array_join(F.col("unknown_ids").cast("array<string>"), ","), F.lit("")).alias("unknown_ids"))
+
+
 @query("A14_report", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
 def _(t):
     from factlake.sources.sinks import write_report
