@@ -5,7 +5,7 @@ Facts have entity, field, number, unit, grp (what makes numbers comparable) and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,38 @@ def overview(facts: DataFrame, scope: DataFrame, fields: list[str], each: int =
     return out.select("entity", "field", F.least("_n", F.lit(each)).cast("long").alias("shown"), (F.col("_n") > each).alias("truncated"), (F.col("_n") > 0).alias("has_fact"))
 
 
+def overview_facts(facts: DataFrame, scope: DataFrame, fields: list[str], order: list[Column], show: list[str], each: int = 6) -> DataFrame:
+    """(entity, field, place, show, truncated): the first ``each`` facts of every wanted field of every entity asked for, side by side and without a verdict.
+
+    An entity without a fact in any wanted field has one row with nulls, so that it is named as being
+    without. ``each`` is the listing's length; ``truncated`` says where more facts are. Facts of a
+    field are cut to ``each`` before they are shuffled, and counted apart.
+    """
+    wanted = facts.where(F.col("field").isin(fields))
+    asked = scope.select("entity").distinct()
+    place = F.row_number().over(Window.partitionBy("entity", "field").orderBy(*order))
+    shown = wanted.withColumn("place", place).where(F.col("place") <= each).select("entity", "field", "place", *show)
+    more = wanted.groupBy("entity", "field").agg((F.count("*") > each).alias("truncated"))
+    return asked.join(shown.join(more, ["entity", "field"]), "entity", "left").select("entity", "field", "place", *show, F.coalesce("truncated", F.lit(False)).alias("truncated"))
+
+
+def best_variants(facts: DataFrame, group: list[str], conditions: list[str], direction: str, entity: str = "entity", number: str = "number") -> DataFrame:
+    """(group, entity, best, variants, tied): each entity's best number of a group with the conditions under which it is reached.
+
+    ``variants`` are the distinct conditions of all facts with the best number, in order; ``tied``
+    says that there are several. Null numbers are no fact; the best is taken before facts meet it.
+    """
+    keys = [*group, entity]
+    known = facts.where(F.col(number).isNotNull()).select(*keys, *conditions, F.col(number).alias("_n"))
+    best = known.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg((F.max if direction == "highest" else F.min)("_n").alias("_best"))
+    same = F.col("_n") == F.col("_best")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    reached = known.join(best, same).select(*keys, *conditions, "_best").distinct()
+    out = reached.groupBy(*keys).agg(F.first("_best").alias("best"), F.array_sort(F.collect_list(F.struct(*conditions))).alias("variants"))
+    return out.withColumn("tied", F.size("variants") > 1)
+
+
 def comparison_issue(left: str, right: str):
     """First reason why two facts cannot be compared, or null."""
     differ = lambda c: ~F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))

@@ -45,6 +45,29 @@ def _(t):
     return Q.overview(facts(t), scope(t), ["R", "X"])
 
 
+@query(
+    "M02_overview_facts",
+    f"""WITH f AS (SELECT l_suppkey AS entity, l_returnflag AS field, {CENTS} AS number, l_linestatus AS basis, l_orderkey, l_linenumber, row_number() OVER w AS place, count(*) OVER (PARTITION BY l_suppkey, l_returnflag) AS n
+        FROM lineitem WHERE l_returnflag IN ('R', 'X') WINDOW w AS (PARTITION BY l_suppkey, l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber))
+    SELECT s_suppkey AS entity, field, place, number, basis, l_orderkey, l_linenumber, coalesce(n > 6, false) AS truncated FROM supplier LEFT JOIN f ON entity = s_suppkey AND place <= 6""",
+)
+def _(t):
+    order = [F.desc("number"), F.asc("l_orderkey"), F.asc("l_linenumber")]
+    return Q.overview_facts(facts(t), scope(t), ["R", "X"], order, ["number", "basis", "l_orderkey", "l_linenumber"])
+
+
+@query(
+    "M05_best_variants",
+    """WITH f AS (SELECT l_suppkey AS entity, l_returnflag AS field, l_discount AS number, l_linestatus AS basis, l_tax FROM lineitem),
+    b AS (SELECT DISTINCT entity, field, number, basis, l_tax FROM f QUALIFY rank() OVER (PARTITION BY entity, field ORDER BY number DESC) = 1)
+    SELECT entity, field, any_value(number) AS best, string_agg(basis || ' ' || CAST(CAST(round(l_tax * 100) AS BIGINT) AS VARCHAR), ';' ORDER BY basis, l_tax) AS variants, count(*) > 1 AS tied FROM b GROUP BY ALL""",
+)
+def _(t):
+    offers = t.lineitem.select(F.col("l_suppkey").alias("entity"), F.col("l_returnflag").alias("field"), F.col("l_discount").alias("number"), F.col("l_linestatus").alias("basis"), F.round(F.col("l_tax") * 100).cast("long").alias("tax"))
+    found = Q.best_variants(offers, ["field"], ["basis", "tax"], "highest")
+    return found.withColumn("variants", F.array_join(F.transform("variants", lambda v: F.concat_ws(" ", v["basis"], v["tax"].cast("string"))), ";"))
+
+
 @query("M03_compare", "SELECT 'A' AS field, true AS comparable, NULL::VARCHAR AS reason UNION ALL SELECT 'N', true, NULL UNION ALL SELECT 'R', true, NULL UNION ALL SELECT 'Z', false, 'missing_side'")
 def _(t):
     extra = facts(t).where("entity = 3").limit(1).withColumn("field", F.lit("Z"))
