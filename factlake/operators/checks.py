@@ -55,3 +55,25 @@ def reasons(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Rows with some reason, and all their reasons in order."""
     found = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in rules.items()]))
     return df.withColumn("reasons", F.array_join(found, ",")).where(F.col("reasons") != "")
+
+
+def page_key(url: Column) -> Column:
+    """A page's address without trailing slashes, whatever its case."""
+    return F.lower(F.rtrim(url, F.lit("/")))
+
+
+def canonical_citations(results: DataFrame, citations: DataFrame, evidence: DataFrame, canonical: DataFrame) -> DataFrame:
+    """(result, candidates, cited, anchored) for every result of (result, batch).
+
+    A result of a batch must cite at least one of the batch's passages that stand on its canonical
+    page, if there are any; a batch without a canonical page or without passages on it asks for none.
+    ``citations`` are (result, evidence_id), ``evidence`` (batch, evidence_id, url), ``canonical``
+    (batch, url). Repeated rows count once; passages are counted per batch before results meet them.
+    """
+    own = canonical.where("url is not null").select("batch", page_key(F.col("url")).alias("_page")).distinct()
+    on_page = evidence.where("evidence_id is not null").select("batch", "evidence_id", page_key(F.col("url")).alias("_page")).join(own, ["batch", "_page"], "left_semi").select("batch", "evidence_id").distinct()
+    held = on_page.groupBy("batch").agg(F.count("*").alias("candidates"))
+    wanted = results.select("result", "batch").distinct()
+    cited = wanted.join(citations.select("result", "evidence_id").distinct(), "result").join(on_page, ["batch", "evidence_id"], "left_semi").groupBy("result", "batch").agg(F.count("*").alias("cited"))
+    out = wanted.join(held, "batch", "left").join(cited, ["result", "batch"], "left").na.fill(0, ["candidates", "cited"])
+    return out.select("result", "batch", "candidates", "cited", ((F.col("candidates") == 0) | (F.col("cited") > 0)).alias("anchored"))

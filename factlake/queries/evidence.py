@@ -307,6 +307,24 @@ def _(t):
     return heads.join(t.pages.select("page_id", "url"), "page_id").where(~F.contains(F.lower("url"), F.lower("name"))).select("page_id", "name")
 
 
+@query(
+    "L08_anchored_names",
+    """WITH e AS (SELECT l_orderkey AS batch, concat_ws('-', l_orderkey, l_linenumber, l_suppkey) AS evidence_id, l_suppkey, l_discount >= 0.05 AS cited FROM lineitem),
+    c AS (SELECT l_orderkey AS batch, arg_min(l_suppkey, l_linenumber * 1000000000000 + l_suppkey) AS home FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1),
+    h AS (SELECT e.batch, count(DISTINCT evidence_id) AS candidates, count(DISTINCT evidence_id) FILTER (cited) AS cited FROM e JOIN c ON e.batch = c.batch AND l_suppkey = home GROUP BY 1)
+    SELECT o_orderkey AS batch, coalesce(candidates, 0) AS candidates, coalesce(cited, 0) AS cited, coalesce(candidates, 0) = 0 OR cited > 0 AS anchored FROM orders LEFT JOIN h ON batch = o_orderkey WHERE o_orderstatus = 'O'""",
+)
+def _(t):
+    from factlake.operators.checks import canonical_citations
+
+    page = F.concat(F.lit("https://Shop.example/Supplier/"), F.col("l_suppkey").cast("string"))
+    lines = t.lineitem.select(F.col("l_orderkey").alias("batch"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey").alias("evidence_id"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.upper(page), F.lit("/"))).otherwise(page).alias("url"), "l_suppkey", "l_linenumber", "l_returnflag", "l_discount")
+    home = lines.where("l_returnflag <> 'R'").groupBy("batch").agg(F.min_by("url", F.struct("l_linenumber", "l_suppkey")).alias("url"))
+    cited = lines.where("l_discount >= 0.05").select(F.col("batch").alias("result"), "evidence_id")
+    named = t.orders.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("result"), F.col("o_orderkey").alias("batch"))
+    return canonical_citations(named, cited, lines, home).drop("result")
+
+
 @query("N09_freshness_alerts", SILENT.format(hours=6))
 def _(t):
     from factlake.queries.streams import ended, events

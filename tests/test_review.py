@@ -22,3 +22,15 @@ def test_units_by_seeds_precedence_and_order_without_copies(spark):
     }
     assert [len(r["units"]) for r in review_evidence(seeds, catalog, most=1).where("units is not null").collect()] == [1] * 3
     assert review_evidence(seeds.limit(0), catalog).isEmpty() and review_evidence(seeds, catalog.limit(0)).where(F.col("units").isNotNull()).isEmpty()
+
+
+def test_names_are_anchored_to_the_canonical_page(spark):
+    from factlake.operators.checks import canonical_citations
+
+    results = spark.createDataFrame([("r1", 1), ("r2", 1), ("r3", 2), ("r4", 3), ("r4", 3), ("r5", 1)], "result string, batch int")
+    evidence = spark.createDataFrame([(1, "a", "https://X.example/p/"), (1, "a", "https://x.example/p"), (1, "b", "https://x.example/p.pdf"), (2, "a", "https://y.example/"), (3, "c", "https://z.example"), (1, None, "https://x.example/p")], "batch int, evidence_id string, url string")
+    canonical = spark.createDataFrame([(1, "https://x.example/P"), (2, None), (3, "https://other.example")], "batch int, url string")
+    citations = spark.createDataFrame([("r1", "a"), ("r1", "a"), ("r1", "b"), ("r2", "b"), ("r3", "a"), ("r4", "c")], "result string, evidence_id string")
+    found = sorted(tuple(r) for r in canonical_citations(results, citations, evidence, canonical).collect())
+    assert found == [("r1", 1, 1, 1, True), ("r2", 1, 1, 0, False), ("r3", 2, 0, 0, True), ("r4", 3, 0, 0, True), ("r5", 1, 1, 0, False)]
+    assert canonical_citations(results.limit(0), citations, evidence, canonical).isEmpty()
