@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from factlake.sources.sinks import BucketedTable, exists
+from factlake.sources.sinks import BucketedTable, exists, is_folder
 
 
 def stream(spark: SparkSession, path: str) -> DataFrame:
     """A table folder or file as a stream with its batch schema; ts becomes a timestamp."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    reader = spark.readStream.schema(schema)
+    # the filter is on names of files, so it is for a table that is one file
+    rows = reader.parquet(path) if is_folder(spark, path) else reader.option("pathGlobFilter", name).parquet(folder)
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 
@@ -136,4 +138,5 @@ def backlog_sweep(df: DataFrame, done: DataFrame, path: str, checkpoint: str, ke
         batch.select(key).distinct().join(done.select(key), key, "left_anti").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.read.parquet(path).select(key)
+    spark = df.sparkSession
+    return spark.read.parquet(path).select(key) if exists(spark, path) else spark.createDataFrame([], df.select(key).schema)
