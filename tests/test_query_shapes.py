@@ -46,3 +46,7 @@ def test_backlog_without_arriving_rows(spark, tmp_path):
     empty = spark.readStream.schema("vec_id long").parquet(f"file://{(tmp_path / 'in').mkdir() or tmp_path / 'in'}")
     done = spark.createDataFrame([(1,)], "vec_id long")
     assert jobs.backlog_sweep(empty, done, f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint").collect() == []
+
+
+def test_word_scores_read_the_first_forty_documents_only(spark, agree):
+    assert len(agree("E22_word_scores", benchmark=numbered(spark, 45, "item_id", words()), documents=numbered(spark, 45, "doc_id", words()))) == 45
