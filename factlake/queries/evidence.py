@@ -183,10 +183,10 @@ def _(t):
     from factlake.operators.ranking import reciprocal_ranks
     from factlake.operators.retrieval import lexical_search, vector_search
 
-    words = lexical_search(index(t), "doc_id", [("license", False), ("apache", False), ("version", False)], 1000)
+    words = lexical_search(index(t), "doc_id", [("license", False), ("apache", False), ("version", False)], None)
     q = t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    near = vector_search(t.embeddings.where("vec_id <> 0"), q, "vec_id", "embedding", 1000)
-    fused = reciprocal_ranks([(words, "doc_id", "score", 1.0), (near, "vec_id", "score", 0.7)], most=1000).withColumn("score", F.round("score", 12))
+    near = vector_search(t.embeddings.where("vec_id <> 0"), q, "vec_id", "embedding", None)
+    fused = reciprocal_ranks([(words, "doc_id", "score", 1.0), (near, "vec_id", "score", 0.7)]).withColumn("score", F.round("score", 12))
     return fused.orderBy(F.desc("score"), "id").limit(10)
 
 

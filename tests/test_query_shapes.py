@@ -55,3 +55,10 @@ def test_word_scores_read_the_first_forty_documents_only(spark, agree):
 def test_quotes_of_items_without_documents_have_no_row(spark, agree):
     missing = F.when(F.col("id") != 3, words()).alias("text")
     assert len(agree("D15_contained_quotes", benchmark=numbered(spark, 45, "item_id", words()), documents=numbered(spark, 60, "doc_id", missing))) == 60
+
+
+def test_hybrid_ranks_beyond_the_first_thousand_count(spark, agree):
+    # the nearest vectors are those of the documents that come last of 1,300 equal ones
+    near = F.array(F.lit(1.0), (F.col("id") / 1000).cast("double")).alias("embedding")
+    far = F.when(F.col("id") == 0, F.array(F.lit(0.0), F.lit(1.0))).otherwise(near).alias("embedding")
+    agree("K04_hybrid", documents=numbered(spark, 1300, "doc_id", F.lit("apache license").alias("text")), embeddings=numbered(spark, 1300, "vec_id", far))
