@@ -2,37 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
+def _placed(cells: DataFrame) -> DataFrame:
+    """One row per grid place a cell covers, with the cell's own row and column and ``_wins``: a cell's own place wins over a spanned one."""
+    rows, cols = F.greatest("rowspan", F.lit(1)), F.greatest("colspan", F.lit(1))
+    spread = cells.withColumn("_i", F.explode(F.sequence(F.lit(0), rows * cols - 1))).withColumns({"_r": F.floor(F.col("_i") / cols).cast("int"), "_c": F.col("_i") % cols})
+    placed = spread.withColumns({"_row": F.col("row"), "_col": F.col("col"), "row": F.col("row") + F.col("_r"), "col": F.col("col") + F.col("_c"), "_own": F.col("_r") + F.col("_c")})
+    w = Window.partitionBy("table_id", "row", "col").orderBy("_own", F.desc("text"))
+    return placed.withColumn("_wins", F.row_number().over(w) == 1).drop("_i", "_c", "_own")
+
+
 def fill_spans(cells: DataFrame) -> DataFrame:
     """One row per grid place a cell covers; a cell's own place wins over a spanned one."""
-    spread = cells.withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("rowspan") - 1))).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("colspan") - 1)))
-    placed = spread.withColumns({"row": F.col("row") + F.col("_r"), "col": F.col("col") + F.col("_c"), "_own": F.col("_r") + F.col("_c")})
-    w = Window.partitionBy("table_id", "row", "col").orderBy("_own", F.desc("text"))
-    return placed.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_r", "_c", "_own")
+    return _placed(cells).where("_wins").drop("_wins", "_r", "_row", "_col")
 
 
 def trimmed(grid: DataFrame) -> DataFrame:
     """Without columns right of the last one that has text."""
-    last = grid.where(F.trim("text") != "").groupBy("table_id").agg(F.max("col").alias("_last"))
-    return grid.join(last, "table_id").where("col <= _last").drop("_last")
+    last = F.max(F.when(F.trim("text") != "", F.col("col"))).over(Window.partitionBy("table_id"))
+    return grid.withColumn("_last", last).where("col <= _last").drop("_last")
+
+
+def _with_header(cells: DataFrame, counts: Column | None = None) -> DataFrame:
+    """Adds header: whether the row's cells, those where ``counts`` holds, are header cells, or all bold without a digit, before the first other row.
+
+    Windows of a table by row, so cells that lie together by table and in the order of their rows move no more.
+    """
+    flag = F.col("is_header") | (F.col("bold") & ~F.regexp_like("text", F.lit(r"\d")))
+    rows = cells.withColumn("_h", F.bool_and(flag if counts is None else F.when(counts, flag)).over(Window.partitionBy("table_id", "row")))
+    before = F.min(F.col("_h").cast("int")).over(Window.partitionBy("table_id").orderBy("row"))
+    return rows.withColumn("header", before == 1).drop("_h")
 
 
 def header_rows(cells: DataFrame) -> DataFrame:
     """(table_id, row, header): rows of header cells, or all bold without a digit, before the first other row."""
-    flag = F.bool_and(F.col("is_header") | (F.col("bold") & ~F.regexp_like("text", F.lit(r"\d"))))
-    rows = cells.groupBy("table_id", "row").agg(flag.alias("_h"))
-    before = F.min(F.col("_h").cast("int")).over(Window.partitionBy("table_id").orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("header", before == 1).drop("_h")
+    return _with_header(cells).groupBy("table_id", "row").agg(F.bool_and("header").alias("header"))
+
+
+def _stacked(heads: Column) -> Column:
+    """The texts of (row, text) in order, repeats once."""
+    return F.array_distinct(F.sort_array(heads).getField("text"))
+
+
+def _column() -> WindowSpec:
+    """A column from its first row to its last, whatever the row that asks."""
+    return Window.partitionBy("table_id", "col").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def _header_lists(cells: DataFrame) -> DataFrame:
     """(table_id, col, heads): stacked headers of a column, repeats once."""
-    heads = cells.join(header_rows(cells).where("header").select("table_id", "row"), ["table_id", "row"])
-    ordered = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda s: s["text"]))
-    return heads.groupBy("table_id", "col").agg(ordered.alias("heads"))
+    return _with_header(cells).where("header").groupBy("table_id", "col").agg(_stacked(F.collect_list(F.struct("row", "text"))).alias("heads"))
 
 
 def column_headers(cells: DataFrame) -> DataFrame:
@@ -49,22 +71,30 @@ def _common_start(a: Column, b: Column) -> Column:
 def cell_paths(cells: DataFrame) -> DataFrame:
     """(table_id, row, col, path) of body cells with text: the headers that all columns it covers begin with, joined by ' / '.
 
-    Label columns have no headers of their own; cells with nothing in common to their columns go.
+    Label columns have no headers of their own; cells with nothing in common to their columns go. The
+    grid and the cells stay one table: what wins a place makes the headers, what a cell covers in its
+    own row is named by them, so nothing is joined and cells move once, to their table.
     """
-    grid = fill_spans(cells)
-    body = cells.where(F.trim("text") != "").join(header_rows(cells).where("not header").select("table_id", "row"), ["table_id", "row"])
-    covered = body.select("table_id", "row", "col", F.explode(F.sequence(F.col("col"), F.col("col") + F.col("colspan") - 1)).alias("_c"))
-    named = covered.join(_header_lists(grid).withColumnRenamed("col", "_c"), ["table_id", "_c"], "left").join(stub_width(grid), "table_id", "left")
-    heads = F.when(F.col("_c") >= F.coalesce("width", F.lit(0)), F.col("heads"))
-    lists = named.groupBy("table_id", "row", "col").agg(F.collect_list(F.coalesce(heads, F.array().cast("array<string>"))).alias("_l"))
-    path = F.array_join(F.aggregate("_l", F.col("_l")[0], _common_start), " / ")
+    named = _with_header(_placed(_with_header(cells).withColumnRenamed("header", "_head")), F.col("_wins"))
+    body = F.col("_wins") & ~F.col("header")
+    by_column = named.withColumns({
+        "_heads": F.array_distinct(F.collect_list(F.when(F.col("_wins") & F.col("header"), F.col("text"))).over(_column())),
+        "_l": F.bool_and(F.when(body, ~F.regexp_like("text", F.lit(r"\d")))).over(_column()),
+        "_one": F.row_number().over(Window.partitionBy("table_id", "col").orderBy("row")),
+    })
+    run = F.min(F.col("_l").cast("int")).over(Window.partitionBy("table_id").orderBy("col"))
+    wide = F.sum(F.when((F.col("_one") == 1) & F.col("_l").isNotNull(), F.col("_run"))).over(Window.partitionBy("table_id"))
+    covered = by_column.withColumn("_run", run).withColumn("_width", wide).where((F.col("_r") == 0) & ~F.col("_head") & (F.trim("text") != ""))
+    heads = F.when(F.col("col") >= F.coalesce("_width", F.lit(0)), F.col("_heads")).otherwise(F.array().cast("array<string>"))
+    # one list for each of a cell's columns; most cells have one
+    lists = covered.groupBy("table_id", F.col("_row").alias("row"), F.col("_col").alias("col")).agg(F.collect_list(heads).alias("_l"))
+    path = F.array_join(F.when(F.size("_l") == 1, F.col("_l")[0]).otherwise(F.aggregate("_l", F.col("_l")[0], _common_start)), " / ")
     return lists.select("table_id", "row", "col", path.alias("path")).where("path <> ''")
 
 
 def stub_width(cells: DataFrame) -> DataFrame:
     """(table_id, width): leading columns whose body cells hold no digit."""
-    body = cells.join(header_rows(cells).where("not header").select("table_id", "row"), ["table_id", "row"])
-    labels = body.groupBy("table_id", "col").agg(F.bool_and(~F.regexp_like("text", F.lit(r"\d"))).alias("_l"))
+    labels = _with_header(cells).where("not header").groupBy("table_id", "col").agg(F.bool_and(~F.regexp_like("text", F.lit(r"\d"))).alias("_l"))
     run = F.min(F.col("_l").cast("int")).over(Window.partitionBy("table_id").orderBy("col").rowsBetween(Window.unboundedPreceding, 0))
     return labels.withColumn("_run", run).groupBy("table_id").agg(F.sum("_run").cast("long").alias("width"))
 
@@ -86,10 +116,11 @@ def merge_continuations(rows: DataFrame, key: str, ordinal: str, text: str, cont
 
 def sections(grid: DataFrame) -> DataFrame:
     """Adds section: the text of the last full-width row above, empty before the first."""
-    rows = grid.groupBy("table_id", "row").agg(F.count_distinct("text").alias("_k"), F.max("text").alias("_t"), F.count("*").alias("_n"))
-    w = Window.partitionBy("table_id").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    marked = rows.withColumn("_s", F.when((F.col("_k") == 1) & (F.col("_n") > 1), F.col("_t"))).withColumn("section", F.coalesce(F.last("_s", ignorenulls=True).over(w), F.lit("")))
-    return grid.join(marked.select("table_id", "row", "section"), ["table_id", "row"])
+    row = Window.partitionBy("table_id", "row")
+    alike = (F.min("text").over(row) == F.max("text").over(row)) & (F.count("*").over(row) > 1)
+    marked = grid.withColumn("_s", F.when(alike, F.max("text").over(row)))
+    opened = F.last("_s", ignorenulls=True).over(Window.partitionBy("table_id").orderBy("row"))
+    return marked.withColumn("section", F.coalesce(opened, F.lit(""))).drop("_s")
 
 
 def carried_sections(rows: DataFrame, table: str, order: list[str], section: str, sub: str, anchor: str) -> DataFrame:
@@ -106,12 +137,11 @@ def carried_sections(rows: DataFrame, table: str, order: list[str], section: str
 
 def row_records(grid: DataFrame) -> DataFrame:
     """(table_id, row, record): 'column path: value' of the body cells, in column order."""
-    heads = header_rows(grid)
-    body = grid.join(heads.where("not header").select("table_id", "row"), ["table_id", "row"])
-    named = body.join(column_headers(grid), ["table_id", "col"], "left").where(F.trim("text") != "")
-    cell = F.concat_ws(": ", "path", "text")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("col", cell.alias("cell")))), lambda s: s["cell"])
-    return named.groupBy("table_id", "row").agg(F.array_join(ordered, " | ").alias("record"))
+    heads = F.when(F.bool_or("header").over(_column()), F.array_distinct(F.collect_list(F.when(F.col("header"), F.col("text"))).over(_column())))
+    body = _with_header(grid).withColumn("_heads", heads).where(~F.col("header") & (F.trim("text") != ""))
+    cell = F.concat_ws(": ", F.array_join("_heads", " / "), "text")
+    ordered = F.sort_array(F.collect_list(F.struct("col", cell.alias("cell")))).getField("cell")
+    return body.groupBy("table_id", "row").agg(F.array_join(ordered, " | ").alias("record"))
 
 
 def continuation_links(grid: DataFrame) -> DataFrame:
@@ -123,9 +153,10 @@ def continuation_links(grid: DataFrame) -> DataFrame:
 
 def ambiguities(grid: DataFrame) -> DataFrame:
     """(table_id, issue, n): repeated rows, and columns without a header."""
-    rows = grid.groupBy("table_id", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda s: s["text"]), "\x1f").alias("r"))
+    rows = grid.groupBy("table_id", "row").agg(F.array_join(F.sort_array(F.collect_list(F.struct("col", "text"))).getField("text"), "\x1f").alias("r"))
     repeated = rows.groupBy("table_id", "r").count().where("count > 1").groupBy("table_id").agg(F.sum(F.col("count") - 1).alias("n")).withColumn("issue", F.lit("repeated_row"))
-    bare = grid.select("table_id", "col").distinct().join(column_headers(grid), ["table_id", "col"], "left_anti").groupBy("table_id").agg(F.count("*").alias("n")).withColumn("issue", F.lit("no_header"))
+    headed = _with_header(grid).groupBy("table_id", "col").agg(F.bool_or("header").alias("_h"))
+    bare = headed.where("not _h").groupBy("table_id").agg(F.count("*").alias("n")).withColumn("issue", F.lit("no_header"))
     return repeated.unionByName(bare).select("table_id", "issue", "n")
 
 

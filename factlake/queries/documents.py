@@ -12,21 +12,34 @@ from factlake.operators import packing as P
 from factlake.operators import retrieval as R
 from factlake.queries import query
 
+#: lines of orders that a task takes: some three cells are made from each
+_LINES_OF_TASK = 500_000
+
+
+def lines_by_order(t, *columns):
+    """The lines with their order as ``table_id``, all of an order in one task; tasks grow in number, not in size, with the table."""
+    lines = t.lineitem.select(F.col("l_orderkey").alias("table_id"), *columns)
+    tasks = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), t.lineitem.count() // _LINES_OF_TASK + 1)
+    return lines.repartition(tasks, "table_id")
+
+
 def cells(t):
     """A table for each order: stacked headers, a full-width section row, a row per line; lines in a row with one label share its cell."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    by_table = Window.partitionBy("table_id")
+    w = by_table.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     label = F.when(F.col("l_linestatus") == "O", F.col("l_returnflag")).otherwise(F.concat("l_returnflag", F.col("l_linenumber").cast("string")))
     number = lambda c: c.cast("long").cast("string")
-    lines = t.lineitem.select("l_orderkey", F.col("l_orderkey").alias("table_id"), (2 + F.row_number().over(w)).alias("row"), label.alias("label"), number(F.col("l_quantity")).alias("q"), F.concat(number(F.round(F.col("l_discount") * 100)), F.lit("%")).alias("d"))
-    by_row = Window.partitionBy("table_id").orderBy("row")
-    lines = lines.withColumn("run", F.coalesce(F.col("label") != F.lag("label").over(by_row), F.lit(True)).cast("int")).withColumn("run", F.sum("run").over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
+    lines = lines_by_order(t, "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
+    lines = lines.select("table_id", (2 + F.row_number().over(w)).alias("row"), label.alias("label"), number(F.col("l_quantity")).alias("q"), F.concat(number(F.round(F.col("l_discount") * 100)), F.lit("%")).alias("d"), F.max("l_linestatus").over(by_table).alias("s"))
+    by_row = by_table.orderBy("row")
+    lines = lines.withColumn("opens", F.coalesce(F.col("label") != F.lag("label").over(by_row), F.lit(True))).withColumn("run", F.sum(F.col("opens").cast("int")).over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
+    lines = lines.withColumn("n", F.count("*").over(Window.partitionBy("table_id", "run")))
     cell = lambda row, col, rows, cols, text, header: F.struct(row.alias("row"), F.lit(col).alias("col"), rows.cast("int").alias("rowspan"), F.lit(cols).alias("colspan"), text.alias("text"), F.lit(header).alias("is_header"), F.lit(False).alias("bold"))
     at, one, r = F.lit, F.lit(1), F.col("row")
-    spread = lambda df, *made: df.select("table_id", F.explode(F.array(*made)).alias("c")).select("table_id", "c.*")
-    labels = lines.groupBy("table_id", "run", "label").agg(F.min("row").alias("row"), F.count("*").alias("n"))
-    top = t.lineitem.groupBy(F.col("l_orderkey").alias("table_id")).agg(F.max("l_linestatus").alias("s"))
-    heads = spread(top, cell(at(0), 0, one, 1, at("Flag"), True), cell(at(0), 1, one, 2, F.concat(at("Amount "), "s"), True), cell(at(1), 1, one, 1, at("Quantity"), True), cell(at(1), 2, one, 1, at("Discount"), True), cell(at(2), 0, one, 3, F.concat(at("Lines "), "s"), False), cell(at(3), 3, one, 1, at(""), False))
-    return heads.unionByName(spread(labels, cell(r, 0, F.col("n"), 1, F.col("label"), False))).unionByName(spread(lines, cell(r, 1, one, 1, F.col("q"), False), cell(r, 2, one, 1, F.col("d"), False)))
+    # an order's first line brings the table's head, a run's first line its label
+    heads = [cell(at(0), 0, one, 1, at("Flag"), True), cell(at(0), 1, one, 2, F.concat(at("Amount "), "s"), True), cell(at(1), 1, one, 1, at("Quantity"), True), cell(at(1), 2, one, 1, at("Discount"), True), cell(at(2), 0, one, 3, F.concat(at("Lines "), "s"), False), cell(at(3), 3, one, 1, at(""), False)]
+    made = [*(F.when(r == 3, c) for c in heads), F.when(F.col("opens"), cell(r, 0, F.col("n"), 1, F.col("label"), False)), cell(r, 1, one, 1, F.col("q"), False), cell(r, 2, one, 1, F.col("d"), False)]
+    return lines.select("table_id", F.explode(F.array_compact(F.array(*made))).alias("c")).select("table_id", "c.*")
 
 
 LINES = """(SELECT l_orderkey AS table_id, 2 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS row, CASE WHEN l_linestatus = 'O' THEN l_returnflag ELSE l_returnflag || CAST(l_linenumber AS VARCHAR) END AS label,

@@ -62,3 +62,12 @@ def test_hybrid_ranks_beyond_the_first_thousand_count(spark, agree):
     near = F.array(F.lit(1.0), (F.col("id") / 1000).cast("double")).alias("embedding")
     far = F.when(F.col("id") == 0, F.array(F.lit(0.0), F.lit(1.0))).otherwise(near).alias("embedding")
     agree("K04_hybrid", documents=numbered(spark, 1300, "doc_id", F.lit("apache license").alias("text")), embeddings=numbered(spark, 1300, "vec_id", far))
+
+
+GRIDS = ["J01_grid", "J02_column_headers", "J03_sections", "J04_cell_paths", "J05_stub_width", "J14_compact_tables", "J22_row_records", "F14_continuations"]
+
+
+@pytest.mark.parametrize("name", GRIDS)
+def test_cells_of_a_table_move_once(spark, name):
+    plan = library.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan
