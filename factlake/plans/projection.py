@@ -50,10 +50,12 @@ def registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(path_rules(), _REGISTRY)
 
 
-def _read(v: Column | str, at: Column | str, kind: str) -> Column:
-    """What stands at a place of a variant; null where there is nothing, a JSON null, or another kind."""
-    found = F.try_variant_get(v, at, kind)
-    return F.when(~F.is_variant_null(found), found) if kind == "variant" else found
+def _read_at(v: str, at: str, places: list[str]) -> Column:
+    """What stands at the place that a column names, one of ``places``: each is a path of the plan, so none is parsed for a row."""
+    out = F.lit(None).cast("variant")
+    for place in places:
+        out = F.when(F.col(at) == place, F.try_variant_get(v, F.lit(place), "variant")).otherwise(out)
+    return out
 
 
 def fee_kind(description: Column) -> Column:
@@ -70,36 +72,41 @@ def project_facts(payloads: DataFrame, rules: DataFrame, key: list[str], payload
     a maximum where they are stated, with one variant key for both. The currency is the range's own or that of a
     single currency condition. Payloads that are null or no JSON give nothing. ``rules`` is small and broadcast.
     """
+    known = rules.select("field", "at", "or_at").distinct().collect()  # the registry: some 60 rows
+    names, places = sorted({r["field"] for r in known}), sorted({p for r in known for p in (r["at"], r["or_at"]) if p})
+    raw = lambda v, at, kind="variant": F.try_variant_get(v, F.lit(at), kind)
+    stated = lambda c: F.when(~F.is_variant_null(c), F.col(c))
+    none = F.array().cast("array<variant>")
+    # each step is a column of its own, so that no place is read again by the steps that build on it
     parsed = payloads.select(*key, F.try_parse_json(payload).alias("_doc"))
-    named = rules.select("field").distinct().select(F.collect_set("field").alias("_names"))
-    fields = parsed.join(F.broadcast(named)).select(*key, "_doc", F.explode("_names").alias("field")).withColumn("_f", _read("_doc", F.concat(F.lit("$.fields."), "field"), "variant")).where("_f is not null")
-    status = _read("_f", "$.status", "string")
-    value = _read("_f", "$.value", "variant")
-    policy = F.array_compact(F.array(_read(value, "$.default_required", "variant")))
-    exceptions = F.coalesce(_read(value, "$.exceptions", "array<variant>"), F.array().cast("array<variant>"))
-    listed = F.coalesce(_read(value, "$", "array<variant>"), F.when(F.size(policy) + F.size(exceptions) > 0, F.concat(policy, exceptions)), F.array(value))
-    listed = F.filter(listed, lambda x: x.isNotNull() & ~F.is_variant_null(x))
-    items = F.when(status == "found", listed).otherwise(F.array(F.lit(None).cast("variant")))
-    rows = fields.select(*key, "field", status.alias("status"), F.posexplode(items).alias("_no", "_item"))
-    inner = F.coalesce(_read("_item", "$.value", "variant"), F.col("_item"))
-    conditions = F.coalesce(_read("_item", "$.conditions", "array<variant>"), F.array().cast("array<variant>"))
-    rows = rows.select("*", inner.alias("_v"), F.transform(conditions, lambda c: F.struct(*(F.coalesce(_read(c, f"$.{k}", "string"), F.lit("")).alias(k) for k in ("dimension", "operator", "value")))).alias("_c"))
-    tag = F.when(F.col("field") == "fees", fee_kind(F.coalesce(_read("_v", "$.description", "string"), F.lit("")))).otherwise(_read("_v", "$.type", "string"))
-    r = F.broadcast(rules.withColumnRenamed("field", "_field"))
-    lost = F.col("status") != "found"
-    met = rows.withColumn("_tag", tag).join(r, (F.col("field") == F.col("_field")) & (lost | F.col("tag").isNull() | (F.col("tag") == F.col("_tag"))))
-    first, other = _read("_v", F.col("at"), "variant"), F.when(F.col("or_at").isNotNull(), _read("_v", F.col("or_at"), "variant"))
-    got = F.coalesce(first, other)
-    out = met.withColumns({"_got": got, "unit": F.when(first.isNotNull() | F.col("or_unit").isNull(), F.col("unit")).otherwise(F.col("or_unit"))})
-    text = F.coalesce(_read("_got", "$", "string"), F.to_json("_got"))
-    out = out.withColumn("value", text).where(lost | (F.col("value").isNotNull() & (F.col("matching").isNull() | F.regexp_like("value", F.col("matching")))))
-    of_condition = F.array_distinct(F.transform(F.filter("_c", lambda c: c["dimension"] == "currency"), lambda c: F.upper(c["value"])))
-    currency = F.coalesce(_read("_v", "$.range.currency", "string"), _read("_v", "$.currency", "string"), F.when(F.col("unit").isin("percent", "formula") & (F.size(of_condition) == 1), F.get(of_condition, 0)))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), raw("_doc", f"$.fields.{n}").alias("_f")) for n in names]))
+    fields = parsed.select(*key, each.alias("_e")).select(*key, "_e.field", "_e._f").where(F.col("_f").isNotNull() & ~F.is_variant_null("_f"))
+    fields = fields.select(*key, "field", raw("_f", "$.status", "string").alias("status"), raw("_f", "$.value").alias("_raw")).withColumn("_value", stated("_raw"))
+    fields = fields.withColumns({"_policy": raw("_value", "$.default_required"), "_exceptions": F.coalesce(raw("_value", "$.exceptions", "array<variant>"), none), "_array": raw("_value", "$", "array<variant>")}).withColumn("_policy", F.array_compact(F.array(stated("_policy"))))
+    listed = F.coalesce("_array", F.when(F.size("_policy") + F.size("_exceptions") > 0, F.concat("_policy", "_exceptions")), F.array("_value"))
+    items = F.when(F.col("status") == "found", F.filter(listed, lambda x: x.isNotNull() & ~F.is_variant_null(x))).otherwise(F.array(F.lit(None).cast("variant")))
+    rows = fields.select(*key, "field", "status", F.posexplode(items).alias("_no", "_item"))
+    # what an item says for all of its paths is read once, before it meets them
+    rows = rows.withColumns({"_raw": raw("_item", "$.value"), "_conditions": F.coalesce(raw("_item", "$.conditions", "array<variant>"), none)}).withColumn("_v", F.coalesce(stated("_raw"), F.col("_item")))
+    rows = rows.withColumn("_c", F.transform("_conditions", lambda c: F.struct(*(F.coalesce(raw(c, f"$.{k}", "string"), F.lit("")).alias(k) for k in ("dimension", "operator", "value")))))
     shown = F.array_join(F.array_sort(F.transform("_c", lambda c: F.concat_ws(" ", c["dimension"], c["operator"], c["value"]))), "; ")
+    of_condition = F.array_distinct(F.transform(F.filter("_c", lambda c: c["dimension"] == "currency"), lambda c: F.upper(c["value"])))
+    lost = F.col("status") != "found"
+    rows = rows.withColumns({
+        "conditions": shown, "_currencies": of_condition, "_currency": F.coalesce(raw("_v", "$.range.currency", "string"), raw("_v", "$.currency", "string")), "basis": raw("_v", "$.basis", "string"),
+        "_described": F.when(F.col("field") == "fees", F.lower(F.coalesce(raw("_v", "$.description", "string"), F.lit("")))), "_type": raw("_v", "$.type", "string"),
+    })
     # both ends of a range share the item's key; a lost field has one variant
-    variant = F.substring(F.sha2(F.concat_ws("\x1f", "field", F.coalesce(F.to_json("_item"), F.lit("")), shown, F.when(lost, "missing").otherwise("")), 256), 1, 24)
-    number = F.when(F.col("unit").isNotNull() & (F.col("unit") != "formula"), _read("_got", "$", "decimal(38,6)"))
-    return out.select(*key, "path", "status", "value", number.alias("number"), F.when(~lost, F.col("unit")).alias("unit"), currency.alias("currency"), _read("_v", "$.basis", "string").alias("basis"), shown.alias("conditions"), variant.alias("variant_key"))
+    variant = F.substring(F.sha2(F.concat_ws("\x1f", "field", F.coalesce(F.to_json("_item"), F.lit("")), "conditions", F.when(lost, "missing").otherwise("")), 256), 1, 24)
+    rows = rows.withColumns({"_tag": F.when(F.col("field") == "fees", fee_kind(F.col("_described"))).otherwise(F.col("_type")), "variant_key": variant})
+    r = F.broadcast(rules.withColumnRenamed("field", "_field"))
+    met = rows.select(*key, "field", "status", "_v", "_tag", "conditions", "_currencies", "_currency", "basis", "variant_key").join(r, (F.col("field") == F.col("_field")) & (lost | F.col("tag").isNull() | (F.col("tag") == F.col("_tag"))))
+    out = met.withColumns({"_first": _read_at("_v", "at", places), "_other": F.when(F.col("or_at").isNotNull(), _read_at("_v", "or_at", places))}).withColumns({"_first": stated("_first"), "_other": stated("_other")})
+    out = out.withColumns({"_got": F.coalesce("_first", "_other"), "unit": F.when(F.col("_first").isNotNull() | F.col("or_unit").isNull(), F.col("unit")).otherwise(F.col("or_unit"))})
+    out = out.withColumn("value", F.coalesce(raw("_got", "$", "string"), F.to_json("_got"))).where(lost | (F.col("value").isNotNull() & (F.col("matching").isNull() | F.regexp_like("value", F.col("matching")))))
+    currency = F.coalesce("_currency", F.when(F.col("unit").isin("percent", "formula") & (F.size("_currencies") == 1), F.get("_currencies", F.lit(0))))
+    number = F.when(F.col("unit").isNotNull() & (F.col("unit") != "formula"), raw("_got", "$", "decimal(38,6)"))
+    return out.select(*key, "path", "status", "value", number.alias("number"), F.when(~lost, F.col("unit")).alias("unit"), currency.alias("currency"), "basis", "conditions", "variant_key")
 
 
 #: paths whose numbers can be ranked: those with a unit, without formulas and fees that have no kind

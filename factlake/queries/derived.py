@@ -12,6 +12,12 @@ PAGE_IDS = 1_000_000_000
 HOST = "https://shop.example.com"
 
 
+def spread_rows(t, df, key: str, each: int):
+    """The rows dealt by key over tasks of some ``each`` rows: a table that is small on disk is read by few tasks, however much is made from a row."""
+    tasks = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), df.count() // each + 1)
+    return df.repartition(tasks, key)
+
+
 def supplier_pages(t):
     """(page_id, url, html): definition list, headline card, card, accordion, hidden part, table with spans, links and media."""
     sums = t.lineitem.groupBy("l_suppkey", "l_returnflag", "l_linestatus").agg(F.sum(F.col("l_quantity").cast("long")).alias("q"), F.count("*").alias("n"))

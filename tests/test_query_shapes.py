@@ -77,3 +77,12 @@ def test_labels_meet_the_text_where_it_lies(spark):
     plan = library.QUERIES["K09_label_location"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     # no run of characters is shuffled to the pieces
     assert "strategy=broadcast" in plan, plan
+
+
+def test_payloads_of_a_small_file_are_read_by_many_tasks(spark, tmp_path):
+    part = spark.range(12_000).select(F.col("id").alias("p_partkey"), F.lit(3).alias("p_size"), F.lit(2.5).alias("p_retailprice"))
+    part.coalesce(1).write.parquet(f"file://{tmp_path}/part.parquet")
+    from factlake.queries.projection import payloads
+
+    sizes = payloads(library.Tables(spark, str(tmp_path))).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 5_000
