@@ -12,7 +12,7 @@ from factlake.operators import grids as G
 from factlake.operators import joins as J
 from factlake.operators import versions as W
 from factlake.queries import query
-from factlake.queries.derived import supplier_pages
+from factlake.queries.derived import spread_rows, supplier_pages
 from factlake.queries.documents import COS, GRID, INDEX, LINES, RECORDS, cells, index
 from factlake.queries.pages import BLOCKS
 from factlake.queries.streams import SILENT, folder
@@ -86,7 +86,8 @@ def _(t):
     fee = R.fee_line(F.concat((F.col("p_size") / 10).cast("decimal(10,1)").cast("string"), F.lit("% of the sum, minimum "), F.format_number(F.col("p_size") * 1000, 0), F.lit(" AMD")))
     age = R.age_range(F.concat(F.lit("aged 18 - "), (F.col("p_size") + 18).cast("string")))
     allowed = R.yes_no(F.when(k % 2 == 1, "It is available").otherwise("Not for all"))
-    return t.part.select("p_partkey", rate["low"].cast("double").alias("rate_low"), rate["rate_type"].alias("rate_type"), term["high_months"].alias("high_months"), term["indefinite"].alias("indefinite"), fee["percent"].cast("double").alias("fee_percent"), fee["low"].cast("double").alias("fee_low"), age["high"].alias("age_high"), allowed.alias("allowed"))
+    parts = spread_rows(t, t.part.select("p_partkey", "p_size"), "p_partkey", 20_000)
+    return parts.select("p_partkey", rate["low"].cast("double").alias("rate_low"), rate["rate_type"].alias("rate_type"), term["high_months"].alias("high_months"), term["indefinite"].alias("indefinite"), fee["percent"].cast("double").alias("fee_percent"), fee["low"].cast("double").alias("fee_low"), age["high"].alias("age_high"), allowed.alias("allowed"))
 
 
 @query("I12_effective_range", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS starts, CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderdate AS DATE) + 90 AS VARCHAR) END AS ends FROM orders")

@@ -86,3 +86,9 @@ def test_payloads_of_a_small_file_are_read_by_many_tasks(spark, tmp_path):
 
     sizes = payloads(library.Tables(spark, str(tmp_path))).groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) == 4 and max(r["count"] for r in sizes) < 5_000
+
+
+def test_lines_of_terms_are_read_by_many_tasks(spark, tmp_path):
+    part = spark.range(8_000).select(F.col("id").alias("p_partkey"), F.lit(3).alias("p_size"))
+    part.coalesce(1).write.parquet(f"file://{tmp_path}/part.parquet")
+    assert library.QUERIES["I15_lines"](spark, str(tmp_path)).rdd.getNumPartitions() == 4
