@@ -78,33 +78,66 @@ def _best_parts(mine: DataFrame, theirs: DataFrame) -> DataFrame:
     the words really in common give. So a part meets one row for each size, however hot its words are.
     """
     offers = _parts(theirs).groupBy("g", "part", F.col("n").alias("m")).agg(F.min("id").alias("other"))
-    met = _parts(mine).join(offers, ["g", "part"])
+    met = _parts(mine).join(offers.hint("merge"), ["g", "part"])
     return met.select("g", "id", "other", (F.size("part") / (F.col("n") + F.col("m") - F.size("part"))).alias("score"))
 
 
+#: words of 64 bits in the signature of a set
+_SIGNATURE = 8
+
+
+def _signature(words: Column) -> Column:
+    """Each word turns one bit over, so two signatures differ in no more bits than their sets in words."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    turned = lambda k: F.aggregate(F.filter(hashes, lambda h: h.bitwiseAND(F.lit(_SIGNATURE - 1)) == k), F.lit(0).cast("long"), lambda b, h: b.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 3), F.lit(64)).cast("int"))))
+    return F.array(*[turned(k) for k in range(_SIGNATURE)])
+
+
+def _apart(a: Column, b: Column) -> Column:
+    return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(_SIGNATURE)), F.lit(0))
+
+
+def _meetings(sides: dict[str, DataFrame], least: float) -> DataFrame:
+    """(g, left_id, right_id) of pairs of sets, one of them large, that may reach ``least``."""
+    held = [s.select("g", F.explode("s").alias("w"), F.lit(k == "left").alias("l")) for k, s in sides.items()]
+    often = held[0].unionByName(held[1]).groupBy("g", "w").agg(F.count("*").alias("d"), F.bool_or("l").alias("left"), F.bool_or(~F.col("l")).alias("right"))
+    # a word of one side only starts no pair, but has its place in the order of both
+    place = F.row_number().over(Window.partitionBy("g", "id").orderBy("d", "w"))
+
+    def starts(k: str, other: str, letter: str) -> DataFrame:
+        placed = sides[k].select("g", "id", "n", F.explode("s").alias("w")).join(often.hint("merge"), ["g", "w"]).withColumn("p", place)
+        kept = placed.where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).where(other).join(sides[k].select("g", "id", _signature(F.col("s")).alias("b")), ["g", "id"])
+        return kept.select("g", "w", F.col("id").alias(f"{k}_id"), *[F.col(c).alias(letter + c) for c in "npb"])
+
+    a, b = starts("left", "right", "l"), starts("right", "left", "r")
+    large_a, small_a, large_b = a.where(F.col("ln") > SUBSET_WORDS), a.where(F.col("ln") <= SUBSET_WORDS), b.where(F.col("rn") > SUBSET_WORDS)
+    # words that a pair at ``least`` has in common; all of them stand at or behind the first one on either side
+    common = F.ceil((F.col("ln") + F.col("rn")) * (least / (1 + least)) - 1e-9)
+    near = (F.least("ln", "rn") >= least * F.greatest("ln", "rn") - 1e-9) & (F.least(F.col("ln") - F.col("lp"), F.col("rn") - F.col("rp")) + 1 >= common) & (_apart(F.col("lb"), F.col("rb")) <= F.col("ln") + F.col("rn") - 2 * common)
+    met = large_a.join(b.hint("merge"), ["g", "w"]).where(near).select("g", "left_id", "right_id").unionByName(small_a.join(large_b.hint("merge"), ["g", "w"]).where(near).select("g", "left_id", "right_id"))
+    return met.distinct()
+
+
 def mutual_best(left: DataFrame, right: DataFrame, group: str, words: str, least: float = 0.3) -> DataFrame:
     """(group, left_id, right_id, score) of pairs of at least ``least`` that are each other's best by Jaccard of word sets.
 
     Ties go to the lowest id on either side. Sets of at most SUBSET_WORDS words find their best among
     each other through subsets. Where either set is larger, the two meet on prefixes in rare-first
-    order, which hold one word more than a partner at ``least`` can lack, and are compared whole; a
-    pair below ``least`` is no answer and spoils none, so it need not be found. Null groups, ids and
-    words and sets without words are left out.
+    order, which hold one word more than a partner at ``least`` can lack. Where they meet, the places
+    of the word bound what the sets can have in common, and their signatures what they differ in at
+    least: what may still reach ``least`` is compared whole, so few whole sets move. A pair below
+    ``least`` is no answer and spoils none, so it need not be found. Null groups, ids and words and
+    sets without words are left out.
     """
-    sides = {"left": _sets(left, group, words), "right": _sets(right, group, words)}
-    held = [s.select("g", F.explode("s").alias("w")) for s in sides.values()]
-    often = held[0].unionByName(held[1]).groupBy("g", "w").agg(F.count("*").alias("d"))
-    # a word of one side only starts no pair, but has its place in the order of both
-    place = F.row_number().over(Window.partitionBy("g", "id").orderBy("d", "w"))
-    prefix = {k: s.select("g", "id", "n", F.explode("s").alias("w")).join(often, ["g", "w"]).withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).drop("p", "d") for k, s in sides.items()}
-    a, b = prefix["left"].select("g", "w", F.col("id").alias("left_id"), F.col("n").alias("ln")), prefix["right"].select("g", "w", F.col("id").alias("right_id"), F.col("n").alias("rn"))
-    large_a, small_a, large_b = a.where(F.col("ln") > SUBSET_WORDS), a.where(F.col("ln") <= SUBSET_WORDS), b.where(F.col("rn") > SUBSET_WORDS)
-    near = F.least("ln", "rn") >= least * F.greatest("ln", "rn") - 1e-9
-    met = large_a.join(b, ["g", "w"]).where(near).unionByName(small_a.join(large_b, ["g", "w"]).where(near))
-    pairs = met.select("g", "left_id", "right_id").distinct()
+    from factlake.sources.shared import written
+
+    # the sets are read six times, their texts once
+    sets = written(_sets(left, group, words).withColumn("side", F.lit("left")).unionByName(_sets(right, group, words).withColumn("side", F.lit("right"))), "word-sets", "side")
+    sides = {k: sets.where(F.col("side") == k).drop("side") for k in ("left", "right")}
+    pairs = _meetings(sides, least)
     whole = pairs.join(sides["left"].select("g", F.col("id").alias("left_id"), F.col("s").alias("ls")), ["g", "left_id"]).join(sides["right"].select("g", F.col("id").alias("right_id"), F.col("s").alias("rs")), ["g", "right_id"])
     both = F.size(F.array_intersect("ls", "rs"))
-    scored = whole.select("g", "left_id", "right_id", (both / (F.size("ls") + F.size("rs") - both)).alias("score"))
+    scored = written(whole.select("g", "left_id", "right_id", (both / (F.size("ls") + F.size("rs") - both)).alias("score")).where(F.col("score") >= least), "word-set-scores")
 
     def best(mine: str, other: str) -> DataFrame:
         large = scored.select("g", F.col(f"{mine}_id").alias("id"), F.col(f"{other}_id").alias("other"), "score")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,3 +28,10 @@ def written_once(spark: SparkSession, name: str, key: str, build: Callable[[], D
         build().write.mode("overwrite").partitionBy(*folders).parquet(at)
         known[name, key] = at
     return spark.read.parquet(at)
+
+
+def written(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """The rows, written to the shared folder now and read from there, for an operator that needs them several times."""
+    at = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*folders).parquet(at)
+    return df.sparkSession.read.parquet(at)

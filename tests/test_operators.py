@@ -266,3 +266,33 @@ def test_a_hot_word_of_small_sets_makes_no_square(spark):
     met = joins._best_parts(joins._sets(hot(0), "g", "w"), joins._sets(hot(5000), "g", "w"))
     assert met.count() == 3000
     assert rows(joins.mutual_best(hot(0), hot(5000), "g", "w")) == [("g", 0, 5000, 1 / 3)]
+
+
+def test_sets_of_texts_meet_only_where_they_may_be_alike(spark):
+    # sets of 40 words: 20 of a common stock, four that ten sets of a side share, and 16 of their own; every 50th has a near copy beside
+    def of(side, k):
+        own = [f"{'c' if k % 50 == 0 else side}{k}x{i}" for i in range(16)]
+        return [f"a{i}" for i in range(20)] + [f"b{k % 20}x{i}" for i in range(4)] + own
+
+    rows = lambda side, at: [(("g"), at + k, of(side, k)) for k in range(200)]
+    left, right = (spark.createDataFrame(rows(s, at), "g string, id long, words array<string>") for s, at in (("l", 0), ("r", 1000)))
+    met = joins._meetings({"left": joins._sets(left, "g", "words"), "right": joins._sets(right, "g", "words")}, 0.6).collect()
+    found = joins.mutual_best(left, right, "g", "words", 0.6).collect()
+    assert sorted((r.left_id, r.right_id, r.score) for r in found) == [(k, 1000 + k, 1.0) for k in range(0, 200, 50)]
+    # 2,000 pairs share a word of their prefixes
+    assert len(met) < 40
+
+
+def test_mutual_best_of_large_sets_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    make = lambda k, at: [("g", at + i, sorted({f"w{min(int(rng.expovariate(0.04)), 90)}" for _ in range(rng.randint(3, 45))})) for i in range(k)]
+    a, b = make(60, 0), make(60, 1000)
+    frames = [spark.createDataFrame(x, "g string, id long, words array<string>") for x in (a, b)]
+    score = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    for least in (0.3, 0.5):
+        pairs = [(score(x, y), i, j) for _, i, x in a for _, j, y in b if score(x, y) >= least]
+        best = lambda of: {k: min((-s, j if of == 1 else i) for s, i, j in pairs if (i, j)[of - 1] == k)[1] for k in {(i, j)[of - 1] for _, i, j in pairs}}
+        mine, theirs = best(1), best(2)
+        assert {(r.left_id, r.right_id) for r in joins.mutual_best(*frames, "g", "words", least).collect()} == {(i, j) for i, j in mine.items() if theirs[j] == i}
