@@ -183,6 +183,15 @@ def _name_key(words: Column) -> Column:
     return F.regexp_replace(F.array_join(words, " "), "(?<=\\p{L}{3})s$", "")
 
 
+#: names that are broadcast to the words of texts
+MOST_NAMES = 200_000
+
+
+def meet(rows: DataFrame, catalog: DataFrame, key: str, n: int) -> DataFrame:
+    """Rows with a catalog of ``n`` entries: a small one is broadcast. The rows never are, though Spark takes exploded rows for as small as their table."""
+    return rows.join(F.broadcast(catalog), key) if n <= MOST_NAMES else rows.hint("merge").join(catalog, key)
+
+
 def mentions(texts: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, name, entity) of catalog names in texts, leftmost first, of those the longest; a name inside or across another one that counts is none.
 
@@ -194,11 +203,12 @@ def mentions(texts: DataFrame, names: DataFrame, id_col: str, text_col: str) ->
 
     base = texts.select(F.col(id_col).alias("_id"), name_words(F.col(text_col)).alias("_w")).where("size(_w) > 0")
     keyed = names.select(name_words(F.col("name")).alias("_n"), "name", "entity").where("size(_n) > 0").select(_name_key(F.col("_n")).alias("gram"), F.size("_n").alias("n"), "name", "entity")
-    sizes = [r["n"] for r in keyed.select("n").distinct().orderBy("n").collect()]  # lengths of names
+    counts = keyed.groupBy("n").count().orderBy("n").collect()  # lengths of names
+    sizes = [r["n"] for r in counts]
     places = base.select("_id", "_w", F.explode(F.sequence(F.lit(1), F.size("_w"))).alias("at"))
     grams = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), _name_key(F.slice("_w", F.col("at"), n)).alias("gram")) for n in sizes or [1]]))
     spread = places.select("_id", "at", F.size("_w").alias("_size"), grams.alias("g")).select("_id", "at", "g.*", "_size").where("at + n - 1 <= _size").drop("_size")
-    found = spread.join(keyed.drop("n"), "gram").select("_id", F.col("at").cast("long").alias("at"), F.col("n").cast("long").alias("n"), "name", "entity")
+    found = meet(spread, keyed.drop("n"), "gram", sum(r["count"] for r in counts)).select("_id", F.col("at").cast("long").alias("at"), F.col("n").cast("long").alias("n"), "name", "entity")
     kinds = dict(found.dtypes)
 
     def step(last, row):
@@ -214,8 +224,8 @@ def mentions(texts: DataFrame, names: DataFrame, id_col: str, text_col: str) ->
 def without_families(found: DataFrame, members: DataFrame, id_col: str) -> DataFrame:
     """Mentions without those of a family of which the same text also names a member; ``members`` are (member, family), families may lie in families."""
     named = found.select(F.col(id_col).alias("_id"), F.col("entity").alias("member")).distinct()
-    covered = named.join(members, "member").select("_id", F.col("family").alias("_family")).distinct()
-    return found.join(covered, (F.col(id_col) == F.col("_id")) & (F.col("entity") == F.col("_family")), "left_anti")
+    covered = meet(named, members, "member", members.count()).select("_id", F.col("family").alias("_family")).distinct()
+    return found.join(covered.hint("merge"), (F.col(id_col) == F.col("_id")) & (F.col("entity") == F.col("_family")), "left_anti")
 
 
 def near_pairs(df: DataFrame, key: str, words: str, least: float = 0.8) -> DataFrame:

@@ -296,3 +296,15 @@ def test_mutual_best_of_large_sets_against_all_pairs(spark):
         best = lambda of: {k: min((-s, j if of == 1 else i) for s, i, j in pairs if (i, j)[of - 1] == k)[1] for k in {(i, j)[of - 1] for _, i, j in pairs}}
         mine, theirs = best(1), best(2)
         assert {(r.left_id, r.right_id) for r in joins.mutual_best(*frames, "g", "words", least).collect()} == {(i, j) for i, j in mine.items() if theirs[j] == i}
+
+
+def test_words_of_texts_are_not_broadcast(spark):
+    texts = spark.range(2000).select("id", F.lit("red bolt and blue ring").alias("text"))
+    names = spark.createDataFrame([("red bolt", 1), ("ring", 2), ("red", 3)], "name string, entity long").groupBy("name").agg(F.min("entity").alias("entity"))
+    members = spark.createDataFrame([(1, 3)], "member long, family long")
+    found = joins.without_families(joins.mentions(texts, names, "id", "text"), members, "id")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # the catalogs go to the texts; what is found in texts meets itself in a shuffle
+    assert plan.count("rightHint=(strategy=broadcast)") >= 2, plan
+    assert "strategy=merge" in plan, plan
+    assert found.count() == 4000
