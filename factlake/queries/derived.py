@@ -39,15 +39,26 @@ def supplier_pages(t):
     return s.select((key + PAGE_IDS).alias("page_id"), F.concat(F.lit(f"{HOST}/suppliers/"), text("s_suppkey")).alias("url"), html.alias("html"))
 
 
+#: pages that a task parses at most, some few milliseconds each
+_PAGES_OF_TASK = 2_000
+
+
 def parsed_pages(t):
     """The given pages parsed, once in an application."""
-    return written_once(t.spark, "parsed-pages", t.sf_dir, lambda: parse_pages(t.pages))
+    return written_once(t.spark, "parsed-pages", t.sf_dir, lambda: parse_pages(spread_rows(t, t.pages, "page_id", _PAGES_OF_TASK)))
 
 
-def parsed_all(t):
-    """The given pages and the derived ones, parsed, each once."""
-    return parsed_pages(t).unionByName(written_once(t.spark, "parsed-suppliers", t.sf_dir, lambda: parse_pages(supplier_pages(t))))
+def parsed_suppliers(t):
+    """The derived pages parsed, once in an application; the given ones are not asked for."""
 
+    def build():
+        pages = supplier_pages(t)
+        tasks = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), t.supplier.count() // _PAGES_OF_TASK + 1)
+        return parse_pages(pages.repartition(tasks, "page_id"))
 
-def parsed_suppliers(t):
-    return parsed_all(t).where(F.col("page_id") >= PAGE_IDS)
+    return written_once(t.spark, "parsed-suppliers", t.sf_dir, build)
+
+
+def parsed_all(t):
+    """The given pages and the derived ones, parsed, each once."""
+    return parsed_pages(t).unionByName(parsed_suppliers(t))

@@ -92,3 +92,18 @@ def test_lines_of_terms_are_read_by_many_tasks(spark, tmp_path):
     part = spark.range(8_000).select(F.col("id").alias("p_partkey"), F.lit(3).alias("p_size"))
     part.coalesce(1).write.parquet(f"file://{tmp_path}/part.parquet")
     assert library.QUERIES["I15_lines"](spark, str(tmp_path)).rdd.getNumPartitions() == 4
+
+
+def test_supplier_pages_do_not_ask_for_the_given_ones(spark, tmp_path):
+    for table in ("supplier", "nation", "lineitem"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").write.parquet(f"file://{tmp_path}/{table}.parquet")
+    # there is no table of pages
+    assert library.QUERIES["J10_pairs"](spark, str(tmp_path)).count() == 3 * spark.read.parquet(f"file://{tmp_path}/supplier.parquet").count()
+
+
+def test_pages_of_a_small_file_are_parsed_by_many_tasks(spark, tmp_path):
+    from factlake.queries.derived import parsed_pages
+
+    html = F.lit("<html><body><h1>Title</h1><p>Text</p></body></html>").alias("html")
+    numbered(spark, 400, "page_id", F.lit("https://example.com/").alias("url"), html).coalesce(1).write.parquet(f"file://{tmp_path}/pages.parquet")
+    assert len(parsed_pages(library.Tables(spark, str(tmp_path))).inputFiles()) == 4
