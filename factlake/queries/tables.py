@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factlake.operators import packing as P
 from factlake.operators import tables as T
 from factlake.queries import query
+from factlake.queries.derived import spread_rows
 
 #: the lines of an order, numbered; the order's number picks the shape of its table
 _LINES = """(SELECT l_orderkey AS t, l_orderkey % 6 AS shape, l_returnflag AS f, l_linestatus AS s, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q, CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR) || '%' AS d, row_number() OVER w AS i, count(*) OVER (PARTITION BY l_orderkey) AS n,
@@ -53,22 +54,36 @@ RULES = rf"""l AS {_LINES}, c AS ({_CELLS}), facts AS (SELECT t, max(col + cs) A
   quals AS (SELECT cand.t, cand.row FROM cand JOIN following f ON f.t = cand.t AND f.row = cand.row JOIN v a ON a.t = cand.t AND a.row = cand.row JOIN v b ON b.t = cand.t AND b.row = f.nx AND b.col = a.col GROUP BY ALL HAVING count(*) >= 2)"""
 
 
+#: lines that a task holds, some five cells each
+_LINES_OF_TASK = 150_000
+
+
+def dealt_lines(t, *columns: str):
+    """These columns of the lines, dealt once by order over tasks of a bounded number of lines; what follows stays with its order."""
+    return spread_rows(t, t.lineitem.select(*columns), "l_orderkey", _LINES_OF_TASK)
+
+
 def shaped_cells(t):
     """The cells of all tables, from the lines of their orders."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     number = lambda c: c.cast("long").cast("string")
-    lines = t.lineitem.select(
+    lines = dealt_lines(t, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus").select(
         F.col("l_orderkey").alias("t"), (F.col("l_orderkey") % 6).alias("shape"), F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("s"), number(F.col("l_quantity")).alias("q"), F.concat(number(F.round(F.col("l_discount") * 100)), F.lit("%")).alias("d"),
-        F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy("l_orderkey")).alias("n"), F.lag("l_returnflag").over(w).alias("pf"),
+        F.row_number().over(w).alias("i"), F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"), F.lag("l_returnflag").over(w).alias("pf"),
     )
-    made = [F.when((F.col("shape") == shape) & F.expr(_WHEN[when]), F.struct(F.expr(row).cast("long").alias("row"), F.lit(col).alias("col"), F.expr(rows).cast("int").alias("rowspan"), F.lit(cols).alias("colspan"), F.lit(head).alias("is_header"), F.lit(bold).alias("bold"), F.expr(text).cast("string").alias("text"))) for shape, when, row, col, rows, cols, head, bold, text in SHAPES]
-    return lines.select(F.col("t").alias("table_id"), F.explode(F.array_compact(F.array(*made))).alias("c")).select("table_id", "c.*")
+    cell = lambda row, col, rows, cols, head, bold, text: F.struct(F.expr(row).cast("long").alias("row"), F.lit(col).alias("col"), F.expr(rows).cast("int").alias("rowspan"), F.lit(cols).alias("colspan"), F.lit(head).alias("is_header"), F.lit(bold).alias("bold"), F.expr(text).cast("string").alias("text"))
+    # a line makes the cells of its own shape only
+    made = None
+    for shape in sorted({x[0] for x in SHAPES}):
+        cells = F.array_compact(F.array(*(F.when(F.expr(_WHEN[when]), cell(*x)) for of, when, *x in SHAPES if of == shape)))
+        made = (F if made is None else made).when(F.col("shape") == shape, cells)
+    return lines.select(F.col("t").alias("table_id"), F.explode(made).alias("c")).select("table_id", "c.*")
 
 
 @query("J03_row_kinds", f"""WITH {RULES} SELECT n.t AS table_id, n.row, CASE WHEN d.again THEN 'repeated' WHEN q.row IS NOT NULL THEN 'qualifier' ELSE n.shown END AS kind, CASE WHEN n.kind = 'data' THEN n.section WHEN n.kind = 'sub_section' THEN split_part(n.section, ' > ', 2) END AS section,
     CASE WHEN n.kind IN ('data', 'header') THEN NULL ELSE ltrim(n.text, '¹ ') END AS text, CASE WHEN n.text LIKE '¹%' THEN '1' END AS marker FROM named n LEFT JOIN d ON d.t = n.t AND d.row = n.row LEFT JOIN quals q ON q.t = n.t AND q.row = n.row""")
 def _(t):
-    out = T.structure_tables(shaped_cells(t)).where("row >= 0")
+    out = T.structure_tables(shaped_cells(t), columns=("row", "kind", "section", "text", "marker")).where("row >= 0")
     # a sub-section's own section is the one it stands in
     return out.select("table_id", "row", "kind", F.when(F.col("kind") == "sub_section", F.coalesce("section", F.lit(""))).otherwise(F.col("section")).alias("section"), "text", "marker")
 
@@ -77,7 +92,7 @@ def _(t):
     qn AS (SELECT v.t, v.row, v.col, regexp_replace(g.text, '^\\d+(\\.\\d+)*\\.?\\s+', '') || ': ' || v.name AS name FROM v JOIN quals USING (t, row) JOIN grid g ON g.t = v.t AND g.row = v.row AND g.col = 0)
     SELECT v.t AS table_id, v.row, v.col, v.text, coalesce(array_to_string(list_concat(h.path, CASE WHEN qn.name IS NULL THEN [] ELSE [qn.name] END), ' / '), '') AS path FROM v JOIN inforce f USING (t, row) LEFT JOIN heads h ON h.t = v.t AND h.col = v.col LEFT JOIN qn ON qn.t = v.t AND qn.row = f.qr AND qn.col = v.col""")
 def _(t):
-    rows = T.structure_tables(shaped_cells(t)).where("kind in ('data', 'qualifier')")
+    rows = T.structure_tables(shaped_cells(t), columns=("row", "kind", "labels", "cells")).where("kind in ('data', 'qualifier')")
     values = rows.select("table_id", "row", "labels", F.explode("cells").alias("c")).select("table_id", "row", "labels", "c.*")
     # label columns have no path of their own
     return values.where(~F.array_contains("labels", F.col("text")) | (F.col("col") > 1) | (F.size("path") > 0)).select("table_id", "row", F.col("col").cast("long").alias("col"), "text", F.array_join("path", " / ").alias("path"))
@@ -85,17 +100,17 @@ def _(t):
 
 @query("F04_table_sections", f"WITH {RULES} SELECT t AS table_id, section, count(*) AS rows FROM d WHERE NOT again GROUP BY ALL")
 def _(t):
-    return T.structure_tables(shaped_cells(t)).where("kind in ('data', 'qualifier')").groupBy("table_id", "section").agg(F.count("*").alias("rows"))
+    return T.structure_tables(shaped_cells(t), columns=("kind", "section")).where("kind in ('data', 'qualifier')").groupBy("table_id", "section").agg(F.count("*").alias("rows"))
 
 
 @query("J06_completed_rows", f"WITH {RULES} SELECT d.t AS table_id, d.row, d.above AS completes FROM d JOIN l ON l.t = d.t AND l.shape = 5 AND d.row = 2 * l.i + 1 WHERE d.pa IS NULL AND d.anchor IS NOT NULL AND regexp_matches(split_part(d.sig, chr(31), 2), '[0-9]')")
 def _(t):
-    return T.structure_tables(shaped_cells(t)).where("continues is not null").select("table_id", "row", F.col("continues").alias("completes"))
+    return T.structure_tables(shaped_cells(t), columns=("row", "continues")).where("continues is not null").select("table_id", "row", F.col("continues").alias("completes"))
 
 
 @query("J08_invented_headers", f"WITH {RULES} SELECT f.t AS table_id, CASE WHEN width >= 3 AND spans THEN 'Section | Item' || CASE WHEN width = 3 THEN ' | Terms' ELSE '' END ELSE 'Column 1 | Column 2' END AS headers FROM facts f WHERE NOT EXISTS (SELECT 1 FROM named n WHERE n.t = f.t AND n.kind = 'header')")
 def _(t):
-    return T.structure_tables(shaped_cells(t)).where("kind = 'invented_header'").select("table_id", F.col("text").alias("headers"))
+    return T.structure_tables(shaped_cells(t), columns=("kind", "text")).where("kind = 'invented_header'").select("table_id", F.col("text").alias("headers"))
 
 
 @query("J22_structured_records", f"""WITH {RULES}, inforce AS (SELECT d.t, d.row, max(q.row) AS qr FROM d LEFT JOIN quals q ON q.t = d.t AND q.row < d.row GROUP BY ALL),
@@ -104,7 +119,7 @@ def _(t):
     lbl AS (SELECT d.t, d.row, string_agg(g.text, ' > ' ORDER BY g.col) AS label FROM d JOIN grid g ON g.t = d.t AND g.row = d.row AND NOT g.spread JOIN stubs st ON st.t = d.t WHERE NOT again AND g.col < stub GROUP BY ALL)
     SELECT d.t AS table_id, d.row, concat_ws(' :: ', nullif(d.section, ''), lbl.label, shown.line) AS record FROM d JOIN lbl ON lbl.t = d.t AND lbl.row = d.row LEFT JOIN shown ON shown.t = d.t AND shown.row = d.row WHERE NOT again""")
 def _(t):
-    return T.row_records(T.structure_tables(shaped_cells(t))).select("table_id", "row", "record")
+    return T.row_records(T.structure_tables(shaped_cells(t), columns=("row", "kind", "section", "labels", "cells", "marker", "text"))).select("table_id", "row", "record")
 
 
 #: a text table for each order: a header row that names columns, one without digits that qualifies them, and a row for each line
@@ -116,12 +131,13 @@ def _(t):
 def _(t):
     w = Window.partitionBy("l_orderkey").orderBy("l_returnflag", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     number = lambda c: F.col(c).cast("long").cast("string")
-    i = F.row_number().over(w)
-    lines = t.lineitem.select(F.col("l_orderkey").alias("table_id"), (1 + i).cast("long").alias("row"), F.lit(False).alias("header"), F.array("l_returnflag", F.concat(F.lit("L"), i.cast("string")), number("l_quantity"), F.round(F.col("l_tax") * 100).cast("long").cast("string")).alias("texts"))
-    orders = t.lineitem.select(F.col("l_orderkey").alias("table_id")).distinct()
-    fixed = lambda row, header, *texts: orders.select("table_id", F.lit(row).cast("long").alias("row"), F.lit(header).alias("header"), F.array(*map(F.lit, texts)).alias("texts"))
-    rows = lines.unionByName(fixed(0, True, "Item", "Item", "Sum", "Tax")).unionByName(fixed(1, False, "All", "Kind", "whole", "rate"))
-    out = T.structure_tables(T.text_cells(rows)).where("kind in ('data', 'qualifier')")
+    made = lambda row, header, *texts: F.struct(row.cast("long").alias("row"), F.lit(header).alias("header"), F.array(*texts).alias("texts"))
+    fixed = lambda row, header, *texts: F.when(F.col("i") == 1, made(F.lit(row), header, *map(F.lit, texts)))
+    line = made(1 + F.col("i"), False, F.col("l_returnflag"), F.concat(F.lit("L"), F.col("i").cast("string")), number("l_quantity"), F.round(F.col("l_tax") * 100).cast("long").cast("string"))
+    lines = dealt_lines(t, "l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax").withColumn("i", F.row_number().over(w))
+    of_order = F.array_compact(F.array(fixed(0, True, "Item", "Item", "Sum", "Tax"), fixed(1, False, "All", "Kind", "whole", "rate"), line))
+    rows = lines.select(F.col("l_orderkey").alias("table_id"), F.explode(of_order).alias("r")).select("table_id", "r.*")
+    out = T.structure_tables(T.text_cells(rows), columns=("row", "kind", "labels", "cells")).where("kind in ('data', 'qualifier')")
     value = lambda k: F.element_at("cells", k)
     return out.select("table_id", "row", "kind", F.array_join("labels", " > ").alias("labels"), F.array_join(value(3)["path"], " / ").alias("first_path"), value(3)["text"].alias("first"), F.array_join(value(4)["path"], " / ").alias("second_path"), value(4)["text"].alias("second"))
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from factlake.operators import tables as tables_of_rows
 from factlake.operators.tables import Cell, Machine, is_label, row_records, split_note, structure_tables, text_cells
 from factlake.sources.pages import parse_cells
 
@@ -82,3 +83,49 @@ def test_records_cite_their_notes(spark):
     page = "<table><tr><th>Item</th><th>Value</th></tr><tr><td>Rate</td><td>12%¹</td></tr><tr><td>Fee</td><td>1%</td></tr><tr><td colspan='2'>¹ Fixed for a year</td></tr></table>"
     df = spark.createDataFrame([(1, "http://h/", page)], "page_id long, url string, html string")
     assert [r["record"] for r in row_records(structure_tables(parse_cells(df))).orderBy("row").collect()] == ["Rate :: Value: 12%¹ [Fixed for a year]", "Fee :: Value: 1%"]
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_cells_that_lie_together_by_table_move_no_more(spark):
+    cells = spark.range(20).selectExpr("id % 5 as table_id", "id as row", "0 as col", "1 as rowspan", "1 as colspan", "false as is_header", "false as bold", "'1' as text")
+    assert shuffles(structure_tables(cells)) == 1
+    assert shuffles(structure_tables(cells.repartition(3, "table_id"))) == 1
+
+
+def test_text_tables_move_once(spark):
+    rows = spark.createDataFrame([(1, 0, True, ["Item", "AMD"]), (1, 1, False, ["Loan", "1"])], "table_id long, row long, header boolean, texts array<string>")
+    assert shuffles(structure_tables(text_cells(rows))) == 1
+
+
+def test_records_read_their_tables_once(spark):
+    cells = spark.range(20).selectExpr("id % 5 as table_id", "id as row", "0 as col", "1 as rowspan", "1 as colspan", "false as is_header", "false as bold", "'1' as text")
+    assert row_records(structure_tables(cells))._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_named_columns_only(spark):
+    df = spark.createDataFrame([(1, "http://h/", f"<table>{SECTIONS}</table>")], "page_id long, url string, html string")
+    some = structure_tables(parse_cells(df), columns=("kind", "row"))
+    assert some.columns == ["table_id", "kind", "row"]
+    assert sorted(map(tuple, some.select("row", "kind").collect())) == sorted(map(tuple, structure_tables(parse_cells(df)).select("row", "kind").collect()))
+
+
+def test_rows_of_one_layout_share_a_plan_and_plans_stay_few():
+    for width in range(2, 400):
+        machine = Machine(width, False, False)
+        for k in range(3):
+            machine.read(k, [Cell(k, c, 1, 1, False, False, f"{k}{c}") for c in range(width)])
+        assert len(machine.end()) == 4
+    assert sum(at[0] + len(at[2]) for at in tables_of_rows._PLANS) <= tables_of_rows._MOST_KEPT
+
+
+def test_a_row_of_more_cells_than_a_batch(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        cells = spark.range(40).selectExpr("id div 20 as table_id", "id div 10 % 2 as row", "id % 10 as col", "1 as rowspan", "1 as colspan", "false as is_header", "false as bold", "string(id) as text")
+        out = structure_tables(cells).where("row >= 0").orderBy("table_id", "row").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r["table_id"], r["row"], [c["text"] for c in r["cells"]]) for r in out] == [(t, k, [str(20 * t + 10 * k + c) for c in range(10)]) for t in range(2) for k in range(2)]
