@@ -92,7 +92,7 @@ def _(t):
     qn AS (SELECT v.t, v.row, v.col, regexp_replace(g.text, '^\\d+(\\.\\d+)*\\.?\\s+', '') || ': ' || v.name AS name FROM v JOIN quals USING (t, row) JOIN grid g ON g.t = v.t AND g.row = v.row AND g.col = 0)
     SELECT v.t AS table_id, v.row, v.col, v.text, coalesce(array_to_string(list_concat(h.path, CASE WHEN qn.name IS NULL THEN [] ELSE [qn.name] END), ' / '), '') AS path FROM v JOIN inforce f USING (t, row) LEFT JOIN heads h ON h.t = v.t AND h.col = v.col LEFT JOIN qn ON qn.t = v.t AND qn.row = f.qr AND qn.col = v.col""")
 def _(t):
-    rows = T.structure_tables(shaped_cells(t), columns=("row", "kind", "labels", "cells")).where("kind in ('data', 'qualifier')")
+    rows = T.structure_tables(shaped_cells(t), columns=("row", "labels", "cells"), kinds=("data", "qualifier"))
     values = rows.select("table_id", "row", "labels", F.explode("cells").alias("c")).select("table_id", "row", "labels", "c.*")
     # label columns have no path of their own
     return values.where(~F.array_contains("labels", F.col("text")) | (F.col("col") > 1) | (F.size("path") > 0)).select("table_id", "row", F.col("col").cast("long").alias("col"), "text", F.array_join("path", " / ").alias("path"))
@@ -100,17 +100,17 @@ def _(t):
 
 @query("F04_table_sections", f"WITH {RULES} SELECT t AS table_id, section, count(*) AS rows FROM d WHERE NOT again GROUP BY ALL")
 def _(t):
-    return T.structure_tables(shaped_cells(t), columns=("kind", "section")).where("kind in ('data', 'qualifier')").groupBy("table_id", "section").agg(F.count("*").alias("rows"))
+    return T.structure_tables(shaped_cells(t), columns=("section",), kinds=("data", "qualifier")).groupBy("table_id", "section").agg(F.count("*").alias("rows"))
 
 
 @query("J06_completed_rows", f"WITH {RULES} SELECT d.t AS table_id, d.row, d.above AS completes FROM d JOIN l ON l.t = d.t AND l.shape = 5 AND d.row = 2 * l.i + 1 WHERE d.pa IS NULL AND d.anchor IS NOT NULL AND regexp_matches(split_part(d.sig, chr(31), 2), '[0-9]')")
 def _(t):
-    return T.structure_tables(shaped_cells(t), columns=("row", "continues")).where("continues is not null").select("table_id", "row", F.col("continues").alias("completes"))
+    return T.structure_tables(shaped_cells(t), columns=("row", "continues"), kinds=("data", "qualifier")).where("continues is not null").select("table_id", "row", F.col("continues").alias("completes"))
 
 
 @query("J08_invented_headers", f"WITH {RULES} SELECT f.t AS table_id, CASE WHEN width >= 3 AND spans THEN 'Section | Item' || CASE WHEN width = 3 THEN ' | Terms' ELSE '' END ELSE 'Column 1 | Column 2' END AS headers FROM facts f WHERE NOT EXISTS (SELECT 1 FROM named n WHERE n.t = f.t AND n.kind = 'header')")
 def _(t):
-    return T.structure_tables(shaped_cells(t), columns=("kind", "text")).where("kind = 'invented_header'").select("table_id", F.col("text").alias("headers"))
+    return T.structure_tables(shaped_cells(t), columns=("text",), kinds=("invented_header",)).select("table_id", F.col("text").alias("headers"))
 
 
 @query("J22_structured_records", f"""WITH {RULES}, inforce AS (SELECT d.t, d.row, max(q.row) AS qr FROM d LEFT JOIN quals q ON q.t = d.t AND q.row < d.row GROUP BY ALL),
@@ -119,7 +119,7 @@ def _(t):
     lbl AS (SELECT d.t, d.row, string_agg(g.text, ' > ' ORDER BY g.col) AS label FROM d JOIN grid g ON g.t = d.t AND g.row = d.row AND NOT g.spread JOIN stubs st ON st.t = d.t WHERE NOT again AND g.col < stub GROUP BY ALL)
     SELECT d.t AS table_id, d.row, concat_ws(' :: ', nullif(d.section, ''), lbl.label, shown.line) AS record FROM d JOIN lbl ON lbl.t = d.t AND lbl.row = d.row LEFT JOIN shown ON shown.t = d.t AND shown.row = d.row WHERE NOT again""")
 def _(t):
-    return T.row_records(T.structure_tables(shaped_cells(t), columns=("row", "kind", "section", "labels", "cells", "marker", "text"))).select("table_id", "row", "record")
+    return T.row_records(T.structure_tables(shaped_cells(t), columns=("row", "kind", "section", "labels", "cells", "marker", "text"), kinds=("data", "qualifier", "note"))).select("table_id", "row", "record")
 
 
 #: a text table for each order: a header row that names columns, one without digits that qualifies them, and a row for each line
@@ -137,7 +137,7 @@ def _(t):
     lines = dealt_lines(t, "l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax").withColumn("i", F.row_number().over(w))
     of_order = F.array_compact(F.array(fixed(0, True, "Item", "Item", "Sum", "Tax"), fixed(1, False, "All", "Kind", "whole", "rate"), line))
     rows = lines.select(F.col("l_orderkey").alias("table_id"), F.explode(of_order).alias("r")).select("table_id", "r.*")
-    out = T.structure_tables(T.text_cells(rows), columns=("row", "kind", "labels", "cells")).where("kind in ('data', 'qualifier')")
+    out = T.structure_tables(T.text_cells(rows), columns=("row", "kind", "labels", "cells"), kinds=("data", "qualifier"))
     value = lambda k: F.element_at("cells", k)
     return out.select("table_id", "row", "kind", F.array_join("labels", " > ").alias("labels"), F.array_join(value(3)["path"], " / ").alias("first_path"), value(3)["text"].alias("first"), F.array_join(value(4)["path"], " / ").alias("second_path"), value(4)["text"].alias("second"))
 

@@ -129,3 +129,12 @@ def test_a_row_of_more_cells_than_a_batch(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert [(r["table_id"], r["row"], [c["text"] for c in r["cells"]]) for r in out] == [(t, k, [str(20 * t + 10 * k + c) for c in range(10)]) for t in range(2) for k in range(2)]
+
+
+def test_named_kinds_only_and_paths_under_shared_names(spark):
+    df = spark.createDataFrame([(k, "http://h/", f"<table>{QUALIFIED if k % 2 else STACKED}</table>") for k in range(4)], "page_id long, url string, html string")
+    whole = structure_tables(parse_cells(df))
+    some = structure_tables(parse_cells(df), columns=("row", "cells"), kinds=("data", "qualifier"))
+    show = lambda out: sorted(repr((r["row"], r["cells"])) for r in out.collect())
+    assert show(some) == show(whole.where("kind in ('data', 'qualifier')"))
+    assert structure_tables(parse_cells(df), columns=("text",), kinds=("note",)).collect() == []
