@@ -138,3 +138,10 @@ def test_named_kinds_only_and_paths_under_shared_names(spark):
     show = lambda out: sorted(repr((r["row"], r["cells"])) for r in out.collect())
     assert show(some) == show(whole.where("kind in ('data', 'qualifier')"))
     assert structure_tables(parse_cells(df), columns=("text",), kinds=("note",)).collect() == []
+
+
+def test_orders_are_dealt_over_tasks_however_small_their_file(spark):
+    from factlake import queries as library
+
+    library.load()
+    assert library.QUERIES["F05_rowspan_carry"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
