@@ -52,6 +52,19 @@ def test_word_scores_read_the_first_forty_documents_only(spark, agree):
     assert len(agree("E22_word_scores", benchmark=numbered(spark, 45, "item_id", words()), documents=numbered(spark, 45, "doc_id", words()))) == 45
 
 
+def test_word_scores_read_every_document(spark, agree):
+    # documents 40 to 59 count too, items 0 to 44 only have their words met
+    text = F.when(F.col("id") != 50, words()).alias("text")
+    found = agree("E22_word_scores", benchmark=numbered(spark, 45, "item_id", words()), documents=numbered(spark, 60, "doc_id", text))
+    assert found == sorted([repr([k, 1.0, 1.0, 1.0]) for k in range(45)] + [repr([k, 0.0, None, 0.0]) for k in range(45, 60) if k != 50])
+
+
+def test_word_scores_of_rows_without_a_key_and_of_repeated_keys(spark, agree):
+    key = lambda name: F.when(F.col("id") % 10 < 8, F.col("id") % 7).alias(name)
+    table = lambda name, n: spark.range(n).select(key(name), F.concat(F.lit("a b "), F.when(F.col("id") % 3 == 0, "b c").otherwise("a x")).alias("text"))
+    agree("E22_word_scores", benchmark=table("item_id", 50), documents=table("doc_id", 90))
+
+
 def test_quotes_of_items_without_documents_have_no_row(spark, agree):
     missing = F.when(F.col("id") != 3, words()).alias("text")
     assert len(agree("D15_contained_quotes", benchmark=numbered(spark, 45, "item_id", words()), documents=numbered(spark, 60, "doc_id", missing))) == 60
