@@ -1,7 +1,7 @@
 """Operator 6: embedding near-dedup with navigable small-world graphs per shard.
 
 Equal vectors are one representative. Representatives are dealt to shards, each shard builds its
-graph in one task, and blocks of queries go to every shard. Beams widen for queries whose beam is
+graph in one task, and queries go to every shard, where they stream past the graph in blocks. Beams widen for queries whose beam is
 full of links, and for the whole block until an audit against the shard's vectors passes, on queries' links, themselves
 left out, and on planted vectors just above the threshold. Found
 pairs are verified by cosine in double precision; components are the union of links.
@@ -10,19 +10,22 @@ pairs are verified by cosine in double precision; components are the union of li
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.llm.graph import components
-from factlake.llm.hnsw import Graph
-from factlake.llm.tables import Scratch
+from factlake.llm.hnsw import LINKS, Graph
+from factlake.llm.tables import Scratch, map_rows
 
 THRESHOLD = 0.9
 #: vectors of a shard (one graph in one task) and queries of a block
 SHARD, LEAST_SHARDS, BLOCK = 25_000, 4, 8_192
+#: queries that stream past one copy of a graph at most, and copies to make at least while there are blocks for them
+LOT, LEAST_TASKS = 32 * BLOCK, 64
 BEAM = 24
 #: queries of a block that are audited, and the mean recall asked of those with links; the same for planted ones
 AUDIT, RECALL = 256, 0.99
@@ -30,39 +33,88 @@ PLANTED, PLANTED_RECALL = 64, 0.95
 _MARGIN = 1e-4  # single precision of the search
 
 
-def _stack(column) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in column])
+def _vectors(part: pa.RecordBatch | pa.Table, dim: int) -> np.ndarray:
+    """The embeddings, a row each, in the precision they came in."""
+    column = part.column("embedding")
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _build(key, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("vec_id")
-    x = _stack(rows["embedding"])
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    graph = Graph.build(unit)
-    links = np.stack([np.pad(a, ((0, 0), (0, graph.links[-1].shape[1] - a.shape[1])), constant_values=-1) for a in graph.links])
-    return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "n": [len(x)], "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "copies": [rows["copies"].to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()], "links": [links.astype(np.int32).tobytes()]})
+def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors in single precision, and lengths."""
+    wide = x.astype(np.float64)
+    length = np.linalg.norm(wide, axis=1)
+    wide /= length[:, None]
+    return wide.astype(np.float32), length
 
 
-def _restore(row) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
-    n = int(row["n"])
-    x = np.frombuffer(row["vectors"], np.float64).reshape(n, -1)
-    graph = Graph(x / np.linalg.norm(x, axis=1, keepdims=True))
-    links = np.frombuffer(row["links"], np.int32).reshape(len(graph.sizes), n, -1)
-    graph.links = list(links)
-    return graph, x, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["copies"], np.int64)
+def _build(key: tuple, rows: pa.Table) -> pa.Table:
+    """The nodes of a shard's graph, each with its links in the lowest layer, then those in the layers above that hold it."""
+    rows = rows.select(["dim", "shard", "vec_id", "copies", "embedding"]).sort_by("vec_id")
+    graph = Graph.build(_unit(_vectors(rows, key[0].as_py()))[0])
+    n = len(graph.x)
+    width = np.full(n, graph.links[-1].shape[1], np.int64)
+    for size in graph.sizes[1:]:
+        width[graph.order[:size]] += LINKS
+    first = np.concatenate(([0], np.cumsum(width)))
+    flat = np.empty(first[-1], np.int32)
+    filled = first[:-1].copy()
+    for size, links in zip(graph.sizes, graph.links[::-1], strict=True):
+        held = np.sort(graph.order[:size])
+        flat[filled[held, None] + np.arange(links.shape[1])] = links[held]
+        filled[held] += links.shape[1]
+    links = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat))
+    return rows.append_column("place", pa.array(np.arange(n, dtype=np.int32))).append_column("links", links)
+
+
+def _restore(parts: list[pa.RecordBatch], dim: int) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The graph of the nodes that ``_build`` gave, in order of place, with their vectors, lengths, ids and copies."""
+    rows = pa.Table.from_batches(parts)
+    x = _vectors(rows, dim)
+    unit, length = _unit(x)
+    graph = Graph(unit)
+    links = rows.column("links").combine_chunks()
+    flat = links.flatten().to_numpy(zero_copy_only=False)
+    at = np.concatenate(([0], np.cumsum(links.value_lengths().to_numpy(zero_copy_only=False))))[:-1].astype(np.int64)
+    for layer, size in enumerate(graph.sizes):
+        degree = LINKS * (2 if layer == 0 else 1)
+        held = graph.order[:size]
+        layer_links = np.full((len(x), degree), -1, np.int32)
+        layer_links[held] = flat[at[held, None] + np.arange(degree)]
+        at[held] += degree
+        graph.links.insert(0, layer_links)
+    return graph, x, length, rows.column("vec_id").to_numpy(), rows.column("copies").to_numpy()
+
+
+def each_links(graph: Graph, q: np.ndarray, threshold: float, beam: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, nodes whose similarity to it reaches the threshold, similarities) of unit queries.
+
+    The beam doubles where it is full of them; past an eighth of the graph all nodes are compared.
+    Few queries are held at a time, however many links they have.
+    """
+    n = len(graph.x)
+    for first in range(0, len(q), 512):
+        todo = np.arange(first, min(first + 512, len(q)))
+        wide = beam
+        while len(todo) and 8 * wide < n:
+            ids, sims = graph.search(q[todo], wide)
+            near = (sims >= threshold - _MARGIN) & (ids >= 0)
+            full = near[:, -1]
+            for k in np.flatnonzero(~full):
+                yield int(todo[k]), ids[k][near[k]], sims[k][near[k]]
+            todo, wide = todo[full], wide * 2
+        for k in range(0, len(todo), 128):
+            some = todo[k : k + 128]
+            for j, sims in zip(some.tolist(), q[some] @ graph.x.T, strict=True):
+                near = np.flatnonzero(sims >= threshold - _MARGIN)
+                yield j, near, sims[near]
 
 
 def found_links(graph: Graph, q: np.ndarray, threshold: float, beam: int) -> list[np.ndarray]:
-    """Nodes whose similarity to each unit query reaches the threshold; the beam doubles where it is full of them."""
+    """Nodes whose similarity to each unit query reaches the threshold."""
     out: list[np.ndarray] = [np.empty(0, np.int64)] * len(q)
-    todo = np.arange(len(q))
-    while len(todo):
-        ids, sims = graph.search(q[todo], min(beam, len(graph.x)))
-        near = (sims >= threshold - _MARGIN) & (ids >= 0)
-        full = near[:, -1] & (beam < len(graph.x))
-        for k in np.flatnonzero(~full):
-            out[todo[k]] = ids[k][near[k]]
-        todo, beam = todo[full], beam * 2
+    for k, near, _ in each_links(graph, q, threshold, beam):
+        out[k] = near
     return out
 
 
@@ -94,44 +146,87 @@ def _audited_beam(graph: Graph, unit: np.ndarray, own: np.ndarray, ids: np.ndarr
     return beam
 
 
-def _search(threshold: float):
-    def run(key, shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"vec_id": np.empty(0, np.int64), "other": np.empty(0, np.int64), "links": np.empty(0, np.int64)})
-        if not len(shard) or not len(queries):
-            return none
-        graph, x, ids, copies = _restore(shard.iloc[0])
-        queries = queries.sort_values("vec_id")
-        own = queries["vec_id"].to_numpy(np.int64)
-        y = _stack(queries["embedding"])
-        length = np.linalg.norm(y, axis=1)
-        unit = (y / length[:, None]).astype(np.float32)
-        beam = _audited_beam(graph, unit, own, ids, threshold)
-        norms = np.linalg.norm(x, axis=1)
-        counts = np.zeros(len(own), np.int64)
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+    """(dim, whether they are nodes, rows): rows of one kind that come together."""
+    for batch in batches:
+        dim, node = batch.column("dim").to_numpy(zero_copy_only=False), batch.column("place").is_valid().to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((dim[1:] != dim[:-1]) | (node[1:] != node[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(dim)], strict=True):
+            if b > a:
+                yield int(dim[a]), bool(node[a]), batch.slice(a, b - a)
+
+
+class _Shard:
+    """A shard's graph in a task, and what is known to hang together in it."""
+
+    def __init__(self, parts: list[pa.RecordBatch], dim: int, threshold: float) -> None:
+        self.graph, self.x, self.length, self.ids, self.copies = _restore(parts, dim)
+        self.dim, self.threshold = dim, threshold
         # of the links found only a forest is passed on to the components
-        parent: dict[int, int] = {}
+        self.parent = np.arange(len(self.x))
 
-        def root(i: int) -> int:
-            while (p := parent.setdefault(i, i)) != i:
-                parent[i] = parent[p]
-                i = p
-            return i
+    def _joined(self, near: np.ndarray) -> np.ndarray:
+        """One of the nodes for each tree they are in; from now on they are in one."""
+        roots = self.parent[near]
+        while ((up := self.parent[roots]) != roots).any():
+            roots = up
+        trees, first = np.unique(roots, return_index=True)
+        self.parent[trees] = self.parent[near] = trees[0]
+        return near[first]
 
+    def answer(self, queries: pa.Table) -> pa.RecordBatch:
+        """(vec_id, other, links): the forest's links with 0, and for each query that has links their number beside its own id."""
+        threshold = self.threshold
+        own, y = queries.column("vec_id").to_numpy(), _vectors(queries, self.dim)
+        unit, length = _unit(y)
+        beam = _audited_beam(self.graph, unit, own, self.ids, threshold)
+        counts = np.zeros(len(own), np.int64)
         a, b = [], []
-        for k, near in enumerate(found_links(graph, unit, threshold, beam)):
-            near = near[ids[near] != own[k]]
-            near = near[(x[near] @ y[k]) / (norms[near] * length[k]) >= threshold]
-            counts[k] = copies[near].sum()
-            for other in ids[near].tolist():
-                r, s = root(int(own[k])), root(other)
-                if r != s:
-                    parent[max(r, s)] = min(r, s)
-                    a.append(int(own[k]))
-                    b.append(other)
+        for k, near, sims in each_links(self.graph, unit, threshold, beam):
+            if not len(near):
+                continue
+            # only what single precision leaves open is measured again
+            sure = sims >= threshold + _MARGIN
+            if not sure.all():
+                open_ = near[~sure]
+                sure[~sure] = (self.x[open_].astype(np.float64) @ y[k].astype(np.float64)) / (self.length[open_] * length[k]) >= threshold
+            near = near[sure & (self.ids[near] != own[k])]
+            if len(near):
+                counts[k] = self.copies[near].sum()
+                others = self.ids[self._joined(near)]
+                a.append(np.full(len(others), own[k]))
+                b.append(others)
         linked = np.flatnonzero(counts)
-        forest = pd.DataFrame({"vec_id": np.array(a, np.int64), "other": np.array(b, np.int64), "links": np.zeros(len(a), np.int64)})
-        totals = pd.DataFrame({"vec_id": own[linked], "other": own[linked], "links": counts[linked]})
-        return pd.concat((none, forest, totals), ignore_index=True)
+        a, b = (np.concatenate([*x, own[linked]]) for x in (a, b))
+        links = np.concatenate((np.zeros(len(a) - len(linked), np.int64), counts[linked]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(links)], ["vec_id", "other", "links"])
+
+
+def _search(threshold: float):
+    """Of rows in order of dim, a shard's nodes and then the queries to it: the graph stays, the queries stream past it in blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, shard, waiting, held = None, [], None, [], 0
+        for dim, node, part in _runs(batches):
+            if dim != at:
+                if shard and held:
+                    yield shard.answer(pa.Table.from_batches(waiting))
+                at, nodes, shard, waiting, held = dim, [], None, [], 0
+            if node:
+                nodes.append(part)
+                continue
+            if nodes:
+                shard, nodes = _Shard(nodes, dim, threshold), []
+            if not shard:
+                continue
+            waiting.append(part.select(["vec_id", "embedding"]))
+            held += part.num_rows
+            while held >= BLOCK:
+                block = pa.Table.from_batches(waiting)
+                yield shard.answer(block.slice(0, BLOCK))
+                waiting, held = block.slice(BLOCK).to_batches(), held - BLOCK
+        if shard and held:
+            yield shard.answer(pa.Table.from_batches(waiting))
 
     return run
 
@@ -146,22 +241,27 @@ def near_duplicate_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD,
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embedding")
-    source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector"), F.col(vector_col).cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = F.coalesce(F.col("vec_id").isNotNull() & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
     source = source.withColumn("key", F.when(usable, F.sha2(F.array_join(F.transform("embedding", lambda v: (v + F.lit(0.0)).cast("string")), ","), 256)))
-    reps = source.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+    reps = source.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("vector").alias("embedding"))
     reps = scratch.save(reps, "representatives")
     total = reps.count()
     shards, blocks = max(LEAST_SHARDS, math.ceil(total / SHARD)), max(1, math.ceil(total / BLOCK))
-    dealt = reps.withColumns({"dim": F.size("embedding"), "shard": F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"), "block": F.pmod(F.xxhash64("key", F.lit(1)), F.lit(blocks)).cast("int")})
-    graphs = dealt.select("dim", "shard", "vec_id", "copies", "embedding").groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, n int, ids binary, copies binary, vectors binary, links binary")
+    # a graph has few copies, so that all of them grow in proportion to the vectors that pass them
+    lots = max(math.ceil(total / LOT), min(blocks, math.ceil(LEAST_TASKS / shards)))
+    dealt = reps.withColumns({"dim": F.size("embedding"), "shard": F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"), "lot": F.pmod(F.xxhash64("key", F.lit(1)), F.lit(lots)).cast("int")}).drop("key")
+    columns = f"dim int, shard int, vec_id long, copies long, embedding {kind}, place int, links array<int>"
+    graphs = dealt.drop("lot").groupBy("dim", "shard").applyInArrow(_build, columns)
     graphs = scratch.save(graphs, "graphs")
-    everywhere = dealt.select("dim", "block", "vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    per_block = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ["dim", "shard", "block"]
-    found = per_block.groupBy(*keys).cogroup(everywhere.groupBy(*keys)).applyInPandas(_search(threshold), "vec_id long, other long, links long")
-    found = scratch.save(found, "found")
+    task = (F.col("shard") * lots + F.col("lot")).cast("int").alias("task")
+    fields = ("dim", "place", "vec_id", "copies", "embedding", "links")
+    nodes = graphs.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))).select(task, *fields)
+    asked = dealt.drop("shard").withColumns({"shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1))), "place": F.lit(None).cast("int"), "links": F.lit(None).cast("array<int>")}).select(task, *fields)
+    beside = nodes.unionByName(asked).repartitionById(shards * lots, "task").drop("task").sortWithinPartitions("dim", F.asc_nulls_last("place"), "vec_id")
+    found = scratch.save(map_rows(beside, _search(threshold), "vec_id long, other long, links long"), "found")
 
     joined = components(found.where("vec_id <> other").select(F.col("vec_id").alias("a"), F.col("other").alias("b")), scratch)
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("links"))

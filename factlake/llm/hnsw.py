@@ -6,6 +6,7 @@ import numpy as np
 
 LINKS = 12  # of a node in the upper layers; twice as many in the lowest
 AROUND = 48  # beam while building
+_CELLS = 1 << 20  # numbers of one kind that a step of the build or of a search holds
 
 
 class Graph:
@@ -57,22 +58,28 @@ class Graph:
         targets, sources = chosen[src, col], nodes[src]
         both = np.unique(targets)
         # all links of the targets, old and new, then the diverse nearest of each
-        row = {int(t): k for k, t in enumerate(both)}
-        place = np.array([row[int(t)] for t in targets], np.int64) if len(targets) else np.empty(0, np.int64)
-        order = np.argsort(place, kind="stable")
-        place, sources = place[order], sources[order]
-        rank = np.arange(len(place)) - np.searchsorted(place, place)
-        width = int(rank.max()) + 1 if len(rank) else 0
-        more = np.full((len(both), width), -1, np.int32)
-        more[place, rank] = sources
-        pool = np.concatenate((links[both], more), 1)
-        values = np.where(pool >= 0, self._sims(self.x[both], pool), -2)
-        links[both] = self._diverse(both, pool, values, degree)
+        place = np.searchsorted(both, targets)
+        sources = sources[np.argsort(place, kind="stable")]
+        width = np.bincount(place, minlength=len(both))
+        first = np.cumsum(width) - width
+        # targets of like width together, so that one with very many new links widens no others
+        by = np.argsort(width, kind="stable")
+        done = 0
+        while done < len(by):
+            most = done + max(1, _CELLS // (degree + int(width[by[done]])))
+            part = by[done:most][: max(1, _CELLS // (degree + int(width[by[done:most][-1]])))]
+            done += len(part)
+            cols = np.arange(width[part].max())
+            more = np.where(cols < width[part, None], sources[np.minimum(first[part, None] + cols, len(sources) - 1)], -1).astype(np.int32)
+            pool = np.concatenate((links[both[part]], more), 1)
+            values = np.where(pool >= 0, self._sims(self.x[both[part]], pool), -2)
+            links[both[part]] = self._diverse(both[part], pool, values, degree)
 
     def _sims(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
         out = np.empty(ids.shape, np.float32)
-        for k in range(0, len(q), 512):
-            out[k : k + 512] = np.matmul(self.x[ids[k : k + 512]], q[k : k + 512, :, None])[..., 0]
+        step = max(1, min(512, 4 * _CELLS // max(1, ids.shape[1] * self.x.shape[1])))
+        for k in range(0, len(q), step):
+            out[k : k + step] = np.matmul(self.x[ids[k : k + step]], q[k : k + step, :, None])[..., 0]
         return out
 
     def _diverse(self, nodes: np.ndarray, ids: np.ndarray, sims: np.ndarray, keep: int) -> np.ndarray:
@@ -113,7 +120,8 @@ class Graph:
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(nodes, similarities) of each query, -1 where fewer were reached; similarities fall along a row."""
-        parts = [self._descend(np.ascontiguousarray(q[k : k + 512], np.float32), beam) for k in range(0, len(q), 512)]
+        step = max(1, min(512, _CELLS // (4 * max(1, beam))))
+        parts = [self._descend(np.ascontiguousarray(q[k : k + step], np.float32), beam) for k in range(0, len(q), step)]
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def _beam(self, links: np.ndarray, q: np.ndarray, start: np.ndarray, beam: int, steps: int = 4) -> tuple[np.ndarray, np.ndarray]:

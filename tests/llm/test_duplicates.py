@@ -1,8 +1,11 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from factlake.llm import embedding
 from factlake.llm.decontaminate import decontaminate
 from factlake.llm.embedding import near_duplicate_vectors
 from factlake.llm.graph import components
@@ -159,6 +162,56 @@ def test_near_duplicate_vectors(spark):
     assert near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def _dense(n, group, dim=16):
+    """Vectors of which ``group`` are nearly equal."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(n, dim)).astype(np.float32)
+    x[:group] = x[0] + rng.normal(size=(group, dim)).astype(np.float32) * 0.05
+    return x
+
+
+def test_links_of_a_dense_group_are_not_held_for_all_queries():
+    x = _dense(6000, 5000)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = Graph.build(x)
+    tracemalloc.start()
+    found = sum(len(near) for _, near, _ in embedding.each_links(graph, x[:2000], 0.9, 24))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found >= 0.99 * 2000 * 5000
+    # all links of these queries are 80 MB
+    assert peak < 40e6, peak
+
+
+def test_a_graph_moves_as_nodes_and_is_the_same_again():
+    x = _dense(3000, 500)
+    order = np.random.default_rng(1).permutation(3000)
+    columns = {"dim": [16] * 3000, "shard": [0] * 3000, "vec_id": order.tolist(), "copies": [1] * 3000, "embedding": x[order].tolist()}
+    rows = pa.table(columns, schema=pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("vec_id", pa.int64()), ("copies", pa.int64()), ("embedding", pa.list_(pa.float32()))]))
+    nodes = embedding._build((pa.scalar(16), pa.scalar(0)), rows)
+    assert nodes.num_rows == 3000
+    again = embedding._restore(nodes.to_batches(700), 16)[0]
+    graph = Graph.build(embedding._unit(x)[0])
+    assert np.array_equal(again.x, graph.x) and [a.tolist() for a in again.links] == [b.tolist() for b in graph.links]
+
+
+def test_near_duplicate_vectors_of_a_dense_group_in_many_blocks(spark, monkeypatch):
+    # 7 shards, 2 copies of each graph
+    monkeypatch.setattr(embedding, "SHARD", 300)
+    monkeypatch.setattr(embedding, "BLOCK", 1000)
+    x = _dense(2000, 600)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    place = brute.union([(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True)], list(range(2000)))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r for r in near_duplicate_vectors(df).collect()}
+    assert len(got) == 2000
+    assert all(got[k]["component_id"] == place[k] for k in range(2000))
+    links = near.sum(1) - 1
+    assert all(got[k]["n_links"] <= links[k] for k in range(2000))
+    assert sum(r["n_links"] for r in got.values()) >= 0.99 * links.sum()
+
+
 def test_the_most_frequent_shingles_are_told_apart_at_every_size(spark):
     many = spark.range(40_000).selectExpr("id AS node", "if(id < 20000, 50000L + id % 7, 2 + id % 100) AS c")
     assert most_frequent(many, 50_000).count() == 40_000
