@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 
 def with_total(parents: DataFrame, children: DataFrame, key: str, child_key: str, amount: Column, name: str) -> DataFrame:
@@ -58,12 +65,24 @@ def audit(expected: DataFrame, stored: DataFrame, key: str, digest: str) -> Data
 SUBSET_WORDS = 6
 
 
-def _sets(df: DataFrame, group: str, words: str) -> DataFrame:
-    """(g, s, id, n): each distinct word set of a group with its lowest id; the others of the set can be no one's best."""
-    sets = df.select(F.col(group).alias("g"), "id", F.array_sort(F.array_distinct(F.array_compact(words))).alias("s")).where("g is not null and id is not null and size(s) > 0")
+def _word_sets(df: DataFrame, group: str, words: str) -> DataFrame:
+    """(g, s, id, n): the word set of each row; those without a group, an id or words are still there."""
+    return df.select(F.col(group).alias("g"), F.array_sort(F.array_distinct(F.array_compact(words))).alias("s"), "id").withColumn("n", F.size("s"))
+
+
+_WHOLE = "g is not null and id is not null and n > 0"
+
+
+def _lowest(sets: DataFrame) -> DataFrame:
+    """Each distinct set of a group with its lowest id; the others of the set can be no one's best."""
     return sets.groupBy("g", "s").agg(F.min("id").alias("id")).withColumn("n", F.size("s"))
 
 
+def _sets(df: DataFrame, group: str, words: str) -> DataFrame:
+    """(g, s, id, n): each distinct word set of a group with its lowest id."""
+    return _lowest(_word_sets(df, group, words).where(_WHOLE))
+
+
 def _parts(sets: DataFrame) -> DataFrame:
     """(g, id, n, part): every subset of each small set."""
     masks = F.explode(F.expr("sequence(1, int(power(2, n)) - 1)"))
@@ -82,40 +101,188 @@ def _best_parts(mine: DataFrame, theirs: DataFrame) -> DataFrame:
     return met.select("g", "id", "other", (F.size("part") / (F.col("n") + F.col("m") - F.size("part"))).alias("score"))
 
 
-#: words of 64 bits in the signature of a set
-_SIGNATURE = 8
+#: words in more sets than this may be ranked by their number; at most so many are, the others come first, by hash
+_SELDOM, _RANKED = 16, 1 << 20
+#: places of words that a bucket holds, buckets to make at least, and pairs that are compared at a time
+_PLACES, _LEAST_BUCKETS, _PAIRS = 3_000_000, 12, 1 << 20
+#: sets whose words are put in order at a time
+_ROWS = 1024
+#: bits of a signature at least
+_BITS = 256
 
 
-def _signature(words: Column) -> Column:
-    """Each word turns one bit over, so two signatures differ in no more bits than their sets in words."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    turned = lambda k: F.aggregate(F.filter(hashes, lambda h: h.bitwiseAND(F.lit(_SIGNATURE - 1)) == k), F.lit(0).cast("long"), lambda b, h: b.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 3), F.lit(64)).cast("int"))))
-    return F.array(*[turned(k) for k in range(_SIGNATURE)])
+def _digest() -> Column:
+    return F.xxhash64("g", "s")
 
 
-def _apart(a: Column, b: Column) -> Column:
-    return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(_SIGNATURE)), F.lit(0))
+def _lists(values: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(first, len(values)).astype(np.int32)), pa.array(values))
+
+
+def _started(ranked, buckets: int, least: float):
+    """Rows (g, id, l, n, digest, h) to one row for each bucket that holds words of the set's prefix, with their places and the set's signature.
+
+    The signature has two bits and more for each word, a power of two in all; each word turns one over.
+    Folded to the same length, two signatures differ in no more bits than their sets in words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, rank_of = ranked.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(k, _ROWS)
+                n = part.column("n").to_numpy().astype(np.int64)
+                h = part.column("h").flatten().to_numpy(zero_copy_only=False)
+                first = np.cumsum(n) - n
+                doc = np.repeat(np.arange(len(n)), n)
+                bits = 1 << np.ceil(np.log2(np.maximum(2 * n, _BITS))).astype(np.int64)
+                start = np.cumsum(bits) - bits
+                turned = np.bincount(start[doc] + (h & (bits[doc] - 1)), minlength=int(bits.sum()))
+                flat = np.packbits((turned & 1).astype(np.uint8), bitorder="little")
+                signature = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.append(start // 8, len(flat)).astype(np.int64)), pa.py_buffer(flat)])
+                rank = np.zeros(len(h), np.int64)
+                if len(listed):
+                    at = np.minimum(np.searchsorted(listed, h), len(listed) - 1)
+                    rank = np.where(listed[at] == h, rank_of[at], 0)
+                # words of a set come in the order of the words, which settles what the key leaves equal
+                order = np.argsort(doc << 50 | rank << 29 | (h.view(np.uint64) >> np.uint64(35)).astype(np.int64), kind="stable")
+                place = np.arange(len(h)) - first[doc] + 1
+                kept = place <= (n - np.ceil(n * least - 1e-9) + 1)[doc]
+                h, place, doc = h[order][kept], place[kept].astype(np.int32), doc[kept]
+                bucket = (h.view(np.uint64) >> np.uint64(20)).astype(np.int64) % 1_000_003 % buckets
+                key = doc * buckets + bucket
+                order = np.argsort(key, kind="stable")
+                key, begun = np.unique(key[order], return_index=True)
+                of = pa.array(key // buckets)
+                columns = [part.column(c).take(of) for c in ("g", "id", "l", "n", "digest")]
+                yield pa.RecordBatch.from_arrays([pa.array((key % buckets).astype(np.int32)), *columns, signature.cast(pa.binary()).take(of), _lists(h[order], begun), _lists(place[order], begun)], ["bucket", "g", "id", "l", "n", "digest", "signature", "h", "p"])
+
+    return run
+
+
+def _may_be_alike(signature: np.ndarray, first: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether the signatures of the sets i and j differ in at most ``most`` bits."""
+    out = np.zeros(len(i), bool)
+    kinds = size[i] << 32 | size[j]
+    for kind in np.unique(kinds).tolist():
+        a, b = kind >> 32, kind & 0xFFFFFFFF
+        some = np.flatnonzero(kinds == kind)
+        step, short = max(1, _PAIRS // max(a, b)), min(a, b)
+        for k in range(0, len(some), step):
+            part = some[k : k + step]
+            fold = lambda of, long: np.bitwise_xor.reduce(signature[first[of][:, None] + np.arange(long)].reshape(len(of), long // short, short), axis=1)  # noqa: E731, B023
+            out[part] = np.bitwise_count(fold(i[part], a) ^ fold(j[part], b)).sum(1) <= most[part]
+    return out
+
+
+def _meet_in_bucket(least: float):
+    """The rows of one bucket to the pairs of their sets that may reach ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks() if (held := list(batches)) else None
+        if rows is None or not rows.num_rows:
+            return
+        del held
+        column = lambda c: rows.column(c).combine_chunks() if rows.column(c).num_chunks != 1 else rows.column(c).chunk(0)
+        left, n, digest = (column(c).to_numpy(zero_copy_only=False) for c in ("l", "n", "digest"))
+        n = n.astype(np.int64)
+        packed = column("signature")
+        ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+        signature = np.frombuffer(packed.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view(np.uint64)
+        size = pc.binary_length(packed).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+        first = np.cumsum(size) - size
+        # of equal sets of a side the lowest id is enough
+        by_id = np.empty(len(n), np.int64)
+        by_id[pc.sort_indices(column("id")).to_numpy()] = np.arange(len(n))
+        order = np.lexsort((by_id, digest, n, left))
+        again = (left[order][1:] == left[order][:-1]) & (n[order][1:] == n[order][:-1]) & (digest[order][1:] == digest[order][:-1])
+        lowest = np.ones(len(n), bool)
+        lowest[order[1:][again]] = False
+
+        count = pc.list_value_length(column("h")).to_numpy(zero_copy_only=False)
+        h, p = (column(c).flatten().to_numpy(zero_copy_only=False) for c in ("h", "p"))
+        doc = np.repeat(np.arange(len(n), dtype=np.int32), count)
+        found = [np.empty(0, np.int64)]
+        for slice_ in range(16):
+            here = np.flatnonzero(((h >> 8) & 15 == slice_) & lowest[doc])
+            mine, theirs = (here[left[doc[here]] == side] for side in (True, False))
+            words, word = np.unique(h[theirs], return_inverse=True)
+            if not len(words) or not len(mine):
+                continue
+            key = word.astype(np.int64) << 32 | n[doc[theirs]]
+            order = np.argsort(key, kind="stable")
+            key, theirs = key[order], theirs[order]
+            at = np.minimum(np.searchsorted(words, h[mine]), len(words) - 1)
+            mine, at = mine[words[at] == h[mine]], at[words[at] == h[mine]]
+            own = n[doc[mine]]
+            lo = np.searchsorted(key, at << 32 | np.ceil(least * own - 1e-9).astype(np.int64))
+            many = np.searchsorted(key, at << 32 | np.floor(own / least + 1e-9).astype(np.int64), side="right") - lo
+            ends = np.cumsum(many)
+            k = 0
+            while k < len(mine):
+                to = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + _PAIRS, side="right")))
+                some = many[k:to]
+                a = np.repeat(mine[k:to], some)
+                b = theirs[np.repeat(lo[k:to] - (np.cumsum(some) - some), some) + np.arange(len(a))]
+                k = to
+                i, j = doc[a], doc[b]
+                ln, rn = n[i], n[j]
+                # words that a pair at ``least`` has in common; all of them stand at or behind the first one on either side
+                common = np.ceil((ln + rn) * (least / (1 + least)) - 1e-9).astype(np.int64)
+                near = (np.minimum(ln - p[a], rn - p[b]) + 1 >= common) & (np.maximum(ln, rn) > SUBSET_WORDS)
+                i, j, apart = i[near], j[near], (ln + rn - 2 * common)[near]
+                near = _may_be_alike(signature, first, size, i, j, apart)
+                found.append(np.unique(i[near].astype(np.int64) << 32 | j[near]))
+            found = [np.unique(np.concatenate(found))]
+        i, j = pa.array(found[0] >> 32), pa.array(found[0] & 0xFFFFFFFF)
+        yield pa.RecordBatch.from_arrays([column(c).take(x) for c, x in (("g", i), ("id", i), ("id", j), ("digest", i), ("digest", j))], ["g", "left_id", "right_id", "left_digest", "right_digest"])
+
+    return run
 
 
 def _meetings(sides: dict[str, DataFrame], least: float) -> DataFrame:
-    """(g, left_id, right_id) of pairs of sets, one of them large, that may reach ``least``."""
-    held = [s.select("g", F.explode("s").alias("w"), F.lit(k == "left").alias("l")) for k, s in sides.items()]
-    often = held[0].unionByName(held[1]).groupBy("g", "w").agg(F.count("*").alias("d"), F.bool_or("l").alias("left"), F.bool_or(~F.col("l")).alias("right"))
-    # a word of one side only starts no pair, but has its place in the order of both
-    place = F.row_number().over(Window.partitionBy("g", "id").orderBy("d", "w"))
-
-    def starts(k: str, other: str, letter: str) -> DataFrame:
-        placed = sides[k].select("g", "id", "n", F.explode("s").alias("w")).join(often.hint("merge"), ["g", "w"]).withColumn("p", place)
-        kept = placed.where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).where(other).join(sides[k].select("g", "id", _signature(F.col("s")).alias("b")), ["g", "id"])
-        return kept.select("g", "w", F.col("id").alias(f"{k}_id"), *[F.col(c).alias(letter + c) for c in "npb"])
-
-    a, b = starts("left", "right", "l"), starts("right", "left", "r")
-    large_a, small_a, large_b = a.where(F.col("ln") > SUBSET_WORDS), a.where(F.col("ln") <= SUBSET_WORDS), b.where(F.col("rn") > SUBSET_WORDS)
-    # words that a pair at ``least`` has in common; all of them stand at or behind the first one on either side
-    common = F.ceil((F.col("ln") + F.col("rn")) * (least / (1 + least)) - 1e-9)
-    near = (F.least("ln", "rn") >= least * F.greatest("ln", "rn") - 1e-9) & (F.least(F.col("ln") - F.col("lp"), F.col("rn") - F.col("rp")) + 1 >= common) & (_apart(F.col("lb"), F.col("rb")) <= F.col("ln") + F.col("rn") - 2 * common)
-    met = large_a.join(b.hint("merge"), ["g", "w"]).where(near).select("g", "left_id", "right_id").unionByName(small_a.join(large_b.hint("merge"), ["g", "w"]).where(near).select("g", "left_id", "right_id"))
-    return met.distinct()
+    """(g, left_id, right_id, left_digest, right_digest) of pairs of sets, one of them large, that may reach ``least``.
+
+    The prefix of a set is found where the set lies: words in many sets come last, by their number,
+    which is broadcast; the others by hash. Any order that all sets share will do; this one makes few
+    meetings. A set moves to each bucket of words that holds some of its prefix, as its signature,
+    the words and their places; a bucket is compared in one task, whatever the number of its pairs.
+    """
+    spark = sides["left"].sparkSession
+    kept = F.col("n") >= least * (SUBSET_WORDS + 1) - 1e-9
+    # a word counts apart in each group
+    every, other = (sides[k].where(kept).select("g", "id", F.lit(k == "left").alias("l"), "n", _digest().alias("digest"), F.transform("s", lambda w: F.xxhash64("g", w)).alias("h")) for k in ("left", "right"))
+    every = every.unionByName(other)
+    types = {f.name: f.dataType for f in every.schema}
+    pair = StructType([StructField("g", types["g"]), StructField("left_id", types["id"]), StructField("right_id", types["id"]), StructField("left_digest", LongType()), StructField("right_digest", LongType())])
+    large, places = every.agg(F.count_if(F.col("n") > SUBSET_WORDS), F.sum(F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)).first()
+    if not large:
+        return spark.createDataFrame([], pair)
+    from factlake.sources.shared import written
+
+    often = written(every.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("d")).where(F.col("d") > _SELDOM), "frequent-words")
+    least_d, total = _SELDOM + 1, 0
+    for d, c in often.groupBy("d").count().orderBy(F.desc("d")).collect():
+        total += c
+        if total > _RANKED:
+            least_d = d + 1
+            break
+    listed = often.where(F.col("d") >= least_d).toArrow()
+    h, d = (listed.column(c).to_numpy() for c in ("h", "d"))
+    rank = np.empty(len(h), np.int64)
+    rank[np.lexsort((h, d))] = np.arange(1, len(h) + 1)
+    order = np.argsort(h)
+    ranked = spark.sparkContext.broadcast((h[order], rank[order]))
+    buckets = max(_LEAST_BUCKETS, math.ceil(places / _PLACES))
+    started = StructType([StructField("bucket", IntegerType()), *(StructField(c, types[c]) for c in ("g", "id", "l", "n", "digest")), StructField("signature", BinaryType()), StructField("h", ArrayType(LongType())), StructField("p", ArrayType(IntegerType()))])
+    rows = every.mapInArrow(_started(ranked, buckets, least), started).repartitionById(buckets, "bucket")
+    return rows.mapInArrow(_meet_in_bucket(least), pair).distinct()
+
+
+def _packed(words: Column) -> Column:
+    """The words of a set as one text, each of them kept apart."""
+    apart = F.transform(words, lambda w: F.replace(F.replace(w, F.lit("\x01"), F.lit("\x01\x01")), F.lit("\x00"), F.lit("\x01\x02")))
+    return F.array_join(F.when(F.array_join(words, " ").rlike("[\x00\x01]"), apart).otherwise(words), "\x00")
 
 
 def mutual_best(left: DataFrame, right: DataFrame, group: str, words: str, least: float = 0.3) -> DataFrame:
@@ -127,21 +294,25 @@ def mutual_best(left: DataFrame, right: DataFrame, group: str, words: str, least
     of the word bound what the sets can have in common, and their signatures what they differ in at
     least: what may still reach ``least`` is compared whole, so few whole sets move. A pair below
     ``least`` is no answer and spoils none, so it need not be found. Null groups, ids and words and
-    sets without words are left out.
+    sets without words are left out. Equal sets are told by a hash of 64 bits, scores by the words.
     """
     from factlake.sources.shared import written
 
-    # the sets are read six times, their texts once
-    sets = written(_sets(left, group, words).withColumn("side", F.lit("left")).unionByName(_sets(right, group, words).withColumn("side", F.lit("right"))), "word-sets", "side")
-    sides = {k: sets.where(F.col("side") == k).drop("side") for k in ("left", "right")}
-    pairs = _meetings(sides, least)
-    whole = pairs.join(sides["left"].select("g", F.col("id").alias("left_id"), F.col("s").alias("ls")), ["g", "left_id"]).join(sides["right"].select("g", F.col("id").alias("right_id"), F.col("s").alias("rs")), ["g", "right_id"])
-    both = F.size(F.array_intersect("ls", "rs"))
-    scored = written(whole.select("g", "left_id", "right_id", (both / (F.size("ls") + F.size("rs") - both)).alias("score")).where(F.col("score") >= least), "word-set-scores")
+    # the sets are read several times, their texts once; a filter on a set before it is written would make it twice
+    sets = written(_word_sets(left, group, words).withColumn("side", F.lit("left")).unionByName(_word_sets(right, group, words).withColumn("side", F.lit("right"))), "word-sets", "side", compression="zstd")
+    sides = {k: sets.where(F.col("side") == k).where(_WHOLE).drop("side") for k in ("left", "right")}
+    small = {k: _lowest(s.where(F.col("n") <= SUBSET_WORDS)) for k, s in sides.items()}
+    whole = _meetings(sides, least)
+    for k, s in sides.items():
+        keys = ["g", f"{k}_id", f"{k}_digest"]
+        texts = s.select("g", F.col("id").alias(keys[1]), _digest().alias(keys[2]), _packed(F.col("s")).alias(k), F.col("n").alias(f"{k}_n")).where(F.col(f"{k}_n") >= least * (SUBSET_WORDS + 1) - 1e-9)
+        whole = whole.join(texts.dropDuplicates(keys), keys)
+    both = F.size(F.array_intersect(F.split("left", "\x00", -1), F.split("right", "\x00", -1)))
+    scored = written(whole.select("g", "left_id", "right_id", (both / (F.col("left_n") + F.col("right_n") - both)).alias("score")).where(F.col("score") >= least), "word-set-scores")
 
     def best(mine: str, other: str) -> DataFrame:
         large = scored.select("g", F.col(f"{mine}_id").alias("id"), F.col(f"{other}_id").alias("other"), "score")
-        every = large.unionByName(_best_parts(sides[mine], sides[other])).where(F.col("score") >= least)
+        every = large.unionByName(_best_parts(small[mine], small[other])).where(F.col("score") >= least)
         top = every.groupBy("g", "id").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("other").alias("o"))).alias("t"))
         return top.select("g", F.col("id").alias(f"{mine}_id"), F.col("t.o").alias(f"{other}_id"), (-F.col("t.s")).alias("score"))
 

@@ -30,8 +30,8 @@ def written_once(spark: SparkSession, name: str, key: str, build: Callable[[], D
     return spark.read.parquet(at)
 
 
-def written(df: DataFrame, name: str, *folders: str) -> DataFrame:
+def written(df: DataFrame, name: str, *folders: str, compression: str = "snappy") -> DataFrame:
     """The rows, written to the shared folder now and read from there, for an operator that needs them several times."""
     at = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*folders).parquet(at)
+    df.write.partitionBy(*folders).option("compression", compression).parquet(at)
     return df.sparkSession.read.parquet(at)

@@ -283,6 +283,25 @@ def test_sets_of_texts_meet_only_where_they_may_be_alike(spark):
     assert len(met) < 40
 
 
+def test_words_of_large_sets_do_not_move_one_by_one(spark):
+    side = lambda first: spark.range(200).select(F.lit("g").alias("g"), (F.col("id") + first).alias("id"), F.expr(f"transform(sequence(1, 300), i -> concat('w', (id * 7 + i * 13 + {first}) % 4001))").alias("words"))
+    met = joins._meetings({"left": joins._sets(side(0), "g", "words"), "right": joins._sets(side(1000), "g", "words")}, 0.6)
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    # a set moves to a few buckets, its words are put in order where it lies
+    assert "Generate" not in plan and "Window" not in plan and "MapInArrow" in plan, plan
+
+
+def test_equal_large_sets_meet_once_and_every_character_counts(spark):
+    words = [f"w{i}" for i in range(9)]
+    odd = ["a\x00b", "a\x01b", "a\x01\x02b", "", " ", "c d", "é", "x", None]
+    many = [("g", k, words) for k in range(400)] + [("h", 700, words)]
+    left = spark.createDataFrame([*many, ("g", 900, [*odd, "y"]), ("g", 900, [*odd, "y"]), ("g", None, words), (None, 5, words), ("g", 6, [])], "g string, id long, w array<string>")
+    right = spark.createDataFrame([("g", k + 1000, x) for _, k, x in many] + [("g", 1900, odd), ("g", 1901, [*odd[:5], "a", "b", "z"])], "g string, id long, w array<string>")
+    sides = {k: joins._word_sets(df, "g", "w").where(joins._WHOLE) for k, df in (("left", left), ("right", right))}
+    assert joins._meetings(sides, 0.6).where("left_id < 900").count() == 1
+    assert rows(joins.mutual_best(left, right, "g", "w", 0.6)) == [("g", 0, 1000, 1.0), ("g", 900, 1900, 8 / 9)]
+
+
 def test_mutual_best_of_large_sets_against_all_pairs(spark):
     import random
 
