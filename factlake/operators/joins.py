@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 
 def with_total(parents: DataFrame, children: DataFrame, key: str, child_key: str, amount: Column, name: str) -> DataFrame:
@@ -104,9 +104,11 @@ def _best_parts(mine: DataFrame, theirs: DataFrame) -> DataFrame:
 #: words in more sets than this may be ranked by their number; at most so many are, the others come first, by hash
 _SELDOM, _RANKED = 16, 1 << 20
 #: places of words that a bucket holds, buckets to make at least, and pairs that are compared at a time
-_PLACES, _LEAST_BUCKETS, _PAIRS = 3_000_000, 12, 1 << 20
+_PLACES, _LEAST_BUCKETS, _PAIRS = 4_500_000, 12, 1 << 20
 #: sets whose words are put in order at a time
 _ROWS = 1024
+#: sets that are asked for by a broadcast
+_ASKED = 500_000
 #: bits of a signature at least
 _BITS = 256
 
@@ -160,9 +162,9 @@ def _started(ranked, buckets: int, least: float):
     return run
 
 
-def _may_be_alike(signature: np.ndarray, first: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Whether the signatures of the sets i and j differ in at most ``most`` bits."""
-    out = np.zeros(len(i), bool)
+def _bits_apart(signature: np.ndarray, first: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The number of bits in which the signatures of the sets i and j differ."""
+    out = np.zeros(len(i), np.int64)
     kinds = size[i] << 32 | size[j]
     for kind in np.unique(kinds).tolist():
         a, b = kind >> 32, kind & 0xFFFFFFFF
@@ -171,7 +173,7 @@ def _may_be_alike(signature: np.ndarray, first: np.ndarray, size: np.ndarray, i:
         for k in range(0, len(some), step):
             part = some[k : k + step]
             fold = lambda of, long: np.bitwise_xor.reduce(signature[first[of][:, None] + np.arange(long)].reshape(len(of), long // short, short), axis=1)  # noqa: E731, B023
-            out[part] = np.bitwise_count(fold(i[part], a) ^ fold(j[part], b)).sum(1) <= most[part]
+            out[part] = np.bitwise_count(fold(i[part], a) ^ fold(j[part], b)).sum(1)
     return out
 
 
@@ -202,7 +204,7 @@ def _meet_in_bucket(least: float):
         count = pc.list_value_length(column("h")).to_numpy(zero_copy_only=False)
         h, p = (column(c).flatten().to_numpy(zero_copy_only=False) for c in ("h", "p"))
         doc = np.repeat(np.arange(len(n), dtype=np.int32), count)
-        found = [np.empty(0, np.int64)]
+        found, apart = np.empty(0, np.int64), np.empty(0, np.int64)
         for slice_ in range(16):
             here = np.flatnonzero(((h >> 8) & 15 == slice_) & lowest[doc])
             mine, theirs = (here[left[doc[here]] == side] for side in (True, False))
@@ -218,6 +220,7 @@ def _meet_in_bucket(least: float):
             lo = np.searchsorted(key, at << 32 | np.ceil(least * own - 1e-9).astype(np.int64))
             many = np.searchsorted(key, at << 32 | np.floor(own / least + 1e-9).astype(np.int64), side="right") - lo
             ends = np.cumsum(many)
+            pairs, bits = [found], [apart]
             k = 0
             while k < len(mine):
                 to = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + _PAIRS, side="right")))
@@ -230,18 +233,23 @@ def _meet_in_bucket(least: float):
                 # words that a pair at ``least`` has in common; all of them stand at or behind the first one on either side
                 common = np.ceil((ln + rn) * (least / (1 + least)) - 1e-9).astype(np.int64)
                 near = (np.minimum(ln - p[a], rn - p[b]) + 1 >= common) & (np.maximum(ln, rn) > SUBSET_WORDS)
-                i, j, apart = i[near], j[near], (ln + rn - 2 * common)[near]
-                near = _may_be_alike(signature, first, size, i, j, apart)
-                found.append(np.unique(i[near].astype(np.int64) << 32 | j[near]))
-            found = [np.unique(np.concatenate(found))]
-        i, j = pa.array(found[0] >> 32), pa.array(found[0] & 0xFFFFFFFF)
-        yield pa.RecordBatch.from_arrays([column(c).take(x) for c, x in (("g", i), ("id", i), ("id", j), ("digest", i), ("digest", j))], ["g", "left_id", "right_id", "left_digest", "right_digest"])
+                i, j, most = i[near], j[near], (ln + rn - 2 * common)[near]
+                between = _bits_apart(signature, first, size, i, j)
+                near = between <= most
+                pairs.append(i[near].astype(np.int64) << 32 | j[near])
+                bits.append(between[near])
+            found, at = np.unique(np.concatenate(pairs), return_index=True)
+            apart = np.concatenate(bits)[at]
+        i, j = found >> 32, found & 0xFFFFFFFF
+        together = n[i] + n[j]
+        i, j, most = pa.array(i), pa.array(j), pa.array((together - apart) / (together + apart))
+        yield pa.RecordBatch.from_arrays([*(column(c).take(x) for c, x in (("g", i), ("id", i), ("id", j), ("digest", i), ("digest", j))), most], ["g", "left_id", "right_id", "left_digest", "right_digest", "most"])
 
     return run
 
 
 def _meetings(sides: dict[str, DataFrame], least: float) -> DataFrame:
-    """(g, left_id, right_id, left_digest, right_digest) of pairs of sets, one of them large, that may reach ``least``.
+    """(g, left_id, right_id, left_digest, right_digest, most) of pairs of sets, one of them large, that may reach ``least``, and the score they have at most.
 
     The prefix of a set is found where the set lies: words in many sets come last, by their number,
     which is broadcast; the others by hash. Any order that all sets share will do; this one makes few
@@ -254,7 +262,7 @@ def _meetings(sides: dict[str, DataFrame], least: float) -> DataFrame:
     every, other = (sides[k].where(kept).select("g", "id", F.lit(k == "left").alias("l"), "n", _digest().alias("digest"), F.transform("s", lambda w: F.xxhash64("g", w)).alias("h")) for k in ("left", "right"))
     every = every.unionByName(other)
     types = {f.name: f.dataType for f in every.schema}
-    pair = StructType([StructField("g", types["g"]), StructField("left_id", types["id"]), StructField("right_id", types["id"]), StructField("left_digest", LongType()), StructField("right_digest", LongType())])
+    pair = StructType([StructField("g", types["g"]), StructField("left_id", types["id"]), StructField("right_id", types["id"]), StructField("left_digest", LongType()), StructField("right_digest", LongType()), StructField("most", DoubleType())])
     large, places = every.agg(F.count_if(F.col("n") > SUBSET_WORDS), F.sum(F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)).first()
     if not large:
         return spark.createDataFrame([], pair)
@@ -302,13 +310,29 @@ def mutual_best(left: DataFrame, right: DataFrame, group: str, words: str, least
     sets = written(_word_sets(left, group, words).withColumn("side", F.lit("left")).unionByName(_word_sets(right, group, words).withColumn("side", F.lit("right"))), "word-sets", "side", compression="zstd")
     sides = {k: sets.where(F.col("side") == k).where(_WHOLE).drop("side") for k in ("left", "right")}
     small = {k: _lowest(s.where(F.col("n") <= SUBSET_WORDS)) for k, s in sides.items()}
-    whole = _meetings(sides, least)
-    for k, s in sides.items():
-        keys = ["g", f"{k}_id", f"{k}_digest"]
-        texts = s.select("g", F.col("id").alias(keys[1]), _digest().alias(keys[2]), _packed(F.col("s")).alias(k), F.col("n").alias(f"{k}_n")).where(F.col(f"{k}_n") >= least * (SUBSET_WORDS + 1) - 1e-9)
-        whole = whole.join(texts.dropDuplicates(keys), keys)
-    both = F.size(F.array_intersect(F.split("left", "\x00", -1), F.split("right", "\x00", -1)))
-    scored = written(whole.select("g", "left_id", "right_id", (both / (F.col("left_n") + F.col("right_n") - both)).alias("score")).where(F.col("score") >= least), "word-set-scores")
+    pairs = written(_meetings(sides, least), "word-set-pairs")
+
+    def measured(some: DataFrame) -> DataFrame:
+        for k, s in sides.items():
+            keys = ["g", f"{k}_id", f"{k}_digest"]
+            asked = some.select(*keys).distinct()
+            texts = s.select("g", F.col("id").alias(keys[1]), _digest().alias(keys[2]), "s", F.col("n").alias(f"{k}_n")).where(F.col(f"{k}_n") >= least * (SUBSET_WORDS + 1) - 1e-9)
+            texts = texts.join(F.broadcast(asked) if asked.count() <= _ASKED else asked, keys, "left_semi").withColumn(k, _packed(F.col("s"))).drop("s")
+            some = some.join(texts.dropDuplicates(keys), keys)
+        both = F.size(F.array_intersect(F.split("left", "\x00", -1), F.split("right", "\x00", -1)))
+        scores = some.select("g", "left_id", "right_id", (both / (F.col("left_n") + F.col("right_n") - both)).alias("score"))
+        return written(scores.where(F.col("score") >= least), "word-set-scores")
+
+    # first the pair of each set that may score most; then those that may still reach what one of their sets has
+    digests = ["left_digest", "right_digest"]
+    top = [pairs.groupBy("g", mine).agg(F.max(F.struct("most", other, *digests)).alias("t")).select("g", mine, f"t.{other}", *[f"t.{c}" for c in digests]) for mine, other in (("left_id", "right_id"), ("right_id", "left_id"))]
+    first = written(top[0].unionByName(top[1]).distinct(), "word-set-first")
+    scored = measured(first)
+    rest = pairs.join(first, ["g", "left_id", "right_id", *digests], "left_anti")
+    for k in ("left", "right"):
+        rest = rest.join(scored.groupBy("g", f"{k}_id").agg(F.max("score").alias(f"{k}_has")), ["g", f"{k}_id"], "left")
+    open_ = rest.where(F.col("most") >= F.least(F.coalesce("left_has", F.lit(0.0)), F.coalesce("right_has", F.lit(0.0))) - 1e-9)
+    scored = scored.unionByName(measured(written(open_.drop("left_has", "right_has", "most"), "word-set-rest")))
 
     def best(mine: str, other: str) -> DataFrame:
         large = scored.select("g", F.col(f"{mine}_id").alias("id"), F.col(f"{other}_id").alias("other"), "score")
